@@ -91,14 +91,18 @@ def _word_grams(word: Column) -> Column:
 
 
 def set_similarity(a: Column, b: Column) -> Column:
-    """Shared share of two distinct arrays; 0 when nothing is shared."""
-    shared = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - shared
-    return F.when(total > 0, shared / total).otherwise(F.lit(0.0))
+    """Shared share of two distinct arrays; 0 when both are empty."""
+    return bind(
+        F.size(F.array_intersect(a, b)),
+        lambda shared: F.when(
+            F.size(a) + F.size(b) > 0, shared / (F.size(a) + F.size(b) - shared)
+        ).otherwise(F.lit(0.0)),
+    )
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return set_similarity(trigrams(a), trigrams(b))
+    pair = F.struct(trigrams(a).alias("a"), trigrams(b).alias("b"))
+    return bind(pair, lambda g: set_similarity(g["a"], g["b"]))
 
 
 def word_similarity_of(query_grams: Column, title_sequence: Column) -> Column:
@@ -110,23 +114,28 @@ def word_similarity_of(query_grams: Column, title_sequence: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(title_sequence), F.lit(1))),
         lambda i: F.array_contains(query_grams, F.get(title_sequence, i - 1)),
     )
-    scores = F.flatten(
-        F.transform(
-            hits,
-            lambda start: F.transform(
-                F.filter(hits, lambda end: end >= start),
-                lambda end: set_similarity(
-                    query_grams,
-                    F.array_distinct(F.slice(title_sequence, start, end - start + 1)),
-                ),
+
+    def stretch(start: Column, end: Column) -> Column:
+        part = F.array_distinct(F.slice(title_sequence, start, end - start + 1))
+        return bind(part, lambda p: set_similarity(query_grams, p))
+
+    def best(found: Column) -> Column:
+        scores = F.transform(
+            found,
+            lambda start: F.array_max(
+                F.transform(
+                    F.filter(found, lambda end: end >= start), lambda end: stretch(start, end)
+                )
             ),
         )
-    )
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+        return F.coalesce(F.array_max(scores), F.lit(0.0))
+
+    return bind(hits, best)
 
 
 def word_similarity(query: Column, title: Column) -> Column:
-    return word_similarity_of(trigrams(query), trigram_sequence(title))
+    pair = F.struct(trigrams(query).alias("q"), trigram_sequence(title).alias("t"))
+    return bind(pair, lambda g: word_similarity_of(g["q"], g["t"]))
 
 
 def coverage(query_words: Column, title_words: Column) -> Column:
@@ -186,10 +195,8 @@ def stem_tokens(c: Column) -> Column:
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        shared / (F.size(a) + F.size(b) - shared)
-    )
+    """Shared share of two distinct token arrays; 0 when either is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(set_similarity(a, b))
 
 
 def snap_topic(topic: Column, topics: Column) -> Column:

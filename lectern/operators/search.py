@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import (
+    GENERIC_TITLE_WORDS,
+    bind,
     content_words,
     coverage,
     expand_shorthand,
@@ -40,193 +42,244 @@ def _python_trigrams(text: str) -> list[str]:
 def _query_struct(query: str) -> Column:
     term = query.strip()
     grams = [F.lit(g) for g in _python_trigrams(term)]
+    words = F.array_sort(F.array(*[F.lit(w) for w in _python_content_words(term)]))
     return F.struct(
         F.lit(query).alias("query"),
         F.lit(term).alias("term"),
-        F.lit(re.sub("[^a-zA-Z0-9]", "", term).lower()).alias("term_number"),
-        (F.array(*grams) if grams else F.array().cast("array<string>")).alias("term_grams"),
+        F.lit(re.sub("[^a-zA-Z0-9]", "", term).lower()).alias("number"),
+        (F.array(*grams) if grams else _no_text()).alias("grams"),
+        words.cast("array<string>").alias("words"),
     )
 
 
-def _with_number_key(courses: DataFrame) -> DataFrame:
-    return courses.withColumns(
-        {
-            "title_grams": trigrams(F.col("title")),
-            "number_key": squash(F.col("course_number")),
-        }
-    )
+def _no_text() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _python_content_words(text: str) -> list[str]:
+    words = re.split("[^a-z0-9]+", text.lower())
+    kept = [w for w in words if len(w) > 1 and not w.isdigit() and w not in GENERIC_TITLE_WORDS]
+    return list(dict.fromkeys(kept))
 
 
-def _could_match(q: Column) -> Column:
-    """A cheap test no matching pair fails: enough shared trigrams, a substring, or the number."""
-    shared = F.size(F.array_intersect(q["term_grams"], F.col("title_grams")))
+def _query_columns(queries: DataFrame) -> DataFrame:
+    """Distinct usable queries as (query, q) with q the struct the tests read."""
+    term = F.trim("query")
     return (
-        (shared >= F.size(q["term_grams"]) * SIMILAR) & (shared > 0)
-        | F.contains(F.lower("title"), F.lower(q["term"]))
-        | (F.col("number_key") == q["term_number"])
-        | F.startswith(F.lower("course_number"), F.lower(q["term"]))
+        queries.select("query")
+        .distinct()
+        .filter(F.length(term) >= 2)
+        .select(
+            "query",
+            F.struct(
+                F.col("query"),
+                term.alias("term"),
+                squash(term).alias("number"),
+                trigrams(term).alias("grams"),
+                content_words(term).alias("words"),
+            ).alias("q"),
+        )
     )
 
 
-def literal_pairs(courses: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Candidate (query, course) rows of a short list of typed queries, in one pass and no shuffle."""
-    usable = [q for q in dict.fromkeys(queries) if len(q.strip()) >= 2]
-    if len(usable) > MAX_LITERAL_QUERIES:
-        raise ValueError("long query lists belong in a table: use table_pairs")
-    if not usable:
-        return _with_number_key(courses).withColumns(
-            {c: F.lit(None).cast("string") for c in ("query", "term", "term_number")}
-        ).withColumn("term_grams", F.array().cast("array<string>")).limit(0)
-    wanted = F.array(*[_query_struct(q) for q in usable])
-    return (
-        _with_number_key(courses)
-        .withColumn("q", F.explode(F.filter(wanted, _could_match)))
-        .select("*", "q.*")
-        .drop("q")
+def _title_columns(rows: DataFrame) -> DataFrame:
+    """Add t, the struct of a title the tests read."""
+    title = F.col("title")
+    return rows.withColumn(
+        "t",
+        F.struct(
+            title.alias("title"),
+            F.lower(title).alias("low"),
+            squash(title).alias("squashed"),
+            trigrams(title).alias("grams"),
+        ),
     )
 
 
-def table_pairs(courses: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidate (query, course) rows of a whole table of queries, by equal keys only.
+def _could_match_title(q: Column, t: Column) -> Column:
+    """A cheap test no matching title fails: enough shared trigrams, or the words themselves."""
+    shared = F.size(F.array_intersect(q["grams"], t["grams"]))
+    return F.contains(t["low"], F.lower(q["term"])) | (
+        (F.size(q["grams"]) > 0) & (shared >= F.size(q["grams"]) * SIMILAR)
+    )
 
-    A pair that passes the trigram tests shares at least 0.3 of the query's trigrams, so it
-    shares one of the query's ``n - ceil(0.3 n) + 1`` rarest; a substring pair shares the
-    query's first raw letters; number pairs share the number or a prefix of it. Keys are looked
-    up among distinct titles and numbers, which then bring in their courses.
-    """
-    terms = (
-        queries.select("query")
-        .distinct()
-        .withColumn("term", F.trim("query"))
-        .filter(F.length("term") >= 2)
-        .withColumns({"term_number": squash(F.col("term")), "term_grams": trigrams(F.col("term"))})
+
+def _matches_number(q: Column) -> Column:
+    return (squash(F.col("course_number")) == q["number"]) | F.startswith(
+        F.lower("course_number"), F.lower(q["term"])
     )
-    titles = courses.select("title").distinct()
-
-    def raw(c: Column, n: int) -> Column:
-        """Distinct runs of n letters of a text."""
-        low = F.lower(c)
-        return F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))),
-                lambda i: F.concat(F.lit("raw:"), F.substring(low, i, F.lit(n))),
-            )
+
+
+def _title_measures(q: Column, t: Column) -> Column:
+    """Every measure of a (query, title) pair, each worked out once.
+
+    No stretch of the title can beat the share of the query's trigrams it holds at all, so the
+    search over stretches runs only where that bound could matter.
+    """
+
+    def finish(m: Column) -> Column:
+        floor_score = F.greatest(m["sim"], F.when(m["has_text"], 0.9).otherwise(0.0))
+        word_sim = F.when(
+            m["held"] > F.least(floor_score, F.lit(WORDS_SIMILAR - 1e-9)),
+            word_similarity_of(q["grams"], trigram_sequence(t["title"])),
+        ).otherwise(F.lit(0.0))
+        return bind(
+            word_sim,
+            lambda w: F.struct(
+                q.alias("q"),
+                m["sim"].alias("sim"),
+                F.greatest(floor_score, w).alias("title_score"),
+                ((m["sim"] >= SIMILAR) | (w >= WORDS_SIMILAR) | m["has_text"]).alias("title_match"),
+                (t["squashed"] == q["number"]).alias("same_title"),
+                coverage(q["words"], content_words(t["title"])).alias("coverage"),
+                F.when(
+                    F.size(q["words"]) > 0,
+                    similarity(
+                        F.array_join(q["words"], " "), F.array_join(content_words(t["title"]), " ")
+                    ),
+                )
+                .otherwise(m["sim"])
+                .alias("likeness"),
+            ),
         )
 
-    keyed_titles = titles.select(
-        "title",
-        F.explode(
-            F.concat(trigrams(F.col("title")), raw(F.col("title"), 3), raw(F.col("title"), 2))
-        ).alias("key"),
+    first = bind(
+        F.size(F.array_intersect(q["grams"], t["grams"])),
+        lambda shared: F.struct(
+            set_similarity(q["grams"], t["grams"]).alias("sim"),
+            F.when(F.size(q["grams"]) > 0, shared / F.size(q["grams"])).otherwise(F.lit(0.0)).alias("held"),
+            F.contains(t["low"], F.lower(q["term"])).alias("has_text"),
+        ),
     )
-    seen = keyed_titles.groupBy("key").agg(F.count(F.lit(1)).alias("held_by"))
-    needed = F.size("term_grams") - F.ceil(F.size("term_grams") * SIMILAR) + 1
-    gram_keys = (
-        terms.select("query", F.explode("term_grams").alias("key"), needed.alias("needed"))
-        .join(seen, "key", "left")
-        .groupBy("query", "needed")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), "key"))
-            ).alias("keys")
-        )
-        .select("query", F.explode(F.slice("keys", F.lit(1), F.col("needed").cast("int"))).alias("k"))
-        .select("query", F.col("k.key").alias("key"))
+    return bind(first, finish)
+
+
+def _literal_matches(courses: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """Matching (query, course) rows of a short list of typed queries, in one pass, no shuffle."""
+    usable = [q for q in dict.fromkeys(queries) if len(q.strip()) >= 2]
+    if len(usable) > MAX_LITERAL_QUERIES:
+        raise ValueError("a long list of queries belongs in a table")
+    wanted = F.array(*[_query_struct(q) for q in usable or ["  "]])
+    t = F.col("t")
+    possible = F.filter(
+        wanted,
+        lambda q: (F.length(q["term"]) >= 2) & (_could_match_title(q, t) | _matches_number(q)),
     )
-    raw_keys = terms.select(
-        "query",
-        F.concat(
-            F.lit("raw:"), F.substring(F.lower("term"), F.lit(1), F.least(F.length("term"), F.lit(3)))
+    measured = F.filter(
+        F.transform(possible, lambda q: _title_measures(q, t)),
+        lambda m: m["title_match"] | _matches_number(m["q"]),
+    )
+    return _title_columns(courses).select(*courses.columns, F.explode(measured).alias("m"))
+
+
+def _measure_pairs(pairs: DataFrame) -> DataFrame:
+    """Measures of distinct (query, title) pairs; the generator keeps later tests above them."""
+    rows = _title_columns(pairs)
+    return rows.select(
+        "query", "title", F.explode(F.array(_title_measures(F.col("q"), F.col("t")))).alias("m")
+    )
+
+
+def _table_matches(courses: DataFrame, queries: DataFrame) -> DataFrame:
+    """Matching (query, course) rows of a whole table of queries, by equal keys only.
+
+    A title that passes the trigram tests shares at least 0.3 of the query's trigrams, so it
+    shares one of the query's ``n - ceil(0.3 n) + 1`` rarest; a title holding the query shares
+    its first raw letters; numbers share the whole or a prefix. Titles are looked up and
+    measured once each, then bring in their courses.
+    """
+    terms = _query_columns(queries)
+    keyed_titles = courses.select("title").distinct().select(
+        "title",
+        F.explode(
+            F.concat(
+                trigrams(F.col("title")), _raw_runs(F.col("title"), 3), _raw_runs(F.col("title"), 2)
+            )
         ).alias("key"),
     )
     by_title = (
-        gram_keys.unionByName(raw_keys)
+        _title_keys(terms, keyed_titles)
         .join(keyed_titles, "key")
         .select("query", "title")
         .distinct()
         .join(terms, "query")
-        .withColumns({"title_grams": trigrams(F.col("title")), "number_key": F.lit("")})
-        .withColumn("course_number", F.lit(""))
-        .filter(_could_match(F.struct("term", "term_number", "term_grams")))
-        .select("query", "title")
     )
+    measured = _measure_pairs(by_title).filter("m.title_match")
+    titled = measured.join(courses, "title").select(*courses.columns, "m")
+
     numbers = courses.select("course_number").distinct()
-    low_number = F.lower("course_number")
+    low = F.lower("course_number")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(low_number), F.lit(1))),
-        lambda i: F.concat(F.lit("p:"), F.substring(low_number, F.lit(1), i)),
+        F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
+        lambda i: F.concat(F.lit("p:"), F.substring(low, F.lit(1), i)),
     )
-    exact = F.concat(F.lit("n:"), squash(F.col("course_number")))
+    whole = F.concat(F.lit("n:"), squash(F.col("course_number")))
     keyed_numbers = numbers.select(
-        "course_number", F.explode(F.array_append(prefixes, exact)).alias("key")
+        "course_number", F.explode(F.array_append(prefixes, whole)).alias("key")
     )
     number_keys = terms.select(
         "query",
         F.explode(
-            F.array(F.concat(F.lit("p:"), F.lower("term")), F.concat(F.lit("n:"), "term_number"))
+            F.array(F.concat(F.lit("p:"), F.lower("q.term")), F.concat(F.lit("n:"), "q.number"))
         ).alias("key"),
     )
-    by_number = number_keys.join(keyed_numbers, "key").select("query", "course_number").distinct()
-    pairs = (
-        by_title.join(courses, "title")
-        .unionByName(by_number.join(courses, "course_number"))
-        .dropDuplicates(["query", "course_id"])
-    )
-    return _with_number_key(pairs.join(terms, "query"))
-
-
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Score, exactness, coverage and likeness of candidate pairs that truly match."""
-    q, t = F.col("term_grams"), F.col("title_grams")
-    whole = pairs.withColumns(
-        {
-            "sim": set_similarity(q, t),
-            "shared_share": F.when(
-                F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)
-            ).otherwise(F.lit(0.0)),
-            "has_text": F.contains(F.lower("title"), F.lower("term")),
-            "same_number": F.col("number_key") == F.col("term_number"),
-            "number_start": F.startswith(F.lower("course_number"), F.lower("term")),
-        }
-    )
-    # No stretch of the title can beat the share of the query's trigrams it holds at all, so
-    # the search over stretches runs only where that bound could matter.
-    floor_score = F.greatest(
-        F.col("sim"),
-        F.when(F.col("same_number"), 1.0).otherwise(0.0),
-        F.when(F.col("has_text"), 0.9).otherwise(0.0),
+    numbered = (
+        number_keys.join(keyed_numbers, "key")
+        .select("query", "course_number")
+        .distinct()
+        .join(courses, "course_number")
+        .join(measured.select("query", "title"), ["query", "title"], "left_anti")
     )
-    worded = whole.withColumn("floor_score", floor_score).withColumn(
-        "word_sim",
-        F.when(
-            F.col("shared_share") > F.least(F.col("floor_score"), F.lit(WORDS_SIMILAR - 1e-9)),
-            word_similarity_of(q, trigram_sequence(F.col("title"))),
-        ).otherwise(F.lit(0.0)),
+    loose = _measure_pairs(numbered.select("query", "title").distinct().join(terms, "query"))
+    by_number = numbered.join(loose, ["query", "title"]).select(*courses.columns, "m")
+    return titled.unionByName(by_number)
+
+
+def _raw_runs(c: Column, n: int) -> Column:
+    """Distinct runs of n letters of a text, marked apart from its trigrams."""
+    low = F.lower(c)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))),
+        lambda i: F.concat(F.lit("raw:"), F.substring(low, i, F.lit(n))),
     )
-    matched = worded.filter(
-        (F.col("sim") >= SIMILAR)
-        | (F.col("word_sim") >= WORDS_SIMILAR)
-        | F.col("has_text")
-        | F.col("same_number")
-        | F.col("number_start")
-    ).withColumns(
-        {"query_words": content_words(F.col("term")), "title_words": content_words(F.col("title"))}
+    return F.array_distinct(runs)
+
+
+def _title_keys(terms: DataFrame, keyed_titles: DataFrame) -> DataFrame:
+    """Keys to look each query up by: its rarest trigrams and its first raw letters."""
+    seen = keyed_titles.groupBy("key").agg(F.count(F.lit(1)).alias("held_by"))
+    grams = F.col("q.grams")
+    needed = (F.size(grams) - F.ceil(F.size(grams) * SIMILAR) + 1).cast("int")
+    rarest = (
+        terms.select("query", F.explode(grams).alias("key"), needed.alias("needed"))
+        .join(seen, "key", "left")
+        .groupBy("query", "needed")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(F.coalesce("held_by", F.lit(0)).alias("held_by"), "key"))
+            ).alias("keys")
+        )
+        .select("query", F.explode(F.slice("keys", F.lit(1), F.col("needed"))).alias("k"))
+        .select("query", F.col("k.key").alias("key"))
     )
+    term = F.lower("q.term")
+    first = F.substring(term, F.lit(1), F.least(F.length(term), F.lit(3)))
+    return rarest.unionByName(terms.select("query", F.concat(F.lit("raw:"), first).alias("key")))
+
+
+def _score(matches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Score and exactness of matches, the course number taken in."""
+    same_number = squash(F.col("course_number")) == F.col("m.q.number")
     one = F.lit(1.0)
-    return matched.withColumns(
-        {
-            "score": F.greatest("floor_score", "word_sim"),
-            "exactness": F.greatest(
-                F.col("sim"),
-                F.when(F.col("same_number"), one).otherwise(0.0),
-                F.when(squash(F.col("title")) == F.col("term_number"), one).otherwise(0.0),
-            ),
-            "coverage": coverage(F.col("query_words"), F.col("title_words")),
-            "likeness": F.when(
-                F.size("query_words") > 0,
-                similarity(F.array_join("query_words", " "), F.array_join("title_words", " ")),
-            ).otherwise(F.col("sim")),
-        }
+    return matches.select(
+        F.col("m.q.query").alias("query"),
+        *columns,
+        F.greatest("m.title_score", F.when(same_number, one).otherwise(0.0)).alias("score"),
+        F.greatest(
+            "m.sim", F.when(same_number | F.col("m.same_title"), one).otherwise(0.0)
+        ).alias("exactness"),
+        F.col("m.coverage").alias("coverage"),
+        F.col("m.likeness").alias("likeness"),
     )
 
 
@@ -272,10 +325,9 @@ def search_courses(
         optional(F.col("college_id"), college)
         & optional(F.col("college_id"), exclude_college, exclude=True)
     )
-    pairs = (
-        table_pairs(scope, queries) if isinstance(queries, DataFrame) else literal_pairs(scope, queries)
-    )
-    ranked = rank_matches(score_pairs(pairs), rank_by, limit, per_college)
+    found = _table_matches if isinstance(queries, DataFrame) else _literal_matches
+    scored = _score(found(scope, queries), courses.columns)
+    ranked = rank_matches(scored, rank_by, limit, per_college)
     return ranked.select(
         "query", "place", *courses.columns, "score", "exactness", "coverage", "likeness"
     )

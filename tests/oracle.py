@@ -92,9 +92,11 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 def compare(spark, con, folder, build, sql) -> str:
     got = build(spark, folder)
     columns = got.columns
+    began = time.time()
     rows = [tuple(r) for r in got.collect()]
+    took = f"{time.time() - began:.1f}s "
     if sql is None:
-        return f"rows only: {len(rows)}"
+        return f"rows only: {len(rows)} {took}"
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     want = result.fetchall()
@@ -108,7 +110,7 @@ def compare(spark, con, folder, build, sql) -> str:
     odd = {c: (ka[c], kb[c]) for c in ka if ka[c] != kb[c]}
     if not rows:
         return "EMPTY"
-    return f"same ({len(rows)} rows)" + (f" TYPES {odd}" if odd else "")
+    return f"same ({len(rows)} rows) {took}" + (f" TYPES {odd}" if odd else "")
 
 
 def main() -> int:
