@@ -421,11 +421,11 @@ MODEL = "small-model"
 
 
 def stored_hashes(t: Tables) -> DataFrame:
-    """An earlier run's hashes: every third document has changed since, every fifth is new."""
+    """An earlier run's hashes: French documents have changed since, Spanish ones are new."""
     docs = plan_courses(t)
     now = similarity.embedding_text(F.col("title"), F.col("department_name"), F.col("description"))
-    changed = F.when(F.col("course_id") % 3 == 0, F.concat(now, F.lit("!"))).otherwise(now)
-    return docs.filter("course_id % 5 <> 0").select(
+    changed = F.when(F.col("department_name") == "fr", F.concat(now, F.lit("!"))).otherwise(now)
+    return docs.filter("department_name <> 'es'").select(
         "course_id", similarity.content_hash(MODEL, changed).alias("content_hash")
     )
 
@@ -443,7 +443,7 @@ def plan_courses(t: Tables) -> DataFrame:
 
 
 _EMBED_TEXT = r"""
-      select doc_id, source, doc_id % 11 = 0 as thin,
+      select doc_id, source, lang, doc_id % 11 = 0 as thin,
         case when doc_id % 11 = 0 then 'doc-' || doc_id else source end || chr(10) || lang ||
           case when doc_id % 11 <> 0 and d <> '' then chr(10) || d else '' end as body
       from (select *, substring(regexp_replace(regexp_replace(text, '[\s\x{0b}\x{a0}]+', ' ', 'g'), '^ +| +$', '', 'g'), 1, 1500) as d from documents)
@@ -451,7 +451,7 @@ _EMBED_TEXT = r"""
 PLAN_SQL = f"""
     with b as ({_EMBED_TEXT}),
     h as (select *, sha1('small-model' || chr(10) || body) as new_hash,
-        case when doc_id % 5 <> 0 then sha1('small-model' || chr(10) || body || case when doc_id % 3 = 0 then '!' else '' end) end as old_hash from b)
+        case when lang <> 'es' then sha1('small-model' || chr(10) || body || case when lang = 'fr' then '!' else '' end) end as old_hash from b)
     select doc_id as course_id, source as college_id, new_hash, length(body) as chars,
       case when thin then 'delete' when new_hash = old_hash then 'unchanged' else 'embed' end as action
     from h

@@ -260,12 +260,13 @@ def sets_by_section(t: Tables) -> DataFrame:
     "orphan_sets",
     """
     select l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey || '-' || l_quantity as test_set_id
-    from lineitem where l_orderkey % 10 = 0
+    from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus <> 'P')
     """,
 )
 def orphan_sets(t: Tables) -> DataFrame:
-    """Sets left behind when every tenth course lost its outline."""
-    held = section_rows(t).filter("course_id % 10 <> 0")
+    """Sets left behind by courses that are still pending."""
+    settled = t.read("orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("course_id"))
+    held = section_rows(t).join(settled, "course_id", "left_semi")
     return context.orphan_sets(set_rows(t), held).select("test_set_id")
 
 
