@@ -1,10 +1,11 @@
-"""Cutting the lineage of iterative jobs with reliable checkpoints."""
+"""Keeping plans in hand: reliable checkpoints, and costly columns worked out once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read but do not repeat.
+
+    A filter is pushed through a projection with its expressions copied into it; through a
+    generator it is not.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))

@@ -1 +1,171 @@
-"""To come."""
+"""Question-set planning and near-duplicate queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions.text import stem_tokens
+from lectern.operators import dedupe, quota
+from lectern.plans.registry import query
+from lectern.sources.tables import Tables
+
+_MIX = {"mcq": 70, "true_false": 15, "short_answer": 15}
+_LEVELS = {"easy": 30, "medium": 45, "hard": 25}
+
+
+def _share_sql(weights: dict[str, int], total: str) -> str:
+    """Largest-remainder shares written as sums over ranked remainders."""
+    names = list(weights)
+    left = f"({total} - " + " - ".join(f"{total} * {w} // 100" for w in weights.values()) + ")"
+    out = []
+    for i, k in enumerate(names):
+        ahead = " + ".join(
+            f"case when {total} * {weights[o]} % 100 {'>=' if j < i else '>'} {total} * {weights[k]} % 100 then 1 else 0 end"
+            for j, o in enumerate(names)
+            if o != k
+        )
+        out.append(f"cast({total} * {weights[k]} // 100 + case when {ahead} < {left} then 1 else 0 end as integer) as {k}")
+    return ", ".join(out)
+
+
+_TARGETS_SQL = f"select o_orderkey as set_id, total, {_share_sql(_MIX, 'total')}, {_share_sql(_LEVELS, 'total')} from (select *, [10, 25, 40, 70, 100][1 + o_orderkey % 5] as total from orders)"
+
+
+def set_lengths(t: Tables) -> DataFrame:
+    """Every order as a set of one of the offered lengths."""
+    lengths = F.array(*[F.lit(n) for n in (10, 25, 40, 70, 100)])
+    return t.read("orders").select(
+        F.col("o_orderkey").alias("set_id"),
+        F.get(lengths, (F.col("o_orderkey") % 5).cast("int")).alias("total"),
+    )
+
+
+@query("apportion", _TARGETS_SQL)
+def apportion(t: Tables) -> DataFrame:
+    return quota.with_mix(set_lengths(t), "total")
+
+
+@query(
+    "batch_plans",
+    f"""
+    with t as ({_TARGETS_SQL}),
+    slots as (select *, (total + 24) // 25 as batches, unnest(range(total)) as slot from t),
+    dealt as (
+      select set_id, row_number() over (partition by set_id order by slot % batches, slot) - 1 as place,
+        case when slot < mcq then 'mcq' when slot < mcq + true_false then 'true_false' else 'short_answer' end as type,
+        case when slot < easy then 'easy' when slot < easy + medium then 'medium' else 'hard' end as difficulty
+      from slots)
+    select set_id, cast(place // 25 as integer) as batch, count(*) as count,
+      {', '.join(f"count(*) filter (where type = '{k}') as {k}" for k in _MIX)},
+      {', '.join(f"count(*) filter (where difficulty = '{k}') as {k}" for k in _LEVELS)}
+    from dealt group by 1, 2
+    """,
+)
+def batch_plans(t: Tables) -> DataFrame:
+    return quota.batch_plans(set_lengths(t), "set_id", "total")
+
+
+_HELD_SQL = """
+    select l_orderkey as set_id, case when l_returnflag = 'R' then 'mcq' when l_returnflag = 'A' then 'true_false' else 'short_answer' end as type,
+      case when l_quantity < 15 then 'easy' when l_quantity < 35 then 'medium' else 'hard' end as difficulty from lineitem
+"""
+
+
+def held_questions(t: Tables) -> DataFrame:
+    """Line items as the questions a set already holds."""
+    flag = F.col("l_returnflag")
+    return t.read("lineitem").select(
+        F.col("l_orderkey").alias("set_id"),
+        F.when(flag == "R", "mcq").when(flag == "A", "true_false").otherwise("short_answer").alias("type"),
+        F.when(F.col("l_quantity") < 15, "easy")
+        .when(F.col("l_quantity") < 35, "medium")
+        .otherwise("hard")
+        .alias("difficulty"),
+    )
+
+
+@query(
+    "shortfall",
+    f"""
+    with t as ({_TARGETS_SQL}), h as ({_HELD_SQL}),
+    g as (select set_id, count(*) as have,
+            {', '.join(f"count(*) filter (where type = '{k}') as h_{k}" for k in _MIX)},
+            {', '.join(f"count(*) filter (where difficulty = '{k}') as h_{k}" for k in _LEVELS)}
+          from h group by 1)
+    select set_id, greatest(1, total - coalesce(have, 0)) as ask,
+      {', '.join(f"greatest(0, {k} - coalesce(h_{k}, 0)) as {k}" for k in [*_MIX, *_LEVELS])}
+    from t left join g using (set_id)
+    """,
+)
+def shortfall(t: Tables) -> DataFrame:
+    targets = quota.with_mix(set_lengths(t), "total")
+    return quota.shortfall(targets, held_questions(t), "set_id", "total")
+
+
+@query(
+    "set_status",
+    f"""
+    with t as ({_TARGETS_SQL}), g as (select set_id, count(*) as n from ({_HELD_SQL}) group by 1)
+    select set_id, coalesce(n, 0) as question_count, case when coalesce(n, 0) >= total - 8 then 'complete' else 'failed' end as status,
+      case when coalesce(n, 0) < total - 8 then 'Only ' || coalesce(n, 0) || ' of ' || (total - 8) || ' questions could be generated.' end as error
+    from t left join g using (set_id)
+    """,
+)
+def set_status(t: Tables) -> DataFrame:
+    sets = set_lengths(t).withColumn("target", F.col("total") - 8)
+    return quota.set_status(sets, held_questions(t), "set_id", "target")
+
+
+@query(
+    "batches_to_run",
+    f"""
+    with t as ({_TARGETS_SQL}), b as (select set_id, unnest(range((total + 24) // 25)) as batch from t),
+    g as (select set_id, count(*) * 6 as n from ({_HELD_SQL}) group by 1)
+    select set_id, cast(batch as integer) as batch from b left join g using (set_id) where coalesce(n, 0) < (batch + 1) * 25
+    """,
+)
+def batches_to_run(t: Tables) -> DataFrame:
+    """Batches left when every line item stands for six questions."""
+    plans = quota.batch_plans(set_lengths(t), "set_id", "total")
+    copies = held_questions(t).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    return quota.batches_to_run(plans, copies, "set_id").select("set_id", "batch")
+
+
+def stems(t: Tables) -> DataFrame:
+    """Whole documents as question stems, in order inside their source."""
+    return t.read("documents").select(
+        "doc_id", "source", "lang", "n_chars", stem_tokens(F.col("text")).alias("tokens")
+    )
+
+
+@query("greedy_dedupe", None)
+def greedy_dedupe(t: Tables) -> DataFrame:
+    """Documents kept in their source, near copies of those kept before them dropped."""
+    return dedupe.greedy_filter(stems(t), "source", "doc_id", "tokens")
+
+
+@query("greedy_dedupe_by_language", None)
+def greedy_dedupe_by_language(t: Tables) -> DataFrame:
+    """The same over languages, one of which holds most documents; benchmark texts count as seen."""
+    seeds = t.read("benchmark").select(
+        F.lit("en").alias("lang"), stem_tokens(F.col("text")).alias("tokens")
+    )
+    return dedupe.greedy_filter(stems(t), "lang", "doc_id", "tokens", seeds)
+
+
+@query("quota_select", None)
+def quota_select(t: Tables) -> DataFrame:
+    """Documents accepted into one 25-question set per source, held to its mix."""
+    n = F.col("doc_id")
+    offered = stems(t).select(
+        "source",
+        F.when(n % 4 == 0, 3).when(n % 4 == 1, 2).otherwise(1).alias("attempt"),
+        n.alias("pos"),
+        F.when(F.col("n_chars") % 10 < 5, "mcq").when(F.col("n_chars") % 10 < 8, "true_false").otherwise("short_answer").alias("type"),
+        F.when(F.col("lang") == "en", "medium").when(F.col("lang") == "fr", "easy").otherwise("hard").alias("difficulty"),
+        "tokens",
+    )
+    sets = t.read("documents").select("source").distinct().withColumn("count", F.lit(25))
+    plans = quota.with_mix(sets, "count")
+    return quota.accept_by_quota(offered, plans, "source").drop("tokens")

@@ -12,6 +12,7 @@ from lectern.functions import courses as c
 from lectern.functions import web
 from lectern.functions.text import bind, blank_to_null, clean
 from lectern.operators.catalog import dedupe_by_number
+from lectern.operators.lineage import once
 from lectern.operators.ranks import first_rows
 from lectern.sources import markup
 
@@ -51,14 +52,16 @@ def _explode_pages(
 
 def links(pages: DataFrame) -> DataFrame:
     """Every link of every page: place on the page, resolved address and label."""
-    found = pages.select("page_id", "url", F.posexplode(web.anchors(F.col("html"))).alias("n", "a"))
-    return found.select(
-        "page_id",
-        "url",
-        "n",
-        web.resolve(F.col("a.href"), F.col("url")).alias("href"),
-        F.col("a.text").alias("text"),
-    ).filter(F.col("href").isNotNull())
+    seen = F.transform(
+        web.anchors(F.col("html")),
+        lambda a, n: F.struct(
+            n.alias("n"), web.resolve(a["href"], F.col("url")).alias("href"), a["text"].alias("text")
+        ),
+    )
+    usable = F.filter(seen, lambda a: a["href"].isNotNull())
+    return pages.select("page_id", "url", F.explode(usable).alias("a")).select(
+        "page_id", "url", "a.n", "a.href", "a.text"
+    )
 
 
 def readable(pages: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def course_blocks(pages: DataFrame, department: Column) -> DataFrame:
         clean(F.col("heading")) != "", c.parse_heading(F.col("heading"), department)
     )
     prose = F.concat_ws("\n\n", blank_to_null(F.col("description")), blank_to_null(F.col("extras")))
-    parsed = raw.withColumn("classic", classic).withColumn("prose", prose)
+    parsed = once(raw.withColumn("prose", prose), "classic", classic)
     detail = F.col("detail_number").isNotNull()
     rows = parsed.select(
         "page_id",
@@ -123,7 +126,7 @@ def course_blocks(pages: DataFrame, department: Column) -> DataFrame:
 def _from_headings(raw: DataFrame, heading: Column) -> DataFrame:
     """Courses of (heading, description, href) records."""
     described = F.coalesce("description", F.lit(""))
-    parsed = raw.withColumn("h", heading)
+    parsed = once(raw, "h", heading)
     return parsed.filter(F.col("h").isNotNull() & (F.col("h.course_number") != "") & (F.col("h.title") != "")).select(
         "page_id",
         "n",
@@ -148,9 +151,8 @@ def search_results(pages: DataFrame, department: Column) -> DataFrame:
 def listed_courses(pages: DataFrame) -> DataFrame:
     """Courses of list pages that link to a preview of each course."""
     raw = _explode_pages(pages, markup.listed_links, RECORD).filter(F.length("heading") >= 4)
-    split = c.split_heading(F.col("heading"))
     described = F.coalesce("description", F.lit(""))
-    parsed = raw.withColumn("h", split).filter("h.course_number <> '' and h.title <> ''")
+    parsed = once(raw, "h", c.split_heading(F.col("heading"))).filter("h.course_number <> '' and h.title <> ''")
     return parsed.select(
         "page_id",
         "n",
@@ -241,14 +243,16 @@ def subject_index(linked: DataFrame) -> DataFrame:
     """Departments of subject-index pages, codes made unique per page."""
     text = F.translate(F.col("text"), ZERO_WIDTH, "")
     slug = web.last_slug(F.col("href"))
-    rows = (
-        linked.withColumns({"text": text, "slug": slug})
-        .filter(F.col("href").rlike(SUBJECT_FOLDER))
-        .filter((F.col("text") != "") & (F.length("text") <= 120))
+    named = (
+        linked.filter(F.col("href").rlike(SUBJECT_FOLDER))
         .filter(~F.col("href").rlike(r"(?i)\.(pdf|docx?|xlsx?|csv)(\?|$)"))
+        .withColumns({"text": text, "slug": slug})
+        .filter((F.col("text") != "") & (F.length("text") <= 120))
         .filter((F.col("slug") != "") & ~F.lower("slug").isin(*INDEX_SLUGS))
         .filter(~F.col("slug").rlike(r"(?i)\.(html?|php|aspx)$"))
-        .withColumn("subject", c.derive_subject(F.col("text"), F.col("slug")))
+    )
+    rows = (
+        once(named, "subject", c.derive_subject(F.col("text"), F.col("slug")))
         .select(
             "page_id",
             "n",
@@ -264,12 +268,18 @@ def subject_index(linked: DataFrame) -> DataFrame:
     ).select("page_id", "code", "kept.name", "kept.url")
 
 
-def best_index(subjects: DataFrame) -> DataFrame:
-    """The page with the most subjects, when it has enough; strong ones need no further look."""
-    sizes = subjects.groupBy("page_id").agg(F.count(F.lit(1)).alias("subjects"))
-    top = sizes.agg(F.max_by("page_id", F.struct("subjects", -F.col("page_id"))).alias("page_id"), F.max("subjects").alias("subjects"))
+def best_index(subjects: DataFrame, group: str) -> DataFrame:
+    """The page of each group with the most subjects, when it has enough.
+
+    ``subjects`` carry the group beside page_id; a strong index needs no further look.
+    """
+    sizes = subjects.groupBy(group, "page_id").agg(F.count(F.lit(1)).alias("subjects"))
+    top = sizes.groupBy(group).agg(
+        F.max_by("page_id", F.struct("subjects", -F.col("page_id"))).alias("page_id"),
+        F.max("subjects").alias("subjects"),
+    )
     return top.filter(F.col("subjects") >= SMALLEST_INDEX).select(
-        "page_id", "subjects", (F.col("subjects") >= STRONG_INDEX).alias("strong")
+        group, "page_id", "subjects", (F.col("subjects") >= STRONG_INDEX).alias("strong")
     )
 
 
@@ -357,7 +367,7 @@ def text_courses(texts: DataFrame) -> DataFrame:
     rows = texts.select(
         "page_id", "url", F.explode(bind(F.split("text", "\n"), candidates)).alias("r")
     )
-    parsed = rows.withColumn("h", c.split_heading(F.col("r.line"))).withColumn(
+    parsed = once(rows, "h", c.split_heading(F.col("r.line"))).withColumn(
         "description", blank_to_null(F.substring(clean(F.col("r.after")), 1, 4000))
     )
     found = parsed.filter("h.course_number <> '' and length(h.title) >= 3").select(
