@@ -267,7 +267,7 @@ def focus(c: Column, kind: str) -> Column:
 def focus_on_number(markdown: Column, course_number: Column) -> Column:
     """A course number with the 4000 characters after it, else the first 8000 of the page."""
     pattern = F.concat(
-        F.lit("(?i)"), F.regexp_replace(course_number, r"\s+", r"\\\\s*"), F.lit(r"[\s\S]{0,4000}")
+        F.lit("(?i)"), F.regexp_replace(course_number, r"\s+", r"\\s*"), F.lit(r"[\s\S]{0,4000}")
     )
     return F.coalesce(F.regexp_substr(markdown, pattern), F.substring(markdown, 1, 8000))
 
