@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, trim_space
+from lectern.functions.text import SPACE, not_blank, trim_space
 
 # Fixed value: share of the model answer's tokens a short answer must hold.
 SHORT_ANSWER_SHARE = 0.6
@@ -16,7 +16,7 @@ def normal_answer(c: Column) -> Column:
 
 
 def answer_tokens(c: Column) -> Column:
-    words = F.split(F.regexp_replace(normal_answer(c), "[^a-z0-9 ]", " "), " +")
+    words = F.split(F.lower(c), "[^a-z0-9]+")
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 3))
 
 
@@ -29,5 +29,4 @@ def grade(kind: Column, correct: Column, given: Column) -> Column:
         .when(F.size(expected) == 0, F.lit(False))
         .otherwise(shared / F.size(expected) >= SHORT_ANSWER_SHARE)
     )
-    blank = given.isNull() | (trim_space(given) == "")
-    return F.when(blank, F.lit(False)).otherwise(F.coalesce(verdict, F.lit(False)))
+    return F.when(not_blank(given), F.coalesce(verdict, F.lit(False))).otherwise(F.lit(False))

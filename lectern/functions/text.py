@@ -47,6 +47,10 @@ def squash(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^a-zA-Z0-9]", ""))
 
 
+def not_blank(c: Column) -> Column:
+    return F.coalesce(c.rlike(f"[^{SPACE[1:]}"), F.lit(False))
+
+
 def trim_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -185,10 +189,9 @@ def has_words(c: Column) -> Column:
 
 def stem_tokens(c: Column) -> Column:
     """Distinct content tokens of a question stem."""
-    plain = F.regexp_replace(F.lower(c), rf"[^a-z0-9{SPACE[1:-1]}]", " ")
     return F.array_distinct(
         F.filter(
-            F.split(plain, f"{SPACE}+"),
+            F.split(F.lower(c), "[^a-z0-9]+"),
             lambda t: (F.length(t) > 2) & ~t.isin(STEM_STOP_WORDS),
         )
     )

@@ -70,8 +70,10 @@ def greedy_filter(
     item outside those few is fully informed: it is kept unless an earlier open item is like it.
     Items like a newly kept one leave at once, so a crowd of copies costs one round.
     """
-    base = items.select(
-        F.col(group).alias("grp"), F.col(order).alias("pos"), F.array_sort(tokens).alias("tokens")
+    base = cut(
+        items.select(
+            F.col(group).alias("grp"), F.col(order).alias("pos"), F.array_sort(tokens).alias("tokens")
+        )
     )
     start = base.filter(F.size("tokens") > 0).withColumn("seed", F.lit(False))
     if seeds is not None:
@@ -121,46 +123,51 @@ def greedy_filter(
 
 
 def _buckets(items: DataFrame) -> DataFrame:
-    return items.select("grp", "pos", "tokens", F.explode("prefix").alias("token"))
+    """One slim row per (item, rare token); whole token lists stay behind."""
+    return items.select("grp", "pos", F.size("tokens").alias("size"), F.explode("prefix").alias("token"))
 
 
 def _alike(items: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (item, earlier leader) above the threshold; likeness is tested inside the join."""
-    a = _buckets(items)
-    b = _buckets(leaders).select(
-        "grp", "token", F.col("pos").alias("leader"), F.col("tokens").alias("leader_tokens")
-    )
-    return _test(a.join(b, ["grp", "token"]), threshold)
+    """Pairs (item, earlier leader) above the threshold."""
+    return _test(_buckets(items), _buckets(leaders), items, leaders, threshold)
 
 
-def _test(pairs: DataFrame, threshold: float) -> DataFrame:
-    small = F.least(F.size("tokens"), F.size("leader_tokens"))
-    large = F.greatest(F.size("tokens"), F.size("leader_tokens"))
+def _test(
+    buckets: DataFrame, leading: DataFrame, items: DataFrame, leaders: DataFrame, threshold: float
+) -> DataFrame:
+    """Candidate pairs that share a rare token and fit in size, then the exact likeness."""
+    b = leading.select(
+        "grp", "token", F.col("pos").alias("leader"), F.col("size").alias("leader_size")
+    )
+    fits = F.least("size", "leader_size") > F.greatest("size", "leader_size") * threshold - 1e-9
+    pairs = (
+        buckets.join(b, ["grp", "token"])
+        .filter((F.col("leader") < F.col("pos")) & fits)
+        .select("grp", "pos", "leader")
+        .distinct()
+    )
+    mine = items.select("grp", "pos", "tokens")
+    theirs = leaders.select("grp", F.col("pos").alias("leader"), F.col("tokens").alias("leader_tokens"))
     return (
-        pairs.filter(F.col("leader") < F.col("pos"))
-        .filter(small > large * threshold - 1e-9)
+        pairs.join(mine, ["grp", "pos"])
+        .join(theirs, ["grp", "leader"])
         .filter(token_jaccard(F.col("tokens"), F.col("leader_tokens")) > threshold)
         .select("grp", "pos", "leader")
     )
 
 
 def _settle(open_items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """One round: items kept in it, and the items still open after it."""
     buckets = _buckets(open_items)
     place = F.row_number().over(Window.partitionBy("grp", "token").orderBy("pos"))
-    leaders = cut(buckets.withColumn("place", place).filter(F.col("place") <= LEADERS))
+    leading = buckets.withColumn("place", place).filter(F.col("place") <= LEADERS)
     informed = (
-        leaders.groupBy("grp", "pos")
-        .agg(F.count(F.lit(1)).alias("leading"), F.first(F.size("tokens")).alias("size"))
+        leading.groupBy("grp", "pos", "size")
+        .agg(F.count(F.lit(1)).alias("leading"))
         .filter(F.col("leading") == _prefix_size(F.col("size"), threshold))
         .select("grp", "pos")
     )
-    found = buckets.join(
-        leaders.select(
-            "grp", "token", F.col("pos").alias("leader"), F.col("tokens").alias("leader_tokens")
-        ),
-        ["grp", "token"],
-    )
-    edges = cut(_test(found, threshold).distinct())
+    edges = cut(_test(buckets, leading, open_items, open_items, threshold))
     fresh = cut(informed.join(edges.select("grp", "pos"), ["grp", "pos"], "left_anti"))
     beaten = edges.join(
         fresh.select("grp", F.col("pos").alias("leader")), ["grp", "leader"], "left_semi"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import squash, trim_space
+from lectern.functions.text import not_blank, squash, trim_space
 
 # Topics of a contact message.
 CONTACT_TOPICS = (
@@ -179,8 +179,7 @@ def validate_messages(df: DataFrame) -> DataFrame:
 def embeddable(number: Column, title: Column, description: Column) -> Column:
     """A course says enough to compare: a description, or a title beyond its number."""
     bare = squash(title)
-    described = F.coalesce(trim_space(description) != "", F.lit(False))
-    return described | ((bare != "") & (bare != squash(number)))
+    return not_blank(description) | ((bare != "") & (bare != squash(number)))
 
 
 def owned_by(df: DataFrame, owner: str, user: object) -> DataFrame:

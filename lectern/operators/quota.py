@@ -151,7 +151,7 @@ def accept_by_quota(
     columns = [key, "attempt", "pos", "type", "difficulty", "tokens"]
     mix = [*TYPE_MIX, *DIFFICULTY_MIX]
     targets = plans.select(key, "count", *mix)
-    open_rows = candidates.select(*columns).filter(F.size("tokens") > 0)
+    open_rows = cut(candidates.select(*columns).filter(F.size("tokens") > 0))
     schema = open_rows.schema
     key_type = schema[key].dataType.simpleString()
     accepted = open_rows.limit(0)

@@ -155,21 +155,34 @@ def _title_measures(q: Column, t: Column) -> Column:
 
 
 def _literal_matches(courses: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Matching (query, course) rows of a short list of typed queries, in one pass, no shuffle."""
+    """Matching (query, course) rows of a short list of typed queries.
+
+    Each distinct title is measured once and only the matching ones come back to the courses;
+    a row that matches by its number alone is measured where it stands.
+    """
     usable = [q for q in dict.fromkeys(queries) if len(q.strip()) >= 2]
     if len(usable) > MAX_LITERAL_QUERIES:
         raise ValueError("a long list of queries belongs in a table")
-    wanted = F.array(*[_query_struct(q) for q in usable or ["  "]])
+    wanted = F.filter(
+        F.array(*[_query_struct(q) for q in usable or ["  "]]), lambda q: F.length(q["term"]) >= 2
+    )
     t = F.col("t")
-    possible = F.filter(
-        wanted,
-        lambda q: (F.length(q["term"]) >= 2) & (_could_match_title(q, t) | _matches_number(q)),
+
+    def measured(possible: Column, wants_title: bool) -> Column:
+        return F.filter(
+            F.transform(possible, lambda q: _title_measures(q, t)),
+            lambda m: m["title_match"] == wants_title,
+        )
+
+    near = measured(F.filter(wanted, lambda q: _could_match_title(q, t)), True)
+    titles = _title_columns(courses.select("title").distinct()).select(
+        "title", F.explode(near).alias("m")
     )
-    measured = F.filter(
-        F.transform(possible, lambda q: _title_measures(q, t)),
-        lambda m: m["title_match"] | _matches_number(m["q"]),
+    numbered = courses.filter(F.exists(wanted, _matches_number))
+    by_number = _title_columns(numbered).select(
+        *courses.columns, F.explode(measured(F.filter(wanted, _matches_number), False)).alias("m")
     )
-    return _title_columns(courses).select(*courses.columns, F.explode(measured).alias("m"))
+    return courses.join(titles, "title").select(*courses.columns, "m").unionByName(by_number)
 
 
 def _measure_pairs(pairs: DataFrame) -> DataFrame:

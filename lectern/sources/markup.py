@@ -95,49 +95,81 @@ def has_class(*names: str) -> Callable[[Node], bool]:
     return lambda n: any(c in names for c in n.classes)
 
 
-def class_like(pattern: str) -> Callable[[Node], bool]:
-    shape = re.compile(pattern)
-    return lambda n: n.tag in ("span", "div") and any(shape.search(c) for c in n.classes)
-
-
 def _text_of(node: Node | None) -> str:
     return node.text() if node is not None else ""
 
 
+# Class marks of the tagged fields of a course block.
+BLOCK_FIELDS = {
+    "courseblocktitle": "title",
+    "courseblockdesc": "desc",
+    "courseblockextra": "extra",
+    "courseblockterms": "terms",
+    "courseblockhours": "hours",
+    "courseblockinstructors": "names",
+}
+DETAIL_CODE = re.compile(r"detail-\w*code")
+
+
+def _block_parts(block: Node) -> tuple[dict[str, Node], list[Node], list[Node]]:
+    """First node of each tagged field, the prose nodes and the links, in one walk."""
+    first: dict[str, Node] = {}
+    prose, links = [], []
+    for n in block.walk():
+        classes = n.classes
+        if n.tag == "a":
+            if "href" in n.attrs:
+                links.append(n)
+        elif n.tag in ("h3", "h4", "strong"):
+            first.setdefault("bold", n)
+        if not classes:
+            continue
+        for c in classes:
+            if c in BLOCK_FIELDS:
+                first.setdefault(BLOCK_FIELDS[c], n)
+        if "courseblockextra" in classes or "noindent" in classes:
+            prose.append(n)
+        if "courseblockprereq" in classes or "detail-prerequisites" in n.attrs["class"]:
+            first.setdefault("prereq", n)
+        if n.tag in ("span", "div"):
+            for c in classes:
+                if c == "detail-title":
+                    first.setdefault("detail_title", n)
+                elif DETAIL_CODE.fullmatch(c):
+                    first.setdefault("detail_code", n)
+                elif c.startswith("detail-hours"):
+                    first.setdefault("detail_hours", n)
+    return first, prose, links
+
+
 def course_blocks(html: str) -> Iterator[dict]:
     """Tagged fields of each course block; headings keep their spacing."""
     for block in tree(html).all(has_class("courseblock")):
-        title = block.first(class_like("^detail-title$"))
-        code = block.first(class_like(r"^detail-\w*code$"))
-        number_text = re.sub(r"[.\s]+$", "", tidy(_text_of(code)))
-        title_text = re.sub(r"\.$", "", tidy(_text_of(title)))
-        detail = bool(number_text and title_text)
-        hours = re.sub(r"\.$", "", re.sub(r"^\((.*)\)$", r"\1", tidy(_text_of(block.first(class_like("^detail-hours"))))))
-        heading = _text_of(block.first(has_class("courseblocktitle"))) or _text_of(
-            block.first(lambda n: n.tag in ("h3", "h4", "strong"))
-        )
-        described = tidy(_text_of(block.first(has_class("courseblockdesc")))) or tidy(
-            _text_of(block.first(has_class("courseblockextra")))
-        )
-        prereq = block.first(
-            lambda n: "courseblockprereq" in n.classes
-            or "detail-prerequisites" in (n.attrs.get("class") or "")
-        )
-        link = block.first(lambda n: n.tag == "a" and "schedlink" in n.classes and "href" in n.attrs) or block.first(
-            lambda n: n.tag == "a" and n.attrs.get("href", "").startswith(("/courses", "/subjects"))
+        first, prose, links = _block_parts(block)
+
+        def said(field: str) -> str:
+            return tidy(_text_of(first.get(field)))
+
+        number = re.sub(r"[.\s]+$", "", said("detail_code"))
+        title = re.sub(r"\.$", "", said("detail_title"))
+        detail = bool(number and title)
+        hours = re.sub(r"\.$", "", re.sub(r"^\((.*)\)$", r"\1", said("detail_hours")))
+        heading = _text_of(first.get("title")) or _text_of(first.get("bold"))
+        link = next((a for a in links if "schedlink" in a.classes), None) or next(
+            (a for a in links if a.attrs["href"].startswith(("/courses", "/subjects"))), None
         )
         yield {
-            "detail_number": number_text if detail else None,
-            "detail_title": title_text if detail else None,
+            "detail_number": number if detail else None,
+            "detail_title": title if detail else None,
             "detail_credits": hours or None,
             "heading": None if detail else heading,
-            "description": described or None,
-            "extras": tidy("".join(n.text() for n in block.all(has_class("courseblockextra", "noindent")))),
-            "prerequisites": None if prereq is None else tidy(prereq.text()),
-            "terms": tidy(_text_of(block.first(has_class("courseblockterms")))) or None,
-            "hours": tidy(_text_of(block.first(has_class("courseblockhours")))) or None,
-            "instructors": tidy(_text_of(block.first(has_class("courseblockinstructors")))),
-            "href": link.attrs.get("href") if link else None,
+            "description": said("desc") or said("extra") or None,
+            "extras": tidy("".join(n.text() for n in prose)),
+            "prerequisites": said("prereq") if "prereq" in first else None,
+            "terms": said("terms") or None,
+            "hours": said("hours") or None,
+            "instructors": said("names"),
+            "href": link.attrs["href"] if link else None,
         }
 
 
