@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import SPACE, not_blank, trim_space
+from lectern.functions.text import collapse_space, not_blank, trim_space
 
 # Fixed value: share of the model answer's tokens a short answer must hold.
 SHORT_ANSWER_SHARE = 0.6
 
 
 def normal_answer(c: Column) -> Column:
-    return F.regexp_replace(F.lower(trim_space(c)), f"{SPACE}+", " ")
+    return collapse_space(F.lower(trim_space(c)))
 
 
 def answer_tokens(c: Column) -> Column:

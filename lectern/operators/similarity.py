@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lectern.functions.text import SPACE, blank_to_null, trim_space
+from lectern.functions.text import blank_to_null, collapse_space, trim_space
 from lectern.operators.listing import clamp, optional
 from lectern.operators.quality import embeddable
 from lectern.operators.ranks import first_rows, number_rows
@@ -28,9 +28,7 @@ CLUSTERS = 64
 
 def embedding_text(title: Column, department: Column, description: Column) -> Column:
     """Title, department and shortened description, one per line, blanks left out."""
-    about = F.substring(
-        trim_space(F.regexp_replace(description, f"{SPACE}+", " ")), 1, DESCRIPTION_CHARS
-    )
+    about = F.substring(F.trim(collapse_space(description)), 1, DESCRIPTION_CHARS)
     return F.concat_ws(
         "\n",
         blank_to_null(trim_space(title)),
