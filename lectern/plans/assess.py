@@ -567,7 +567,13 @@ def owner_deletes(t: Tables) -> DataFrame:
 
 @query(
     "export_sets",
-    None,
+    """
+    select o_orderkey as test_set_id,
+      '{"test_set_id":' || o_orderkey || ',"section":"' || o_orderpriority || '","status":"complete","questions":['
+        || string_agg('{"position":' || (l_linenumber + 1) || ',"question":' || l_partkey || ',"difficulty":"' || l_returnflag || '"}', ','
+             order by l_linenumber, l_partkey, l_returnflag) || ']}' as document
+    from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' group by o_orderkey, o_orderpriority
+    """,
 )
 def export_sets(t: Tables) -> DataFrame:
     """Finished orders as JSON documents of their line items in order."""

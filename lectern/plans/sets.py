@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import stem_tokens
 from lectern.operators import dedupe, quota
+from lectern.plans.finder import _sim, _tokens
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
 
@@ -139,13 +140,37 @@ def stems(t: Tables) -> DataFrame:
     )
 
 
-@query("greedy_dedupe", None)
+def greedy_sql(group: str, seeds: str) -> str:
+    """One document of every group per step, carrying the token lists kept so far."""
+    return f"""
+    with recursive k as (select doc_id, {group} as g, list_sort({_tokens('text')}) as tokens from documents),
+    d as (select *, row_number() over (partition by g order by doc_id) as n,
+            row_number() over (partition by g, tokens order by doc_id) as copy from k),
+    s as ({seeds}),
+    r as (
+      select distinct g, 0::bigint as n, coalesce((select list(tokens) from s where s.g = d.g), []) as kept, null::bigint as doc_id, '' as verdict from d
+      union all
+      select g, n, case when verdict = 'kept' then list_append(kept, tokens) else kept end, doc_id, verdict
+      from (
+        select d.g, d.n, r.kept, d.tokens, d.doc_id,
+          case when length(d.tokens) = 0 then 'empty'
+            when d.copy > 1 or exists (select 1 from s where s.g = d.g and s.tokens = d.tokens) then 'repeat'
+            when length(list_filter(r.kept, lambda x: {_sim('x', 'd.tokens')} > 0.8)) > 0 then 'near' else 'kept' end as verdict
+        from r join d on d.g = r.g and d.n = r.n + 1))
+    select g as {group}, doc_id, verdict from r where n > 0
+    """
+
+
+@query("greedy_dedupe", greedy_sql("source", "select '' as g, ['']::varchar[] as tokens where false"))
 def greedy_dedupe(t: Tables) -> DataFrame:
     """Documents kept in their source, near copies of those kept before them dropped."""
     return dedupe.greedy_filter(stems(t), "source", "doc_id", "tokens")
 
 
-@query("greedy_dedupe_by_language", None)
+@query(
+    "greedy_dedupe_by_language",
+    greedy_sql("lang", f"select 'en' as g, list_sort({_tokens('text')}) as tokens from benchmark"),
+)
 def greedy_dedupe_by_language(t: Tables) -> DataFrame:
     """The same over languages, one of which holds most documents; benchmark texts count as seen."""
     seeds = t.read("benchmark").select(
@@ -154,7 +179,36 @@ def greedy_dedupe_by_language(t: Tables) -> DataFrame:
     return dedupe.greedy_filter(stems(t), "lang", "doc_id", "tokens", seeds)
 
 
-@query("quota_select", None)
+@query(
+    "quota_select",
+    f"""
+    with recursive k as (
+      select source, doc_id as pos, case doc_id % 4 when 0 then 3 when 1 then 2 else 1 end as attempt,
+        case when n_chars % 10 < 5 then 'mcq' when n_chars % 10 < 8 then 'true_false' else 'short_answer' end as type,
+        case lang when 'en' then 'medium' when 'fr' then 'easy' else 'hard' end as difficulty, {_tokens('text')} as tokens
+      from documents),
+    d as (select *, row_number() over (partition by source order by attempt, pos) as n from k where length(tokens) > 0),
+    r as (
+      select distinct source, 0::bigint as n, []::varchar[][] as held,
+        {{'mcq': 17, 'true_false': 4, 'short_answer': 4}} as types, {{'easy': 8, 'medium': 11, 'hard': 6}} as levels,
+        0 as attempt, null::bigint as pos, '' as type, '' as difficulty, false as taken
+      from d
+      union all
+      select source, n, case when taken then list_append(held, tokens) else held end,
+        {{'mcq': types.mcq - (taken and type = 'mcq')::int, 'true_false': types.true_false - (taken and type = 'true_false')::int,
+          'short_answer': types.short_answer - (taken and type = 'short_answer')::int}},
+        {{'easy': levels.easy - (taken and difficulty = 'easy')::int, 'medium': levels.medium - (taken and difficulty = 'medium')::int,
+          'hard': levels.hard - (taken and difficulty = 'hard')::int}},
+        attempt, pos, type, difficulty, taken
+      from (
+        select d.source, d.n, r.held, r.types, r.levels, d.attempt, d.pos, d.type, d.difficulty, d.tokens,
+          length(r.held) < 25 and length(list_filter(r.held, lambda x: {_sim('x', 'd.tokens')} > 0.8)) = 0
+            and (d.attempt = 3 or (case d.type when 'mcq' then r.types.mcq when 'true_false' then r.types.true_false else r.types.short_answer end > 0
+              and case d.difficulty when 'easy' then r.levels.easy when 'medium' then r.levels.medium else r.levels.hard end > 0)) as taken
+        from r join d on d.source = r.source and d.n = r.n + 1))
+    select source, attempt, pos, type, difficulty from r where taken
+    """,
+)
 def quota_select(t: Tables) -> DataFrame:
     """Documents accepted into one 25-question set per source, held to its mix."""
     n = F.col("doc_id")
