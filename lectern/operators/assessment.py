@@ -141,13 +141,14 @@ def history_totals(scored: DataFrame, user: str, test: str) -> DataFrame:
     The mean is over the rounded percentages; the trend compares the last three with the
     first three.
     """
-    base = scored.groupBy(user).agg(
-        F.count(F.lit(1)).alias("attempts_taken"),
-        round_half_up(F.avg("percent")).alias("average_percent"),
-        F.max("percent").alias("best_percent"),
+    per_test = scored.groupBy(user, test).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("percent").alias("sum"), F.max("percent").alias("best")
     )
-    tests = scored.select(user, test).distinct().groupBy(user).agg(
-        F.count(F.lit(1)).alias("distinct_tests")
+    base = per_test.groupBy(user).agg(
+        F.sum("n").alias("attempts_taken"),
+        round_half_up(F.sum("sum") / F.sum("n")).alias("average_percent"),
+        F.max("best").alias("best_percent"),
+        F.count(F.lit(1)).alias("distinct_tests"),
     )
     columns = [user, "submitted_at", "attempt_id", "percent"]
     first = first_rows(
@@ -159,8 +160,7 @@ def history_totals(scored: DataFrame, user: str, test: str) -> DataFrame:
     first_mean = first.groupBy(user).agg(F.avg("percent").alias("first_mean"))
     last_mean = last.groupBy(user).agg(F.avg("percent").alias("last_mean"))
     return (
-        base.join(tests, user)
-        .join(first_mean, user)
+        base.join(first_mean, user)
         .join(last_mean, user)
         .withColumn(
             "trend",

@@ -96,16 +96,16 @@ def page(
 ) -> DataFrame:
     """One page with the number of matching rows beside it.
 
-    The count is its own aggregate, so no window pulls every row into one task, and the page
-    is a bounded top-k.
+    The count is a subquery of its own, so no window pulls every row into one task, and the
+    page is a bounded top-k.
     """
     keys = [c.desc_nulls_last() if descending else c.asc_nulls_last() for c in sort_columns(sort)]
-    total = rows.agg(F.count(F.lit(1)).alias("total_count"))
+    total = rows.agg(F.count(F.lit(1)).alias("total_count")).scalar()
     size, skip = clamp(limit, 1, MAX_PAGE, 500), max(offset or 0, 0)
     top = rows.orderBy(*keys, F.lower("course_number"), F.col("course_id")).limit(skip + size)
     if skip:
         top = top.orderBy(*keys, F.lower("course_number"), F.col("course_id")).offset(skip)
-    return top.crossJoin(total)
+    return top.withColumn("total_count", total)
 
 
 def sort_empties_last(df: DataFrame, column: str, descending: bool, key: Column | None = None) -> DataFrame:

@@ -198,7 +198,7 @@ def _table_matches(courses: DataFrame, queries: DataFrame) -> DataFrame:
 
     A title that passes the trigram tests shares at least 0.3 of the query's trigrams, so it
     shares one of the query's ``n - ceil(0.3 n) + 1`` rarest; a title holding the query shares
-    its first raw letters; numbers share the whole or a prefix. Titles are looked up and
+    each run of its letters; numbers share the whole or a prefix. Titles are looked up and
     measured once each, then bring in their courses.
     """
     terms = _query_columns(queries)
@@ -259,7 +259,7 @@ def _raw_runs(c: Column, n: int) -> Column:
 
 
 def _title_keys(terms: DataFrame, keyed_titles: DataFrame) -> DataFrame:
-    """Keys to look each query up by: its rarest trigrams and its first raw letters."""
+    """Keys to look each query up by: its rarest trigrams and its rarest run of raw letters."""
     seen = keyed_titles.groupBy("key").agg(F.count(F.lit(1)).alias("held_by"))
     grams = F.col("q.grams")
     needed = (F.size(grams) - F.ceil(F.size(grams) * SIMILAR) + 1).cast("int")
@@ -275,9 +275,16 @@ def _title_keys(terms: DataFrame, keyed_titles: DataFrame) -> DataFrame:
         .select("query", F.explode(F.slice("keys", F.lit(1), F.col("needed"))).alias("k"))
         .select("query", F.col("k.key").alias("key"))
     )
-    term = F.lower("q.term")
-    first = F.substring(term, F.lit(1), F.least(F.length(term), F.lit(3)))
-    return rarest.unionByName(terms.select("query", F.concat(F.lit("raw:"), first).alias("key")))
+    # A title that holds the query holds every run of its letters, so the rarest will do.
+    term = F.col("q.term")
+    runs = F.when(F.length(term) >= 3, _raw_runs(term, 3)).otherwise(_raw_runs(term, 2))
+    raw = (
+        terms.select("query", F.explode(runs).alias("key"))
+        .join(seen, "key", "left")
+        .groupBy("query")
+        .agg(F.min_by("key", F.struct(F.coalesce("held_by", F.lit(0)), F.col("key"))).alias("key"))
+    )
+    return rarest.unionByName(raw)
 
 
 def _score(matches: DataFrame, columns: Sequence[str]) -> DataFrame:

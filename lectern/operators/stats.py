@@ -86,26 +86,22 @@ def college_stats(
 def latest_runs(runs: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Latest run of each kind per college, one row per college.
 
-    ``kinds`` maps a run kind to the column prefix it gets. The newest row is found by a
-    partial aggregate, so a college holding most of the log costs no more than any other.
+    ``kinds`` maps a run kind to the column prefix it gets. One partial aggregate finds the
+    newest run of every kind, so a college holding most of the log costs no more than any other.
     """
-    newest = (
-        runs.filter(F.col("college_id").isNotNull() & F.col("kind").isin(list(kinds)))
-        .groupBy("college_id", "kind")
-        .agg(
-            F.max_by(
-                F.struct("finished_at", "cost", "tokens", "ok"), F.struct("finished_at", "run_id")
-            ).alias("run")
-        )
+    fields = {"finished_at": "at", "cost": "cost", "tokens": "tokens", "ok": "ok"}
+    run = F.struct("finished_at", "run_id", "cost", "tokens", "ok")
+    newest = runs.filter(F.col("college_id").isNotNull()).groupBy("college_id").agg(
+        *[F.max(F.when(F.col("kind") == kind, run)).alias(prefix) for kind, prefix in kinds.items()]
+    )
+    return newest.select(
+        "college_id",
+        *[
+            F.col(prefix)[field].alias(f"{prefix}_{name}")
+            for prefix in kinds.values()
+            for field, name in fields.items()
+        ],
     )
-    columns = []
-    for kind, prefix in kinds.items():
-        mine = F.col("kind") == kind
-        for field, name in (("finished_at", "at"), ("cost", "cost"), ("tokens", "tokens"), ("ok", "ok")):
-            columns.append(F.max(F.when(mine, F.col("run")[field])).alias(f"{prefix}_{name}"))
-    # Colleges whose only runs are of other kinds still get a row.
-    everyone = runs.filter(F.col("college_id").isNotNull()).select("college_id").distinct()
-    return everyone.join(newest.groupBy("college_id").agg(*columns), "college_id", "left")
 
 
 def course_counts(
@@ -128,12 +124,13 @@ def course_counts(
     return section_counts.join(set_counts, "course_id", "full_outer")
 
 
-def totals(parts: dict[str, DataFrame]) -> DataFrame:
-    """One-row aggregates side by side."""
-    out = None
-    for df in parts.values():
-        out = df if out is None else out.crossJoin(df)
-    return out
+def totals(parts: list[DataFrame]) -> DataFrame:
+    """One-row aggregates side by side: stacked, then folded into one row."""
+    names = [c for df in parts for c in df.columns]
+    stacked = None
+    for df in parts:
+        stacked = df if stacked is None else stacked.unionByName(df, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in names])
 
 
 def row_total(df: DataFrame, name: str) -> DataFrame:

@@ -217,18 +217,18 @@ def dashboard_totals(t: Tables) -> DataFrame:
     indexed = t.departments().join(holding, "department_id", "left_semi").agg(
         F.countDistinct("college_id").alias("indexed")
     )
-    parts = {
-        "colleges": stats.row_total(t.read("nation"), "colleges"),
-        "departments": stats.row_total(t.read("customer"), "departments"),
-        "courses": stats.row_total(t.read("orders"), "courses"),
-        "sets": t.read("lineitem").agg(
+    parts = [
+        stats.row_total(t.read("nation"), "colleges"),
+        stats.row_total(t.read("customer"), "departments"),
+        stats.row_total(t.read("orders"), "courses"),
+        t.read("lineitem").agg(
             F.count(F.lit(1)).alias("test_sets"),
             F.count_if(F.col("l_returnflag") == "R").alias("attempts"),
         ),
-        "users": t.read("events").agg(F.countDistinct("user_id").alias("users")),
-        "indexed": indexed,
-        "ledger": costs.ledger_total(t.ledger()).withColumn("cost", F.col("cost").cast("double")),
-    }
+        t.read("events").agg(F.countDistinct("user_id").alias("users")),
+        indexed,
+        costs.ledger_total(t.ledger()).withColumn("cost", F.col("cost").cast("double")),
+    ]
     return stats.totals(parts)
 
 
