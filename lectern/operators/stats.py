@@ -207,3 +207,33 @@ def overview(
         "last_scraped_at",
         *snapshots,
     )
+
+
+def tally(df: DataFrame, by: str) -> DataFrame:
+    """Rows per value, the most frequent first."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), by)
+
+
+def question_mix(questions: DataFrame, key: str) -> DataFrame:
+    """Mix and defects of each set: types, levels, topics, bad choices and repeated stems.
+
+    Stems are counted per (set, stem) first, so a set with most of the rows is spread by stem.
+    """
+    choice = F.col("type") == "mcq"
+    bad_choice = choice & ~F.coalesce(
+        (F.size("options") == 4) & F.array_contains("options", F.col("correct_answer")), F.lit(False)
+    )
+    stem = F.lower(F.trim("question")).alias("stem")
+    counted = questions.groupBy(key, stem, "topic").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("type") == t).alias(t) for t in ("mcq", "true_false", "short_answer")],
+        *[F.count_if(F.col("difficulty") == d).alias(d) for d in ("easy", "medium", "hard")],
+        F.count_if(bad_choice).alias("bad_choices"),
+    )
+    sums = ("mcq", "true_false", "short_answer", "easy", "medium", "hard", "bad_choices")
+    return counted.groupBy(key).agg(
+        F.sum("n").alias("questions"),
+        *[F.sum(c).alias(c) for c in sums],
+        F.countDistinct("topic").alias("topics"),
+        (F.sum("n") - F.countDistinct("stem")).alias("repeated_stems"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import assessment, quality
+from lectern.operators import assessment, quality, stats
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
 
@@ -589,3 +589,21 @@ def export_sets(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("difficulty"),
     )
     return assessment.export_sets(sets, questions, "test_set_id", ["question", "difficulty"])
+
+
+@query(
+    "question_mix",
+    """
+    with q as (
+      select source, lang as topic, lower(trim(substring(split_part(text, chr(10), 1), 1, 60))) as stem,
+        doc_id % 3 as kind, doc_id % 11 as level, doc_id from documents)
+    select source, count(*) as questions, count(*) filter (where kind = 0) as mcq, count(*) filter (where kind = 1) as true_false,
+      count(*) filter (where kind = 2) as short_answer, 0::bigint as easy, 0::bigint as medium, count(*) filter (where level <> 0) as hard,
+      count(*) filter (where kind = 0) as bad_choices, count(distinct topic) as topics, count(*) - count(distinct stem) as repeated_stems
+    from q group by 1
+    """,
+)
+def question_mix(t: Tables) -> DataFrame:
+    """Mix of the proposed questions of each source; answers never match an option as written."""
+    source = t.read("documents").select("doc_id", "source")
+    return stats.question_mix(question_candidates(t).join(source, "doc_id"), "source")
