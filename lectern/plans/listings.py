@@ -340,19 +340,18 @@ def primary_textbook(t: Tables) -> DataFrame:
     with o as (
       select l_orderkey as course_id, l_linenumber as position, min(l_partkey) as a, max(l_partkey) as b from lineitem group by 1, 2)
     select course_id, position,
-      case when position % 2 = 0 then case when a = b then cast(a as varchar) || ',shared' else a || ',shared,' || b end
-        else a || ',shared' end as topics
+      case when a < b then a || ',shared,' || b else a || ',shared' end as topics
     from o
     """,
 )
 def merge_outline(t: Tables) -> DataFrame:
-    """Outline sections joined with the syllabus unit in the same place, even places only."""
+    """Outline sections joined with the syllabus unit in the same place, where there is one."""
     places = t.read("lineitem").groupBy(
         F.col("l_orderkey").alias("course_id"), F.col("l_linenumber").alias("position")
     ).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"))
     text = lambda c: F.col(c).cast("string")
     outline = places.select("course_id", "position", F.array(text("a"), F.lit("shared")).alias("topics"))
-    syllabus = places.filter("position % 2 = 0").select(
+    syllabus = places.filter("a < b").select(
         "course_id", "position", F.array(F.lit("shared"), text("b")).alias("topics")
     )
     merged = context.merge_outline(outline, syllabus)
