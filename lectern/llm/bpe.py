@@ -165,7 +165,7 @@ def pieces(texts: frames.Texts) -> tuple[np.ndarray, np.ndarray]:
 class MergeCache:
     """Ids of the pieces seen so far, in flat arrays; at most ``limit`` pieces are kept."""
 
-    def __init__(self, merge_all, limit: int = 700_000):
+    def __init__(self, merge_all, limit: int = 500_000):
         self.merge_all, self.limit = merge_all, limit
         self.index: dict = {}
         self.ids = np.empty(1 << 20, np.uint32)

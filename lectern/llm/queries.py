@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, packing
+from lectern.llm import bpe, chat, frames, packing, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,32 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one that quotes the template's own control strings, read back from ids."""
+    quoted = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)], rows.schema)
+    ranks = vocabulary_file("byte_bpe_50k.tiktoken")
+    return chat.read_back(chat.encode_turns(rows.unionByName(extra), ranks), ranks)
+
+
+SQL["op2_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '|', '\p')) + 1
+    + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
@@ -47,3 +74,12 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "ids_sha256",
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as Arrow files of 2048-id sequences, and what the files say of each."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    place = f"{frames.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write(docs, vocabulary_file("word_bpe_49k.json"), place)
+    return tokenfiles.read(spark, place, docs.schema["doc_id"].dataType)
