@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, frames, packing, tokenfiles
+from lectern.llm import bpe, chat, frames, packing, substring, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,37 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the 50-word windows that a document with a smaller id holds too."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring.remove(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL["op1_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s
+  FROM words, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50
+), hits AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM windows) WHERE least < doc_id
+), positions AS (
+  SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)
+), marked AS (
+  SELECT p.doc_id, p.i, p.word,
+    coalesce(p.i - max(h.i) OVER (PARTITION BY p.doc_id ORDER BY p.i), 50) < 50 AS gone
+  FROM positions p LEFT JOIN hits h ON p.doc_id = h.doc_id AND p.i = h.i
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+"""
+
+
 @query
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one that quotes the template's own control strings, read back from ids."""
