@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, frames, neardup, packing, substring, tokenfiles, topk, winnowing
+from lectern.llm import bpe, chat, frames, language, neardup, packing, quality, substring, tokenfiles, topk, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,16 @@ FROM rows GROUP BY conv_id
 """
 
 
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    rest = language.remainder("doc_id", 4)
+    model = language.train(docs.where(rest != 2))
+    scored = language.predict(docs.select("doc_id", (rest == 2).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of three-word shingles of 0.85 or more."""
@@ -172,3 +182,13 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{frames.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     tokenfiles.write(docs, vocabulary_file("word_bpe_49k.json"), place)
     return tokenfiles.read(spark, place, docs.schema["doc_id"].dataType)
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    rest = language.remainder("doc_id", 3)
+    model = quality.train(docs, table(spark, folder, "labels").where(rest != 1))
+    scored = quality.score(docs.select("doc_id", (rest == 1).alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
