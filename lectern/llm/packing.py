@@ -4,8 +4,8 @@ Documents become ids with an end id; one longer than the capacity is cut into pi
 which may be shorter. Only the histogram of piece lengths (at most ``capacity`` entries, whatever the
 input) reaches the driver. There the program "fewest patterns that cover all lengths" is solved by
 multiplicative weights: each step prices lengths, a knapsack dynamic program finds the best pattern,
-and the lengths it covers get cheaper. Patterns are rounded down, what is left is solved again, and
-the small rest (bounded by the number of patterns) is packed best-fit. Pieces then look their place
+and the lengths it covers get cheaper. Patterns are rounded down to what is there, what is left is
+solved again, and the rest is packed best-fit on the histogram. Pieces then look their place
 up by length and rank; ranks are numbered inside slices of a length, so a length that holds a third
 of all rows is spread over many tasks.
 
@@ -87,64 +87,86 @@ def _best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.n
     return counts
 
 
-def _fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, steps: int, rate: float) -> tuple[np.ndarray, float]:
-    """Patterns of a near-optimal cover and how often each is used: multiplicative weights."""
+def _rounded(left: dict[int, int], capacity: int, steps: int, rate: float) -> list[tuple[list[int], int]]:
+    """Near-full patterns of the program's multiplicative-weights solution, rounded down to what is there."""
+    lengths = np.array(sorted(left))
+    demand = np.array([left[k] for k in lengths.tolist()])
     bins = float(lengths @ demand) / capacity
     steps = int(max(1, min(steps, bins)))
-    share = bins / steps
-    covered = np.zeros(len(lengths))
-    patterns = []
+    share = bins / steps  # sequences that one step stands for
+    covered, remaining, out = np.zeros(len(lengths)), demand.copy(), []
     for t in range(steps):
-        # Lengths that lag behind the even pace gain worth, those ahead of it lose it.
-        weight = np.exp(-rate * np.clip(covered - t / steps, -1.0, 1.0))
-        weight[covered >= 1] = 0
+        # Lengths that lag behind the even pace gain worth, those ahead of it lose it; long ones are
+        # dearer than their share of a sequence, as they fit few patterns.
+        weight = np.exp(np.clip(-rate * (covered - t / steps), -50, 50)) * (1 + lengths / capacity)
+        weight[remaining <= 0] = 0
         pattern = _best_pattern(lengths, lengths * weight, capacity)
-        if not pattern.any():
+        used = pattern > 0
+        if not used.any():
             break
-        patterns.append(pattern)
         covered += pattern * share / demand
-    return np.array(patterns), share
-
-
-def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing over a bounded rest."""
-    rooms: list[tuple[int, int]] = []
-    bins: list[list[int]] = []
-    for size in sorted(sizes, reverse=True):
-        k = bisect.bisect_left(rooms, (size, -1))
-        if k < len(rooms):
-            room, b = rooms.pop(k)
-        else:
-            room, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(size)
-        bisect.insort(rooms, (room - size, b))
-    return bins
-
-
-def plan(histogram: dict[int, int], capacity: int = 2048, steps: int = 300, rate: float = 4.0) -> list[tuple[list[int], int]]:
+        times = min(int(share) or 1, int((remaining[used] // pattern[used]).min()))
+        if times > 0 and pattern @ lengths >= 0.995 * capacity:
+            remaining -= pattern * times
+            out.append((np.repeat(lengths, pattern)[::-1].tolist(), times))
+    return out
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing over a histogram: sequences with equal content are one pattern with a count."""
+    rooms: list[tuple[int, int]] = []  # (room, pattern), sorted
+    patterns: list[list[int]] = []
+    counts: list[int] = []
+    for size in sorted(left, reverse=True):
+        n = left[size]
+        while n > 0:
+            at = bisect.bisect_left(rooms, (size, -1))
+            room, old = rooms.pop(at) if at < len(rooms) else (capacity, -1)
+            have = counts[old] if old >= 0 else n
+            each = min(room // size, n)
+            times = min(have, n // each)
+            if old >= 0 and times < have:
+                counts[old] -= times
+                bisect.insort(rooms, (room, old))
+            if old < 0 or times < have:
+                patterns.append([])
+                counts.append(0)
+                new = len(patterns) - 1
+            else:
+                new = old
+            patterns[new] = (patterns[old] if old >= 0 else []) + [size] * each
+            counts[new] = times
+            bisect.insort(rooms, (room - each * size, new))
+            n -= each * times
+    return [(p, n) for p, n in zip(patterns, counts, strict=True) if n]
+
+
+def plan(histogram: dict[int, int], capacity: int = 2048, steps: int = 60, rate: float = 4.0, rounds: int = 3) -> list[tuple[list[int], int]]:
     """Patterns (lists of lengths) and how many sequences follow each; together they hold every piece.
 
-    Rounds stop once what is left would fill no more than ``steps`` sequences, so the driver's work
-    depends on the capacity and on ``steps``, and only by a logarithm on the number of pieces.
+    The program's rounded solution takes the bulk, again for what it leaves, and best-fit by counts
+    the rest; of the plans after each round, the one with the fewest sequences wins. The work depends on the
+    capacity, not on the number of pieces.
     """
+    whole = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
     left = {k: n for k, n in histogram.items() if k < capacity and n > 0}
-    out = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    while left and sum(k * n for k, n in left.items()) > steps * capacity // 2:
-        lengths = np.array(sorted(left))
-        demand = np.array([left[k] for k in lengths.tolist()])
-        remaining = demand.copy()
-        patterns, share = _fractional(lengths, demand, capacity, steps, rate)
-        for pattern in patterns:
-            used = pattern > 0
-            times = min(int(share) or 1, int((remaining[used] // pattern[used]).min()))
-            if times > 0:
-                remaining -= pattern * times
-                out.append((np.repeat(lengths, pattern)[::-1].tolist(), times))
-        if (remaining == demand).all():
+    taken: list[tuple[list[int], int]] = []
+    best = _best_fit(left, capacity)
+    for _ in range(rounds):
+        if not left:
+            break
+        more = _rounded(left, capacity, steps, rate)
+        if not more:
             break
-        left = {k: n for k, n in zip(lengths.tolist(), remaining.tolist(), strict=True) if n}
-    return out + [(b, 1) for b in _best_fit([k for k, n in left.items() for _ in range(n)], capacity)]
+        taken = taken + more
+        for lengths, times in more:
+            for k in lengths:
+                left[k] -= times
+        left = {k: n for k, n in left.items() if n}
+        tried = taken + _best_fit(left, capacity)
+        if sum(n for _, n in tried) <= sum(n for _, n in best):
+            best = tried
+    return whole + best
 
 
 def _places(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
