@@ -135,7 +135,7 @@ def probabilities(scores: np.ndarray, valid: np.ndarray, transitions: np.ndarray
     return out / out.sum(2, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], chains: int = 2500, steps: int = 60, ridge: float = 1e-5, seed: int = 3) -> Model | None:
+def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40, ridge: float = 1e-5, seed: int = 3) -> Model | None:
     """Weights and transitions by gradient steps on the likelihood of spliced chains."""
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -176,8 +176,7 @@ def fit(texts: list[str], langs: list[str], chains: int = 2500, steps: int = 60,
         gamma, pairs = forward_backward(table[at], valid, moves)
         error = (truth - gamma).reshape(-1, classes)
         per_word = np.stack([np.bincount(at.ravel(), error[:, y], len(index)) for y in range(classes)], axis=1)
-        spread = np.repeat(per_word, numbers.shape[1], axis=0)
-        gain = np.stack([np.bincount(flat, spread[:, y], 2 << BITS) for y in range(classes)], axis=1)
+        gain = np.stack([np.bincount(flat, np.repeat(per_word[:, y], numbers.shape[1]), 2 << BITS) for y in range(classes)], axis=1)
         gain[0] = 0  # the number of absent features
         for value, grad, k in ((weights, gain / total - ridge * weights, 0), (moves, (true_pairs - pairs) / total, 2)):
             memory[k] = 0.9 * memory[k] + 0.1 * grad

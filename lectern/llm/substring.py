@@ -36,11 +36,6 @@ from lectern.llm import frames
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _keyed(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Id, a mark that tells rows with one id apart, and the text."""
-    return df.select(F.col(id_col).alias("_doc"), F.hash(text).alias("_mark"), F.col(text).alias("_text"))
-
-
 def _sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of word hashes ``[start, end)``."""
     up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), _ODD)]))
@@ -85,11 +80,16 @@ def super_kmers(docs: DataFrame, width: int, anchor: int) -> DataFrame:
     return docs.where("_doc IS NOT NULL").mapInArrow(run, schema)
 
 
-def _stretches(docs: DataFrame, heads: DataFrame, width: int) -> DataFrame:
-    """Packed strings of the listed super-k-mers; for a crowded minimiser, its windows' digests."""
+def _stretches(rows: DataFrame, heads: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """Packed strings of the listed super-k-mers; for a crowded minimiser, its windows' digests.
+
+    ``rows`` are joined just as ``remove`` joins them in the same plan (an outer join, which a random
+    predicate keeps from becoming an inner one), so Spark shuffles the texts once for both.
+    """
     lists = heads.groupBy("_doc", "_mark").agg(F.collect_list(F.struct("anchor", "first", "n", "crowded")).alias("_runs"))
+    met = rows.join(lists.withColumnRenamed("_doc", id_col), [id_col, "_mark"], "left").where(F.col("_runs").isNotNull() | (F.rand(1) < -1))
     schema = T.StructType(
-        [T.StructField("anchor", T.LongType()), docs.schema["_doc"]]
+        [T.StructField("anchor", T.LongType()), heads.schema["_doc"]]
         + [T.StructField(c, T.IntegerType()) for c in ("_mark", "first", "n")]
         + [T.StructField("words", T.StringType())]
         + [T.StructField(c, T.ArrayType(T.LongType(), False)) for c in ("high", "low")]
@@ -97,12 +97,12 @@ def _stretches(docs: DataFrame, heads: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in frames.slices(batch, "_text"):
-                texts = frames.Texts(part.column("_text"))
+            for part in frames.slices(batch, text):
+                texts = frames.Texts(part.column(text))
                 starts, ends, before = frames.words(texts)
                 data = texts.raw.tobytes()
                 out: dict[str, list] = {c: [] for c in schema.names}
-                ids = zip(part.column("_doc").to_pylist(), part.column("_mark").to_pylist(), part.column("_runs").to_pylist(), strict=True)
+                ids = zip(part.column(id_col).to_pylist(), part.column("_mark").to_pylist(), part.column("_runs").to_pylist(), strict=True)
                 for i, (doc, mark, runs) in enumerate(ids):
                     at = before[i]
                     both = None
@@ -121,7 +121,7 @@ def _stretches(docs: DataFrame, heads: DataFrame, width: int) -> DataFrame:
                             out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=_arrow(schema))
 
-    return docs.join(lists, ["_doc", "_mark"]).mapInArrow(run, schema)
+    return met.mapInArrow(run, schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -169,32 +169,43 @@ def _in_crowds(stretches: DataFrame) -> DataFrame:
     return windows.join(smallest, ["high", "low"]).where("_doc > _least").select("_doc", "_mark", "first", F.lit(1).alias("n"))
 
 
-def repeats(docs: DataFrame, width: int = 50, anchor: int = 8, crowd: int = 1000) -> DataFrame:
+def _repeats(rows: DataFrame, width: int, anchor: int, crowd: int, id_col: str, text: str) -> DataFrame:
     """Covered windows of every document as rows (document, mark, first window, windows)."""
-    runs = super_kmers(docs, width, anchor)
+    runs = super_kmers(rows.select(F.col(id_col).alias("_doc"), "_mark", F.col(text).alias("_text")), width, anchor)
     strings = runs.groupBy("anchor", "digest").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most"))
     anchors = strings.groupBy("anchor").agg(F.count("*").alias("strings"), F.min("least").alias("lo"), F.max("least").alias("hi"))
     anchors = anchors.where("lo < hi").select("anchor", (F.col("strings") > crowd).alias("crowded"))
     strings = strings.join(anchors, "anchor", "left").where("least < most OR crowded IS NOT NULL")
     met = runs.join(strings.select("anchor", "digest", "least", "crowded"), ["anchor", "digest"])
     met = frames.checkpoint(met.where("_doc > least OR crowded IS NOT NULL"))
-    copies = met.where("_doc > least").select(*COVERS)
     heads = met.where("_doc = least").select("anchor", *COVERS, "crowded")
-    stretches = frames.checkpoint(_stretches(docs, heads, width))
-    return copies.unionByName(_in_buckets(stretches, width)).unionByName(_in_crowds(stretches))
-
-
-def remove(df: DataFrame, width: int = 50, anchor: int = 8, crowd: int = 1000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    covers = met.where("_doc > least").select(*COVERS)
+    covers = covers.unionByName(_in_buckets(_stretches(rows, heads.where("NOT crowded"), width, id_col, text), width))
+    crowds = heads.where("crowded")
+    return covers if crowds.isEmpty() else covers.unionByName(_in_crowds(_stretches(rows, crowds, width, id_col, text)))
+
+
+def remove(
+    df: DataFrame,
+    width: int = 50,
+    anchor: int = 8,
+    crowd: int = 1000,
+    id_col: str = "doc_id",
+    text: str = "text",
+    names: tuple[str, str, str] = ("n_words", "n_removed", "kept_sha256"),
+) -> DataFrame:
     """Every row with its text reduced to the kept words, one space between them, and the counts.
 
-    Adds ``n_words``, ``n_removed`` and ``kept_sha256``; all other columns are passed through. A row
+    Adds the columns ``names`` in place of any that are there; all others are passed through. A row
     that loses nothing keeps its text as it was (the digest is of its words joined).
     """
-    covers = repeats(_keyed(df, id_col, text), width, anchor, crowd)
-    lists = covers.groupBy("_doc", "_mark").agg(F.collect_list(F.struct("first", "n")).alias("_covers"))
-    told = ("n_words", "n_removed", "kept_sha256")
+    told = names
     keep = [c for c in df.columns if c not in told]
-    rows = df.select(*keep, F.col(id_col).alias("_doc"), F.hash(text).alias("_mark")).join(lists, ["_doc", "_mark"], "left")
+    # The mark tells rows with one id apart.
+    rows = df.select(*keep, F.hash(text).alias("_mark"))
+    covers = _repeats(rows, width, anchor, crowd, id_col, text)
+    lists = covers.groupBy("_doc", "_mark").agg(F.collect_list(F.struct("first", "n")).alias("_covers"))
+    rows = rows.join(lists.withColumnRenamed("_doc", id_col), [id_col, "_mark"], "left")
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType(), False) for c in told[:2]] + [T.StructField(told[2], T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
