@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the cluster's checkpoint folder, so a lost executor costs no recomputation.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a local test)
-    gets a temporary folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: ``spark.checkpoint.dir``, else beside the warehouse folder.
+
+    Both are on the file system that all executors share; a machine's own temporary folder is not.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints").rstrip("/")
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters read but do not repeat.
 

@@ -65,9 +65,9 @@ def orphan_jobs(t: Tables) -> DataFrame:
         F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("status"),
     )
     path = logs.scratch(t.spark, "heartbeats")
-    job = logs.keep_latest(beats, path, ["job_id"], ["heartbeat_at", "event_id"])
+    logs.keep_latest(beats, path, ["job_id"], ["heartbeat_at", "event_id"])
     now = F.to_timestamp_ntz(F.lit("2024-01-31 12:00:00"))
-    return logs.orphans(logs.newest_version(t.spark, path, job), now).drop("event_id")
+    return logs.orphans(logs.newest_version(t.spark, path), now).drop("event_id")
 
 
 @query(
@@ -86,8 +86,8 @@ def set_progress(t: Tables) -> DataFrame:
         "event_id",
     )
     path = logs.scratch(t.spark, "progress")
-    job = logs.keep_latest(changes, path, ["user_id", "set_id"], ["updated_at", "event_id"])
-    return logs.newest_version(t.spark, path, job).drop("event_id")
+    logs.keep_latest(changes, path, ["user_id", "set_id"], ["updated_at", "event_id"])
+    return logs.newest_version(t.spark, path).drop("event_id")
 
 
 @query("latest_runs_live", _latest_sql())
@@ -103,8 +103,8 @@ def latest_runs_live(t: Tables) -> DataFrame:
         (F.col("event_type") != "error").alias("ok"),
     )
     path = logs.scratch(t.spark, "runs")
-    job = logs.keep_latest(runs, path, ["college_id", "kind"], ["finished_at", "run_id"])
-    return stats.latest_runs(logs.newest_version(t.spark, path, job), KINDS)
+    logs.keep_latest(runs, path, ["college_id", "kind"], ["finished_at", "run_id"])
+    return stats.latest_runs(logs.newest_version(t.spark, path), KINDS)
 
 
 @query(
@@ -134,8 +134,8 @@ def live_status(t: Tables) -> DataFrame:
         "job_id", "seq", F.col("e.type").alias("kind"), F.col("e.cost").alias("cost")
     )
     path = logs.scratch(t.spark, "status")
-    job = logs.keep_current(parsed, path, logs.job_status, logs.merge_status)
-    return logs.newest_version(t.spark, path, job).select(
+    logs.keep_current(parsed, path, logs.job_status, logs.merge_status)
+    return logs.newest_version(t.spark, path).select(
         "job_id",
         "started",
         "done",
@@ -163,8 +163,8 @@ def trace_summary(t: Tables) -> DataFrame:
         F.floor("value").alias("bytes"),
     )
     path = logs.scratch(t.spark, "trace")
-    job = logs.keep_current(requests, path, logs.trace_summary, logs.merge_trace)
-    summary = logs.finish_trace(logs.newest_version(t.spark, path, job))
+    logs.keep_current(requests, path, logs.trace_summary, logs.merge_trace)
+    summary = logs.finish_trace(logs.newest_version(t.spark, path))
     return summary.withColumn("ms_mean", F.round("ms_mean", 6))
 
 

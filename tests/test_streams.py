@@ -42,11 +42,20 @@ def test_streams_equal_batch(spark, tmp_path):
     job = logs.keep_latest(stream(), path, ["job_id"], ["ts", "seq"])
     assert len({p["batchId"] for p in job.recentProgress if p["numInputRows"]}) == 3
     columns = log.columns
-    assert rows(logs.newest_version(spark, path, job).select(*columns)) == rows(logs.latest(log, ["job_id"], ["ts", "seq"]).select(*columns))
+    assert rows(logs.newest_version(spark, path).select(*columns)) == rows(logs.latest(log, ["job_id"], ["ts", "seq"]).select(*columns))
+
+    logs.keep_latest(stream(), path, ["job_id"], ["ts", "seq"])  # restarted with nothing new
+    assert rows(logs.newest_version(spark, path).select(*columns)) == rows(logs.latest(log, ["job_id"], ["ts", "seq"]).select(*columns))
+    more = log.selectExpr("seq + 100000 as seq", "job_id", "kind", "ts", "cost").limit(50)
+    more.coalesce(1).write.mode("append").parquet(folder)
+    logs.keep_latest(stream(), path, ["job_id"], ["ts", "seq"])  # restarted with new rows
+    log = spark.read.parquet(folder)
+    assert rows(logs.newest_version(spark, path).select(*columns)) == rows(logs.latest(log, ["job_id"], ["ts", "seq"]).select(*columns))
+    assert len(list((tmp_path / "latest").glob("version=*"))) == 2
 
     path = str(tmp_path / "status")
-    job = logs.keep_current(stream(), path, logs.job_status, logs.merge_status)
-    assert rows(logs.newest_version(spark, path, job)) == rows(logs.job_status(log))
+    logs.keep_current(stream(), path, logs.job_status, logs.merge_status)
+    assert rows(logs.newest_version(spark, path)) == rows(logs.job_status(log))
 
     path = str(tmp_path / "rolling")
     logs.follow_rolling_counts(stream(), lambda: spark.read.parquet(folder), path, "job_id", "ts", "seq", cap=5)
