@@ -11,10 +11,12 @@ from lectern.functions.text import token_jaccard
 from lectern.operators.lineage import cut
 
 THRESHOLD = 0.8
-# Tokens told apart by frequency when prefixes are chosen, and items of a shared token
-# compared in one round.
+# Tokens told apart by frequency when prefixes are chosen, and items of a shared token compared
+# in the first round; each round doubles them.
 FREQUENT_TOKENS = 10_000
 LEADERS = 64
+# Seeds of a group are numbered in so many parts.
+SEED_PARTS = 64
 
 
 def _prefix_size(size: Column, threshold: float) -> Column:
@@ -68,7 +70,8 @@ def greedy_filter(
     alike items share one of their rarest tokens, so each round compares every open item with
     the first few open items of its token buckets. An item whose buckets hold no earlier open
     item outside those few is fully informed: it is kept unless an earlier open item is like it.
-    Items like a newly kept one leave at once, so a crowd of copies costs one round.
+    Items like a newly kept one leave at once, so a crowd of copies costs one round; the first few
+    double every round, so rounds grow with the logarithm of the fullest bucket.
     """
     base = cut(
         items.select(
@@ -80,11 +83,12 @@ def greedy_filter(
         # Seeds stand before every item and are never dropped.
         stems = seeds.select(
             F.col(group).alias("grp"), F.array_sort(tokens).alias("tokens")
-        ).filter(F.size("tokens") > 0).distinct()
+        ).filter(F.size("tokens") > 0).distinct().withColumn("part", F.pmod(F.xxhash64("tokens"), F.lit(SEED_PARTS)))
+        place = F.row_number().over(Window.partitionBy("grp", "part").orderBy("tokens"))
         start = start.unionByName(
             stems.select(
                 "grp",
-                (-F.abs(F.xxhash64("tokens")) - 1).alias("pos"),
+                (-place.cast("bigint") * SEED_PARTS - F.col("part") - 1).alias("pos"),
                 "tokens",
                 F.lit(True).alias("seed"),
             )
@@ -100,8 +104,10 @@ def greedy_filter(
     if seeds is not None:
         near = _alike(open_items, todo.filter("seed"), threshold).select("grp", "pos").distinct()
         open_items = cut(open_items.join(near, ["grp", "pos"], "left_anti"))
+    leaders = LEADERS
     while not open_items.isEmpty():
-        fresh, open_items = _settle(open_items, threshold)
+        fresh, open_items = _settle(open_items, threshold, leaders)
+        leaders *= 2
         kept = cut(kept.unionByName(fresh))
     verdicts = (
         start.filter(~F.col("seed"))
@@ -156,11 +162,11 @@ def _test(
     )
 
 
-def _settle(open_items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _settle(open_items: DataFrame, threshold: float, leaders: int) -> tuple[DataFrame, DataFrame]:
     """One round: items kept in it, and the items still open after it."""
     buckets = _buckets(open_items)
     place = F.row_number().over(Window.partitionBy("grp", "token").orderBy("pos"))
-    leading = buckets.withColumn("place", place).filter(F.col("place") <= LEADERS)
+    leading = buckets.withColumn("place", place).filter(F.col("place") <= leaders)
     informed = (
         leading.groupBy("grp", "pos", "size")
         .agg(F.count(F.lit(1)).alias("leading"))

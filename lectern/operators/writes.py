@@ -24,7 +24,8 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def _both(target: DataFrame, source: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     t = target.select(F.struct(*target.columns).alias("t"), *[F.col(k) for k in keys])
-    s = source.select(F.struct(*source.columns).alias("s"), *[F.col(k) for k in keys])
+    # Rows that repeat a key would double the target's row; the greatest of them stands for all.
+    s = source.groupBy(*keys).agg(F.max(F.struct(*source.columns)).alias("s"))
     return t.join(s, list(keys), how)
 
 
@@ -36,7 +37,7 @@ def upsert(
 ) -> DataFrame:
     """Insert new keys whole; on known keys overwrite only the ``update`` columns.
 
-    ``source`` must hold one row per key (see ``one_per_key``).
+    Of several source rows with one key the greatest counts (see ``one_per_key`` for other choices).
     """
     given, known = F.col("s").isNotNull(), F.col("t").isNotNull()
     out = []
