@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.courses import broken_title, leading_token
 from lectern.functions.text import squash
+from lectern.operators.lineage import cut
 from lectern.operators.ranks import number_rows
 
 
@@ -52,19 +53,32 @@ def combine_courses(primary: DataFrame, secondary: DataFrame, scope: Sequence[st
 
 
 def unique_codes(departments: DataFrame, scope: Sequence[str], order: str) -> DataFrame:
-    """Repeated codes numbered 2, 3, ... within their scope, 24 characters at most.
+    """Codes made unique within their scope, first come first served, 24 characters at most.
 
-    Copies of one code are few (departments of one school), so they are ranked per code.
+    A row whose code is taken by an earlier one tries code2, code3 and so on. Rows settle in rounds:
+    every row names its candidate, the earliest holds it, the others move on. A row starts at its
+    place among the copies of its code, which no earlier candidate can undercut, so rounds are
+    as few as the collisions between different codes.
     """
     numbered = number_rows(
         departments, [*scope, "code"], [F.asc(order)], F.floor(F.col(order) / 10_000), "copy"
     )
-    return numbered.withColumn(
-        "code",
-        F.when(
-            F.col("copy") > 1, F.substring(F.concat("code", F.col("copy").cast("string")), 1, 24)
-        ).otherwise(F.col("code")),
-    ).drop("copy")
+    suffix = F.when(F.col("copy") > 1, F.col("copy").cast("string")).otherwise("")
+    candidate = F.concat(F.substring("code", F.lit(1), F.lit(24) - F.length(suffix)), suffix)
+    turn = F.struct(order, "code", "copy")
+    rows = numbered
+    while True:
+        named = cut(rows.withColumn("candidate", candidate))
+        holders = named.groupBy(*scope, "candidate").agg(F.min(turn).alias("holder"), F.count(F.lit(1)).alias("n_rows"))
+        contested = holders.filter("n_rows > 1").drop("n_rows")
+        if contested.isEmpty():
+            return named.withColumn("code", F.col("candidate")).drop("candidate", "copy")
+        lost = F.col("holder").isNotNull() & (turn > F.col("holder"))
+        rows = (
+            named.join(contested, [*scope, "candidate"], "left")
+            .withColumn("copy", F.col("copy") + F.when(lost, 1).otherwise(0))
+            .select(*numbered.columns)
+        )
 
 
 def departments_from_numbers(courses: DataFrame, scope: Sequence[str]) -> DataFrame:

@@ -9,14 +9,6 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES_SAME = frozenset(("p", "li", "td", "th", "tr", "option"))
 
-# Parts of a page that are never content, and where content is looked for.
-STRIPPED_TAGS = frozenset("script style noscript svg iframe nav footer header form".split())
-STRIPPED_ROLES = frozenset(("navigation", "banner", "contentinfo"))
-CONTENT_IDS = ("content", "main-content", "main")
-MAX_MARKDOWN = 200_000
-MAX_BLOCK_TEXT = 40_000
-SHORTEST_CONTENT = 200
-
 
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -194,23 +186,26 @@ def listed_links(html: str) -> Iterator[dict]:
         inside = tidy(around.text()) if around.parent is not None else ""
         yield {
             "heading": label,
-            "description": inside.replace(label, "", 1)[:4000] or None,
+            "description": inside.replace(label, "", 1) or None,
             "href": link.attrs["href"],
         }
 
 
 def title_cells(html: str) -> Iterator[dict]:
     """Title cells of a class listing with the text cell of the next row."""
-    for cell in tree(html).all(lambda n: n.tag == "td" and "nttitle" in n.classes):
+    root = tree(html)
+    after: dict[int, Node] = {}  # the element that follows each row
+    for holder in [root, *root.walk()]:
+        inside = [c for c in holder.children if isinstance(c, Node)]
+        after.update((id(a), b) for a, b in zip(inside, inside[1:]) if a.tag == "tr")
+    for cell in root.all(lambda n: n.tag == "td" and "nttitle" in n.classes):
         row = cell.parent
         while row is not None and row.tag != "tr":
             row = row.parent
+        follower = after.get(id(row))
         below = None
-        if row is not None and row.parent is not None:
-            rows = [c for c in row.parent.children if isinstance(c, Node)]
-            after = rows[rows.index(row) + 1 :]
-            if after and after[0].tag == "tr":
-                below = after[0].first(lambda n: n.tag == "td" and "ntdefault" in n.classes)
+        if follower is not None and follower.tag == "tr":
+            below = follower.first(lambda n: n.tag == "td" and "ntdefault" in n.classes)
         yield {"heading": tidy(cell.text()), "description": tidy(_text_of(below)) or None, "href": None}
 
 
@@ -225,110 +220,17 @@ def menu_options(html: str) -> Iterator[dict]:
             }
 
 
-def _stripped(node: Node) -> bool:
-    return (
-        node.tag in STRIPPED_TAGS
-        or node.attrs.get("role") in STRIPPED_ROLES
-        or node.attrs.get("aria-hidden") == "true"
-        or "skip-link" in node.classes
-        or "sr-only" in node.classes
-        or node.attrs.get("id") == "skip"
-    )
-
-
-def _prune(root: Node) -> None:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not _stripped(c)]
-        stack.extend(c for c in node.children if isinstance(c, Node))
-
-
-def _content_root(root: Node) -> Node:
-    """The fullest content container over 200 characters, else the body."""
-    best = root.first(lambda n: n.tag == "body") or root
-    size = 0
-    tests: list[Callable[[Node], bool]] = [
-        lambda n: n.tag == "main",
-        lambda n: n.attrs.get("role") == "main",
-        *[lambda n, i=i: n.attrs.get("id") == i for i in CONTENT_IDS],
-        has_class("content"),
-        lambda n: n.tag == "article",
-    ]
-    for test in tests:
-        found = root.first(test)
-        length = len(found.text().strip()) if found else 0
-        if length > size and length > SHORTEST_CONTENT:
-            best, size = found, length
-    return best
-
-
-def _table(node: Node) -> str:
-    rows = [
-        [tidy(c.text()) for c in tr.all(lambda n: n.tag in ("th", "td"))]
-        for tr in node.all(lambda n: n.tag == "tr")
-    ]
-    rows = [r for r in rows if any(r)]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
-
-
-BLOCKS = frozenset("p div section article main ul ol table blockquote pre h1 h2 h3 h4 h5 h6 hr".split())
-
-
-def _render(node: Node) -> str:
-    """Markdown of an element's inside."""
-    parts = []
-    for child in node.children:
-        if isinstance(child, str):
-            parts.append(re.sub(r"\s+", " ", child))
-            continue
-        tag = child.tag
-        inner = "" if tag == "table" else _render(child).strip()
-        if tag == "table":
-            parts.append(f"\n\n{_table(child)}\n\n")
-        elif re.fullmatch("h[1-6]", tag):
-            parts.append(f"\n\n{'#' * int(tag[1])} {inner}\n\n" if inner else "")
-        elif tag == "li":
-            ordered = child.parent is not None and child.parent.tag == "ol"
-            parts.append(f"\n{'1.' if ordered else '-'} {inner}\n")
-        elif tag == "a" and child.attrs.get("href") and inner:
-            parts.append(f"[{inner}]({child.attrs['href']})")
-        elif tag in ("strong", "b") and inner:
-            parts.append(f"**{inner}**")
-        elif tag in ("em", "i") and inner:
-            parts.append(f"_{inner}_")
-        elif tag == "br":
-            parts.append("  \n")
-        elif tag == "hr":
-            parts.append("\n\n* * *\n\n")
-        elif tag in BLOCKS:
-            parts.append(f"\n\n{inner}\n\n")
-        else:
-            parts.append(_render(child))
-    return "".join(parts)
-
-
-def markdown(html: str) -> str:
-    """Main content of a page as markdown, navigation and hidden parts left out."""
-    root = tree(html)
-    _prune(root)
-    text = _render(_content_root(root))
-    text = re.sub(r"(?m)[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]*\n", "\n\n", text)))
-    return text.strip()[:MAX_MARKDOWN]
-
-
-def block_text(html: str) -> str:
-    """Course blocks of a page as readable text, each passage once."""
+def block_passages(html: str) -> Iterator[dict]:
+    """Title of each course block and then its passages, each passage once; a page without blocks whole."""
     root = tree(html)
-    parts: list[str] = []
-    for block in root.all(has_class("courseblock")):
-        parts.append("## " + tidy(_text_of(block.first(has_class("courseblocktitle")))))
+    seen: set[str] = set()
+    blocks = root.all(has_class("courseblock"))
+    for block in blocks:
+        yield {"passage": "## " + tidy(_text_of(block.first(has_class("courseblocktitle"))))}
         for node in block.all(lambda n: n.tag in ("p", "div")):
             said = tidy(node.text())
-            if said and said not in parts:
-                parts.append(said)
-    return "\n\n".join(parts or [tidy(root.text())])[:MAX_BLOCK_TEXT]
+            if said and said not in seen:
+                seen.add(said)
+                yield {"passage": said}
+    if not blocks:
+        yield {"passage": tidy(root.text())}

@@ -29,6 +29,15 @@ INDEX_SLUGS = (
 STRONG_INDEX, SMALLEST_INDEX = 12, 5
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Deal pages out to at least as many tasks as there are cores: reading markup costs more than moving it.
+
+    A store of many files already has enough splits and is left where it is.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+
+
 def _explode_pages(
     pages: DataFrame, read: Callable[[str], Iterator[dict]], columns: list[str]
 ) -> DataFrame:
@@ -37,15 +46,17 @@ def _explode_pages(
     fields = ", ".join(f"{name} string" for name in columns)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = ["page_id", "url", "n", *columns], []
         for pdf in batches:
-            rows = [
-                (page_id, url, n, *[record.get(name) for name in columns])
-                for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"])
-                for n, record in enumerate(read(html))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "n", *columns])
-
-    return pages.select("page_id", "url", "html").mapInPandas(
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                for n, record in enumerate(read(html)):
+                    rows.append((page_id, url, n, *[record.get(name) for name in columns]))
+                    if len(rows) >= 2000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(
         task, f"page_id {key_type}, url string, n int, {fields}"
     )
 
@@ -64,23 +75,9 @@ def links(pages: DataFrame) -> DataFrame:
     )
 
 
-def readable(pages: DataFrame) -> DataFrame:
-    """Main text of each page as markdown."""
-    key_type = pages.schema["page_id"].dataType.simpleString()
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "page_id": pdf["page_id"],
-                    "markdown": [markup.markdown(h) for h in pdf["html"]],
-                    "block_text": [markup.block_text(h) for h in pdf["html"]],
-                }
-            )
-
-    return pages.select("page_id", "html").mapInPandas(
-        task, f"page_id {key_type}, markdown string, block_text string"
-    )
+def block_passages(pages: DataFrame) -> DataFrame:
+    """Readable text of each page's course blocks, a row per passage in page order."""
+    return _explode_pages(pages, markup.block_passages, ["passage"]).drop("url")
 
 
 def course_blocks(pages: DataFrame, department: Column) -> DataFrame:
@@ -283,8 +280,8 @@ def best_index(subjects: DataFrame, group: str) -> DataFrame:
     )
 
 
-def sub_catalogs(linked: DataFrame, top: int = 8) -> DataFrame:
-    """Same-site sections of a hub page that look like catalogs, best first."""
+def sub_catalogs(linked: DataFrame, top: int | None = None) -> DataFrame:
+    """Same-site sections of a hub page that look like catalogs, best first (``top``: 8 is the site's preset)."""
     slug = web.last_slug(F.col("href"))
     low = F.lower("text")
     inside = web.origin(F.col("href")) == web.origin(F.col("url"))
@@ -312,22 +309,20 @@ def sub_catalogs(linked: DataFrame, top: int = 8) -> DataFrame:
     return first_rows(scored, ["page_id"], [F.desc("score"), F.asc("n")], top, "place")
 
 
-def sitemap_links(sitemaps: DataFrame, top: int = 12) -> DataFrame:
-    """Catalog-like addresses of each sitemap, the first twelve.
+def sitemap_links(sitemaps: DataFrame, top: int | None = None) -> DataFrame:
+    """Catalog-like addresses of each sitemap; of a sitemap index, the sitemaps to read next.
 
-    A sitemap index yields its first catalog-like entry, which is the sitemap to read next.
+    ``top`` keeps the first ones of each (12 of a map and 1 of an index are the site's presets).
     """
     locations = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<\s]+)\s*</loc>"), 1)
     wanted = F.filter(locations, lambda u: u.rlike(web.CATALOG_WORDS))
+    kept = wanted if top is None else F.slice(wanted, 1, top)
     nested = F.contains("xml", F.lit("<sitemapindex"))
-    kept = F.when(nested & (F.size(wanted) > 0), F.slice(wanted, 1, 1)).otherwise(F.slice(wanted, 1, top))
-    return sitemaps.select(
-        "site", nested.alias("nested"), F.posexplode(kept).alias("n", "url")
-    )
+    return sitemaps.select("site", nested.alias("nested"), F.posexplode(kept).alias("n", "url"))
 
 
-def homepage_links(linked: DataFrame, top: int = 12) -> DataFrame:
-    """Catalog-like links of a home page that stay on its domain, the first twelve distinct."""
+def homepage_links(linked: DataFrame, top: int | None = None) -> DataFrame:
+    """Distinct catalog-like links of a home page that stay on its domain, in page order (12: the site's preset)."""
     worded = F.col("text").rlike(web.CATALOG_WORDS) | F.col("href").rlike(web.CATALOG_WORDS)
     own = F.endswith(web.host(F.col("href")), web.bare_host(F.col("url")))
     rows = linked.filter(worded & own).withColumn("target", web.drop_fragment(F.col("href")))
@@ -368,7 +363,7 @@ def text_courses(texts: DataFrame) -> DataFrame:
         "page_id", "url", F.explode(bind(F.split("text", "\n"), candidates)).alias("r")
     )
     parsed = once(rows, "h", c.split_heading(F.col("r.line"))).withColumn(
-        "description", blank_to_null(F.substring(clean(F.col("r.after")), 1, 4000))
+        "description", blank_to_null(clean(F.col("r.after")))
     )
     found = parsed.filter("h.course_number <> '' and length(h.title) >= 3").select(
         "page_id",

@@ -66,7 +66,7 @@ def coursedog_courses(payloads: DataFrame) -> DataFrame:
         blank_to_null(clean(strip_html(F.col("p.description")))).alias("description"),
         credits.alias("credits"),
         blank_to_null(clean(strip_html(F.col("p.requisites.requisitesFreeform.value")))).alias("prerequisites"),
-        F.when(F.size(names) > 0, F.slice(names, 1, 10)).alias("instructors"),
+        F.when(F.size(names) > 0, names).alias("instructors"),
     )
     return out.filter("course_number is not null and title <> ''")
 
@@ -171,7 +171,7 @@ def kuali_course(v: Column) -> Column:
     code = _text(v, "$.code")
     subject = F.when(
         F.coalesce(from_field, F.lit("")) != "",
-        blank_to_null(F.substring(F.upper(clean(from_field)), 1, 12)),
+        blank_to_null(F.upper(clean(from_field))),
     ).otherwise(blank_to_null(F.upper(F.regexp_extract(code, r"^([A-Za-z&]{2,10})", 1))))
     raw_number = F.coalesce(_text(v, "$.number"), code)
     kind = F.schema_of_variant(F.try_variant_get(v, "$.credits", "variant"))
