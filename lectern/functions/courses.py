@@ -115,7 +115,7 @@ def _cut_number(cut: Column) -> Column:
             number.alias("course_number"), title.alias("title"), cut["credits"].alias("credits")
         )
 
-    result = parts(F.substring(head, 1, 40), head)
+    result = parts(head, head)
     for shape in reversed(NUMBER_SHAPES):
         number = F.regexp_replace(clean(F.regexp_extract(head, shape, 1)), r"[.,;:]+$", "")
         title = clean(F.regexp_extract(head, shape, 2))
@@ -125,7 +125,7 @@ def _cut_number(cut: Column) -> Column:
 
 
 def person_names(parts: Column, skip_staff: bool) -> Column:
-    """Up to ten plausible names of an array, null when none is left."""
+    """The plausible names of an array, null when none is left."""
     names = F.filter(
         F.transform(parts, clean),
         lambda n: (F.length(n) > 2)
@@ -133,7 +133,7 @@ def person_names(parts: Column, skip_staff: bool) -> Column:
         & n.rlike("[A-Za-z]")
         & (~n.rlike("(?i)^staff$") if skip_staff else F.lit(True)),
     )
-    return F.when(F.size(names) > 0, F.slice(names, 1, 10))
+    return F.when(F.size(names) > 0, names)
 
 
 def split_names(value: Column) -> Column:
@@ -216,7 +216,7 @@ def prerequisites(prose: Column) -> Column:
 def strip_prerequisite_label(tagged: Column) -> Column:
     bare = clean(F.regexp_replace(tagged, r"(?i)^pre-?req(uisite)?s?\s*[:\-–]?\s*", ""))
     kept = F.when(
-        (bare != "") & ~bare.rlike(r"(?i)^(none|n/a|no prerequisites?)\.?$"), F.substring(bare, 1, 2000)
+        (bare != "") & ~bare.rlike(r"(?i)^(none|n/a|no prerequisites?)\.?$"), bare
     )
     return F.regexp_replace(kept, r"^\((.*)\)$", "$1")
 

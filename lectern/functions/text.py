@@ -255,14 +255,10 @@ HEADING_OR_RULE = rf"^{SPACE}*(#{{1,6}}{SPACE}|[-*_]{{3,}}{SPACE}*$)"
 BOLD = r"\*\*(.+?)\*\*"
 BULLET = rf"(?m)^{SPACE}*[-*+]{SPACE}+"
 
-# Headings that open a passage worth reading, and its longest length.
+# Headings that open a passage worth reading.
 PASSAGES = {
-    "contents": (r"(?:table of contents|contents|chapters?)[\s\S]{0,8000}", 12000),
-    "textbooks": (
-        r"(?:required\s+(?:texts?|materials?|readings?)|textbooks?|course\s+materials?"
-        r"|required\s+book)[\s\S]{0,4000}",
-        12000,
-    ),
+    "contents": r"(?:table of contents|contents|chapters?)",
+    "textbooks": r"(?:required\s+(?:texts?|materials?|readings?)|textbooks?|course\s+materials?|required\s+book)",
 }
 
 
@@ -275,20 +271,29 @@ def tidy_summary(c: Column) -> Column:
     return F.when(F.length(text) >= 60, text)
 
 
-def focus(c: Column, kind: str) -> Column:
-    """The passage opened by a heading of this kind, else the head of the text."""
-    pattern, size = PASSAGES[kind]
-    found = F.regexp_extract(c, f"(?i){pattern}", 0)
+def focus(c: Column, kind: str, reach: int | None = None, size: int | None = None) -> Column:
+    """The text from the first heading of this kind on, else the whole text.
+
+    ``reach`` ends the passage so many characters after the heading, ``size`` cuts the result. The
+    site's presets: 8000 and 12000 for contents, 4000 and 12000 for textbooks.
+    """
+    after = r"[\s\S]*" if reach is None else rf"[\s\S]{{0,{reach}}}"
+    found = F.regexp_extract(c, f"(?i){PASSAGES[kind]}{after}", 0)
     passage = F.when(found != "", found).otherwise(c)
-    return F.substring(clean(passage) if kind == "contents" else passage, 1, size)
+    passage = clean(passage) if kind == "contents" else passage
+    return passage if size is None else F.substring(passage, 1, size)
 
 
-def focus_on_number(markdown: Column, course_number: Column) -> Column:
-    """A course number with the 4000 characters after it, else the first 8000 of the page."""
-    pattern = F.concat(
-        F.lit("(?i)"), F.regexp_replace(course_number, r"\s+", r"\\s*"), F.lit(r"[\s\S]{0,4000}")
-    )
-    return F.coalesce(F.regexp_substr(markdown, pattern), F.substring(markdown, 1, 8000))
+def focus_on_number(markdown: Column, course_number: Column, reach: int | None = None, size: int | None = None) -> Column:
+    """The page from a course number on, else the whole page.
+
+    ``reach`` ends it so many characters after the number, ``size`` cuts a page without it. The
+    site's presets: 4000 and 8000.
+    """
+    after = r"[\s\S]*" if reach is None else rf"[\s\S]{{0,{reach}}}"
+    pattern = F.concat(F.lit("(?i)"), F.regexp_replace(course_number, r"\s+", r"\\s*"), F.lit(after))
+    whole = markdown if size is None else F.substring(markdown, 1, size)
+    return F.coalesce(F.regexp_substr(markdown, pattern), whole)
 
 
 def file_slug(c: Column) -> Column:

@@ -90,9 +90,11 @@ def accuracy(rows: DataFrame, by: str) -> DataFrame:
     ).withColumn("percent", F.when(F.col("total") == 0, F.lit(0)).otherwise(percentage(F.col("correct"), F.col("total"))))
 
 
-def topic_accuracy(rows: DataFrame, top: int = 12) -> DataFrame:
+def topic_accuracy(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """Accuracy per topic, the most asked first; ``top`` of them (12 is the site's preset)."""
     tagged = rows.withColumn("topic", F.coalesce("topic", F.lit(UNTAGGED)))
-    return accuracy(tagged, "topic").orderBy(F.desc("total"), "topic").limit(top)
+    rows = accuracy(tagged, "topic").orderBy(F.desc("total"), "topic")
+    return rows if top is None else rows.limit(top)
 
 
 def difficulty_accuracy(rows: DataFrame) -> DataFrame:

@@ -70,15 +70,14 @@ def favorites(
     return as_college.unionByName(as_course)
 
 
-def merge_outline(outline: DataFrame, syllabus: DataFrame) -> DataFrame:
-    """Outline sections with the topics of the syllabus unit in the same place, 20 at most."""
+def merge_outline(outline: DataFrame, syllabus: DataFrame, topics: int | None = None) -> DataFrame:
+    """Outline sections with the topics of the syllabus unit in the same place (``topics`` at most)."""
     unit = syllabus.select("course_id", "position", F.col("topics").alias("more"))
     empty = F.array().cast("array<string>")
+    both = F.array_union(F.coalesce("topics", empty), F.coalesce("more", empty))
     return outline.join(unit, ["course_id", "position"], "left").select(
         *[c for c in outline.columns if c != "topics"],
-        F.slice(
-            F.array_union(F.coalesce("topics", empty), F.coalesce("more", empty)), 1, 20
-        ).alias("topics"),
+        (both if topics is None else F.slice(both, 1, topics)).alias("topics"),
     )
 
 
@@ -125,14 +124,14 @@ def sets_to_avoid(wanted: DataFrame, test_sets: DataFrame, n: int = 2) -> DataFr
     ).select("for_set", "section_id", "test_set_id", "place")
 
 
-def stems_to_avoid(avoid: DataFrame, questions: DataFrame, limit: int = 300) -> DataFrame:
-    """Earlier stems a new set must not repeat."""
+def stems_to_avoid(avoid: DataFrame, questions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Earlier stems a new set must not repeat; ``limit`` of each set (300 is the site's preset)."""
     held = avoid.select("for_set", "test_set_id").join(
         questions.select("test_set_id", "position", "question"), "test_set_id"
     )
-    return first_rows(
-        held, ["for_set"], [F.asc("test_set_id"), F.asc("position")], limit, "place"
-    ).select("for_set", "test_set_id", "position", "question")
+    if limit is not None:
+        held = first_rows(held, ["for_set"], [F.asc("test_set_id"), F.asc("position")], limit, "place")
+    return held.select("for_set", "test_set_id", "position", "question")
 
 
 def primary_textbook(textbooks: DataFrame) -> DataFrame:

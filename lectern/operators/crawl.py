@@ -17,14 +17,14 @@ SHORTEST_PAGE = 500
 MAX_PAGES, MAX_DEPTH, SEEN_PER_PAGE = 25, 2, 12
 
 
-def robots_rules(robots: DataFrame, own_name: str) -> DataFrame:
+def robots_rules(robots: DataFrame, own_name: str, longest: int | None = None) -> DataFrame:
     """Rules that bind us at each origin: those of our own name, else those of everyone.
 
-    ``robots``: origin, body. A file is one group and at most half a million characters, so
-    its running agent line is a window over bounded rows.
+    ``robots``: origin, body. One origin's file is one group; ``longest`` leaves out longer files
+    (``LONGEST_ROBOTS`` is the site's preset).
     """
     lines = (
-        robots.filter(F.length("body") <= LONGEST_ROBOTS)
+        robots.filter(F.lit(True) if longest is None else F.length("body") <= longest)
         .select("origin", F.posexplode(F.split("body", "\n")).alias("n", "raw"))
         .withColumn("line", F.trim(F.regexp_replace("raw", r"#.*$|\r", "")))
         .filter(F.contains("line", F.lit(":")))
@@ -152,15 +152,16 @@ def bounded_crawl(
     links: DataFrame,
     max_depth: int = MAX_DEPTH,
     max_pages: int = MAX_PAGES,
+    seen_per_page: int = SEEN_PER_PAGE,
     include: str | None = None,
 ) -> DataFrame:
     """Breadth-first walk from each seed over stored links, one join per level.
 
     ``seeds``: seed. ``pages``: url of every page that can be read. ``links``: url, n, href in
     page order. Pages count in the order the walk meets them, up to ``max_pages`` a seed;
-    addresses stay on the seed's host and are met once, up to twelve per allowed page.
+    addresses stay on the seed's host and are met once, up to ``seen_per_page`` per allowed page.
     """
-    most_seen = max_pages * SEEN_PER_PAGE + 1
+    most_seen = max_pages * seen_per_page + 1
     target = web.drop_fragment(F.col("href"))
     edges = links.select("url", "n", target.alias("href")).filter("href is not null")
     if include:

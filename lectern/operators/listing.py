@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions.courses import course_level, level_rank
 from lectern.functions.text import any_contains
 
-MAX_PAGE = 1000
+# Fixed value: the longest page the site's own listing asks for.
+SITE_PAGE = 1000
 
 
-def clamp(value: int | None, low: int, high: int, default: int) -> int:
-    return min(max(default if value is None else value, low), high)
+def at_most(value: int | None, most: int) -> int:
+    """A caller's preset for a bounded read: ``value`` within 1 and ``most``; none given: ``most``."""
+    return min(max(most if value is None else value, 1), most)
 
 
 def page_count(rows: int, size: int = 500) -> int:
@@ -97,12 +99,14 @@ def page(
     """One page with the number of matching rows beside it.
 
     The count is a subquery of its own, so no window pulls every row into one task, and the
-    page is a bounded top-k.
+    page is a bounded top-k. ``limit=None`` gives all rows from ``offset`` on.
     """
     keys = [c.desc_nulls_last() if descending else c.asc_nulls_last() for c in sort_columns(sort)]
     total = rows.agg(F.count(F.lit(1)).alias("total_count")).scalar()
-    size, skip = clamp(limit, 1, MAX_PAGE, 500), max(offset or 0, 0)
-    top = rows.orderBy(*keys, F.lower("course_number"), F.col("course_id")).limit(skip + size)
+    skip = max(offset or 0, 0)
+    top = rows.orderBy(*keys, F.lower("course_number"), F.col("course_id"))
+    if limit is not None:
+        top = top.limit(skip + max(limit, 0))
     if skip:
         top = top.orderBy(*keys, F.lower("course_number"), F.col("course_id")).offset(skip)
     return top.withColumn("total_count", total)

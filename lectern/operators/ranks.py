@@ -40,8 +40,9 @@ def number_rows(
 
 
 def first_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, out: str
 ) -> DataFrame:
-    """The first ``n`` rows of each group; the limit is applied before the shuffle too."""
+    """The first ``n`` rows of each group (None: all); the limit is applied before the shuffle too."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    placed = df.withColumn(out, F.row_number().over(w))
+    return placed if n is None else placed.filter(F.col(out) <= n)

@@ -21,13 +21,15 @@ from lectern.functions.text import (
     trigrams,
     word_similarity_of,
 )
-from lectern.operators.listing import clamp, optional
+from lectern.operators.lineage import cut
+from lectern.operators.listing import optional
 from lectern.operators.ranks import first_rows
 
 # Thresholds of a match, of a kept row and of the exact-match decision.
 SIMILAR, WORDS_SIMILAR = 0.3, 0.6
 KEPT_SCORE, KEPT_EXACTNESS = 0.35, 0.5
 SAME_COURSE, CERTAIN, MARGIN = 0.60, 0.85, 0.08
+# Typed queries that are written into the plan; a longer list becomes a table, with the same result.
 MAX_LITERAL_QUERIES = 64
 
 
@@ -162,7 +164,7 @@ def _literal_matches(courses: DataFrame, queries: Sequence[str]) -> DataFrame:
     """
     usable = [q for q in dict.fromkeys(queries) if len(q.strip()) >= 2]
     if len(usable) > MAX_LITERAL_QUERIES:
-        raise ValueError("a long list of queries belongs in a table")
+        return _table_matches(courses, courses.sparkSession.createDataFrame([(q,) for q in usable], "query string"))
     wanted = F.filter(
         F.array(*[_query_struct(q) for q in usable or ["  "]]), lambda q: F.length(q["term"]) >= 2
     )
@@ -309,7 +311,7 @@ def rank_matches(
     limit: int | None = 10,
     per_college: int | None = None,
 ) -> DataFrame:
-    """Keep strong rows, cap them per college, and cut each query to its best."""
+    """Keep strong rows, cap them per college, and cut each query to its ``limit`` best (None: all)."""
     if rank_by == "exactness":
         loose = F.when(F.col("exactness") >= KEPT_EXACTNESS, 1).otherwise(0)
         strong = F.coalesce(F.col("coverage"), loose) >= 1
@@ -322,9 +324,8 @@ def rank_matches(
     kept = scored.filter(strong)
     if per_college is not None:
         kept = first_rows(kept, ["query", "college_id"], [*order, *tail], per_college, "college_place")
-    size = clamp(limit, 1, 25, 10)
     rank = [F.asc_nulls_last("college_rank")] if "college_rank" in scored.columns else []
-    return first_rows(kept, ["query"], [*order, *rank, *tail], size, "place")
+    return first_rows(kept, ["query"], [*order, *rank, *tail], limit, "place")
 
 
 def search_courses(
@@ -434,6 +435,66 @@ def merge_lists(
     ).select(*keys, "merged_place", "list", "course_id", "course_number", "title", "college_id")
 
 
+def college_check(
+    courses: DataFrame,
+    query: str,
+    college: object,
+    embedded: DataFrame,
+    vector: Sequence[float] | Column | None = None,
+    course_similarity: float = 0.6,
+    query_similarity: float = 0.5,
+) -> DataFrame:
+    """Is a course taught at this college, and where else is one like it?
+
+    Shorthand is written out first. ``here`` rows are the college's own matches without the exact
+    one; ``elsewhere`` rows come by words and, where there is a vector to compare, by meaning: with
+    the matched course's (``basis`` course, its neighbours lead) or with the query's (``basis``
+    query, word matches lead). ``method`` tells whether meaning took part. The match is one row,
+    so it decides on the driver which plan is built.
+    """
+    from lectern.operators.similarity import similar_courses
+
+    spark = courses.sparkSession
+    asked = spark.createDataFrame([(query,)], "raw string").select(query_text(F.col("raw")).alias("query"))
+    here = cut(search_courses(courses, asked, college=college, limit=8))
+    best = pick_exact_match(here).first()
+    words = search_courses(courses, asked, exclude_college=college, limit=10, per_college=2, rank_by="exactness")
+    near = None
+    if best is not None:
+        if not embedded.where(F.col("course_id") == F.lit(best.course_id)).isEmpty():
+            near = similar_courses(embedded, course_id=best.course_id, exclude_college=college, min_similarity=course_similarity)
+    elif vector is not None and has_words_in(query):
+        near = similar_courses(embedded, vector=vector, exclude_college=college, min_similarity=query_similarity)
+    rows = ["place", "course_id", "course_number", "title", "college_id"]
+    if near is None:
+        away = words.select(*rows)
+    else:
+        lists = [near.select(*rows), words.select(*rows)]
+        first, second = (x.withColumn("query", F.lit(query)) for x in (lists if best is not None else lists[::-1]))
+        away = merge_lists(first, second, ["query"], 10, 2).withColumnRenamed("merged_place", "place").select(*rows)
+    matched = None if best is None else best.course_id
+    own = here.select(*rows).where(F.lit(True) if best is None else F.col("course_id") != F.lit(matched))
+    own = first_rows(own.withColumn("one", F.lit(1)), ["one"], [F.asc("place")], None, "place").select(*rows)
+    kind = courses.schema["course_id"].dataType
+    return (
+        own.withColumn("part", F.lit("here"))
+        .unionByName(away.withColumn("part", F.lit("elsewhere")))
+        .select(
+            F.lit(query).alias("query"),
+            "part",
+            *rows,
+            F.lit(matched).cast(kind).alias("match_id"),
+            F.lit("query" if best is None else "course").alias("basis"),
+            F.lit("words" if near is None else "meaning").alias("method"),
+        )
+    )
+
+
+def has_words_in(query: str) -> bool:
+    """Whether a typed query holds a run of letters worth comparing by meaning."""
+    return re.search("[a-zA-Z]{3,}", query) is not None
+
+
 def query_text(raw: Column) -> Column:
     """A typed query with its shorthand written out."""
     return expand_shorthand(raw)

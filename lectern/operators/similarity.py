@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.functions.text import blank_to_null, collapse_space, trim_space
-from lectern.operators.listing import clamp, optional
+from lectern.operators.listing import optional
 from lectern.operators.quality import embeddable
 from lectern.operators.ranks import first_rows, number_rows
 
-# Candidates kept before any cap, longest description, rows per request.
+# Presets of the site (candidates kept before any cap, longest description), rows per request.
 NEAREST = 200
 DESCRIPTION_CHARS = 1500
 BATCH = 200
@@ -26,9 +26,13 @@ BLOCK_ROWS = 2048
 CLUSTERS = 64
 
 
-def embedding_text(title: Column, department: Column, description: Column) -> Column:
-    """Title, department and shortened description, one per line, blanks left out."""
-    about = F.substring(F.trim(collapse_space(description)), 1, DESCRIPTION_CHARS)
+def embedding_text(title: Column, department: Column, description: Column, chars: int | None = None) -> Column:
+    """Title, department and description, one per line, blanks left out.
+
+    ``chars`` shortens the description (``DESCRIPTION_CHARS`` is the site's preset).
+    """
+    about = F.trim(collapse_space(description))
+    about = about if chars is None else F.substring(about, 1, chars)
     return F.concat_ws(
         "\n",
         blank_to_null(trim_space(title)),
@@ -41,13 +45,13 @@ def content_hash(model: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(model + "\n"), text))
 
 
-def embedding_plan(courses: DataFrame, stored: DataFrame, model: str) -> DataFrame:
+def embedding_plan(courses: DataFrame, stored: DataFrame, model: str, chars: int | None = None) -> DataFrame:
     """What an embedding run does with each course: delete, keep, or embed in batches of one college.
 
     ``courses``: course_id, college_id, course_number, title, department_name, description.
     ``stored``: course_id, content_hash.
     """
-    text = embedding_text(F.col("title"), F.col("department_name"), F.col("description"))
+    text = embedding_text(F.col("title"), F.col("department_name"), F.col("description"), chars)
     prepared = courses.withColumns(
         {
             "thin": ~embeddable(F.col("course_number"), F.col("title"), F.col("description")),
@@ -119,8 +123,11 @@ def similar_courses(
     limit: int | None = 10,
     per_college: int | None = 2,
     min_similarity: float = 0.5,
+    nearest: int | None = None,
 ) -> DataFrame:
-    """Nearest courses to a stored course or a vector: the nearest 200, then threshold and caps.
+    """Nearest courses to a stored course or a vector: threshold and caps.
+
+    ``nearest`` keeps so many candidates before both (``NEAREST`` is the site's preset).
 
     ``embeddings``: course_id, college_id, embedding, and college_rank, course_number when known.
     The target vector is a one-row subquery; the scan keeps a bounded top-k per task.
@@ -134,21 +141,21 @@ def similar_courses(
     scope = embeddings.filter(optional(F.col("college_id"), exclude_college, exclude=True))
     scope = scope.filter(optional(F.col("course_id"), course_id, exclude=True))
     extra = [c for c in embeddings.columns if c not in ("course_id", "college_id", "embedding")]
-    nearest = (
+    order = [F.desc("similarity"), F.asc("course_id")]
+    near = (
         scope.withColumn("target", target)
         .filter(F.col("target").isNotNull())
         .select("course_id", "college_id", *extra, cosine(F.col("embedding"), F.col("target")).alias("similarity"))
         .filter(F.col("similarity").isNotNull())
-        .orderBy(F.desc("similarity"), F.asc("course_id"))
-        .limit(NEAREST)
-        .filter(F.col("similarity") >= min_similarity)
     )
-    order = [F.desc("similarity"), F.asc("course_id")]
+    if nearest is not None:
+        near = near.orderBy(*order).limit(nearest)
+    near = near.filter(F.col("similarity") >= min_similarity)
     if per_college is not None:
-        nearest = first_rows(nearest, ["college_id"], order, per_college, "college_place")
+        near = first_rows(near, ["college_id"], order, per_college, "college_place")
     tail = [F.asc_nulls_last(c) for c in ("college_rank", "course_number") if c in extra]
     final = [F.desc("similarity"), *tail, F.asc("course_id")]
-    out = first_rows(nearest.withColumn("one", F.lit(1)), ["one"], final, clamp(limit, 1, 25, 10), "place")
+    out = first_rows(near.withColumn("one", F.lit(1)), ["one"], final, limit, "place")
     return out.select("course_id", "college_id", *extra, "similarity", "place")
 
 
@@ -157,7 +164,7 @@ def similar_for_all(
     min_similarity: float = 0.6,
     per_college: int = 2,
     limit: int = 10,
-    nearest: int = NEAREST,
+    nearest: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Nearest courses of every course at other colleges, exact, in one job.
@@ -165,7 +172,9 @@ def similar_for_all(
     Vectors are put with their nearest of a few sampled pivots and clusters are cut into blocks
     of bounded size, so a crowded cluster becomes many blocks. Two clusters are compared only
     when the triangle inequality on angles leaves room for ``min_similarity``. Each block pair
-    is one matrix product that emits at most ``nearest`` rows per course.
+    is one matrix product that emits at most ``limit`` rows per course: those that the caps can
+    leave. With ``nearest`` the candidates are cut to so many before the caps (``NEAREST`` is the
+    site's preset).
     """
     vectors = embeddings.select("course_id", "college_id", "embedding").filter(
         F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) > 0
@@ -246,6 +255,13 @@ def similar_for_all(
         best = np.take_along_axis(cos, order, axis=1)
         row, col = np.nonzero(best >= min_similarity)
         picked = order[row, col]
+        if nearest is None:
+            # Only the first few of each college, and of those the first few, can stay.
+            college = pd.factorize(b["college_id"])[0][picked]
+            ranked = pd.DataFrame({"row": row, "college": college})
+            few = (ranked.groupby(["row", "college"]).cumcount() < per_college).to_numpy()
+            few &= pd.Series(few).groupby(row).cumsum().to_numpy() <= limit
+            row, col, picked = row[few], col[few], picked[few]
         return pd.DataFrame(
             {
                 "course_id": a["course_id"].to_numpy()[row],
@@ -266,7 +282,7 @@ def similar_for_all(
         )
     )
     order = [F.desc("similarity"), F.asc("other_id")]
-    top = first_rows(hits, ["course_id"], order, nearest, "near_place")
+    top = hits if nearest is None else first_rows(hits, ["course_id"], order, nearest, "near_place")
     capped = first_rows(top, ["course_id", "other_college"], order, per_college, "college_place")
     return first_rows(capped, ["course_id"], order, limit, "place").select(
         "course_id", "college_id", "place", "other_id", "other_college", "similarity"

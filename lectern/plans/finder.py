@@ -212,7 +212,7 @@ def nearest_sql(where: str, target: int, minimum: float, per_college: int, limit
         select *, row_number() over (partition by college_id order by similarity desc, course_id) as cp from (
           select * from (
             select vec_id as course_id, label as college_id, {_SIM_TO.format(id=target)} as similarity from embeddings where {where})
-          order by similarity desc, course_id limit 200) where similarity >= {minimum})
+         ) where similarity >= {minimum})
       where cp <= {per_college} order by place limit {limit}
     """
 
@@ -252,7 +252,7 @@ def similar_by_vector(t: Tables) -> DataFrame:
       select a.vec_id as course_id, a.label as college_id, b.vec_id as other_id, b.label as other_college,
         list_cosine_similarity(a.e, b.e) as s from v a join v b on a.label <> b.label),
     n as (select *, row_number() over (partition by course_id order by s desc, other_id) as r from p),
-    c as (select *, row_number() over (partition by course_id, other_college order by s desc, other_id) as cp from n where r <= 200 and s >= 0.3),
+    c as (select *, row_number() over (partition by course_id, other_college order by s desc, other_id) as cp from n where s >= 0.3),
     f as (select *, row_number() over (partition by course_id order by s desc, other_id) as place from c where cp <= 2)
     select course_id, college_id, place, other_id, other_college, round(s, 6) as similarity from f where place <= 10
     """,
@@ -278,7 +278,7 @@ def _meaning_sql(vec: int, limit: int, per_college: int, minimum: float, where:
             select * from (
               select vec_id as course_id, p_brand as course_number, p_name as title, p_type as college_id, {_SIM_TO.format(id=vec)} as similarity
               from embeddings join part on p_partkey = vec_id where {where})
-            order by similarity desc, course_id limit 200) where similarity >= {minimum})
+           ) where similarity >= {minimum})
         where cp <= {per_college}) where place <= {limit}
     """
 
@@ -310,43 +310,59 @@ def search_everywhere(t: Tables) -> DataFrame:
     return search.merge_lists(words, near.withColumn("query", asked), ["query"], 15, 3)
 
 
+CHECKED = {"red widget": "red widget", "zzqq": "zzqq", "Intro. red": "introduction red", "7.9": "7.9"}
+
+
 @query(
     "college_check",
-    scored_sql(typed_sql(("red widget", "zzqq")))
-    + """, here as (
+    scored_sql(typed_sql(CHECKED.values()))
+    + f""", here as (
       select * from (select *, row_number() over (partition by query order by score desc, exactness desc, score desc, course_number, course_id) as place
-        from scored where college_id = 'SMALL' and (score >= 0.35 or exactness >= 0.35)) where place <= 8)
-    , away_capped as (
+        from scored where college_id = 'SMALL' and (score >= 0.35 or exactness >= 0.35)) where place <= 8),
+    eligible as (select * from here where coverage is null or coverage >= 1),
+    best as (select * from (select *, row_number() over (partition by query order by exactness desc, score desc, place) as b from eligible) where b = 1),
+    matched as (
+      select query, course_id as match_id from (
+        select best.*, (select max(e.exactness) from eligible e where e.query = best.query and {_squash('e.title')} <> {_squash('best.title')}) as rival from best)
+      where exactness >= 0.6 and (exactness >= 0.85 or rival is null or exactness - rival >= 0.08)),
+    asked as (
+      select t.query, match_id, case when match_id is null then 0.1 else 0.05 end as least,
+        case when match_id is not null then (select cast(embedding as double[]) from embeddings where vec_id = match_id)
+          when regexp_matches(t.query, '[a-zA-Z]{{3,}}') then (select cast(embedding as double[]) from embeddings where vec_id = 17) end as e
+      from terms t left join matched m on t.query = m.query),
+    away_capped as (
       select *, row_number() over (partition by query, college_id order by likeness desc, exactness desc, score desc, course_number, course_id) as cp
-      from scored where college_id <> 'SMALL' and coalesce(coverage, case when exactness >= 0.5 then 1 else 0 end) >= 1)
-    , away as (select * from (select *, row_number() over (partition by query order by likeness desc, exactness desc, score desc, course_number, course_id) as place
-        from away_capped where cp <= 2) where place <= 10)
-    , near as ("""
-    + _meaning_sql(17, 10, 2, 0.1, "p_type <> 'SMALL'")
-    + """), meaning as (select query, near.* from terms, near)
-    """
-    + _merge_sql("meaning", "away", 10, 2).replace(
-        "select query, merged_place, list,",
-        "select query, 'here' as part, place, course_id, course_number, title, college_id from here union all select query, 'elsewhere', merged_place,",
-    ),
+      from scored where college_id <> 'SMALL' and coalesce(coverage, case when exactness >= 0.5 then 1 else 0 end) >= 1),
+    away as (select * from (select *, row_number() over (partition by query order by likeness desc, exactness desc, score desc, course_number, course_id) as place
+        from away_capped where cp <= 2) where place <= 10),
+    near_capped as (
+      select *, row_number() over (partition by query, college_id order by similarity desc, course_id) as cp from (
+        select query, least, vec_id as course_id, p_brand as course_number, p_name as title, p_type as college_id, list_cosine_similarity(cast(embedding as double[]), e) as similarity
+        from asked, embeddings join part on p_partkey = vec_id where e is not null and p_type <> 'SMALL' and vec_id is distinct from match_id) where similarity >= least),
+    near as (select * from (select *, row_number() over (partition by query order by similarity desc, course_number, course_id) as place from near_capped where cp <= 2) where place <= 10),
+    lists as (
+      select a.query, place, course_id, course_number, title, college_id, case when match_id is null then 1 else 0 end as list from near join asked a using (query)
+      union all select a.query, place, course_id, course_number, title, college_id, case when match_id is null then 0 else 1 end from away join asked a using (query)),
+    once as (select * from (select *, row_number() over (partition by query, college_id, course_number, {_squash('title')} order by list, place) as k from lists) where k = 1),
+    few as (select *, row_number() over (partition by query, college_id order by list, place) as cp from once),
+    merged as (select *, row_number() over (partition by query order by list, place) as merged_place from few where cp <= 2),
+    rows as (
+      select h.query, 'here' as part, row_number() over (partition by h.query order by place) as place, course_id, course_number, title, college_id
+      from here h left join matched m on h.query = m.query where course_id is distinct from match_id
+      union all select query, 'elsewhere', merged_place, course_id, course_number, title, college_id from merged where merged_place <= 10)
+    select case r.query when 'introduction red' then 'Intro. red' else r.query end as query, part, place, course_id, course_number, title, college_id, match_id,
+      case when match_id is null then 'query' else 'course' end as basis, case when e is null then 'words' else 'meaning' end as method
+    from rows r join asked a on r.query = a.query
+    """,
 )
 def college_check(t: Tables) -> DataFrame:
-    """Matches at one college and, led by meaning, like courses elsewhere."""
-    typed = ("red widget", "zzqq")
-    here = search.search_courses(t.parts(), typed, college="SMALL", limit=8)
-    away = search.search_courses(
-        t.parts(), typed, exclude_college="SMALL", limit=10, per_college=2, rank_by="exactness"
-    )
-    target = t.embeddings().where("course_id = 17").select("embedding").scalar()
-    near = similarity.similar_courses(
-        embedded_parts(t), vector=target, exclude_college="SMALL", limit=10, min_similarity=0.1
-    )
-    asked = F.explode(F.array(*[F.lit(q) for q in typed]))
-    merged = search.merge_lists(near.withColumn("query", asked), away, ["query"], 10, 2)
-    rows = ["course_id", "course_number", "title", "college_id"]
-    return here.select("query", F.lit("here").alias("part"), "place", *rows).unionByName(
-        merged.select("query", F.lit("elsewhere").alias("part"), F.col("merged_place").alias("place"), *rows)
-    )
+    """A matched, an unmatched, a shorthand and a number query at one college."""
+    vectors, target = embedded_parts(t), t.embeddings().where("course_id = 17").select("embedding").scalar()
+    out = None
+    for typed in CHECKED:
+        rows = search.college_check(t.parts(), typed, "SMALL", vectors, target, course_similarity=0.05, query_similarity=0.1)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(
@@ -446,7 +462,7 @@ _EMBED_TEXT = r"""
       select doc_id, source, lang, doc_id % 11 = 0 as thin,
         case when doc_id % 11 = 0 then 'doc-' || doc_id else source end || chr(10) || lang ||
           case when doc_id % 11 <> 0 and d <> '' then chr(10) || d else '' end as body
-      from (select *, substring(regexp_replace(regexp_replace(text, '[\s\x{0b}\x{a0}]+', ' ', 'g'), '^ +| +$', '', 'g'), 1, 1500) as d from documents)
+      from (select *, substring(regexp_replace(regexp_replace(text, '[\s\x{0b}\x{a0}]+', ' ', 'g'), '^ +| +$', '', 'g'), 1) as d from documents)
 """
 PLAN_SQL = f"""
     with b as ({_EMBED_TEXT}),
