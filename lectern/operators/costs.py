@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONEY = "decimal(12,6)"
@@ -93,59 +93,52 @@ def run_costs(runs: DataFrame, ledger: DataFrame, bucket_hours: int = 24) -> Dat
     """Cost of each run: ledger rows of its narrowest scope inside [started_at, finished_at].
 
     ``runs`` and ``ledger`` hold test_set_id, course_id and college_id; a run is charged by the
-    first of these it has. Time is cut into buckets so that a busy scope is spread over many
-    tasks; the ledger is summed per scope, bucket and instant before it meets the runs.
+    first of these it has, one without any by the whole ledger. The ledger, summed per scope and
+    instant, and the runs' ends stand in one order; a run's cost is the running sum at its finish
+    less that before its start, so no run meets ledger rows one by one. Sums run inside buckets of
+    time and are shifted by the buckets before, which spreads a busy scope over many tasks.
     """
     hour = 3600 * bucket_hours
-
-    def bucket(c: str) -> Column:
-        return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / hour)
-
-    scope = F.coalesce(
-        *[
-            F.when(
-                F.col(f"{s}_id").isNotNull(),
-                F.struct(F.lit(s).alias("kind"), F.col(f"{s}_id").cast("string").alias("id")),
-            )
-            for s in SCOPES
-        ]
-    )
-    spread = (
-        runs.withColumn("scope", scope)
-        .select("run_id", "scope", "started_at", "finished_at")
-        .withColumn("bucket", F.explode(F.sequence(bucket("started_at"), bucket("finished_at"))))
-    )
-    entries = F.array(
-        *[
-            F.struct(F.lit(s).alias("kind"), F.col(f"{s}_id").cast("string").alias("id"))
-            for s in SCOPES
-        ]
-    )
+    kinds = [
+        F.struct(F.lit(s).alias("kind"), F.col(f"{s}_id").cast("string").alias("id")) for s in SCOPES
+    ]
+    everyone = F.struct(F.lit("all").alias("kind"), F.lit("").alias("id"))
+    scope = F.coalesce(*[F.when(k["id"].isNotNull(), k) for k in kinds], everyone)
     charged = (
         ledger.select(
-            F.explode(F.filter(entries, lambda e: e["id"].isNotNull())).alias("scope"),
-            "created_at",
+            F.explode(F.filter(F.array(*kinds, everyone), lambda e: e["id"].isNotNull())).alias("scope"),
+            F.col("created_at").alias("at"),
             "cost",
             "total_tokens",
         )
-        .groupBy("scope", bucket("created_at").alias("bucket"), "created_at")
+        .groupBy("scope", "at")
         .agg(F.sum("cost").alias("cost"), F.sum("total_tokens").alias("total_tokens"))
+        .withColumns({"turn": F.lit(1), "run_id": F.lit(None).cast(runs.schema["run_id"].dataType)})
     )
-    # A run without any scope is charged every row of its span, as one more scope.
-    anyone = (
-        ledger.groupBy(bucket("created_at").alias("bucket"), "created_at")
-        .agg(F.sum("cost").alias("cost"), F.sum("total_tokens").alias("total_tokens"))
+    spans = runs.filter("started_at <= finished_at").withColumn("scope", scope)
+
+    def ends(at: str, turn: int) -> DataFrame:
+        """A start stands before the ledger of its instant, a finish after it."""
+        nothing = [F.lit(0).cast(charged.schema[c].dataType).alias(c) for c in ("cost", "total_tokens")]
+        return spans.select("scope", F.col(at).alias("at"), *nothing, F.lit(turn).alias("turn"), "run_id")
+
+    marks = charged.unionByName(ends("started_at", 0)).unionByName(ends("finished_at", 2))
+    marks = marks.withColumn("bucket", F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / hour))
+    values = ("cost", "total_tokens")
+    buckets = marks.groupBy("scope", "bucket").agg(*[F.sum(v).alias(v) for v in values])
+    before = Window.partitionBy("scope").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = buckets.select(
+        "scope", "bucket", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values]
     )
-    inside = F.col("created_at").between(F.col("started_at"), F.col("finished_at"))
-    scoped = spread.filter("scope is not null").join(charged, ["scope", "bucket"])
-    open_ended = spread.filter("scope is null").join(anyone, "bucket")
-    columns = ["run_id", "started_at", "finished_at", "created_at", "cost", "total_tokens"]
+    inside = Window.partitionBy("scope", "bucket").orderBy("at", "turn")
+    running = marks.select(
+        "scope", "bucket", "turn", "run_id", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(v) for v in values]
+    ).filter("turn <> 1")
+    sign = F.when(F.col("turn") == 2, 1).otherwise(-1)
     sums = (
-        scoped.select(*columns)
-        .unionByName(open_ended.select(*columns))
-        .filter(inside)
+        running.join(shifts, ["scope", "bucket"])
         .groupBy("run_id")
-        .agg(F.sum("cost").alias("run_cost"), F.sum("total_tokens").alias("run_tokens"))
+        .agg(*[F.sum(sign * (F.col(v) + F.col(f"{v}_before"))).alias(n) for v, n in zip(values, ("run_cost", "run_tokens"))])
     )
     return runs.join(sums, "run_id", "left").withColumns(
         {
