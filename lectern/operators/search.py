@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import (
     GENERIC_TITLE_WORDS,
+    SHORTHAND,
     bind,
     content_words,
     coverage,
@@ -454,16 +455,14 @@ def college_check(
     """
     from lectern.operators.similarity import similar_courses
 
-    spark = courses.sparkSession
-    asked = spark.createDataFrame([(query,)], "raw string").select(query_text(F.col("raw")).alias("query"))
-    here = cut(search_courses(courses, asked, college=college, limit=8))
+    asked = written_out(query)
+    here = cut(search_courses(courses, [asked], college=college, limit=8))
     best = pick_exact_match(here).first()
-    words = search_courses(courses, asked, exclude_college=college, limit=10, per_college=2, rank_by="exactness")
+    words = search_courses(courses, [asked], exclude_college=college, limit=10, per_college=2, rank_by="exactness")
     near = None
     if best is not None:
-        if not embedded.where(F.col("course_id") == F.lit(best.course_id)).isEmpty():
-            near = similar_courses(embedded, course_id=best.course_id, exclude_college=college, min_similarity=course_similarity)
-    elif vector is not None and has_words_in(query):
+        near = similar_courses(embedded, course_id=best.course_id, exclude_college=college, min_similarity=course_similarity)
+    elif vector is not None and has_words_in(asked):
         near = similar_courses(embedded, vector=vector, exclude_college=college, min_similarity=query_similarity)
     rows = ["place", "course_id", "course_number", "title", "college_id"]
     if near is None:
@@ -490,6 +489,39 @@ def college_check(
     )
 
 
+def search_everywhere(
+    courses: DataFrame,
+    queries: Sequence[str],
+    embedded: DataFrame | None = None,
+    vector: Sequence[float] | Column | None = None,
+    limit: int = 15,
+    per_college: int = 3,
+    min_similarity: float = 0.5,
+) -> DataFrame:
+    """Courses anywhere: word matches of the written-out query lead, neighbours of its vector follow.
+
+    Queries without real words are not compared by meaning.
+    """
+    from lectern.operators.similarity import similar_courses
+
+    asked = {q: written_out(q) for q in dict.fromkeys(queries)}
+    raw = F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(e), F.array(*[F.lit(q) for q in asked if asked[q] == e])) for e in dict.fromkeys(asked.values())]))[F.col("query")])
+    words = search_courses(courses, list(dict.fromkeys(asked.values())), limit=limit, per_college=per_college)
+    words = words.withColumn("query", raw)
+    worded = [F.lit(q) for q, e in asked.items() if has_words_in(e)]
+    if vector is None or embedded is None or not worded:
+        near = words.limit(0)
+    else:
+        near = similar_courses(embedded, vector=vector, limit=limit, per_college=per_college, min_similarity=min_similarity)
+        near = near.withColumn("query", F.explode(F.array(*worded)))
+    return merge_lists(words, near, ["query"], limit, per_college)
+
+
+def written_out(query: str) -> str:
+    """A typed query with its shorthand written out, as ``query_text`` does for a column."""
+    return re.sub(r"(?i)\b([a-z]+)\b\.?", lambda m: SHORTHAND.get(m[1].lower(), m[0]), query)
+
+
 def has_words_in(query: str) -> bool:
     """Whether a typed query holds a run of letters worth comparing by meaning."""
     return re.search("[a-zA-Z]{3,}", query) is not None

@@ -262,14 +262,6 @@ def similar_for_all(t: Tables) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-def _by_meaning(t: Tables, vec: int, limit: int, per_college: int, minimum: float) -> DataFrame:
-    vectors = embedded_parts(t)
-    target = t.embeddings().where(F.col("course_id") == vec).select("embedding").scalar()
-    return similarity.similar_courses(
-        vectors, vector=target, limit=limit, per_college=per_college, min_similarity=minimum
-    )
-
-
 def _meaning_sql(vec: int, limit: int, per_college: int, minimum: float, where: str = "true") -> str:
     return f"""
       select course_id, course_number, title, college_id, similarity, place from (
@@ -297,17 +289,15 @@ def _merge_sql(primary: str, secondary: str, limit: int, per_college: int) -> st
 
 @query(
     "search_everywhere",
-    scored_sql(typed_sql())
+    scored_sql(typed_sql(q.replace("intro", "introduction") for q in TYPED))
     + ranked_sql("score", 15, 3)
     + f", near as ({_meaning_sql(17, 15, 3, 0.1)}), meaning as (select query, near.* from terms, near)"
-    + _merge_sql("found", "meaning", 15, 3),
+    + _merge_sql("found", "meaning", 15, 3).replace("select query, merged_place,", "select replace(query, 'introduction', 'intro') as query, merged_place,"),
 )
 def search_everywhere(t: Tables) -> DataFrame:
     """Word matches first, then neighbours of the query's vector, three per college."""
-    words = search.search_courses(t.parts(), TYPED, limit=15, per_college=3)
-    near = _by_meaning(t, 17, 15, 3, 0.1)
-    asked = F.explode(F.array(*[F.lit(q) for q in TYPED]))
-    return search.merge_lists(words, near.withColumn("query", asked), ["query"], 15, 3)
+    target = t.embeddings().where("course_id = 17").select("embedding").scalar()
+    return search.search_everywhere(t.parts(), TYPED, embedded_parts(t), target, min_similarity=0.1)
 
 
 CHECKED = {"red widget": "red widget", "zzqq": "zzqq", "Intro. red": "introduction red", "7.9": "7.9"}
@@ -351,7 +341,7 @@ CHECKED = {"red widget": "red widget", "zzqq": "zzqq", "Intro. red": "introducti
       from here h left join matched m on h.query = m.query where course_id is distinct from match_id
       union all select query, 'elsewhere', merged_place, course_id, course_number, title, college_id from merged where merged_place <= 10)
     select case r.query when 'introduction red' then 'Intro. red' else r.query end as query, part, place, course_id, course_number, title, college_id, match_id,
-      case when match_id is null then 'query' else 'course' end as basis, case when e is null then 'words' else 'meaning' end as method
+      case when match_id is null then 'query' else 'course' end as basis, case when match_id is null and e is null then 'words' else 'meaning' end as method
     from rows r join asked a on r.query = a.query
     """,
 )
