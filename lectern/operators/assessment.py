@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.display import percentage, round_half_up
 from lectern.functions.grading import grade
 from lectern.operators.ranks import first_rows, number_rows
+from lectern.operators.writes import patch, upsert
 
 # Lengths a test may have, and levels in display order.
 TEST_LENGTHS = (10, 25, 40, 70, 100)
@@ -60,6 +61,34 @@ def report_rows(questions: DataFrame, answers: DataFrame, keys: list[str]) -> Da
     )
 
 
+def number_from_count(new: DataFrame, held: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Positions of new rows that go on from the number of rows each key already holds."""
+    counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    numbered = number_rows(new, keys, [F.asc(order)], F.floor(F.col(order) / 10_000), "ordinal")
+    return numbered.join(counts, keys, "left").select(
+        *new.columns, (F.coalesce("held", F.lit(0)) + F.col("ordinal") - 1).alias("position")
+    )
+
+
+def record_answers(
+    attempts: DataFrame, stored: DataFrame, graded: DataFrame, attempt: str, question: str
+) -> tuple[DataFrame, DataFrame]:
+    """Write graded answers of attempts that are still open: (answers, attempts).
+
+    Answers are overwritten or added by (attempt, question); an attempt that was graded gets its score, its
+    total and its time of submission. Answers of a submitted attempt are refused.
+    """
+    open_ones = attempts.filter(F.col("submitted_at").isNull()).select(attempt)
+    taken = graded.join(open_ones, attempt, "left_semi")
+    answers = upsert(stored, taken.select(*stored.columns), [attempt, question], ["answer", "is_correct"])
+    sums = taken.groupBy(attempt).agg(
+        F.count_if("is_correct").alias("score"),
+        F.count(F.lit(1)).alias("total_questions"),
+        F.max("answered_at").alias("submitted_at"),
+    )
+    return answers, patch(attempts, sums, [attempt], ["score", "total_questions", "submitted_at"])
+
+
 def report_totals(rows: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
     """Stored score and total of an attempt, else those counted from its rows."""
     counted = rows.groupBy(key).agg(

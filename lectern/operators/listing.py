@@ -112,6 +112,12 @@ def page(
     return top.withColumn("total_count", total)
 
 
+def containing(rows: DataFrame, columns: list[str], needle: str | None) -> DataFrame:
+    """Rows of which any of the columns holds the typed text, whatever its case; nothing typed: all."""
+    wanted = (needle or "").strip()
+    return rows.filter(any_contains([F.col(c) for c in columns], wanted)) if wanted else rows
+
+
 def sort_empties_last(df: DataFrame, column: str, descending: bool, key: Column | None = None) -> DataFrame:
     """Sort with blanks at the end whichever way the rest runs."""
     value = F.nullif(F.col(column), F.lit("")) if key is None else key

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import assessment, quality, stats
+from lectern.functions import display, text
+from lectern.operators import assessment, listing, quality, stats
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
 
@@ -607,3 +608,161 @@ def question_mix(t: Tables) -> DataFrame:
     """Mix of the proposed questions of each source; answers never match an option as written."""
     source = t.read("documents").select("doc_id", "source")
     return stats.question_mix(question_candidates(t).join(source, "doc_id"), "source")
+
+
+@query(
+    "attempt_report_lines",
+    """
+    select user_id, event_id, case when event_type <> 'view' then event_type end as answer,
+      event_type = 'purchase' as is_correct, event_type = 'error' as flagged from events
+    """,
+)
+def attempt_report_lines(t: Tables) -> DataFrame:
+    """Every event of a user as a question; views have no answer."""
+    events, keys = t.read("events"), ["user_id", "event_id"]
+    given = events.filter("event_type <> 'view'").select(
+        *keys,
+        F.col("event_type").alias("answer"),
+        (F.col("event_type") == "purchase").alias("is_correct"),
+        (F.col("event_type") == "error").alias("flagged"),
+    )
+    return assessment.report_rows(events.select(*keys), given, keys)
+
+
+@query(
+    "appended_positions",
+    """
+    select event_id, user_id, (select count(*) from events h where h.user_id = e.user_id and h.event_type = 'purchase')
+      + row_number() over (partition by user_id order by event_id) - 1 as position
+    from events e where event_type = 'click'
+    """,
+)
+def appended_positions(t: Tables) -> DataFrame:
+    """Clicks appended to a list that holds a user's purchases already."""
+    events = t.read("events").select("event_id", "user_id", "event_type")
+    new, held = events.filter("event_type = 'click'"), events.filter("event_type = 'purchase'")
+    return assessment.number_from_count(new.drop("event_type"), held, ["user_id"], "event_id")
+
+
+_GRADED = """
+    with attempts as (select o_orderkey as attempt, case when o_orderstatus = 'F' then o_orderdate::timestamp end as submitted_at from orders),
+    stored as (select l_orderkey as attempt, l_linenumber as question, l_linestatus as answer, l_returnflag = 'R' as is_correct from lineitem where l_linenumber <= 2),
+    graded as (select l_orderkey as attempt, l_linenumber as question, l_returnflag as answer, l_linestatus = 'O' as is_correct, l_shipdate::timestamp as answered_at
+      from lineitem where l_linenumber >= 2),
+    taken as (select g.* from graded g join attempts a on g.attempt = a.attempt where submitted_at is null)
+"""
+
+
+@query(
+    "recorded_answers",
+    _GRADED
+    + """
+    , one as (select attempt, question, max(row(answer, is_correct)) as v from taken group by 1, 2)
+    select s.attempt, s.question, case when o.v is null then s.answer else o.v[1] end as answer, case when o.v is null then s.is_correct else o.v[2] end as is_correct
+    from stored s left join one o on s.attempt = o.attempt and s.question = o.question
+    union all select o.attempt, o.question, o.v[1], o.v[2] from one o left join stored s on s.attempt = o.attempt and s.question = o.question where s.attempt is null
+    """,
+)
+def recorded_answers(t: Tables) -> DataFrame:
+    return _recorded(t)[0]
+
+
+@query(
+    "graded_attempts",
+    _GRADED
+    + """
+    , sums as (select attempt, count(*) filter (is_correct) as score, count(*) as total_questions, max(answered_at) as submitted_at from taken group by 1)
+    select a.attempt, coalesce(s.submitted_at, a.submitted_at) as submitted_at, s.score, s.total_questions from attempts a left join sums s on a.attempt = s.attempt
+    """,
+)
+def graded_attempts(t: Tables) -> DataFrame:
+    return _recorded(t)[1]
+
+
+def _recorded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as attempts, finished ones submitted; first lines stored, later lines newly graded."""
+    attempts = t.read("orders").select(
+        F.col("o_orderkey").alias("attempt"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp_ntz")).alias("submitted_at"),
+        F.lit(None).cast("bigint").alias("score"),
+        F.lit(None).cast("bigint").alias("total_questions"),
+    )
+    lines = t.read("lineitem")
+    keys = [F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("question")]
+    stored = lines.filter("l_linenumber <= 2").select(
+        *keys, F.col("l_linestatus").alias("answer"), (F.col("l_returnflag") == "R").alias("is_correct")
+    )
+    graded = lines.filter("l_linenumber >= 2").select(
+        *keys,
+        F.col("l_returnflag").alias("answer"),
+        (F.col("l_linestatus") == "O").alias("is_correct"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("answered_at"),
+    )
+    return assessment.record_answers(attempts, stored, graded, "attempt", "question")
+
+
+@query(
+    "text_focus",
+    """
+    with d as (select doc_id, text, source, text || chr(10) || 'Required Texts: ' || source || chr(10) || text as t from documents)
+    select doc_id, length(t) - strpos(t, 'Required Texts: ') + 1 as textbook_length, 'CS 7x ' || text as focused, length(text) as whole_length,
+      case when doc_id % 2 = 0 then source || '|b' end as options
+    from d
+    """,
+)
+def text_focus(t: Tables) -> DataFrame:
+    """Passages from a heading and from a course number on, over whole texts, and option lists."""
+    docs = t.read("documents")
+    page = F.concat("text", F.lit("\nRequired Texts: "), "source", F.lit("\n"), "text")
+    options = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('["'), "source", F.lit('", "b"]')))
+    options = options.when(F.col("doc_id") % 3 == 0, '{"a": "b"}').when(F.col("doc_id") % 5 == 0, "plain")
+    return docs.select(
+        "doc_id",
+        F.length(text.focus(page, "textbooks")).alias("textbook_length"),
+        text.focus_on_number(F.concat(F.lit("front matter CS 7x "), "text"), F.lit("CS 7x")).alias("focused"),
+        F.length(text.focus_on_number(F.col("text"), F.lit("ZZ 999"))).alias("whole_length"),
+        F.array_join(text.string_list(options), "|").alias("options"),
+    )
+
+
+@query(
+    "provenance",
+    """
+    with p as (select p_partkey, ['kuali', 'generic', 'banner', 'acalog', 'other'][p_size % 5 + 1] as platform, ['manual', 'search', 'sitemap', 'homepage'][p_partkey % 4 + 1] as source from part)
+    select p_partkey,
+      case when source = 'manual' then 'Direct URL' else map {'generic': 'Scraped', 'kuali': 'Kuali', 'banner': 'Banner', 'acalog': 'Acalog'}[platform] end as label,
+      case when source = 'manual' then 'manual' when platform = 'generic' then 'scraped' when platform <> 'other' then 'platform' end as kind,
+      map {'search': 'Catalog found via web search.', 'sitemap': 'Catalog found in the site’s sitemap.xml.',
+        'homepage': 'Catalog found by following links from the homepage.'}[source] as found
+    from p
+    """,
+)
+def provenance(t: Tables) -> DataFrame:
+    """Where a catalog came from: label, kind and how it was found."""
+    platforms, sources = ("kuali", "generic", "banner", "acalog", "other"), ("manual", "search", "sitemap", "homepage")
+    platform = F.get(F.array(*[F.lit(p) for p in platforms]), F.col("p_size") % 5)
+    source = F.get(F.array(*[F.lit(s) for s in sources]), (F.col("p_partkey") % 4).cast("int"))
+    return t.read("part").select(
+        "p_partkey",
+        display.provenance_label(platform, source).alias("label"),
+        display.provenance_kind(platform, source).alias("kind"),
+        display.discovery_text(source).alias("found"),
+    )
+
+
+@query(
+    "search_departments",
+    "select c_custkey, c_name, c_mktsegment from customer where contains(lower(c_name), 'mach') or contains(lower(c_mktsegment), 'mach')",
+)
+def search_departments(t: Tables) -> DataFrame:
+    rows = t.read("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return listing.containing(rows, ["c_name", "c_mktsegment"], " Mach ")
+
+
+@query(
+    "search_colleges",
+    "select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey where contains(lower(n_name), 'ia') or contains(lower(r_name), 'ia')",
+)
+def search_colleges(t: Tables) -> DataFrame:
+    rows = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return listing.containing(rows.select("n_nationkey", "n_name", "r_name"), ["n_name", "r_name"], "iA")
