@@ -29,13 +29,18 @@ INDEX_SLUGS = (
 STRONG_INDEX, SMALLEST_INDEX = 12, 5
 
 
+# Bytes that one split of stored pages is read in by default.
+SPLIT_BYTES = 128 << 20
+
+
 def spread(pages: DataFrame) -> DataFrame:
-    """Deal pages out to at least as many tasks as there are cores: reading markup costs more than moving it.
+    """Deal a small store out to all cores: reading markup costs far more than moving it.
 
-    A store of many files already has enough splits and is left where it is.
+    A store of at least one split per core is left where it is.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return pages if size >= cores * SPLIT_BYTES else pages.repartition(cores)
 
 
 def _explode_pages(
