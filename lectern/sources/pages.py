@@ -39,7 +39,7 @@ def spread(pages: DataFrame) -> DataFrame:
     A store of at least one split per core is left where it is.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return pages if size >= cores * SPLIT_BYTES else pages.repartition(cores)
 
 
