@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lectern.llm import frames, language, neardup, packing, quality, queries, substring
 
 # Language: rejected if no label holds this share of the words.
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 # Quality: rejected below this score.
 LEAST_QUALITY = 0.5
 

@@ -187,7 +187,7 @@ def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40,
     return model
 
 
-def train(df: DataFrame, sample: int = 400, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model | None:
+def train(df: DataFrame, sample: int = 800, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model | None:
     """Fit on ``sample`` labelled rows at most, those with the smallest hashes of their id and text."""
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     mark = F.xxhash64(id_col, F.length(text))
