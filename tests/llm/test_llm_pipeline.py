@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import queries
-from test_operators import linked, windows_removed
+from test_llm_operators import linked, windows_removed
 
 FOLDER = "/root/testdata/sf0.001"
 
