@@ -231,6 +231,30 @@ def test_near_duplicates_crowd(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows, 3, 85)
 
 
+@pytest.mark.parametrize("block", [1024, 64])
+def test_near_duplicates_under_threshold(spark, monkeypatch, block):
+    """True pairs inside a crowd just under the threshold, in one block and over many."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = {}
+    for i in range(300):
+        # 78 common words, 11 own: 0.78; every 10th document shares 3 of them with the next: 0.844.
+        own = [f"pair{i // 10}.{k}" if i % 10 < 2 and k < 3 else f"own{i}.{k}" for k in range(11)]
+        rows[i] = " ".join([f"c{k}" for k in range(78)] + own)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = neardup.groups(table, 1, 80).collect()
+    want = {i: i - 1 if i % 10 == 1 else i for i in rows}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_duplicates_at_threshold(spark):
+    """A ring whose neighbours are exactly at the threshold, far pairs under it: estimates chain, links decide."""
+    rows = {i: " ".join([f"c{k}" for k in range(90)] + [f"p{(i + k) % 200}" for k in range(15)]) for i in range(0, 200, 5)}
+    rows |= {i + 1000: " ".join([f"c{k}" for k in range(90)] + [f"q{i}.{k}" for k in range(12)]) for i in range(60)}
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = neardup.groups(table, 1, 91).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows, 1, 91)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (5, 400)]
     got = dict(neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect())
