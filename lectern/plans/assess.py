@@ -300,7 +300,6 @@ def attempt_scores(t: Tables) -> DataFrame:
 def question_candidates(t: Tables) -> DataFrame:
     """Documents as proposed questions, some of them broken in every way the rules look for."""
     n = F.col("doc_id")
-    stem = F.substring(F.substring_index("text", "\n", 1), 1, 60)
     options: Column = F.array(
         F.lit("alpha"),
         F.when(n % 7 == 0, " Alpha ").otherwise("beta"),
@@ -311,11 +310,11 @@ def question_candidates(t: Tables) -> DataFrame:
         "doc_id",
         F.when(n % 3 == 0, "mcq").when(n % 3 == 1, "true_false").otherwise("short_answer").alias("type"),
         F.when(n % 11 == 0, "brutal").otherwise("hard").alias("difficulty"),
-        stem.alias("question"),
+        F.col("text").alias("question"),
         F.when(n % 5 == 0, F.slice(options, 1, 3)).otherwise(options).alias("options"),
         F.when(n % 3 == 0, F.when(n % 4 == 0, F.lit("gamma")).otherwise(F.upper("lang")))
         .when(n % 3 == 1, F.when(n % 2 == 0, " TRUE ").otherwise("maybe"))
-        .otherwise(stem)
+        .otherwise(F.col("text"))
         .alias("correct_answer"),
         F.lit("because it is so").alias("explanation"),
         F.col("lang").alias("topic"),

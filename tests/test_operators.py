@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import catalog, costs, crawl, dedupe, quota, ranks, search, similarity, writes
+from lectern.plans import assess
 from lectern.sources import pages
 
 
@@ -341,3 +343,14 @@ def test_search_table_form_equals_literal_form(spark):
         a = search.search_courses(df, queries, limit=25, per_college=3, rank_by=mode).collect()
         b = search.search_courses(df, table, limit=25, per_college=3, rank_by=mode).collect()
         assert sorted(map(str, a)) == sorted(map(str, b)) and a
+
+
+def test_question_candidates_whole_texts(spark):
+    """Proposed questions are whole texts: long ones are rejected, equal beginnings are no repeats."""
+    start = "the same first sixty characters of every document of this test"
+    rows = [(i, f"{start} {i}\nline {i}", "en", "web") for i in (2, 5, 8)] + [(14, f"{start}\n" + "x" * 1200, "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    t = SimpleNamespace(read=lambda name: docs)
+    verdicts = {r.verdict: r.questions for r in assess.validate_questions(t).collect()}
+    assert verdicts == {"accepted": 3, "question must be 10 to 1200 long": 1}
+    assert [r.repeated_stems for r in assess.question_mix(t).collect()] == [0]
