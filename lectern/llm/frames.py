@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +76,21 @@ def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word ``[^\\x20\\x09-\\x0D]+``, and how many words lie before each text."""
-    solid = ~BLANK[texts.raw]
+    return spans(~BLANK[texts.raw], texts.bounds)
+
+
+def spans(solid: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of true bytes within one text, and how many runs lie before each text."""
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     closes = solid.copy()
     closes[:-1] &= ~solid[1:]
-    edges = texts.bounds[1:-1]
+    edges = bounds[1:-1]
     edges = edges[(edges > 0) & (edges < len(solid))]
     opens[edges] = solid[edges]
     closes[edges - 1] = solid[edges - 1]
     starts = np.flatnonzero(opens)
-    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, texts.bounds)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, bounds)
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,6 +125,43 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+# Bytes of a word that are mixed lane by lane; a longer word goes through a cryptographic hash.
+LANES = 64
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word: eight bytes at a time go into a non-linear chain that starts at the length.
+
+    Unlike a sum of powers it has no words of a simple shape that collide. Two seeds give two
+    independent hashes.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
+    lanes = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    at = np.flatnonzero((size > 0) & (size <= LANES))
+    done = 0
+    while len(at):
+        left = (size[at] - done).astype(np.uint64)
+        lane = lanes[starts[at] + done]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (left[short] * np.uint64(8))) - np.uint64(1)
+        out[at] = mix((out[at] ^ mix(lane + _ODD)) * _ODD + np.uint64(done + 1))
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LANES).tolist():
+        key = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(key, "little")
+    return out
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with underscores appended until no column has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def run_hashes(items: np.ndarray, length: int) -> np.ndarray:
     """64-bit hash of every run of ``length`` consecutive items (empty if there are fewer)."""
     if len(items) < length:

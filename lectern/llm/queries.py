@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat, frames, language, neardup, packing, quality, substring, tokenfiles, topk, winnowing
+from lectern.llm import alignment, bpe, chat, decontam, frames, language, neardup, packing, quality, substring, tokenfiles, topk, tries, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,3 +192,104 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.train(docs, table(spark, folder, "labels").where(rest != 1))
     scored = quality.score(docs.select("doc_id", (rest == 1).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in ten consecutive words of a benchmark item, or in a whole shorter one."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(docs, table(spark, folder, "benchmark"), length=10, coverage=1.0)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op13_decontamination"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM items, unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0
+), runs AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM words, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) + 2 - n)) AS t(i)
+), hits AS (
+  SELECT doc_id, i, runs.n, item_id FROM runs JOIN windows ON runs.n = windows.n AND runs.s = windows.s
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hits), unnest(range(i, i + n)) AS t(k) GROUP BY doc_id
+), met AS (
+  SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id LEFT JOIN met ON words.doc_id = met.doc_id
+"""
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document read by two tokenizers, their tokens' groups, and how usual its links are in the corpus."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = alignment.align(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
+    return alignment.score(aligned, b_size=32_000)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each begun by the first turns of its block's first one."""
+    conv = F.col("conv_id")
+    turns = tries.rebuilt(
+        table(spark, folder, "conversations"),
+        head_turns=(F.crc32(conv.cast("string").cast("binary")) % 4).cast("int"),
+        base=conv - conv % 20,
+    )
+    return tries.prefix_trie(turns)
+
+
+SQL["op12_prefix_trie"] = r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS token,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), turns AS (
+  SELECT ids.conv_id, place, token, words FROM ids JOIN own ON own.conv_id = ids.conv_id WHERE place > h
+  UNION ALL SELECT ids.conv_id, place, token, words FROM ids JOIN own ON own.conv_id = ids.base WHERE place <= h
+), paths AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER c AS depth, string_agg(token, '') OVER c AS node, words, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns WINDOW c AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0, (SELECT count(*) FROM turns WHERE turns.conv_id = ids.conv_id) FROM ids
+), nodes AS MATERIALIZED (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+  FROM paths GROUP BY node
+), children AS MATERIALIZED (
+  SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE node <> '' GROUP BY 1
+), up AS (
+  SELECT node, node AS over FROM nodes
+  UNION ALL SELECT node, left(over, length(over) - 32) FROM up WHERE over <> ''
+), sums AS (
+  SELECT over AS node, count(*) FILTER (children.node IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM up JOIN nodes USING (node) LEFT JOIN children USING (node) GROUP BY over
+)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN sums ON a.node = sums.node LEFT JOIN children ON a.node = children.node
+LEFT JOIN nodes p ON a.node <> '' AND p.node = left(a.node, length(a.node) - 32)
+"""
