@@ -7,11 +7,11 @@ reaches that maximum. Inside a group every A token is linked with every B token.
 ``align`` gives the ids of both sides and how many of each side every group holds; a text that is null or
 empty, or whose tokens of either side do not spell the space and the text byte for byte, has none.
 
-``score`` counts in how many documents each id pair is linked, and measures every document against these
-counts. Nothing is counted row by row across the network: consecutive documents of about ``lot`` tokens form a
+``measure`` aligns, counts in how many documents each id pair is linked, and measures every document against these
+counts. Nothing is counted row by row across the network: consecutive documents form a
 lot, whose distinct pairs are listed once with their documents; only these lists are shuffled and summed, so
 a pair that stands in every document sends one row a lot. Counts return to the lots' lists, and a lot's list
-meets its documents, which name pairs by their place in it. Lots are bounded (a text longer than a lot is a
+meets its documents, which name pairs by their place in it. A lot is about one megabyte of text (a longer text is a
 lot of its own); a group's pairs are expanded block by block, never all at once. The table of pairs is at
 most as large as the product of both vocabularies; it is never broadcast by a hint.
 
@@ -22,8 +22,10 @@ their name is that of an output, which replaces them.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm import frames
+from lectern.llm import bpe, frames
 
 # The printable characters that stand for bytes in a byte-level vocabulary; the bytes left
 # over are written as the characters from U+0100 on, in order.
@@ -44,22 +46,38 @@ BLOCK = 1 << 20
 
 
 class ByteLevel:
-    """Ids of a byte-level tokenizer file, and the bytes of every id."""
+    """Ids of a byte-level tokenizer file for texts with a space before them, and the bytes of every id.
 
-    def __init__(self, path_or_text: str):
+    Where the file's merges are in the order of their ids, as in files made from ranks, pieces are found and
+    merged by operator 8's cached encoder; the library reads any other file.
+    """
+
+    def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(path_or_text)
-        self.tokenizer.encode_special_tokens = True
+        model = json.loads(data)["model"]
         hidden = [b for b in range(256) if b not in set(PRINTABLE)]
         back = {chr(b): b for b in PRINTABLE} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-        words = [b""] * self.tokenizer.get_vocab_size()
-        for word, i in self.tokenizer.get_vocab().items():
-            words[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
-        self.words = words
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        tokenizer = Tokenizer.from_str(data.decode())
+        self.words = [b""] * tokenizer.get_vocab_size()
+        for word, i in tokenizer.get_vocab().items():
+            self.words[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if all(model["vocab"]["".join(m)] == 256 + k for k, m in enumerate(merges)):
+            ranks = {self.words[i]: i for i in model["vocab"].values() if i < 256 + len(merges)}
+            lines = b"\n".join(base64.b64encode(w) + b" %d" % i for w, i in ranks.items())
+            self.ranked, self.tokenizer = bpe.Vocabulary(lines), None
+        else:
+            tokenizer.encode_special_tokens = True
+            self.ranked, self.tokenizer = None, tokenizer
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many lie before each text (one entry more)."""
+        spaced = [" " + t for t in texts]
+        if self.ranked is None:
+            return _flat([e.ids for e in self.tokenizer.encode_batch(spaced, add_special_tokens=False)])
+        ids, before = self.ranked.encode(frames.Texts(pa.array(spaced, pa.string())))
+        return ids.astype(np.int64), before
 
 
 class Pieces:
@@ -73,8 +91,9 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(n)]
         self.words = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many lie before each text (one entry more)."""
+        return _flat(self.model.encode(texts, num_threads=1))
 
 
 _MADE: dict[object, tuple] = {}
@@ -86,9 +105,9 @@ def _sides(files) -> tuple:
     if key not in _MADE:
         import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         made = []
-        for side in (ByteLevel(files[0].decode()), Pieces(files[1])):
+        for side in (ByteLevel(files[0]), Pieces(files[1])):
             count = np.array([len(w) for w in side.words], np.int64)
             made.append((side, count, np.cumsum(count) - count, np.frombuffer(b"".join(side.words), np.uint8)))
         _MADE[key] = (files, made)
@@ -127,6 +146,14 @@ def coalesce(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.nda
 ALIGNED = ("a_ids", "b_ids", "a_in_group", "b_in_group")
 
 
+def _shared(df: DataFrame, a_file: str, b_file: str):
+    files = []
+    for path in (a_file, b_file):
+        with open(path, "rb") as file:
+            files.append(file.read())
+    return df.sparkSession.sparkContext.broadcast(tuple(files))
+
+
 def align(df: DataFrame, a_file: str, b_file: str, text: str = "text", names: tuple[str, str, str, str] = ALIGNED) -> DataFrame:
     """Replace the text by both sides' ids and, group by group, how many ids of each side it holds.
 
@@ -136,26 +163,25 @@ def align(df: DataFrame, a_file: str, b_file: str, text: str = "text", names: tu
     replaced = {n.lower() for n in (text, *names)}
     kept = [f for f in df.schema if f.name.lower() not in replaced]
     schema = T.StructType(kept + [T.StructField(c, T.ArrayType(T.IntegerType(), False), False) for c in names])
-    files = []
-    for path in (a_file, b_file):
-        with open(path, "rb") as file:
-            files.append(file.read())
-    shared = df.sparkSession.sparkContext.broadcast(tuple(files))
+    shared = _shared(df, a_file, b_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _sides(shared.value)
         for batch in batches:
             for part in frames.slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + _groups(a, b, part.column(text).to_pylist()), schema.names)
+                found = _groups(a, b, part.column(text).to_pylist())
+                lists = [frames.list_array(x.astype(np.int32), c, pa.int32()) for x, c in found]
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + lists, schema.names)
 
     return df.select(*(f.name for f in kept), text).mapInArrow(run, schema)
 
 
-def _groups(a, b, texts: list) -> list[pa.Array]:
+def _groups(a, b, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A ids, B ids, and how many of each every group holds, end to end with the count of each text."""
     some = np.array([bool(t) for t in texts], bool)
     read = [t for t in texts if t]
     spelled = [b" " + t.encode() for t in read]
-    sides = [_flat(side[0].encode(read)) for side in (a, b)]
+    sides = [side[0].encode(read) for side in (a, b)]
     good = np.logical_and.reduce([_whole(s, *found, spelled) for s, found in zip((a, b), sides, strict=True)]) if read else np.empty(0, bool)
     ids, per_text = [], []
     for flat, before in sides:
@@ -168,8 +194,7 @@ def _groups(a, b, texts: list) -> list[pa.Array]:
     n = int(groups[0][-1]) + 1 if len(groups[0]) else 0
     # The group in which every text's first token stands tells how many groups each text has.
     heads = np.concatenate([groups[0], [n]])[np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text[0])])]
-    out = [frames.list_array(x.astype(np.int32), c, pa.int32()) for x, c in zip(ids, per_text, strict=True)]
-    return out + [frames.list_array(np.bincount(g, minlength=n).astype(np.int32), np.diff(heads), pa.int32()) for g in groups]
+    return [*zip(ids, per_text, strict=True), *((np.bincount(g, minlength=n), np.diff(heads)) for g in groups)]
 
 
 def _lists(part: pa.RecordBatch, names: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -183,22 +208,27 @@ def _lists(part: pa.RecordBatch, names: tuple[str, ...]) -> list[tuple[np.ndarra
     return out
 
 
-def distinct_links(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs ``a * size + b`` linked in the groups of one text, ascending, and how often each is.
+def distinct_links(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, group_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``group_key + a * size + b`` over the id pairs linked in groups, ascending, and how often each is.
 
     Groups are expanded in blocks of at most ``BLOCK`` pairs; a group beyond that is first reduced to
     its distinct ids, and these are paired a few A ids at a time.
     """
     a_at, b_at = np.cumsum(a_n) - a_n, np.cumsum(b_n) - b_n
     links = a_n * b_n
-    pairs, times = np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def add(more: np.ndarray, n: np.ndarray | None) -> None:
-        nonlocal pairs, times
-        both = np.concatenate([pairs, more])
+        nonlocal keys, times
+        if n is None and not len(keys):
+            keys, times = np.unique(more, return_counts=True)
+            return
+        both = np.concatenate([keys, more])
         counts = np.concatenate([times, np.ones(len(more), np.int64) if n is None else n])
-        pairs, place = np.unique(both, return_inverse=True)
-        times = np.bincount(place, weights=counts, minlength=len(pairs)).astype(np.int64)
+        order = np.argsort(both, kind="stable")
+        both, counts = both[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
+        keys, times = both[first], np.add.reduceat(counts, first) if len(first) else counts
 
     usual = np.flatnonzero(links <= BLOCK)
     upto = np.cumsum(links[usual])
@@ -210,22 +240,22 @@ def distinct_links(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: n
         # Each A token of these groups, once for every B token of its group.
         a_token = frames.ranges(a_at[g], a_n[g])
         b_first, n = np.repeat(b_at[g], a_n[g]), np.repeat(b_n[g], a_n[g])
-        add(np.repeat(a_ids[a_token], n) * size + b_ids[frames.ranges(b_first, n)], None)
+        keys_a = a_ids[a_token] * size + np.repeat(group_key[g], a_n[g])
+        add(np.repeat(keys_a, n) + b_ids[frames.ranges(b_first, n)], None)
         first = last
     for g in np.flatnonzero(links > BLOCK).tolist():
         x, nx = np.unique(a_ids[a_at[g] : a_at[g] + a_n[g]], return_counts=True)
         y, ny = np.unique(b_ids[b_at[g] : b_at[g] + b_n[g]], return_counts=True)
         step = max(BLOCK // len(y), 1)
         for k in range(0, len(x), step):
-            add((x[k : k + step, None] * size + y).ravel(), (nx[k : k + step, None] * ny).ravel())
-    return pairs, times
+            add((group_key[g] + x[k : k + step, None] * size + y).ravel(), (nx[k : k + step, None] * ny).ravel())
+    return keys, times
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of every group in order."""
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, per_text: np.ndarray) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` for every text: decimal ids of its groups in order (no groups: empty)."""
     if not len(a_ids):
-        return b""
-    groups = np.arange(len(a_n))
+        return [b""] * len(per_text)
     a_place = np.arange(len(a_ids)) + np.repeat(np.cumsum(b_n) - b_n, a_n)
     b_place = np.arange(len(b_ids)) + np.repeat(np.cumsum(a_n), b_n)
     ids = np.empty(len(a_ids) + len(b_ids), np.int64)
@@ -233,7 +263,7 @@ def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.n
     mark = np.full(len(ids), ord(","), np.uint8)
     last_b = np.cumsum(a_n + b_n) - 1
     mark[last_b - b_n] = ord("|")
-    mark[last_b[groups[:-1]]] = ord(";")
+    mark[last_b] = ord(";")
     digits = np.ones(len(ids), np.int64)
     for k in range(1, len(str(int(ids.max())))):
         digits += ids >= 10**k
@@ -247,7 +277,9 @@ def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_n: np.ndarray, b_n: np.n
         k += 1
         more = digits[at] > k
         at, rest = at[more], rest[more] // 10
-    return out[:-1].tobytes()
+    data = out.tobytes()
+    stops = np.concatenate([np.zeros(1, np.int64), ends[last_b]])[np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text)])].tolist()
+    return [data[x : max(y - 1, x)] for x, y in itertools.pairwise(stops)]
 
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -259,67 +291,56 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _listed(aligned: DataFrame, size: int, lot_size: int, aligned_names: tuple[str, ...], kept: list, own: list[str]) -> DataFrame:
-    """Measures of every document, its pairs as places in its lot's list, and each lot's list on its first row."""
-    numbers = T.ArrayType(T.IntegerType(), False)
+def _lot(part: pa.RecordBatch, found: list, kept: list, lot: int, size: int, target: pa.Schema) -> pa.RecordBatch:
+    """Measures of a lot's documents, their pairs as places in the lot's list, and that list on the first row."""
+    (a_ids, n_a), (b_ids, n_b), (a_n, n_groups), (b_n, _) = found
+    rows = len(n_a)
+    span = (int(a_ids.max()) + 1 if len(a_ids) else 1) * size
+    row_of_group = np.repeat(np.arange(rows), n_groups)
+    keys, times = distinct_links(a_ids, b_ids, a_n, b_n, row_of_group * span, size)
+    known, place, documents = np.unique(keys % span, return_inverse=True, return_counts=True)
+    counts = np.bincount(keys // span, minlength=rows)
+    texts = groups_text(a_ids, b_ids, a_n, b_n, n_groups)
+    links = np.concatenate([np.zeros(1, np.int64), np.cumsum(a_n * b_n)])
+    ahead = np.concatenate([np.zeros(1, np.int64), np.cumsum(n_groups)])
+    values = [n_a, n_b, n_groups, links[ahead[1:]] - links[ahead[:-1]], [hashlib.sha256(t).hexdigest() if t else "" for t in texts], np.full(rows, lot)]
+    kinds = target.types[len(kept) :]
+    columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=False)]
+    columns += [frames.list_array(place.astype(np.int32), counts, pa.int32()), frames.list_array(times, counts, pa.int64())]
+    head = [None] * (rows - 1)
+    columns += [pa.array([x, *head], pa.list_(pa.int64())) for x in (known, documents)]
+    columns = [c.cast(k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + columns, schema=target)
+
+
+def measure(
+    df: DataFrame, a_file: str, b_file: str, b_size: int, text: str = "text", names: tuple[str, ...] = MEASURES, lot: int = frames.SLICE_BYTES
+) -> DataFrame:
+    """Replace the text by the measures of its alignment against the pair counts of all documents.
+
+    Files as for ``align``; ``b_size`` is the number of ids of side B, ``lot`` the bytes of text in a lot.
+    """
+    replaced = {n.lower() for n in (text, *names)}
+    kept = [f for f in df.schema if f.name.lower() not in replaced]
+    own = [frames.spare([f.name for f in kept], f"_{c}") for c in ("n_a", "n_b", "n_groups", "n_links", "groups", "lot", "place", "times", "pairs", "documents")]
+    lot_col, place, times, pairs, documents = own[5:]
     longs = T.ArrayType(T.LongType(), False)
-    added = [T.LongType()] * 4 + [T.StringType(), T.LongType(), numbers, longs, longs, longs]
-    schema = T.StructType(kept + [T.StructField(c, k) for c, k in zip(own, added, strict=True)])
+    added = [T.LongType()] * 4 + [T.StringType(), T.LongType(), T.ArrayType(T.IntegerType(), False), longs, longs, longs]
+    listing = T.StructType(kept + [T.StructField(c, k) for c, k in zip(own, added, strict=True)])
+    spark, shared = df.sparkSession, _shared(df, a_file, b_file)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        target, number = _arrow(schema), 0
-        base = TaskContext.get().partitionId() << 32
+        (a, b), target = _sides(shared.value), _arrow(listing)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            tokens = _lists(batch.select(aligned_names[:1]), aligned_names[:1])[0][1]
-            start = 0
-            while start < batch.num_rows:
-                stop = int(np.searchsorted(tokens, tokens[start] + lot_size, "right")) - 1
-                stop = min(max(stop, start + 1), batch.num_rows)
-                yield _lot(batch.slice(start, stop - start), base + number, target)
-                start, number = stop, number + 1
-
-    def _lot(part: pa.RecordBatch, lot: int, target: pa.Schema) -> pa.RecordBatch:
-        lists = _lists(part, aligned_names)
-        pairs, times, digests, links = [], [], [], []
-        for r in range(part.num_rows):
-            a_ids, b_ids, a_n, b_n = (flat[before[r] : before[r + 1]] for flat, before in lists)
-            found = distinct_links(a_ids, b_ids, a_n, b_n, size)
-            pairs.append(found[0])
-            times.append(found[1])
-            links.append(int((a_n * b_n).sum()))
-            digests.append(hashlib.sha256(groups_text(a_ids, b_ids, a_n, b_n)).hexdigest() if len(a_ids) else "")
-        counts = np.array([len(p) for p in pairs], np.int64)
-        known, place, documents = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
-        n_a, n_b, n_groups = (np.diff(lists[k][1]) for k in (0, 1, 2))
-        head = [None] * (part.num_rows - 1)
-        values = [n_a, n_b, n_groups, links, digests, np.full(part.num_rows, lot)]
-        columns = [pa.array(v, k) for v, k in zip(values, target.types[len(kept) :], strict=False)]
-        columns.append(frames.list_array(place.astype(np.int32), counts, pa.int32()))
-        columns.append(frames.list_array(np.concatenate(times), counts, pa.int64()))
-        columns += [pa.array([x.tolist(), *head], pa.list_(pa.int64())) for x in (known, documents)]
-        return pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [c.cast(t) for c, t in zip(columns, target.types[len(kept) :], strict=True)], schema=target)
-
-    return aligned.mapInArrow(run, schema)
-
-
-def score(
-    aligned: DataFrame, b_size: int, names: tuple[str, ...] = MEASURES, aligned_names: tuple[str, str, str, str] = ALIGNED, lot: int = 1 << 18
-) -> DataFrame:
-    """Replace ids and groups by each document's measures against the pair counts of all documents.
+            for part in frames.slices(batch, text, lot):
+                yield _lot(part, _groups(a, b, part.column(text).to_pylist()), kept, number, b_size, target)
+                number += 1
 
-    ``b_size`` is the number of ids of side B, ``lot`` the A tokens of a lot.
-    """
-    replaced = {n.lower() for n in (*names, *aligned_names)}
-    kept = [f for f in aligned.schema if f.name.lower() not in replaced]
-    own = []
-    for c in ("n_a", "n_b", "n_groups", "n_links", "groups", "lot", "place", "times", "pairs", "documents"):
-        own.append(frames.spare([f.name for f in kept], f"_{c}"))
-    lot_col, place, times, pairs, documents = own[5:]
-    spark = aligned.sparkSession
     path = f"{frames.shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    _listed(aligned, b_size, lot, aligned_names, kept, own).write.parquet(path)
+    df.select(*(f.name for f in kept), text).mapInArrow(aligned, listing).write.parquet(path)
     listed = spark.read.parquet(path)
 
     heads = listed.where(F.col(pairs).isNotNull()).select(F.col(lot_col).alias("lot"), F.col(pairs).alias("pairs"), F.col(documents).alias("documents"))

@@ -240,8 +240,7 @@ FROM words LEFT JOIN covered ON words.doc_id = covered.doc_id LEFT JOIN met ON w
 def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Every document read by two tokenizers, their tokens' groups, and how usual its links are in the corpus."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    aligned = alignment.align(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
-    return alignment.score(aligned, b_size=32_000)
+    return alignment.measure(docs, vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"), b_size=32_000)
 
 
 @query

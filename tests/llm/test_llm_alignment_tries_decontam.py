@@ -20,6 +20,8 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+FILES = (queries.vocabulary_file("byte_bpe_50k.json"), queries.vocabulary_file("piece_bpe_32k.model"))
+
 # -- op11 --------------------------------------------------------------------------------------
 
 
@@ -72,11 +74,10 @@ TEXTS = [
 def aligned(spark, texts, **more):
     rows = [(i, t, 5, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, N_A int, lot string").repartition(3)
-    found = alignment.align(docs, queries.vocabulary_file("byte_bpe_50k.json"), queries.vocabulary_file("piece_bpe_32k.model"))
-    return alignment.score(found, b_size=32_000, **more)
+    return alignment.measure(docs, *FILES, b_size=32_000, **more)
 
 
-@pytest.mark.parametrize("lot", [1 << 18, 50])
+@pytest.mark.parametrize("lot", [1 << 20, 150])
 def test_alignment_equals_pair_by_pair_counts(spark, lot):
     rng = random.Random(7)
     texts = TEXTS + ["".join(rng.choices(["the ", "ing", "é", "中", " ", "\n", "Zürich", "0x", "ly ", "'s"], k=rng.randint(1, 60))) for _ in range(60)]
@@ -91,20 +92,45 @@ def test_alignment_equals_pair_by_pair_counts(spark, lot):
 def test_alignment_of_no_documents(spark):
     assert aligned(spark, ["x"]).count() == 1
     docs = spark.createDataFrame([], "doc_id long, text string")
-    found = alignment.align(docs, queries.vocabulary_file("byte_bpe_50k.json"), queries.vocabulary_file("piece_bpe_32k.model"))
-    assert alignment.score(found, b_size=32_000).collect() == []
+    assert alignment.measure(docs, *FILES, b_size=32_000).collect() == []
+    assert alignment.align(docs, *FILES).collect() == []
+
+
+def test_aligned_groups_hold_the_ids_of_both_sides(spark):
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(FILES[0])
+    a.encode_special_tokens = True
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for r in alignment.align(docs, *FILES).collect():
+        t = TEXTS[r["doc_id"]]
+        assert sum(r["a_in_group"]) == len(r["a_ids"]) and sum(r["b_in_group"]) == len(r["b_ids"]) and len(r["a_in_group"]) == len(r["b_in_group"])
+        if r["a_ids"]:
+            assert r["a_ids"] == a.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_own_merging_equals_the_library_on_every_character(spark):
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(FILES[0])
+    a.encode_special_tokens = True
+    texts = [f"a{c}b {c}{c}1{c}" for c in map(chr, range(1, 0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    with open(FILES[0], "rb") as file:
+        ids, before = alignment.ByteLevel(file.read()).encode(texts)
+    want = [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert ids.tolist() == [i for e in want for i in e]
 
 
 def test_a_huge_group_is_expanded_in_blocks(monkeypatch):
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 40, 300), rng.integers(0, 30, 200)
-    a_n, b_n = np.array([100, 1, 199]), np.array([1, 150, 49])
-    want = alignment.distinct_links(a, b, a_n, b_n, 1000)
+    a_n, b_n, key = np.array([100, 1, 199]), np.array([1, 150, 49]), np.array([0, 0, 10**6])
+    want = alignment.distinct_links(a, b, a_n, b_n, key, 1000)
     monkeypatch.setattr(alignment, "BLOCK", 60)
-    got = alignment.distinct_links(a, b, a_n, b_n, 1000)
+    got = alignment.distinct_links(a, b, a_n, b_n, key, 1000)
     count = collections.Counter()
-    for s, t, u, v in ((0, 100, 0, 1), (100, 101, 1, 151), (101, 300, 151, 200)):
-        count.update(int(x) * 1000 + int(y) for x in a[s:t] for y in b[u:v])
+    for s, t, u, v, k in ((0, 100, 0, 1, 0), (100, 101, 1, 151, 0), (101, 300, 151, 200, 10**6)):
+        count.update(k + int(x) * 1000 + int(y) for x in a[s:t] for y in b[u:v])
     for pairs, times in (want, got):
         assert dict(zip(pairs.tolist(), times.tolist(), strict=True)) == count
 
@@ -112,7 +138,8 @@ def test_a_huge_group_is_expanded_in_blocks(monkeypatch):
 def test_groups_are_the_common_boundaries():
     a, b = alignment.coalesce(np.array([2, 3, 1, 4]), np.array([5, 2, 2, 1]))
     assert a.tolist() == [0, 0, 1, 1] and b.tolist() == [0, 1, 1, 1]
-    assert alignment.groups_text(np.array([10, 7, 0]), np.array([123, 5]), np.array([2, 1]), np.array([1, 1])) == b"10,7|123;0|5"
+    ids = np.array([10, 7, 0, 4]), np.array([123, 5, 6])
+    assert alignment.groups_text(*ids, np.array([2, 1, 1]), np.array([1, 1, 1]), np.array([0, 2, 0, 1, 0])) == [b"", b"10,7|123;0|5", b"", b"4|6", b""]
 
 
 def test_op11_query_equals_brute_force(spark):
