@@ -41,8 +41,10 @@ from lectern.llm import bpe, frames
 # over are written as the characters from U+0100 on, in order.
 PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 
-# Pairs that are expanded at a time.
-BLOCK = 1 << 20
+# Pairs that are expanded at a time, bytes of text that are read by both sides at a time, and merged pieces kept.
+BLOCK = 1 << 18
+READ = 1 << 18
+CACHED = 200_000
 
 
 class ByteLevel:
@@ -53,23 +55,24 @@ class ByteLevel:
     """
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
-
-        model = json.loads(data)["model"]
+        whole = json.loads(data)
+        vocab, merges = whole["model"]["vocab"], whole["model"]["merges"]
+        ids = vocab | {t["content"]: t["id"] for t in whole.get("added_tokens", ())}
         hidden = [b for b in range(256) if b not in set(PRINTABLE)]
         back = {chr(b): b for b in PRINTABLE} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
-        tokenizer = Tokenizer.from_str(data.decode())
-        self.words = [b""] * tokenizer.get_vocab_size()
-        for word, i in tokenizer.get_vocab().items():
+        self.words = [b""] * (max(ids.values()) + 1)
+        for word, i in ids.items():
             self.words[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        if all(model["vocab"]["".join(m)] == 256 + k for k, m in enumerate(merges)):
-            ranks = {self.words[i]: i for i in model["vocab"].values() if i < 256 + len(merges)}
-            lines = b"\n".join(base64.b64encode(w) + b" %d" % i for w, i in ranks.items())
-            self.ranked, self.tokenizer = bpe.Vocabulary(lines), None
+        self.ranked = self.tokenizer = None
+        if all(vocab["".join(m.split(" ") if isinstance(m, str) else m)] == 256 + k for k, m in enumerate(merges)):
+            lines = [base64.b64encode(self.words[i]) + b" %d" % i for i in vocab.values() if i < 256 + len(merges)]
+            self.ranked = bpe.Vocabulary(b"\n".join(lines))
+            self.ranked.cache.limit = CACHED
         else:
-            tokenizer.encode_special_tokens = True
-            self.ranked, self.tokenizer = None, tokenizer
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(data.decode())
+            self.tokenizer.encode_special_tokens = True
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many lie before each text (one entry more)."""
@@ -168,7 +171,7 @@ def align(df: DataFrame, a_file: str, b_file: str, text: str = "text", names: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _sides(shared.value)
         for batch in batches:
-            for part in frames.slices(batch, text):
+            for part in frames.slices(batch, text, READ):
                 found = _groups(a, b, part.column(text).to_pylist())
                 lists = [frames.list_array(x.astype(np.int32), c, pa.int32()) for x, c in found]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + lists, schema.names)
@@ -336,7 +339,9 @@ def measure(
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in frames.slices(batch, text, lot):
-                yield _lot(part, _groups(a, b, part.column(text).to_pylist()), kept, number, b_size, target)
+                read = [_groups(a, b, few.column(text).to_pylist()) for few in frames.slices(part, text, READ)]
+                found = [tuple(map(np.concatenate, zip(*x, strict=True))) for x in zip(*read, strict=True)]
+                yield _lot(part, found, kept, number, b_size, target)
                 number += 1
 
     path = f"{frames.shared_folder(spark)}/alignment-{uuid.uuid4().hex}"
