@@ -118,7 +118,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span: equal spans have equal hashes wherever they stand."""
+    """64-bit polynomial hash of each span: equal spans have equal hashes wherever they stand.
+
+    For short spans only; long ones of a simple shape can collide (``word_hashes`` is for words).
+    """
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -163,13 +166,20 @@ def spare(columns: list[str], name: str) -> str:
 
 
 def run_hashes(items: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hash of every run of ``length`` consecutive items (empty if there are fewer)."""
+    """64-bit hash of every run of ``length`` consecutive items (empty if there are fewer), by doubling."""
     if len(items) < length:
         return np.empty(0, np.uint64)
-    out = items[: len(items) - length + 1].copy()
-    for k in range(1, length):
-        out = out * _ODD + items[k : len(items) - length + 1 + k]
-    return mix(out)
+    n = len(items) - length + 1
+    have, block, out, done = 1, items, None, 0
+    while True:
+        if length & have:
+            part = block[done : done + n]
+            out = mix(part + _ODD) if out is None else mix(out * _ODD + mix(part))
+            done += have
+        if have * 2 > length:
+            return out
+        block = mix(block[:-have] * _ODD + mix(block[have:]))
+        have *= 2
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:

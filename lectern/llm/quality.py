@@ -58,7 +58,7 @@ def statistics(texts: frames.Texts) -> np.ndarray:
 
     width = ends - starts
     capitals, symbols, letters = (s[ends] - s[starts] for s in (sums[0], sums[2], sums[5]))
-    words = frames.span_hashes(raw, starts, ends) if len(starts) else np.empty(0, np.uint64)
+    words = frames.word_hashes(raw, starts, ends) if len(starts) else np.empty(0, np.uint64)
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     order = np.lexsort((words, row))

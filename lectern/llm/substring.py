@@ -37,7 +37,7 @@ _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of word hashes ``[start, end)``."""
+    """64-bit hash of each run of window hashes ``[start, end)``."""
     up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), _ODD)]))
     down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), np.uint64(pow(int(_ODD), -1, 1 << 64)))]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(frames.mix(hashes) * up[:-1])])
@@ -59,7 +59,7 @@ def super_kmers(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                 starts, ends, before = frames.words(texts)
                 if len(starts) < width:
                     continue
-                hashes = frames.span_hashes(texts.raw, starts, ends)
+                hashes = frames.word_hashes(texts.raw, starts, ends)
                 lowest = frames.window_minima(frames.run_hashes(hashes, anchor), width - anchor + 1)
                 row = np.repeat(np.arange(texts.n), np.diff(before))[: len(lowest)]
                 inside = np.flatnonzero(np.arange(len(lowest)) + width <= before[row + 1])
@@ -71,7 +71,7 @@ def super_kmers(docs: DataFrame, width: int, anchor: int) -> DataFrame:
                 at = np.flatnonzero(opens)
                 n = np.diff(at, append=len(inside))
                 first, row = inside[at], row[at]
-                digest = _sequence_hashes(hashes, first, first + n + width - 1)
+                digest = _sequence_hashes(frames.run_hashes(hashes, width), first, first + n)
                 taken = part.select(["_doc", "_mark"]).take(pa.array(row))
                 columns = [pa.array(value[at].view(np.int64)), pa.array(digest.view(np.int64)), taken.column(0), taken.column(1)]
                 columns += [pa.array(x, pa.int32()) for x in (first - before[row], n)]
@@ -111,9 +111,8 @@ def _stretches(rows: DataFrame, heads: DataFrame, width: int, id_col: str, text:
                         packed, high, low = None, None, None
                         if r["crowded"]:
                             if both is None:
-                                own = frames.span_hashes(texts.raw, starts[at : before[i + 1]], ends[at : before[i + 1]])
-                                k = np.arange(len(own) - width + 1)
-                                both = [x.view(np.int64) for x in (frames.run_hashes(own, width), _sequence_hashes(own, k, k + width))]
+                                span = starts[at : before[i + 1]], ends[at : before[i + 1]]
+                                both = [frames.run_hashes(frames.word_hashes(texts.raw, *span, seed), width).view(np.int64) for seed in (0, 1)]
                             high, low = (x[r["first"] : r["first"] + n] for x in both)
                         else:
                             packed = b" ".join([data[s:e] for s, e in zip(starts[a : a + n + width - 1].tolist(), ends[a : a + n + width - 1].tolist(), strict=True)]).decode()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import alignment, decontam, frames, queries, tries
+from lectern.llm import alignment, decontam, frames, neardup, queries, substring, tries
 
 BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -306,3 +306,23 @@ def test_word_hashes_tell_words_apart():
     assert not len(np.intersect1d(found, frames.word_hashes(data, starts, ends, seed=1)))
     again = frames.word_hashes(np.frombuffer(b"xx" + words[5].encode(), np.uint8), np.array([2]), np.array([2 + len(words[5])]))
     assert again[0] == found[5]
+
+
+def test_words_on_which_sums_of_powers_agree_stay_apart(spark):
+    one, other = swaps()
+    tail = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} p q"), (4, f"{other} p q")], "doc_id long, text string")
+    for crowd in (1000, 0):
+        assert {r["doc_id"]: r["n_removed"] for r in substring.remove(docs, crowd=crowd).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    groups = neardup.groups(docs.where("doc_id > 2"), words=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {3: 3, 4: 4}
+
+
+def test_run_hashes_tell_sequences_apart():
+    one, other = ([w == "a" for w in s[:1500]] for s in swaps())
+    words = frames.mix(np.array([[2, 1][x] for x in one + other], np.uint64))
+    for length in (1, 2, 3, 5, 50, 64, 900):
+        found = frames.run_hashes(words, length)
+        assert len(found) == len(words) - length + 1
+        runs = {words[i : i + length].tobytes() for i in range(len(found))}
+        assert len(np.unique(found)) == len(runs)
