@@ -326,7 +326,7 @@ def question_candidates(t: Tables) -> DataFrame:
     r"""
     with s as (
       select doc_id, lang, source, doc_id % 3 as kind,
-        regexp_replace(substring(split_part(text, chr(10), 1), 1, 60), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') as q from documents),
+        regexp_replace(text, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') as q from documents),
     r as (
       select doc_id, case
         when doc_id % 11 = 0 then 'unknown difficulty'
@@ -595,7 +595,7 @@ def export_sets(t: Tables) -> DataFrame:
     "question_mix",
     """
     with q as (
-      select source, lang as topic, lower(trim(substring(split_part(text, chr(10), 1), 1, 60))) as stem,
+      select source, lang as topic, lower(trim(text)) as stem,
         doc_id % 3 as kind, doc_id % 11 as level, doc_id from documents)
     select source, count(*) as questions, count(*) filter (where kind = 0) as mcq, count(*) filter (where kind = 1) as true_false,
       count(*) filter (where kind = 2) as short_answer, 0::bigint as easy, 0::bigint as medium, count(*) filter (where level <> 0) as hard,

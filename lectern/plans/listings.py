@@ -295,12 +295,9 @@ def sets_to_avoid(t: Tables) -> DataFrame:
 @query(
     "stems_to_avoid",
     """
-    with avoid as (select distinct source, lang from documents where lang <> 'en'),
-    held as (
-      select a.source as for_set, d.lang as test_set_id, d.doc_id as position,
-        row_number() over (partition by a.source order by d.lang, d.doc_id) as place
-      from avoid a join documents d on d.lang = a.lang)
-    select for_set, test_set_id, position from held where place <= 300
+    with avoid as (select distinct source, lang from documents where lang <> 'en')
+    select a.source as for_set, d.lang as test_set_id, d.doc_id as position, d.text as question
+    from avoid a join documents d on d.lang = a.lang
     """,
 )
 def stems_to_avoid(t: Tables) -> DataFrame:
@@ -311,9 +308,9 @@ def stems_to_avoid(t: Tables) -> DataFrame:
     questions = docs.select(
         F.col("lang").alias("test_set_id"),
         F.col("doc_id").alias("position"),
-        F.substring_index("text", "\n", 1).alias("question"),
+        F.col("text").alias("question"),
     )
-    return context.stems_to_avoid(avoid, questions).drop("question")
+    return context.stems_to_avoid(avoid, questions)
 
 
 @query(
