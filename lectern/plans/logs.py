@@ -134,7 +134,7 @@ def live_status(t: Tables) -> DataFrame:
         "job_id", "seq", F.col("e.type").alias("kind"), F.col("e.cost").alias("cost")
     )
     path = logs.scratch(t.spark, "status")
-    logs.keep_current(parsed, path, logs.job_status, logs.merge_status)
+    logs.keep_current(parsed, path, logs.job_status, logs.merge_status, ["job_id"])
     return logs.newest_version(t.spark, path).select(
         "job_id",
         "started",
@@ -163,7 +163,7 @@ def trace_summary(t: Tables) -> DataFrame:
         F.floor("value").alias("bytes"),
     )
     path = logs.scratch(t.spark, "trace")
-    logs.keep_current(requests, path, logs.trace_summary, logs.merge_trace)
+    logs.keep_current(requests, path, logs.trace_summary, logs.merge_trace, ["level", "status"])
     summary = logs.finish_trace(logs.newest_version(t.spark, path))
     return summary.withColumn("ms_mean", F.round("ms_mean", 6))
 
@@ -182,3 +182,40 @@ def rolling_24h_live(t: Tables) -> DataFrame:
         events_stream(t), lambda: t.read("events"), path, "user_id", "ts", "event_id"
     )
     return t.spark.read.parquet(f"{path}/rows").drop("batch")
+
+
+@query(
+    "interrupted_jobs_live",
+    f"""
+    select job_id, heartbeat_at, case when status = 'running' and heartbeat_at < (select max(ts) from events) - interval 90 seconds
+      then 'interrupted' else status end as status from ({_STATUS_SQL})
+    """,
+)
+def interrupted_jobs_live(t: Tables) -> DataFrame:
+    """Jobs that timers on the log's own time found quiet, by the end of the log."""
+    beats = events_stream(t).select(
+        F.col("user_id").alias("job_id"),
+        F.col("ts").alias("heartbeat_at"),
+        F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("status"),
+    )
+    path = logs.scratch(t.spark, "watch")
+    logs.watch_jobs(beats, path, clock="event", wait=True)
+    return logs.newest_version(t.spark, path).select("job_id", "heartbeat_at", "status")
+
+
+@query(
+    "rolling_24h_state",
+    """
+    select user_id, ts, event_id, c as in_day, c - 1 >= 10 as over_cap
+    from (select *, count(*) over (partition by user_id order by ts
+            range between interval 24 hours preceding and current row) as c from events)
+    where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 hour
+    """,
+)
+def rolling_24h_state(t: Tables) -> DataFrame:
+    """The rolling day from keyed state: all hours that are over, an hour behind the end of the log."""
+    path = logs.scratch(t.spark, "rolling-state")
+    stream = events_stream(t)
+    logs.keep_rolling_counts(stream, path, "user_id", "ts", "event_id")
+    return t.spark.read.parquet(f"{path}/rows")
