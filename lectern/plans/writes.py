@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import writes
-from lectern.plans.registry import query
+from lectern.plans.registry import REGISTRY, query
+from lectern.sources import buckets
 from lectern.sources.tables import Tables
+from lectern.streaming.logs import scratch
 
 NOW = "2002-01-01 00:00:00"
 
@@ -239,34 +241,40 @@ def backfill_checked(t: Tables) -> DataFrame:
 )
 def cascade_delete(t: Tables) -> DataFrame:
     """Dropping a region's colleges takes their subtree along and unlinks the ledger."""
-    tables = {
+    tables = subtree(t)
+    doomed = tables["colleges"].filter("region_name = 'ASIA'")
+    return remainder(writes.cascade_delete(tables, "colleges", doomed, SUBTREE_LINKS, "college_id"))
+
+
+SUBTREE_LINKS = [
+    ("departments", "college_id", "colleges", "college_id", "cascade"),
+    ("courses", "department_id", "departments", "department_id", "cascade"),
+    ("sections", "course_id", "courses", "course_id", "cascade"),
+    ("usage", "department_id", "departments", "department_id", "null"),
+]
+SUBTREE_KEYS = {
+    "colleges": ["college_id"],
+    "departments": ["department_id"],
+    "courses": ["course_id"],
+    "sections": ["course_id", "l_linenumber"],
+    "usage": ["event_id"],
+}
+
+
+def subtree(t: Tables) -> dict[str, DataFrame]:
+    return {
         "colleges": t.colleges().select("college_id", "region_name"),
         "departments": t.departments().select("department_id", "college_id"),
         "courses": t.courses().select("course_id", "department_id"),
         "sections": t.read("lineitem").select(F.col("l_orderkey").alias("course_id"), "l_linenumber"),
         "usage": t.read("events").select("event_id", F.col("event_id").alias("department_id")),
     }
-    left = writes.cascade_delete(
-        tables,
-        "colleges",
-        tables["colleges"].filter("region_name = 'ASIA'"),
-        [
-            ("departments", "college_id", "colleges", "college_id", "cascade"),
-            ("courses", "department_id", "departments", "department_id", "cascade"),
-            ("sections", "course_id", "courses", "course_id", "cascade"),
-            ("usage", "department_id", "departments", "department_id", "null"),
-        ],
-        "college_id",
-    )
-    keys = {
-        "colleges": "college_id",
-        "departments": "department_id",
-        "courses": "course_id",
-        "sections": "course_id",
-        "usage": "event_id",
-    }
+
+
+def remainder(left: dict[str, DataFrame]) -> DataFrame:
+    """What is left of each table of the subtree, as one row."""
     out = None
-    for name, key in keys.items():
+    for name, (key, *_) in SUBTREE_KEYS.items():
         link = "department_id" if name == "usage" else key
         row = left[name].agg(
             F.count(F.lit(1)).alias("kept"),
@@ -293,3 +301,59 @@ def toggle_favorites(t: Tables) -> DataFrame:
     starred = events.filter("event_type = 'purchase'").select("user_id", target)
     presses = events.filter("event_type in ('click', 'view')").select("user_id", target)
     return writes.toggle(starred, presses, ["user_id", "course_id"])
+
+
+@query("stored_cascade", REGISTRY["cascade_delete"].sql)
+def stored_cascade(t: Tables) -> DataFrame:
+    """The same removal from stored tables, of which only the buckets that lose rows are written."""
+    folder = scratch(t.spark, "subtree")
+    stored = {
+        name: buckets.BucketTable.store(df, f"{folder}/{name}", SUBTREE_KEYS[name], 16) for name, df in subtree(t).items()
+    }
+    doomed = stored["colleges"].read().filter("region_name = 'ASIA'")
+    buckets.cascade_delete(stored, "colleges", doomed, SUBTREE_LINKS)
+    return remainder({name: table.read() for name, table in stored.items()})
+
+
+@query("stored_toggle", REGISTRY["toggle_favorites"].sql)
+def stored_toggle(t: Tables) -> DataFrame:
+    """Stars kept as a stored table, one batch of presses after another (views, then clicks)."""
+    target = F.get_json_object("props", "$.k").cast("bigint").alias("course_id")
+    events = t.read("events")
+    starred = events.filter("event_type = 'purchase'").select("user_id", target).distinct()
+    keys = ["user_id", "course_id"]
+    table = buckets.BucketTable.store(starred, scratch(t.spark, "stars"), keys, 16)
+    for kind in ("view", "click"):
+        table.toggle(events.filter(F.col("event_type") == kind).select("user_id", target))
+    return table.read()
+
+
+@query(
+    "stored_courses",
+    """
+    with newest as (select max(o_orderdate) as day from orders),
+    top as (select o_custkey as k, count(*) as n from orders group by 1 order by n desc, k limit 1)
+    select o_orderkey as course_id, case when o_orderdate = day then 'Renamed ' || o_orderstatus else o_orderpriority end as title,
+      case when o_orderdate = day then timestamp '2002-01-01' else o_orderdate end as scraped_at
+    from orders, newest where o_custkey <> (select k from top)
+    union all select -c_custkey, c_name, timestamp '2002-01-01' from customer where c_acctbal < -990
+    """,
+)
+def stored_courses(t: Tables) -> DataFrame:
+    """Courses stored by key: the last day's are scraped again, some are new, and the busiest department's go."""
+    orders = t.read("orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("course_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("scraped_at")
+    )
+    table = buckets.BucketTable.store(rows, scratch(t.spark, "courses"), ["course_id"], 64)
+    newest = orders.agg(F.max("o_orderdate")).scalar()
+    again = orders.filter(F.col("o_orderdate") == newest).select(
+        F.col("o_orderkey").alias("course_id"), F.concat(F.lit("Renamed "), "o_orderstatus").alias("title"), now().alias("scraped_at")
+    )
+    new = t.read("customer").filter("c_acctbal < -990").select(
+        (-F.col("c_custkey")).alias("course_id"), F.col("c_name").alias("title"), now().alias("scraped_at")
+    )
+    table.upsert(again.unionByName(new), ["title", "scraped_at"])
+    busiest = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(1)
+    table.delete(orders.join(busiest, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("course_id")))
+    return table.read()
