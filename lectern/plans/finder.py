@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import text
-from lectern.operators import search, similarity
+from lectern.functions import sql, text
+from lectern.operators import search, similarity, sqltables
 from lectern.plans.coverage import COLLEGE_STATS_SQL, college_stats_of
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
@@ -540,3 +540,84 @@ def token_jaccard(t: Tables) -> DataFrame:
     return placed.join(before, ["source", "n"]).select(
         "doc_id", "other", F.round(text.token_jaccard(F.col("tokens"), F.col("b")), 6).alias("jaccard")
     )
+
+
+# -- the same from SQL -------------------------------------------------------------------------
+
+
+@query(
+    "sql_functions",
+    f"""
+    select p_partkey, array_to_string({_content('p_name')}, ' ') as words, {_squash('p_brand')} as number_key,
+      round({_sim(_grams("'small rings'"), _grams('p_name'))}, 6) as sim, round({_word_sim(_grams("'small rings'"), _gram_list('p_name'))}, 6) as word_sim,
+      case when length(list_filter({_content('p_name')}, lambda b: b = 'hot')) > 0 then 1.0 else 0.0 end as coverage,
+      case when p_partkey < 50 then 'Introductory' when p_partkey < 100 then 'Undergraduate'
+        when floor(p_partkey / case when p_partkey < 1000 then 100 else 1000 end) <= 1 then 'Introductory'
+        when floor(p_partkey / case when p_partkey < 1000 then 100 else 1000 end) <= 4 then 'Undergraduate' else 'Graduate' end as level
+    from part
+    """,
+)
+def sql_functions(t: Tables) -> DataFrame:
+    """The scalar functions called from SQL."""
+    sql.register(t.spark)
+    return t.spark.sql(
+        """
+        SELECT p_partkey, array_join(course_content_words(p_name), ' ') AS words, course_number_key(p_brand) AS number_key,
+          round(similarity('small rings', p_name), 6) AS sim, round(word_similarity('small rings', p_name), 6) AS word_sim,
+          content_coverage(course_content_words('the hot'), course_content_words(p_name)) AS coverage,
+          course_level(concat('CS ', p_partkey)) AS level
+        FROM {part}
+        """,
+        part=t.read("part"),
+    )
+
+
+@query(
+    "sql_search",
+    scored_sql(typed_sql()) + ranked_sql("score", 10, None) + f"select {ROUNDED} from found",
+)
+def sql_search(t: Tables) -> DataFrame:
+    """A table of typed texts, each searched by the table function."""
+    sqltables.register_search(t.spark, t.parts())
+    typed = t.spark.createDataFrame([(q,) for q in TYPED], "query string")
+    found = t.spark.sql(
+        """
+        SELECT typed.query, place, course_id, course_number, title, college_id, score, exactness, coverage, likeness
+        FROM {typed} AS typed, LATERAL search_courses(typed.query)
+        """,
+        typed=typed,
+    )
+    return rounded(found)
+
+
+@query(
+    "sql_search_similar",
+    scored_sql("select 'hot gear' as query", "p_type <> 'SMALL'")
+    + ranked_sql("exactness", 12, 2)
+    + f"select {ROUNDED} from found",
+)
+def sql_search_similar(t: Tables) -> DataFrame:
+    """One text with every parameter named."""
+    sqltables.register_search(t.spark, t.parts())
+    found = t.spark.sql(
+        """
+        SELECT 'hot gear' AS query, place, course_id, course_number, title, college_id, score, exactness, coverage, likeness
+        FROM search_courses('hot gear', p_exclude_college_id => 'SMALL', p_limit => 12, p_per_college => 2, p_rank_by => 'exactness')
+        """
+    )
+    return rounded(found)
+
+
+@query(
+    "sql_similar",
+    f"select course_id, college_id, round(similarity, 6) as similarity, place from ({nearest_sql('label <> 3 and vec_id <> 17', 17, 0.1, 3, 15)})",
+)
+def sql_similar(t: Tables) -> DataFrame:
+    """Courses like a stored one, from SQL."""
+    sqltables.register_similar(t.spark, t.embeddings())
+    return t.spark.sql(
+        """
+        SELECT course_id, college_id, round(similarity, 6) AS similarity, place
+        FROM similar_courses(p_course_id => 17, p_exclude_college_id => 3, p_per_college => 3, p_limit => 15, p_min_similarity => 0.1D)
+        """
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import context, listing, stats
+from lectern.operators import context, listing, sqltables, stats
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
 
@@ -368,3 +368,22 @@ def search_users(t: Tables) -> DataFrame:
     address = F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@School.edu"))
     hit = F.contains(F.lower(address), F.lit("7@")) | F.startswith(F.col("user_id").cast("string"), F.lit("7"))
     return t.read("events").filter(hit).groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(
+    "sql_listing",
+    LISTING_SQL.format(where=SEARCHED.format(q="machin"))
+    + """, matching as (select * from full_rows where test_set_count > 0)
+    select *, (select count(*) from matching) as total_count, row_number() over (
+        order by complete_test_sets desc nulls last, test_set_count desc nulls last, lower(course_number), course_id)::integer as place
+    from matching order by place limit 100 offset 50
+    """,
+)
+def sql_listing(t: Tables) -> DataFrame:
+    """The same page from SQL."""
+    counts = stats.course_counts(*course_figures(t))
+    spend = t.ledger().groupBy(F.col("college_id").alias("course_id")).agg(F.sum("cost").cast("double").alias("cost"))
+    sqltables.register_listing(t.spark, listed_courses(t), counts, spend)
+    return t.spark.sql(
+        "SELECT * FROM admin_course_list(p_query => 'MACHIN', p_tested => 'tested', p_sort => 'tests', p_desc => true, p_limit => 100, p_offset => 50)"
+    )
