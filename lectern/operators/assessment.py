@@ -46,11 +46,6 @@ def attempt_scores(attempts: DataFrame, graded: DataFrame, key: DataFrame) -> Da
     )
 
 
-def open_attempts(attempts: DataFrame) -> DataFrame:
-    """Attempts that may still be submitted."""
-    return attempts.filter(F.col("submitted_at").isNull())
-
-
 def report_rows(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
     """Every question once beside its answer; a missing answer is wrong and unflagged."""
     return questions.join(answers.select(*keys, "answer", "is_correct", "flagged"), keys, "left").withColumns(
@@ -70,23 +65,54 @@ def number_from_count(new: DataFrame, held: DataFrame, keys: list[str], order: s
     )
 
 
-def record_answers(
-    attempts: DataFrame, stored: DataFrame, graded: DataFrame, attempt: str, question: str
+def submission_verdicts(submissions: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Submissions (attempt_id, user_id, at) with the attempt's test and why one is refused, if it is.
+
+    Of several submissions of one attempt the earliest counts; later ones find it submitted.
+    """
+    known = attempts.select("attempt_id", F.col("user_id").alias("owner_id"), "test_set_id", "submitted_at")
+    mine = F.col("user_id").eqNullSafe(F.col("owner_id"))
+    judged = submissions.join(known.withColumn("known", F.lit(True)), "attempt_id", "left").withColumn(
+        "reject_reason",
+        F.when(F.col("known").isNull(), "unknown attempt").when(~mine, "someone else's attempt").when(F.col("submitted_at").isNotNull(), "already submitted"),
+    )
+    first = judged.filter("reject_reason IS NULL").groupBy("attempt_id").agg(F.min(F.struct("at", "user_id")).alias("first"))
+    again = F.col("reject_reason").isNull() & (F.struct("at", "user_id") != F.col("first"))
+    return (
+        judged.join(first, "attempt_id", "left")
+        .withColumn("reject_reason", F.when(again, "already submitted").otherwise(F.col("reject_reason")))
+        .select("attempt_id", "user_id", "at", "test_set_id", "reject_reason")
+    )
+
+
+def submit_attempts(
+    attempts: DataFrame, stored: DataFrame, submissions: DataFrame, answers: DataFrame, key: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Write graded answers of attempts that are still open: (answers, attempts).
+    """Grade and write what users hand in: (answers, attempts) as they stand afterwards.
+
+    ``attempts``: attempt_id, user_id, test_set_id, submitted_at, score, total_questions. ``submissions``:
+    attempt_id, user_id, at. ``answers``: attempt_id, question_id, answer, flagged. ``key``: question_id,
+    test_set_id, type, correct_answer. ``stored``: attempt_id, question_id, answer, is_correct, flagged.
 
-    Answers are overwritten or added by (attempt, question); an attempt that was graded gets its score, its
-    total and its time of submission. Answers of a submitted attempt are refused.
+    Only the owner can submit, and only once (``submission_verdicts``). Answers to questions outside the
+    attempt's test are dropped; an answer to a question that has one replaces it. The total is the size of the test's
+    key, however many answers came; an attempt without any valid answer is submitted with a score of 0.
     """
-    open_ones = attempts.filter(F.col("submitted_at").isNull()).select(attempt)
-    taken = graded.join(open_ones, attempt, "left_semi")
-    answers = upsert(stored, taken.select(*stored.columns), [attempt, question], ["answer", "is_correct"])
-    sums = taken.groupBy(attempt).agg(
-        F.count_if("is_correct").alias("score"),
-        F.count(F.lit(1)).alias("total_questions"),
-        F.max("answered_at").alias("submitted_at"),
+    taken = submission_verdicts(submissions, attempts).filter("reject_reason IS NULL").dropDuplicates(["attempt_id"])
+    own = answers.select("attempt_id", "question_id", "answer", "flagged").join(taken.select("attempt_id", "test_set_id"), "attempt_id")
+    graded = own.join(key, ["question_id", "test_set_id"]).select(
+        "attempt_id",
+        "question_id",
+        "answer",
+        grade(F.col("type"), F.col("correct_answer"), F.col("answer")).alias("is_correct"),
+        F.coalesce("flagged", F.lit(False)).alias("flagged"),
     )
-    return answers, patch(attempts, sums, [attempt], ["score", "total_questions", "submitted_at"])
+    kept = upsert(stored, graded, ["attempt_id", "question_id"], ["answer", "is_correct", "flagged"])
+    # A question sent twice counts once, as it is stored once.
+    right = graded.groupBy("attempt_id", "question_id").agg(F.max(F.struct("answer", "is_correct", "flagged")).alias("row"))
+    scores = attempt_scores(taken, right.select("attempt_id", F.col("row.is_correct").alias("is_correct")), key)
+    sums = scores.join(taken.select("attempt_id", F.col("at").alias("submitted_at")), "attempt_id")
+    return kept, patch(attempts, sums.drop("test_set_id"), ["attempt_id"], ["score", "total_questions", "submitted_at"])
 
 
 def report_totals(rows: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
@@ -249,10 +275,37 @@ def timeline(numbered: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.join(means, keys)
 
 
+def named_favorites(favorites: DataFrame, colleges: DataFrame, courses: DataFrame) -> DataFrame:
+    """Favourites with the names to show: a college's, or a course's number and title; rows of neither keep nulls.
+
+    ``favorites``: user_id, college_id, course_id; ``colleges``: college_id, college_name; ``courses``:
+    course_id, course_number, title.
+    """
+    course = courses.select("course_id", F.concat_ws(" ", "course_number", "title").alias("course_name"))
+    named = favorites.join(colleges.select("college_id", "college_name"), "college_id", "left").join(course, "course_id", "left")
+    return named.select("user_id", "college_name", "course_name")
+
+
+# What a user's row shows of each of the newest results.
+RESULT_FIELDS = ("attempt_id", "course_number", "section_title", "score", "total_questions", "submitted_at")
+
+
 def user_rollup(
-    users: DataFrame, favorites: DataFrame, test_sets: DataFrame, attempts: DataFrame, costs: DataFrame
+    users: DataFrame,
+    favorites: DataFrame,
+    test_sets: DataFrame,
+    attempts: DataFrame,
+    costs: DataFrame,
+    recent: int = 5,
+    names: int | None = None,
 ) -> DataFrame:
-    """Activity of each user: counts, mean and best of unrounded percentages, cost, favourites."""
+    """Activity of each user: counts, mean and best of unrounded percentages, cost, favourites, newest results.
+
+    ``favorites`` carry ``college_name`` and ``course_name`` (``named_favorites``), which are listed in
+    alphabetical order, all of them unless ``names`` bounds the lists. ``recent_results`` holds the fields of
+    ``RESULT_FIELDS`` that the attempts have, newest first. Results and bounded names are cut to their number inside
+    every task before anything is gathered.
+    """
     share = F.when(
         F.col("submitted_at").isNotNull() & (F.col("total_questions") > 0) & F.col("score").isNotNull(),
         F.col("score") / F.col("total_questions") * 100,
@@ -264,24 +317,36 @@ def user_rollup(
     )
     made = test_sets.groupBy("user_id").agg(F.count(F.lit(1)).alias("sets_created"))
     starred = favorites.groupBy("user_id").agg(F.count(F.lit(1)).alias("favorites"))
-    zero = F.lit(0).cast("bigint")
-    return (
-        users.select("user_id")
-        .join(taken, "user_id", "left")
-        .join(made, "user_id", "left")
-        .join(starred, "user_id", "left")
-        .join(costs, "user_id", "left")
-        .select(
-            "user_id",
-            F.coalesce("attempts_taken", zero).alias("attempts_taken"),
-            "average_score",
-            "best_score",
-            F.coalesce("sets_created", zero).alias("sets_created"),
-            F.coalesce("favorites", zero).alias("favorites"),
-            F.coalesce("call_count", zero).alias("call_count"),
-            F.coalesce("total_tokens", zero).alias("total_tokens"),
-            F.coalesce("cost", F.lit(0)).alias("cost"),
-        )
+    lists = {}
+    for name, out in (("college_name", "favorite_colleges"), ("course_name", "favorite_courses")):
+        if name in favorites.columns:
+            shown = favorites.filter(F.col(name).isNotNull()).select("user_id", name)
+            if names is not None:
+                shown = first_rows(shown, ["user_id"], [F.asc(name)], names, "place")
+            lists[out] = shown.groupBy("user_id").agg(F.sort_array(F.collect_list(name)).alias(out))
+    fields = [c for c in RESULT_FIELDS if c in attempts.columns]
+    newest = (
+        recent_results(attempts, "user_id", recent)
+        .groupBy("user_id")
+        .agg(F.sort_array(F.collect_list(F.struct("place", F.struct(*fields).alias("row")))).alias("rows"))
+        .select("user_id", F.col("rows.row").alias("recent_results"))
+    )
+    joined = users.select("user_id")
+    for part in (taken, made, starred, costs, newest, *lists.values()):
+        joined = joined.join(part, "user_id", "left")
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    return joined.select(
+        "user_id",
+        F.coalesce("attempts_taken", zero).alias("attempts_taken"),
+        "average_score",
+        "best_score",
+        F.coalesce("sets_created", zero).alias("sets_created"),
+        F.coalesce("favorites", zero).alias("favorites"),
+        F.coalesce("call_count", zero).alias("call_count"),
+        F.coalesce("total_tokens", zero).alias("total_tokens"),
+        F.coalesce("cost", F.lit(0)).alias("cost"),
+        *[F.coalesce(F.col(c), none).alias(c) for c in lists],
+        F.coalesce("recent_results", F.array().cast(newest.schema["recent_results"].dataType)).alias("recent_results"),
     )
 
 

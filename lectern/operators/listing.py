@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.courses import course_level, level_rank
+from lectern.functions.courses import course_level, level_rank, natural_key
 from lectern.functions.text import any_contains
 
 # Fixed value: the longest page the site's own listing asks for.
@@ -118,10 +118,21 @@ def containing(rows: DataFrame, columns: list[str], needle: str | None) -> DataF
     return rows.filter(any_contains([F.col(c) for c in columns], wanted)) if wanted else rows
 
 
-def sort_empties_last(df: DataFrame, column: str, descending: bool, key: Column | None = None) -> DataFrame:
-    """Sort with blanks at the end whichever way the rest runs."""
-    value = F.nullif(F.col(column), F.lit("")) if key is None else key
-    return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+# Compares letters without case and accents, as the site's tables do.
+TABLE_COLLATION = "UNICODE_CI_AI"
+
+
+def empties_last(column: str, descending: bool, text: bool = True) -> Column:
+    """Sort key with blanks at the end whichever way the rest runs; texts compare naturally, digits by value."""
+    value = F.col(column)
+    if text:
+        value = F.collate(natural_key(F.nullif(value, F.lit(""))), TABLE_COLLATION)
+    return value.desc_nulls_last() if descending else value.asc_nulls_last()
+
+
+def sort_empties_last(df: DataFrame, column: str, descending: bool, unique: str, text: bool = True) -> DataFrame:
+    """A table sorted by one column, blanks at the end."""
+    return df.orderBy(empties_last(column, descending, text), F.asc(unique))
 
 
 def table_sort_keys(prefixes: list[str]) -> dict[str, Column]:

@@ -103,30 +103,55 @@ def chosen_attempt(t: Tables) -> DataFrame:
 @query(
     "user_rollup",
     """
-    select user_id, count(*) as attempts_taken,
+    with starred as (
+      select user_id, n_name as college_name, p_brand || ' ' || p_name as course_name from (
+        select user_id, cast(json_extract(props, '$.k') as bigint) as k, value > 250 as college from events where event_type = 'click')
+      left join nation on college and n_nationkey = k left join part on not college and p_partkey = k),
+    newest as (
+      select *, row_number() over (partition by user_id order by ts desc, event_id desc) as place from events)
+    select e.user_id, count(*) as attempts_taken,
       cast(floor(avg(value / 500 * 100) + 0.5) as bigint) as average_score,
       cast(floor(max(value / 500 * 100) + 0.5) as bigint) as best_score,
       count(*) filter (where event_type = 'signup') as sets_created,
       count(*) filter (where event_type = 'click') as favorites,
       count(*) as call_count, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as total_tokens,
-      cast(sum(cast(value as decimal(12,6))) as double) as cost
-    from events group by 1
+      cast(sum(cast(value as decimal(12,6))) as double) as cost,
+      coalesce((select string_agg(college_name, '; ' order by college_name) from starred s where s.user_id = e.user_id), '') as favorite_colleges,
+      coalesce((select string_agg(course_name, '; ' order by course_name) from starred s where s.user_id = e.user_id), '') as favorite_courses,
+      (select string_agg(event_id || ' ' || event_type || ' of ' || 500, '; ' order by place) from newest n where n.user_id = e.user_id and place <= 5) as recent_results
+    from events e group by e.user_id
     """,
 )
 def user_rollup(t: Tables) -> DataFrame:
+    """Clicks are favourites: valuable ones of a college, others of a course; every event is an attempt."""
     events = t.read("events")
     spend = t.ledger().groupBy(F.col("college_id").alias("user_id")).agg(
         F.count(F.lit(1)).alias("call_count"),
         F.sum("total_tokens").alias("total_tokens"),
         F.sum("cost").cast("double").alias("cost"),
     )
-    return assessment.user_rollup(
+    target, valuable = F.get_json_object("props", "$.k").cast("bigint"), F.col("value") > 250
+    starred = events.filter("event_type = 'click'").select(
+        "user_id", F.when(valuable, target).alias("college_id"), F.when(~valuable, target).alias("course_id")
+    )
+    colleges = t.read("nation").select(F.col("n_nationkey").cast("bigint").alias("college_id"), F.col("n_name").alias("college_name"))
+    rolled = assessment.user_rollup(
         events.select("user_id").distinct(),
-        events.filter("event_type = 'click'").select("user_id"),
+        assessment.named_favorites(starred, colleges, t.parts()),
         events.filter("event_type = 'signup'").select("user_id"),
-        t.attempts(),
+        t.attempts().withColumn("section_title", F.col("test_set_id")),
         spend,
     )
+    shown = F.transform(
+        "recent_results", lambda r: F.concat_ws(" ", r["attempt_id"], r["section_title"], F.lit("of"), r["total_questions"])
+    )
+    return rolled.withColumns(
+        {
+            "favorite_colleges": F.array_join("favorite_colleges", "; "),
+            "favorite_courses": F.array_join("favorite_courses", "; "),
+            "recent_results": F.array_join(shown, "; "),
+        }
+    )
 
 
 @query(
@@ -643,61 +668,103 @@ def appended_positions(t: Tables) -> DataFrame:
     return assessment.number_from_count(new.drop("event_type"), held, ["user_id"], "event_id")
 
 
-_GRADED = """
-    with attempts as (select o_orderkey as attempt, case when o_orderstatus = 'F' then o_orderdate::timestamp end as submitted_at from orders),
-    stored as (select l_orderkey as attempt, l_linenumber as question, l_linestatus as answer, l_returnflag = 'R' as is_correct from lineitem where l_linenumber <= 2),
-    graded as (select l_orderkey as attempt, l_linenumber as question, l_returnflag as answer, l_linestatus = 'O' as is_correct, l_shipdate::timestamp as answered_at
-      from lineitem where l_linenumber >= 2),
-    taken as (select g.* from graded g join attempts a on g.attempt = a.attempt where submitted_at is null)
+# Conversations as attempts: long ones were submitted before, those of five turns are sent by another user.
+_SUBMITTED = (
+    GRADED_SQL
+    + """,
+    attempts as (
+      select conv_id as attempt_id, conv_id % 7 as user_id, count(*) as turns,
+        case when count(*) > 7 then timestamp '2024-01-01' end as submitted_at from conversations group by 1),
+    taken as (select * from attempts where submitted_at is null and turns <> 5),
+    fresh as (
+      select attempt_id, question_id, given as answer, is_correct, turn % 2 = 0 as flagged
+      from graded join answers on conv_id = attempt_id and question_id = conv_id || '-' || turn
+      where attempt_id in (select attempt_id from taken)),
+    stored as (
+      select conv_id as attempt_id, conv_id || '-' || turn as question_id, role as answer, false as is_correct, true as flagged
+      from conversations where turn <= 1)
 """
+)
 
 
 @query(
     "recorded_answers",
-    _GRADED
+    _SUBMITTED
     + """
-    , one as (select attempt, question, max(row(answer, is_correct)) as v from taken group by 1, 2)
-    select s.attempt, s.question, case when o.v is null then s.answer else o.v[1] end as answer, case when o.v is null then s.is_correct else o.v[2] end as is_correct
-    from stored s left join one o on s.attempt = o.attempt and s.question = o.question
-    union all select o.attempt, o.question, o.v[1], o.v[2] from one o left join stored s on s.attempt = o.attempt and s.question = o.question where s.attempt is null
+    select * from fresh union all
+    select * from stored where not exists (select 1 from fresh where fresh.attempt_id = stored.attempt_id and fresh.question_id = stored.question_id)
     """,
 )
 def recorded_answers(t: Tables) -> DataFrame:
-    return _recorded(t)[0]
+    return _submitted(t)[0]
 
 
 @query(
     "graded_attempts",
-    _GRADED
+    _SUBMITTED
     + """
-    , sums as (select attempt, count(*) filter (is_correct) as score, count(*) as total_questions, max(answered_at) as submitted_at from taken group by 1)
-    select a.attempt, coalesce(s.submitted_at, a.submitted_at) as submitted_at, s.score, s.total_questions from attempts a left join sums s on a.attempt = s.attempt
+    select a.attempt_id, a.user_id, case when k.attempt_id is not null then timestamp '2024-02-01' else a.submitted_at end as submitted_at,
+      case when k.attempt_id is not null then (select count(*) from fresh f where f.attempt_id = a.attempt_id and is_correct) end as score,
+      case when k.attempt_id is not null then a.turns end as total_questions
+    from attempts a left join taken k on k.attempt_id = a.attempt_id
     """,
 )
 def graded_attempts(t: Tables) -> DataFrame:
-    return _recorded(t)[1]
+    return _submitted(t)[1].drop("test_set_id")
+
+
+@query(
+    "submission_verdicts",
+    _SUBMITTED
+    + """
+    select coalesce(reject_reason, 'taken') as verdict, count(*) as submissions, min(attempt_id) as first_id from (
+      select attempt_id, case when turns = 5 then 'someone else''s attempt' when submitted_at is not null then 'already submitted' end as reject_reason from attempts
+      union all select -1 - attempt_id, 'unknown attempt' from attempts) group by 1
+    """,
+)
+def submission_verdicts(t: Tables) -> DataFrame:
+    attempts, submissions = _submissions(t)
+    unknown = submissions.withColumn("attempt_id", -1 - F.col("attempt_id"))
+    judged = assessment.submission_verdicts(submissions.unionByName(unknown), attempts)
+    return judged.groupBy(F.coalesce("reject_reason", F.lit("taken")).alias("verdict")).agg(
+        F.count(F.lit(1)).alias("submissions"), F.min("attempt_id").alias("first_id")
+    )
 
 
-def _recorded(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Orders as attempts, finished ones submitted; first lines stored, later lines newly graded."""
-    attempts = t.read("orders").select(
-        F.col("o_orderkey").alias("attempt"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp_ntz")).alias("submitted_at"),
-        F.lit(None).cast("bigint").alias("score"),
-        F.lit(None).cast("bigint").alias("total_questions"),
+def _submissions(t: Tables) -> tuple[DataFrame, DataFrame]:
+    talks = t.read("conversations").groupBy(F.col("conv_id").alias("attempt_id")).agg(F.count(F.lit(1)).alias("turns"))
+    user = F.col("attempt_id") % 7
+    before = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    attempts = talks.select(
+        "attempt_id",
+        user.alias("user_id"),
+        F.col("attempt_id").alias("test_set_id"),
+        F.when(F.col("turns") > 7, before).alias("submitted_at"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("score", "total_questions")],
     )
-    lines = t.read("lineitem")
-    keys = [F.col("l_orderkey").alias("attempt"), F.col("l_linenumber").alias("question")]
-    stored = lines.filter("l_linenumber <= 2").select(
-        *keys, F.col("l_linestatus").alias("answer"), (F.col("l_returnflag") == "R").alias("is_correct")
+    submissions = talks.select(
+        "attempt_id",
+        F.when(F.col("turns") == 5, user + 1).otherwise(user).alias("user_id"),
+        F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00")).alias("at"),
     )
-    graded = lines.filter("l_linenumber >= 2").select(
-        *keys,
-        F.col("l_returnflag").alias("answer"),
-        (F.col("l_linestatus") == "O").alias("is_correct"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("answered_at"),
+    return attempts, submissions
+
+
+def _submitted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every conversation handed in, with answers to questions of another test among the sent ones."""
+    attempts, submissions = _submissions(t)
+    answers, key = answered(t)
+    turn = F.element_at(F.split("question_id", "-"), -1).cast("int")
+    sent = answers.withColumn("flagged", turn % 2 == 0)
+    foreign = sent.withColumn("attempt_id", F.col("attempt_id") + 1)
+    stored = t.read("conversations").filter("turn <= 1").select(
+        F.col("conv_id").alias("attempt_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"),
+        F.col("role").alias("answer"),
+        F.lit(False).alias("is_correct"),
+        F.lit(True).alias("flagged"),
     )
-    return assessment.record_answers(attempts, stored, graded, "attempt", "question")
+    return assessment.submit_attempts(attempts, stored, submissions, sent.unionByName(foreign), key)
 
 
 @query(

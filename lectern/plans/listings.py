@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import context, listing, sqltables, stats
+from lectern.operators import context, listing, paging, sqltables, stats
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
+from lectern.streaming.logs import scratch
 
 
 def listed_courses(t: Tables) -> DataFrame:
@@ -387,3 +388,65 @@ def sql_listing(t: Tables) -> DataFrame:
     return t.spark.sql(
         "SELECT * FROM admin_course_list(p_query => 'MACHIN', p_tested => 'tested', p_sort => 'tests', p_desc => true, p_limit => 100, p_offset => 50)"
     )
+
+
+def table_rows(t: Tables) -> DataFrame:
+    """Customers with a label that mixes case and numbers and is sometimes blank."""
+    segment = F.when(F.col("c_nationkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    label = F.concat_ws(" ", segment, F.col("c_nationkey") * 7)
+    blank = F.when(F.col("c_acctbal") > 0, F.lit("")).otherwise(F.lit(None))
+    return t.read("customer").select(
+        F.col("c_custkey").alias("department_id"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", blank).otherwise(label).alias("label"),
+        F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal")).alias("coverage"),
+    )
+
+
+_TABLE_SQL = """
+    with d as (
+      select c_custkey as department_id, lower(c_mktsegment) as s, c_nationkey * 7 as n, c_mktsegment = 'MACHINERY' as blank,
+        case when c_mktsegment <> 'MACHINERY' then (case when c_nationkey % 2 = 0 then lower(c_mktsegment) else c_mktsegment end) || ' ' || c_nationkey * 7
+          when c_acctbal > 0 then '' end as label,
+        case when c_acctbal > 1000 then c_acctbal end as coverage
+      from customer)
+"""
+
+
+@query(
+    "table_sorted",
+    _TABLE_SQL
+    + """
+    select department_id, label, row_number() over (order by blank, case when not blank then s end, case when not blank then n end, department_id) as up,
+      row_number() over (order by blank, case when not blank then s end desc, case when not blank then n end desc, department_id) as down,
+      row_number() over (order by coverage nulls last, department_id) as coverage_up,
+      row_number() over (order by coverage desc nulls last, department_id) as coverage_down
+    from d
+    """,
+)
+def table_sorted(t: Tables) -> DataFrame:
+    """Places in the table sorted by label and by figure, both ways; blanks are last each time."""
+    rows, out = table_rows(t), None
+    for name, column, descending, text in (
+        ("up", "label", False, True), ("down", "label", True, True), ("coverage_up", "coverage", False, False), ("coverage_down", "coverage", True, False),
+    ):
+        order = [listing.empties_last(column, descending, text), F.asc("department_id")]
+        pages = paging.Pages.build(rows, order, scratch(t.spark, "table"))
+        placed = pages.numbered().select("department_id", *([] if out else ["label"]), F.col("place").alias(name))
+        out = placed if out is None else out.join(placed, "department_id")
+    return out
+
+
+@query(
+    "course_listing_deep_page",
+    LISTING_SQL.format(where="true")
+    + """
+    select *, (select count(*) from full_rows) as total_count,
+      row_number() over (order by cost desc nulls last, lower(course_number), course_id) as place
+    from full_rows order by place limit 500 offset 12000
+    """,
+)
+def course_listing_deep_page(t: Tables) -> DataFrame:
+    """A page far down the listing, read from the range that holds it."""
+    order = [c.desc_nulls_last() for c in listing.sort_columns("cost")] + [F.lower("course_number").asc(), F.col("course_id").asc()]
+    pages = paging.Pages.build(listing_rows(t, None, "all"), order, scratch(t.spark, "listing"), 2_000)
+    return pages.page(500, 12_000)
