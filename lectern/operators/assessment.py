@@ -361,18 +361,58 @@ def recent_results(attempts: DataFrame, user: str, n: int = 5) -> DataFrame:
     )
 
 
-def export_sets(sets: DataFrame, questions: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One JSON document per complete set with its questions in order, positions from 1."""
-    listed = questions.groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(F.struct((F.col("position") + 1).alias("position"), *fields))
-        ).alias("questions")
+# Questions in a piece of an exported document.
+EXPORT_PIECE = 10_000
+
+
+def export_pieces(sets: DataFrame, questions: DataFrame, key: str, fields: list[str], per_piece: int = EXPORT_PIECE) -> DataFrame:
+    """JSON documents of the complete sets in pieces (key, piece, pieces, text): in order, end to end, they are the text.
+
+    Questions stand in order, positions from 1. A piece holds ``per_piece`` places of a set, so a set of any
+    size is written by many tasks and none holds more than a piece. Positions are whole numbers from 0; places
+    without a question are skipped. A set without questions is left out.
+    """
+    place = F.floor(F.col("position") / per_piece)
+    listed = questions.groupBy(key, place.alias("range")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("position") + 1).alias("position"), *fields))).alias("questions")
     )
+    ends = listed.groupBy(key).agg(F.min("range").alias("first"), F.max("range").alias("last"), F.count(F.lit(1)).alias("pieces"))
     body = [F.col(c) for c in sets.columns if c != key]
+    head = F.to_json(F.struct(F.col(key), *body))
+    opened = sets.filter("status = 'complete'").select(key, head.alias("head"))
+    inner = F.to_json("questions")
+    inner = F.substring(inner, F.lit(2), F.length(inner) - 2)
+    start = F.concat(F.substring(F.col("head"), F.lit(1), F.length("head") - 1), F.lit(',"questions":['))
     return (
-        sets.filter("status = 'complete'")
-        .join(listed, key)
-        .select(key, F.to_json(F.struct(F.col(key), *body, F.col("questions"))).alias("document"))
+        listed.join(opened.join(ends, key), key)
+        .select(
+            key,
+            "range",
+            "pieces",
+            F.concat(
+                F.when(F.col("range") == F.col("first"), start).otherwise(","),
+                inner,
+                F.when(F.col("range") == F.col("last"), "]}").otherwise(""),
+            ).alias("text"),
+        )
+        .withColumnRenamed("range", "piece")
+    )
+
+
+def write_sets(pieces: DataFrame, key: str, folder: str) -> None:
+    """Write each document as a file of its own, a piece to a line, streaming through in order.
+
+    A line break between questions is blank space to JSON. One task holds one piece at a time.
+    """
+    ordered = pieces.repartition(key).sortWithinPartitions(key, "piece")
+    ordered.select(key, "text").write.partitionBy(key).text(folder)
+
+
+def export_sets(sets: DataFrame, questions: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One JSON document per complete set with its questions in order: for sets that fit a row (``export_pieces`` else)."""
+    pieces = export_pieces(sets, questions, key, fields)
+    return pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("piece", "text"))).alias("all")).select(
+        key, F.array_join("all.text", "").alias("document")
     )
 
 

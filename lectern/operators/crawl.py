@@ -63,26 +63,54 @@ def _rule_holds(path: Column, rule: Column) -> Column:
     )
 
 
+def _literal(rule: Column) -> Column:
+    """What every path that the rule holds for begins with: the rule up to its first sign with a meaning.
+
+    A question mark makes the sign before it optional, so that one is left out too.
+    """
+    plain = F.regexp_extract(F.regexp_replace(rule, r"\$$", ""), r"^(?:[^*?](?!\?))*", 0)
+    return F.when(rule == "/", "").otherwise(plain)
+
+
+# Copies of an origin's rules, among which the addresses of a busy site are dealt.
+RULE_SALTS = 16
+
+
 def robots_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Whether each address may be fetched: the longest rule wins, allow on ties, else yes.
 
-    The rules of an origin travel as one array (a robots file is bounded), so a busy site
-    meets them once per address.
+    Rules and addresses meet by equal origin and literal beginning. An address is cut only at the lengths that its
+    site's rules have, so it meets the rules that begin as it does and no others; wildcards are then tried on
+    those. Each distinct path is judged once.
     """
-    held = rules.groupBy("origin").agg(
-        F.collect_list(F.struct(F.length("rule").alias("size"), "allow", "rule")).alias("rules")
-    )
     place = F.concat(web.path(F.col("url")), F.regexp_extract("url", r"^[^?#]*(\?[^#]*)", 1))
-    matching = F.filter("rules", lambda r: _rule_holds(F.col("place"), r["rule"]))
-    best = F.array_max(F.transform(matching, lambda r: F.struct(r["size"], r["allow"])))
+    at = urls.withColumns({"origin": web.origin(F.col("url")), "place": place})
+    begun = rules.select("origin", "rule", "allow").distinct().withColumn("begins", _literal(F.col("rule")))
+    # As many numbers as the site's longest rule has letters, at most.
+    lengths = begun.groupBy("origin").agg(F.collect_set(F.length("begins")).alias("lengths"))
+    cuts = F.filter("lengths", lambda n: n <= F.length("place"))
+    salt = F.pmod(F.xxhash64("place"), F.lit(RULE_SALTS)).cast("int")
+    parts = (
+        at.filter("origin IS NOT NULL")
+        .select("origin", "place")
+        .distinct()
+        .join(lengths, "origin")
+        .select("origin", "place", F.explode(F.transform(cuts, lambda n: F.substring(F.col("place"), F.lit(1), n))).alias("begins"))
+        .withColumn("salt", salt)
+    )
+    dealt = begun.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
+    met = parts.join(dealt, ["origin", "salt", "begins"])
+    holds = (F.col("rule") == F.col("begins")) | _rule_holds(F.col("place"), F.col("rule"))
+    best = (
+        met.filter(holds)
+        .groupBy("origin", "place")
+        .agg(F.max(F.struct(F.length("rule").alias("size"), "allow")).alias("best"))
+        .select("origin", "place", F.col("best.allow").alias("allow"))
+    )
     return (
-        urls.withColumns({"origin": web.origin(F.col("url")), "place": place})
-        .join(held, "origin", "left")
-        .withColumn(
-            "allowed",
-            F.col("origin").isNotNull() & F.coalesce(best["allow"], F.lit(True)),
-        )
-        .drop("rules", "place", "origin")
+        at.join(best, ["origin", "place"], "left")
+        .withColumn("allowed", F.col("origin").isNotNull() & F.coalesce("allow", F.lit(True)))
+        .select(*urls.columns, "allowed")
     )
 
 

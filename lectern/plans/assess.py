@@ -602,6 +602,10 @@ def owner_deletes(t: Tables) -> DataFrame:
 )
 def export_sets(t: Tables) -> DataFrame:
     """Finished orders as JSON documents of their line items in order."""
+    return assessment.export_sets(*_exported(t), "test_set_id", ["question", "difficulty"])
+
+
+def _exported(t: Tables) -> tuple[DataFrame, DataFrame]:
     sets = t.read("orders").select(
         F.col("o_orderkey").alias("test_set_id"),
         F.col("o_orderpriority").alias("section"),
@@ -613,7 +617,27 @@ def export_sets(t: Tables) -> DataFrame:
         F.col("l_partkey").alias("question"),
         F.col("l_returnflag").alias("difficulty"),
     )
-    return assessment.export_sets(sets, questions, "test_set_id", ["question", "difficulty"])
+    return sets, questions
+
+
+@query(
+    "export_pieces",
+    """
+    with q as (
+      select l_orderkey as test_set_id, l_linenumber // 3 as piece, string_agg(
+          '{"position":' || (l_linenumber + 1) || ',"question":' || l_partkey || ',"difficulty":"' || l_returnflag || '"}', ','
+          order by l_linenumber, l_partkey, l_returnflag) as body
+      from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') group by 1, 2),
+    e as (select *, min(piece) over w as first, max(piece) over w as last, count(*) over w as pieces from q window w as (partition by test_set_id))
+    select test_set_id, piece, pieces,
+      case when piece = first then '{"test_set_id":' || test_set_id || ',"section":"' || o_orderpriority || '","status":"complete","questions":[' else ',' end
+        || body || case when piece = last then ']}' else '' end as text
+    from e join orders on o_orderkey = test_set_id
+    """,
+)
+def export_pieces(t: Tables) -> DataFrame:
+    """The same documents in pieces of three places."""
+    return assessment.export_pieces(*_exported(t), "test_set_id", ["question", "difficulty"], per_piece=3)
 
 
 @query(
