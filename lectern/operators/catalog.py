@@ -91,6 +91,10 @@ def departments_from_numbers(courses: DataFrame, scope: Sequence[str]) -> DataFr
     )
 
 
+# Parts that a scope's courses are dealt into where all of them go to one department.
+DEALS = 16
+
+
 def of_department(courses: DataFrame, departments: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Courses of each department by code prefix; a department without any gets the whole list.
 
@@ -106,7 +110,10 @@ def of_department(courses: DataFrame, departments: DataFrame, scope: Sequence[st
         codes, [*scope, "code"]
     )
     bare = codes.join(own.select(*scope, "code").distinct(), [*scope, "code"], "left_anti")
-    return own.unionByName(courses.join(bare, list(scope)))
+    # The whole list is the answer for a bare department; it is dealt so that no task copies a large scope alone.
+    dealt = bare.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    deal = F.pmod(F.xxhash64("course_number"), F.lit(DEALS)).cast("int")
+    return own.unionByName(courses.withColumn("deal", deal).join(dealt, [*scope, "deal"]).drop("deal"))
 
 
 def broken_rows(courses: DataFrame) -> DataFrame:

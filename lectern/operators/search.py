@@ -129,7 +129,7 @@ def _title_measures(q: Column, t: Column) -> Column:
         return bind(
             word_sim,
             lambda w: F.struct(
-                q.alias("q"),
+                F.struct(q["query"].alias("query"), q["number"].alias("number")).alias("q"),
                 m["sim"].alias("sim"),
                 F.greatest(floor_score, w).alias("title_score"),
                 ((m["sim"] >= SIMILAR) | (w >= WORDS_SIMILAR) | m["has_text"]).alias("title_match"),
@@ -157,62 +157,79 @@ def _title_measures(q: Column, t: Column) -> Column:
     return bind(first, finish)
 
 
-def _literal_matches(courses: DataFrame, queries: Sequence[str]) -> DataFrame:
+def _shortlist(courses: DataFrame, same: Sequence[str], needed: int | None) -> DataFrame:
+    """The courses that a ranking can still take among those alike in ``same``: ``needed`` of each college.
+
+    Courses of one title (and number) fare alike with every query, so only the first of them in the final order,
+    which is by number and id, can be among the best.
+    """
+    order = [F.asc("course_number"), F.asc("course_id")]
+    return courses if needed is None else first_rows(courses, [*same, "college_id"], order, needed, "alike").drop("alike")
+
+
+def _literal_matches(courses: DataFrame, queries: Sequence[str], needed: int | None) -> DataFrame:
     """Matching (query, course) rows of a short list of typed queries.
 
     Each distinct title is measured once and only the matching ones come back to the courses;
-    a row that matches by its number alone is measured where it stands.
+    a row that matches by its number is measured where it stands.
     """
     usable = [q for q in dict.fromkeys(queries) if len(q.strip()) >= 2]
     if len(usable) > MAX_LITERAL_QUERIES:
-        return _table_matches(courses, courses.sparkSession.createDataFrame([(q,) for q in usable], "query string"))
+        return _table_matches(courses, courses.sparkSession.createDataFrame([(q,) for q in usable], "query string"), needed)
     wanted = F.filter(
         F.array(*[_query_struct(q) for q in usable or ["  "]]), lambda q: F.length(q["term"]) >= 2
     )
     t = F.col("t")
 
-    def measured(possible: Column, wants_title: bool) -> Column:
-        return F.filter(
-            F.transform(possible, lambda q: _title_measures(q, t)),
-            lambda m: m["title_match"] == wants_title,
-        )
+    def measured(possible: Column) -> Column:
+        return F.transform(possible, lambda q: _title_measures(q, t))
 
-    near = measured(F.filter(wanted, lambda q: _could_match_title(q, t)), True)
+    near = F.filter(measured(F.filter(wanted, lambda q: _could_match_title(q, t))), lambda m: m["title_match"])
     titles = _title_columns(courses.select("title").distinct()).select(
         "title", F.explode(near).alias("m")
     )
-    numbered = courses.filter(F.exists(wanted, _matches_number))
+    titled = _shortlist(courses, ["title"], needed).join(titles, "title").select(*courses.columns, "m")
+    numbered = _shortlist(courses.filter(F.exists(wanted, _matches_number)), ["title", "course_number"], needed)
     by_number = _title_columns(numbered).select(
-        *courses.columns, F.explode(measured(F.filter(wanted, _matches_number), False)).alias("m")
+        *courses.columns, F.explode(measured(F.filter(wanted, _matches_number))).alias("m")
     )
-    return courses.join(titles, "title").select(*courses.columns, "m").unionByName(by_number)
+    return _either(titled, by_number)
+
 
+def _either(titled: DataFrame, by_number: DataFrame) -> DataFrame:
+    """Rows that match by number, and those that match by title alone."""
+    known = by_number.select(F.col("m.q.query").alias("query"), "course_id")
+    rest = titled.withColumn("query", F.col("m.q.query")).join(known, ["query", "course_id"], "left_anti")
+    return rest.select(*titled.columns).unionByName(by_number)
 
-def _measure_pairs(pairs: DataFrame) -> DataFrame:
+
+def _measure_pairs(pairs: DataFrame, where: Column | None = None) -> DataFrame:
     """Measures of distinct (query, title) pairs; the generator keeps later tests above them."""
     rows = _title_columns(pairs)
+    rows = rows if where is None else rows.filter(where)
     return rows.select(
         "query", "title", F.explode(F.array(_title_measures(F.col("q"), F.col("t")))).alias("m")
     )
 
 
-def _table_matches(courses: DataFrame, queries: DataFrame) -> DataFrame:
+def _table_matches(courses: DataFrame, queries: DataFrame, needed: int | None) -> DataFrame:
     """Matching (query, course) rows of a whole table of queries, by equal keys only.
 
     A title that passes the trigram tests shares at least 0.3 of the query's trigrams, so it
     shares one of the query's ``n - ceil(0.3 n) + 1`` rarest; a title holding the query shares
-    each run of its letters; numbers share the whole or a prefix. Titles are looked up and
-    measured once each, then bring in their courses.
+    each run of its letters; numbers share the whole or a prefix. Pairs of a query and a title that meet are
+    tested on the number of their shared trigrams before anything is measured. Queries, titles' keys and measures
+    are worked out once; only a title's first few courses come back to it.
     """
-    terms = _query_columns(queries)
-    keyed_titles = courses.select("title").distinct().select(
+    terms = cut(_query_columns(queries))
+    keyed_titles = cut(courses.select("title").distinct().select(
         "title",
         F.explode(
             F.concat(
                 trigrams(F.col("title")), _raw_runs(F.col("title"), 3), _raw_runs(F.col("title"), 2)
             )
         ).alias("key"),
-    )
+    ))
     by_title = (
         _title_keys(terms, keyed_titles)
         .join(keyed_titles, "key")
@@ -220,8 +237,8 @@ def _table_matches(courses: DataFrame, queries: DataFrame) -> DataFrame:
         .distinct()
         .join(terms, "query")
     )
-    measured = _measure_pairs(by_title).filter("m.title_match")
-    titled = measured.join(courses, "title").select(*courses.columns, "m")
+    measured = cut(_measure_pairs(by_title, _could_match_title(F.col("q"), F.col("t"))).filter("m.title_match"))
+    titled = measured.join(_shortlist(courses, ["title"], needed), "title").select(*courses.columns, "m")
 
     numbers = courses.select("course_number").distinct()
     low = F.lower("course_number")
@@ -239,16 +256,17 @@ def _table_matches(courses: DataFrame, queries: DataFrame) -> DataFrame:
             F.array(F.concat(F.lit("p:"), F.lower("q.term")), F.concat(F.lit("n:"), "q.number"))
         ).alias("key"),
     )
-    numbered = (
+    numbered = cut(
         number_keys.join(keyed_numbers, "key")
         .select("query", "course_number")
         .distinct()
-        .join(courses, "course_number")
-        .join(measured.select("query", "title"), ["query", "title"], "left_anti")
+        .join(_shortlist(courses, ["title", "course_number"], needed), "course_number")
     )
-    loose = _measure_pairs(numbered.select("query", "title").distinct().join(terms, "query"))
-    by_number = numbered.join(loose, ["query", "title"]).select(*courses.columns, "m")
-    return titled.unionByName(by_number)
+    pairs = numbered.select("query", "title").distinct()
+    loose = _measure_pairs(pairs.join(measured.select("query", "title"), ["query", "title"], "left_anti").join(terms, "query"))
+    known = measured.join(pairs, ["query", "title"], "left_semi").unionByName(loose)
+    by_number = numbered.join(known, ["query", "title"]).select(*courses.columns, "m")
+    return _either(titled, by_number)
 
 
 def _raw_runs(c: Column, n: int) -> Column:
@@ -348,7 +366,8 @@ def search_courses(
         & optional(F.col("college_id"), exclude_college, exclude=True)
     )
     found = _table_matches if isinstance(queries, DataFrame) else _literal_matches
-    scored = _score(found(scope, queries), courses.columns)
+    needed = limit if per_college is None else per_college
+    scored = _score(found(scope, queries, needed), courses.columns)
     ranked = rank_matches(scored, rank_by, limit, per_college)
     return ranked.select(
         "query", "place", *courses.columns, "score", "exactness", "coverage", "likeness"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lectern.functions.text import blank_to_null, collapse_space, trim_space
+from lectern.operators.lineage import cut
 from lectern.operators.listing import optional
 from lectern.operators.quality import embeddable
 from lectern.operators.ranks import first_rows, number_rows
@@ -23,7 +24,7 @@ BATCH = 200
 
 # Rows held by one block of the all-courses form, and the most clusters it makes.
 BLOCK_ROWS = 2048
-CLUSTERS = 64
+FEWEST, CLUSTERS = 16, 512
 
 
 def embedding_text(title: Column, department: Column, description: Column, chars: int | None = None) -> Column:
@@ -170,7 +171,7 @@ def similar_for_all(
     """Nearest courses of every course at other colleges, exact, in one job.
 
     Vectors are put with their nearest of a few sampled pivots and clusters are cut into blocks
-    of bounded size, so a crowded cluster becomes many blocks. Two clusters are compared only
+    of bounded size, so a crowded cluster becomes many blocks. The number of pivots grows with the table. Two clusters are compared only
     when the triangle inequality on angles leaves room for ``min_similarity``. Each block pair
     is one matrix product that emits at most ``limit`` rows per course: those that the caps can
     leave. With ``nearest`` the candidates are cut to so many before the caps (``NEAREST`` is the
@@ -179,8 +180,10 @@ def similar_for_all(
     vectors = embeddings.select("course_id", "college_id", "embedding").filter(
         F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) > 0
     )
-    # At most CLUSTERS rows come to the driver, whatever the table's size.
-    sample = vectors.select("embedding").orderBy(F.xxhash64("course_id")).limit(CLUSTERS).collect()
+    # As many pivots as the root of the rows asks for, so clusters stay small as the table grows; at most
+    # CLUSTERS rows come to the driver.
+    clusters = min(max(math.isqrt(vectors.count()), FEWEST), CLUSTERS)
+    sample = vectors.select("embedding").orderBy(F.xxhash64("course_id")).limit(clusters).collect()
     if not sample:
         return vectors.limit(0).select(
             "course_id",
@@ -200,10 +203,12 @@ def similar_for_all(
 
     ids = vectors.schema
     id_type, college_type = (ids[c].dataType.simpleString() for c in ("course_id", "college_id"))
-    placed = vectors.mapInPandas(
-        place,
-        f"course_id {id_type}, college_id {college_type}, embedding array<float>, "
-        "cluster int, angle double",
+    placed = cut(
+        vectors.mapInPandas(
+            place,
+            f"course_id {id_type}, college_id {college_type}, embedding array<float>, "
+            "cluster int, angle double",
+        )
     )
     shapes = (
         placed.groupBy("cluster")
@@ -212,31 +217,26 @@ def similar_for_all(
     )  # one row per pivot
     widest = math.acos(max(-1.0, min(1.0, min_similarity)))
     blocks = {s["cluster"]: max(1, -(-s["rows"] // block_rows)) for s in shapes}
-    pairs = []
-    for a in shapes:
-        for b in shapes:
-            apart = math.acos(float(np.clip(pivots[a["cluster"]] @ pivots[b["cluster"]], -1, 1)))
-            if apart - a["radius"] - b["radius"] <= widest + 1e-9:
-                pairs.append((a["cluster"], b["cluster"]))
-    near = {c: [b for a, b in pairs if a == c] for c in blocks}
-
-    block_count = F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])
-    neighbours = F.create_map(
-        *[x for c, others in near.items() for x in (F.lit(c), F.array(*[F.lit(o) for o in others]))]
+    used = np.array([s["cluster"] for s in shapes])
+    radius = np.array([s["radius"] for s in shapes])
+    apart = np.arccos(np.clip(pivots[used] @ pivots[used].T, -1, 1)) - radius[:, None] - radius
+    # At most one row per two pivots.
+    x, y = np.nonzero(apart <= widest + 1e-9)
+    held = np.array([blocks[s["cluster"]] for s in shapes])
+    meets = embeddings.sparkSession.createDataFrame(
+        pd.DataFrame({"cluster": used[x], "blocks": held[x], "other_cluster": used[y], "other_blocks": held[y]}).astype("int32")
     )
-    own_block = F.pmod(F.xxhash64("course_id"), block_count[F.col("cluster")]).cast("int")
-    located = placed.select("course_id", "college_id", "embedding", "cluster", own_block.alias("block"))
 
     def partners(mine: str, theirs: str) -> DataFrame:
-        """Rows sent to each block they must meet; 'near' is symmetric."""
-        other = located.withColumn("other_cluster", F.explode(neighbours[F.col("cluster")])).withColumn(
-            "other_block",
-            F.explode(F.sequence(F.lit(0), block_count[F.col("other_cluster")] - 1)),
+        """Rows sent to each block they must meet; meeting is symmetric."""
+        other = placed.join(meets, "cluster").withColumns(
+            {
+                "block": F.pmod(F.xxhash64("course_id"), F.col("blocks")).cast("int"),
+                "other_block": F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)),
+            }
         )
         return other.select(
-            F.col("course_id"),
-            F.col("college_id"),
-            F.col("embedding"),
+            *[F.col(c).alias(c) for c in ("course_id", "college_id", "embedding")],
             F.struct(F.col("cluster").alias("c"), F.col("block").alias("b")).alias(mine),
             F.struct(F.col("other_cluster").alias("c"), F.col("other_block").alias("b")).alias(theirs),
         )
@@ -249,26 +249,29 @@ def similar_for_all(
         cos = _unit(a["embedding"]) @ _unit(b["embedding"]).T
         cos[a["college_id"].to_numpy()[:, None] == b["college_id"].to_numpy()[None, :]] = -2
         cos[a["course_id"].to_numpy()[:, None] == b["course_id"].to_numpy()[None, :]] = -2
-        # Ties are cut by id, as the final ranking does.
-        by_id = np.argsort(b["course_id"].to_numpy(), kind="stable")
-        order = by_id[np.argsort(-cos[:, by_id], axis=1, kind="stable")[:, :nearest]]
-        best = np.take_along_axis(cos, order, axis=1)
-        row, col = np.nonzero(best >= min_similarity)
-        picked = order[row, col]
+        # Only what is similar enough is sorted; ties are cut by id, as the final ranking does.
+        row, picked = np.nonzero(cos >= min_similarity)
+        value = cos[row, picked]
+        sort = np.lexsort((b["course_id"].to_numpy()[picked], -value, row))
+        row, picked, value = row[sort], picked[sort], value[sort]
+        if nearest is not None:
+            first = np.searchsorted(row, row)
+            few = np.arange(len(row)) - first < nearest
+            row, picked, value = row[few], picked[few], value[few]
         if nearest is None:
             # Only the first few of each college, and of those the first few, can stay.
             college = pd.factorize(b["college_id"])[0][picked]
             ranked = pd.DataFrame({"row": row, "college": college})
             few = (ranked.groupby(["row", "college"]).cumcount() < per_college).to_numpy()
             few &= pd.Series(few).groupby(row).cumsum().to_numpy() <= limit
-            row, col, picked = row[few], col[few], picked[few]
+            row, picked, value = row[few], picked[few], value[few]
         return pd.DataFrame(
             {
                 "course_id": a["course_id"].to_numpy()[row],
                 "college_id": a["college_id"].to_numpy()[row],
                 "other_id": b["course_id"].to_numpy()[picked],
                 "other_college": b["college_id"].to_numpy()[picked],
-                "similarity": best[row, col],
+                "similarity": value,
             }
         )
 
