@@ -195,11 +195,20 @@ def remove(
 ) -> DataFrame:
     """Every row with its text reduced to the kept words, one space between them, and the counts.
 
-    Adds the columns ``names`` in place of any that are there; all others are passed through. A row
-    that loses nothing keeps its text as it was (the digest is of its words joined).
+    Adds the columns ``names`` in place of any that are there; all others are passed through, whatever
+    their names. A row that loses nothing keeps its text as it was (the digest is of its words joined).
     """
-    told = names
-    keep = [c for c in df.columns if c not in told]
+    replaced = {n.lower() for n in names}
+    kept = [c for c in df.columns if c.lower() not in replaced]
+    plain = df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(kept)])
+    told = tuple(f"told{i}" for i in range(len(names)))
+    own = (f"c{kept.index(c)}" for c in (id_col, text))
+    return _remove(plain, width, anchor, crowd, *own, told).toDF(*kept, *names)
+
+
+def _remove(df: DataFrame, width: int, anchor: int, crowd: int, id_col: str, text: str, told: tuple[str, ...]) -> DataFrame:
+    """The same for columns whose names meet no name used here."""
+    keep = df.columns
     # The mark tells rows with one id apart.
     rows = df.select(*keep, F.hash(text).alias("_mark"))
     covers = _repeats(rows, width, anchor, crowd, id_col, text)

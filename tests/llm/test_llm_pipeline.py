@@ -37,6 +37,8 @@ def test_stages(spark, tmp_path):
 
 def test_columns_and_null_rows(spark, tmp_path):
     docs = queries.table(spark, FOLDER, "documents").withColumn("n_words", F.lit(5)).withColumn("score", F.lit("s"))
+    clashes = ("_mark", "_covers", "_score", "_label", "_pred", "_Words", "_removed", "_digest", "_text", "_runs", "c0", "told0")
+    docs = docs.withColumns({c: F.lit(c) for c in clashes})
     null = spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")
     docs = docs.unionByName(null, allowMissingColumns=True)
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -44,4 +46,5 @@ def test_columns_and_null_rows(spark, tmp_path):
         assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
+    assert {r for r in docs.select(*clashes).distinct().collect()} == {clashes}
     assert docs.where("doc_id < 0").count() == 0 and docs.agg(F.max("n_words")).first()[0] == 5
