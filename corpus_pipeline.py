@@ -23,15 +23,16 @@ LEAST_QUALITY = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a prevailing language."""
     model = language.train(docs)
-    scored = language.predict(docs, model, pred="_pred", score="_score")
-    return scored.where((F.col("_pred") != "und") & (F.col("_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    label, share = (frames.spare(docs.columns, c) for c in ("_label", "_share"))
+    scored = language.predict(docs, model, pred=label, score=share)
+    return scored.where((F.col(label) != "und") & (F.col(share) >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that look like those labelled 0, as learned from the labelled documents still here."""
     model = quality.train(docs, queries.table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, name="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    name = frames.spare(docs.columns, "_score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove 50-word passages that a smaller id holds; a document left without a word goes."""
-    cleaned = substring.remove(docs, names=("_words", "_removed", "_digest")).where("_removed < _words")
+    words, removed, digest = (frames.spare(docs.columns, c) for c in ("_words", "_removed", "_digest"))
+    cleaned = substring.remove(docs, names=(words, removed, digest)).where(F.col(removed) < F.col(words))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
