@@ -440,13 +440,14 @@ def table_sorted(t: Tables) -> DataFrame:
     "course_listing_deep_page",
     LISTING_SQL.format(where="true")
     + """
-    select *, (select count(*) from full_rows) as total_count,
-      row_number() over (order by cost desc nulls last, lower(course_number), course_id) as place
-    from full_rows order by place limit 500 offset 12000
+    , placed as (
+      select *, (select count(*) from full_rows) as total_count,
+        row_number() over (order by cost desc nulls last, lower(course_number), course_id) as place from full_rows)
+    select * from placed where place > total_count // 2 and place <= total_count // 2 + 500
     """,
 )
 def course_listing_deep_page(t: Tables) -> DataFrame:
-    """A page far down the listing, read from the range that holds it."""
+    """A page from the middle of the listing, read from the ranges that hold it."""
     order = [c.desc_nulls_last() for c in listing.sort_columns("cost")] + [F.lower("course_number").asc(), F.col("course_id").asc()]
     pages = paging.Pages.build(listing_rows(t, None, "all"), order, scratch(t.spark, "listing"), 2_000)
-    return pages.page(500, 12_000)
+    return pages.page(500, pages.total // 2)

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 NO_SQL: set[str] = set()
 EMPTY = {"title_repair"}
 # The optional training-data queries have brute-force tests of their own.
-CHECKED_ELSEWHERE = tuple(f"op{n}_" for n in (3, 6, 7, 8, 9, 10)) + ("pipeline",)
+CHECKED_ELSEWHERE = tuple(f"op{n}_" for n in (3, 6, 7, 8, 9, 10, 11)) + ("pipeline",)
 
 
 @pytest.fixture(scope="module")
