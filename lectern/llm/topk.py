@@ -9,7 +9,8 @@ nor a crowd of queries meets in one task, and each block returns k rows a query
 
 Components become ``floor(scale * x)``; scores are whole numbers, exact up to 2**53. A vector that
 is null, holds null or non-finite components, or has another length than most takes no part. Equal
-scores: smaller id first. Rows that share an id count as one. Fewer than k others: all of them.
+scores: smaller id first. Rows that share an id count as one, that of the least vector in the order of its
+packed bytes. Fewer than k others: all of them. An empty table gives an empty result.
 Pivots come from a sample of at most ``sample`` rows and change the work, never the result.
 """
 
@@ -130,6 +131,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col
     sizes = usable.groupBy("size").count().orderBy(F.desc("count"), "size").first()  # lengths, counted
     size, total = (sizes[0], sizes[1]) if sizes else (1, 0)
     usable = usable.where(F.col("size") == size)
+    if not df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        usable = usable.groupBy("vec").agg(F.min("values").alias("values"))
     taken = usable.sample(min(1.0, sample / max(total, 1)), seed=5).select("values").limit(2 * sample).collect()
     points = np.frombuffer(b"".join(bytes(r[0]) for r in taken), np.float64).reshape(-1, size) if taken else np.zeros((1, size))
     told = spark.sparkContext.broadcast(_pivots(points, int(np.clip(total**0.5, 1, 1024))))

@@ -264,6 +264,20 @@ def test_components(spark):
 # -- op5 ---------------------------------------------------------------------------------------
 
 
+def test_top_k_with_repeated_ids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(12)] + [(11, [11.0, 1.0]), (11, [0.5, 0.25]), (0, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    x = {i: np.floor(256 * np.array(v)) for i, v in rows}
+    x[11] = min((np.floor(256 * np.array(v)) for i, v in rows if i == 11), key=lambda v: v.tobytes())
+    want = {}
+    for q in (0, 10):
+        best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    got = topk.search(table, F.col("vec_id") % 10 == 0, sample=100).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    assert topk.search(table.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 8)], "x") for i in range(300)]
