@@ -125,6 +125,7 @@ class RollingDay(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.hours = handle.getMapState("hours", "hour long", "ts array<long>, key array<long>")
+        self.told = handle.getValueState("told", "hour long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for some in rows:
@@ -139,19 +140,28 @@ class RollingDay(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        hour = expiredTimerInfo.getExpiryTimeInMs() * 1000 // HOUR_US - 1
-        day = [self.hours.getValue((h,))[0] for h in range(hour - DAY_HOURS, hour + 1) if self.hours.containsKey((h,))]
-        own = self.hours.getValue((hour,)) if self.hours.containsKey((hour,)) else None
-        if self.hours.containsKey((hour - DAY_HOURS,)):
-            self.hours.removeKey((hour - DAY_HOURS,))
-        if own is None:
+        # The first timer of a batch tells every hour that is over; the others find nothing left to tell.
+        told = self.told.get()[0] if self.told.exists() else -(1 << 60)
+        if expiredTimerInfo.getExpiryTimeInMs() * 1000 // HOUR_US - 1 <= told:
             return
-        # A day after its last use an hour is dropped, whether or not the user comes back.
-        self.handle.registerTimer((hour + DAY_HOURS + 1) * HOUR_US // 1000)
-        past = np.sort(np.concatenate([np.array(x, np.int64) for x in day]))
-        ts = np.array(own[0], np.int64)
+        over = timerValues.getCurrentWatermarkInMs() * 1000 // HOUR_US  # the first hour that is not
+        held = {h[0]: v for h, v in self.hours.iterator()}
+        due = sorted(h for h in held if told < h < over)
+        for h in [h for h in held if h < over - DAY_HOURS]:
+            self.hours.removeKey((h,))
+        if any(h >= over - DAY_HOURS for h in held):
+            self.told.update((over - 1,))
+            # A day after its last use an hour is dropped, whether or not the user comes back.
+            self.handle.registerTimer((max(held) + DAY_HOURS + 2) * HOUR_US // 1000)
+        else:
+            self.told.clear()
+        if not due:
+            return
+        past = np.sort(np.concatenate([np.array(held[h][0], np.int64) for h in sorted(held) if h < over]))
+        ts = np.concatenate([np.array(held[h][0], np.int64) for h in due])
+        keys = np.concatenate([np.array(held[h][1], np.int64) for h in due])
         count = np.searchsorted(past, ts, "right") - np.searchsorted(past, ts - DAY_HOURS * HOUR_US, "left")
-        yield pd.DataFrame({self.user: key[0], "ts_us": ts, "key": list(own[1]), "in_day": count, "over_cap": count - 1 >= self.cap})
+        yield pd.DataFrame({self.user: key[0], "ts_us": ts, "key": keys, "in_day": count, "over_cap": count - 1 >= self.cap})
 
 
 def rolling_day_stream(stream: DataFrame, user: str, ts: str, key: str, cap: int = DAILY_CAP, late: str = "1 hour") -> DataFrame:
