@@ -2,14 +2,20 @@
 
 Every word has affix, byte n-gram and lexicon features, hashed into one weight table per label;
 transitions between labels are learned with them. Training chains are spliced from stretches of
-labelled documents, so switches occur in them. A text's words, lower-cased, are cut into chains of at
-most ``CHAIN`` words; forward-backward gives each word's label probabilities. A document's score for
-a label is the mean over its words with letters, its prediction the best label.
+labelled documents, so switches occur in them, and of stretches of no language: the same words with
+their letters shuffled, words of letters drawn at random, and words of scripts that the labelled
+documents hardly use. These carry one more label, "other". A text's words, lower-cased, are cut into
+chains of at most ``CHAIN`` words, words of more than ``REACH`` bytes into stretches that enter the
+chain one after the other, so every byte counts; forward-backward gives each word's label
+probabilities. A document's score for a label is the mean over its words with letters, "other" among
+the labels; its prediction is the best label that was learned from rows, so text in no learned
+language gets a label with a low score, which a caller can reject.
 
 Training reads a bounded, documented sample of labelled rows (``sample`` documents, by a hash of the
-id) and runs on the driver; predictions cover every word of every text. A text that is null or has no
-letter is ``und`` with score 0. Rows with one id are scored each. Without any labelled row every text
-is ``und``. Labels in ties: alphabetical.
+id, and ``sample_chars`` characters of each from a place that the hash chooses) and runs on the
+driver; predictions cover every word of every text. A text that is null or has no letter is ``und``
+with score 0. Rows with one id are scored each, equal texts alike. An empty table gives an empty
+result; without any labelled row every text is ``und``. Labels in ties: alphabetical.
 """
 
 from __future__ import annotations
@@ -28,8 +34,21 @@ from lectern.llm import frames
 
 CHAIN = 64
 BITS = 16
-# Longest part of a word that its features look at, in bytes: the rest of it counts by its affixes and lexicon.
+# Longest word of a chain, in bytes; a longer one enters as consecutive stretches of this size.
 REACH = 30
+# Scripts that words of no learned language are drawn from: first and last code point.
+SCRIPTS = [
+    (0x0391, 0x03C9),  # Greek
+    (0x0410, 0x044F),  # Cyrillic
+    (0x05D0, 0x05EA),  # Hebrew
+    (0x0621, 0x064A),  # Arabic
+    (0x0905, 0x0939),  # Devanagari
+    (0x0E01, 0x0E30),  # Thai
+    (0x10D0, 0x10F0),  # Georgian
+    (0x3041, 0x30FA),  # Hiragana, Katakana
+    (0x4E00, 0x9FA5),  # Han
+    (0xAC00, 0xD7A3),  # Hangul
+]
 
 
 def _lower() -> np.ndarray:
@@ -54,9 +73,9 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """Feature numbers of each word, a row per word; 0 where a word has fewer."""
+    """Feature numbers of each word (of ``REACH`` bytes at most), a row per word; 0 where a word has fewer."""
     width = REACH + 2
-    joined = b"".join((b"\x02" + (w if len(w) <= REACH else w[: REACH // 2] + w[-REACH // 2 :]) + b"\x03").ljust(width, b"\x00") for w in words)
+    joined = b"".join((b"\x02" + w + b"\x03").ljust(width, b"\x00") for w in words)
     grid = np.frombuffer(joined, np.uint8).reshape(len(words), width).astype(np.uint64)
     columns = []
     code = grid
@@ -76,18 +95,33 @@ def hash_bytes(word: bytes) -> int:
     return out ^ len(word)
 
 
+def stretches(starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than ``REACH`` bytes as consecutive stretches; the counts before each text follow."""
+    parts = -(-(ends - starts) // REACH)
+    if not len(parts) or parts.max() == 1:
+        return starts, ends, before
+    first = np.repeat(starts, parts) + REACH * frames.ranges(np.zeros(len(parts), np.int64), parts)
+    return first, np.minimum(first + REACH, np.repeat(ends, parts)), np.concatenate([[0], np.cumsum(parts)])[before]
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text as they enter a chain."""
+    raw = lowered(np.frombuffer(text.encode(), np.uint8)).tobytes()
+    return [w[k : k + REACH] for w in raw.split() for k in range(0, len(w), REACH)]
+
+
 @dataclass
 class Model:
-    labels: list[str]
+    labels: list[str]  # as learned from rows; the last column of the weights stands for "other"
     weights: np.ndarray  # feature, label
     transitions: np.ndarray  # from, to
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Summed feature weights of each word per label."""
         if not words:
-            return np.empty((0, len(self.labels)), np.float32)
+            return np.empty((0, self.weights.shape[1]), np.float32)
         at = features(words)
-        return np.stack([self.weights[:, y][at].sum(1) for y in range(len(self.labels))], axis=1)
+        return np.stack([self.weights[:, y][at].sum(1) for y in range(self.weights.shape[1])], axis=1)
 
 
 def forward_backward(scores: np.ndarray, valid: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,18 +169,46 @@ def probabilities(scores: np.ndarray, valid: np.ndarray, transitions: np.ndarray
     return out / out.sum(2, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40, ridge: float = 1e-5, seed: int = 3) -> Model | None:
-    """Weights and transitions by gradient steps on the likelihood of spliced chains."""
+def strange(doc: list[bytes], known: set[bytes], rng: np.random.Generator) -> list[bytes]:
+    """Words of no learned language, as long as those of ``doc``: shuffled, of random letters, or of another script."""
+    kind = int(rng.integers(3))
+    if kind == 2:
+        low, high = SCRIPTS[rng.integers(len(SCRIPTS))]
+        own = [rng.integers(low, high + 1, rng.integers(1, 1 + max(1, REACH // 3))) for _ in doc]
+        return ["".join(map(chr, w.tolist())).encode() for w in own]
+    out = []
+    for word in doc:
+        try:
+            letters = np.array(list(word.decode()))
+        except UnicodeDecodeError:  # a stretch that begins or ends within a character
+            letters = np.array(list("x" * len(word)))
+        if kind:
+            letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))[rng.integers(26, size=len(letters))]
+        else:
+            rng.shuffle(letters)
+        made = "".join(letters).encode()
+        if made not in known:
+            out.append(made)
+    return out
+
+
+def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40, ridge: float = 1e-5, others: float = 0.4, seed: int = 3) -> Model | None:
+    """Weights and transitions by gradient steps on the likelihood of spliced chains.
+
+    A share ``others`` of their stretches is of no language.
+    """
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     own: list[list[list[bytes]]] = [[] for _ in labels]
     for text, lang in zip(texts, langs, strict=True):
-        split = lowered(np.frombuffer(text.encode(), np.uint8)).tobytes().split()
+        split = words_of(text)
         if split:
             own[labels.index(lang)].append(split)
     usable = [y for y, docs in enumerate(own) if docs]
     if not usable:
         return None
+    known = {w for docs in own for doc in docs for w in doc}
+    other = len(labels)
     index: dict[bytes, int] = {}
     at = np.zeros((CHAIN, chains), np.int64)
     gold = np.zeros((CHAIN, chains), np.int64)
@@ -155,6 +217,10 @@ def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40,
         while t < CHAIN:
             y = usable[rng.integers(len(usable))]
             doc = own[y][rng.integers(len(own[y]))]
+            if rng.random() < others:
+                y, doc = other, strange(doc[: 2 * CHAIN], known, rng)
+                if not doc:
+                    continue
             n = min(int(rng.integers(8, 2 * CHAIN)), CHAIN - t, len(doc))
             start = int(rng.integers(len(doc) - n + 1))
             for w in doc[start : start + n]:
@@ -162,7 +228,7 @@ def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40,
                 t += 1
     numbers = features(list(index))
     flat = numbers.ravel()
-    classes = len(labels)
+    classes = len(labels) + 1
     model = Model(labels, np.zeros((2 << BITS, classes), np.float32), np.zeros((classes, classes)))
     weights, moves = np.zeros((2 << BITS, classes)), np.zeros((classes, classes))
     valid = np.ones((CHAIN, chains), bool)
@@ -187,12 +253,20 @@ def fit(texts: list[str], langs: list[str], chains: int = 2000, steps: int = 40,
     return model
 
 
-def train(df: DataFrame, sample: int = 800, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> Model | None:
-    """Fit on ``sample`` labelled rows at most, those with the smallest hashes of their id and text."""
+def train(
+    df: DataFrame, sample: int = 800, sample_chars: int = 20_000, id_col: str = "doc_id", text: str = "text", lang: str = "lang", **options
+) -> Model | None:
+    """Fit on ``sample`` labelled rows at most, those with the smallest hashes of their id and length.
+
+    Of a text longer than ``sample_chars`` that many characters are learned from, at a place given by the hash.
+    """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     mark = F.xxhash64(id_col, F.length(text))
     ids = known.select(mark.alias("_mark")).orderBy("_mark").limit(sample)
-    rows = known.select(mark.alias("_mark"), text, lang).join(F.broadcast(ids.distinct()), "_mark").orderBy("_mark", text, lang).limit(sample).collect()
+    place = F.pmod(F.col("_mark"), F.greatest(F.length("_text") - sample_chars + 1, F.lit(1))).cast("int") + 1
+    picked = known.select(mark.alias("_mark"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(F.broadcast(ids.distinct()), "_mark")
+    picked = picked.select("_mark", F.col("_text").substr(place, F.lit(sample_chars)).alias("_text"), "_lang")
+    rows = picked.orderBy("_mark", "_text", "_lang").limit(sample).collect()
     return fit([r[1] for r in rows], [r[2] for r in rows], **options)
 
 
@@ -202,7 +276,7 @@ class _Scorer:
     def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit = model, limit
         self.index: dict[bytes, int] = {}
-        self.table = np.empty((0, len(model.labels)), np.float32)
+        self.table = np.empty((0, model.weights.shape[1]), np.float32)
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -227,15 +301,16 @@ class _Scorer:
         return out
 
     def score(self, texts: frames.Texts) -> np.ndarray:
-        """Label shares of each text (rows of zeros: no letter)."""
-        labels = len(self.model.labels)
+        """Label shares of each text, "other" last (rows of zeros: no letter)."""
+        labels = self.model.weights.shape[1]
         raw = lowered(texts.raw)
         starts, ends, before = frames.words(texts)
         shares = np.zeros((texts.n, labels))
         if not len(starts):
             return shares
+        starts, ends, before = stretches(starts, ends, before)
         words = raw.tobytes().split()
-        if len(words) != len(starts):  # neighbours without white space between them: cut by position
+        if len(words) != len(starts) or max(map(len, words)) > REACH:  # neighbours without white space between them, or stretches: cut by position
             data = raw.tobytes()
             words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         scores = self.emissions(words)
@@ -278,7 +353,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", pred: str =
                     for i in np.flatnonzero(shares.sum(1) > 0).tolist():
                         value = texts[i].as_py()
                         if value.isascii() or any(c.isalpha() for c in value):
-                            k = int(shares[i].argmax())
+                            k = int(shares[i, :-1].argmax())
                             best[i], sure[i] = scorer.model.labels[k], min(1.0, float(shares[i, k]))
                 columns = [part.column(c) for c in keep] + [pa.array(best.tolist(), pa.string()), pa.array(sure)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -145,6 +145,43 @@ def test_language_held_out(spark):
     assert right > 0.95
 
 
+def test_language_says_no(spark):
+    """Held-out documents keep a high score; their shuffled letters, random ones and other scripts get a low one."""
+    documents = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    rest = language.remainder("doc_id", 4)
+    model = language.train(documents.where(rest != 2))
+    rows = documents.where((rest == 2) & (F.length("text") > 300)).orderBy("doc_id").limit(60).collect()
+    rng = random.Random(4)
+    made = [(r.doc_id, "clean", r.text) for r in rows]
+    made += [(r.doc_id, "shuffled", " ".join("".join(rng.sample(w, len(w))) for w in r.text.split())) for r in rows]
+    made += [(r.doc_id, "random", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in r.text.split())) for r in rows]
+    made += [(-1, "script", "Все семьи похожи друг на друга"), (-2, "script", "吾輩は猫である。名前はまだ無い。"), (-3, "script", "كان يا ما كان في قديم الزمان")]
+    made += [(r.doc_id, "joined", "".join(r.text.split())) for r in rows]
+    got = language.predict(spark.createDataFrame(made, "doc_id long, kind string, text string"), model).collect()
+    langs = {r.doc_id: r.lang for r in rows}
+    assert all(r.lang_pred in model.labels for r in got)
+    assert all(r.score > 0.5 for r in got if r.kind == "clean")
+    assert all(r.score < 0.4 for r in got if r.kind in ("shuffled", "random", "script"))
+    assert sum(r.lang_pred == langs[r.doc_id] for r in got if r.kind == "joined") >= 57
+
+
+def test_language_reads_the_middle_of_long_words():
+    starts, ends, before = language.stretches(np.array([0, 70, 71]), np.array([65, 71, 131]), np.array([0, 1, 3]))
+    assert list(zip(starts.tolist(), ends.tolist())) == [(0, 30), (30, 60), (60, 65), (70, 71), (71, 101), (101, 131)]
+    assert before.tolist() == [0, 3, 6]
+    word = "".join(chr(97 + k % 26) for k in range(95))
+    assert b"".join(language.words_of(word)) == word.encode() and max(map(len, language.words_of(word))) == 30
+
+
+def test_language_repeats_and_ties(spark, docs):
+    model = language.train(docs)
+    rows = spark.createDataFrame([(1, "the and of"), (1, "the and of"), (2, "the and of")], "doc_id long, text string")
+    got = language.predict(rows, model).collect()
+    assert len(got) == 3 and len({(r.lang_pred, r.score) for r in got}) == 1
+    level = language.Model(["aa", "bb"], np.zeros_like(model.weights)[:, :3], np.zeros((3, 3)))
+    assert language.predict(rows, level).first().lang_pred == "aa"
+
+
 def test_language_odd(spark, docs, empty):
     model = language.train(docs)
     odd = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "12 !?", 1.0), (4, "… 12", 1.0), (5, "abc " * 20000, 1.0)], "doc_id long, text string, score double")
