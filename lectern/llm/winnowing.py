@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lectern.llm import frames
 
-GRAM, WINDOW = 24, 77  # 100 characters in common are always seen
+GRAM, WINDOW = 10, 17  # 26 characters in common are always seen
 _TOP = np.uint64(0xFFFFFFFF)
 
 
