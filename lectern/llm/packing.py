@@ -3,11 +3,12 @@
 Documents become ids with an end id; one longer than the capacity is cut into pieces, the first of
 which may be shorter. Only the histogram of piece lengths (at most ``capacity`` entries, whatever the
 input) reaches the driver. There the program "fewest patterns that cover all lengths" is solved by
-multiplicative weights: each step prices lengths, a knapsack dynamic program finds the best pattern,
-and the lengths it covers get cheaper. Patterns are rounded down to what is there, what is left is
-solved again, and the rest is packed best-fit on the histogram. Pieces then look their place
-up by length and rank; ranks are numbered inside slices of a length, so a length that holds a third
-of all rows is spread over many tasks.
+multiplicative weights: each step prices lengths, one knapsack dynamic program gives the best pattern
+around every length, and the mixture of those near the best makes the lengths it covers cheaper. The
+mean of the mixtures is rounded up while pieces are there, what is left is solved again, and best-fit
+packs the last pieces; where best-fit alone needs fewer sequences, fewer of the program's patterns, or none,
+are kept. Pieces then look their place up by length and rank; ranks are numbered inside slices of a
+length, so a length that holds a third of all rows is spread over many tasks.
 
 A null or empty text is one piece with the end id alone. Rows that share an id are packed
 each by itself. An empty table gives an empty result.
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 
 from lectern.llm import bpe, frames
 
+# Sequences are dealt to patterns in shares of one in so many.
+GRAIN = 4000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,51 +67,101 @@ def cut(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col:
     return df.select(id_col, text).mapInArrow(run, schema)
 
 
-def _best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Multiset of lengths within the capacity of the greatest worth (unbounded knapsack), as counts."""
+def _priced(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over all rooms up to the capacity: greatest worth, and the length taken last (-1: none)."""
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        n = np.searchsorted(lengths, room, "right")
-        best[room], took[room] = best[room - 1], -1
+        best[room] = best[room - 1]
+        n = fitting[room]
         if n:
             values = best[room - lengths[:n]] + worth[:n]
             k = int(values.argmax())
             if values[k] > best[room] + 1e-12:
                 best[room], took[room] = values[k], k
-    counts = np.zeros(len(lengths), np.int64)
-    room = capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            counts[took[room]] += 1
-            room -= int(lengths[took[room]])
-    return counts
-
-
-def _rounded(left: dict[int, int], capacity: int, steps: int, rate: float) -> list[tuple[list[int], int]]:
-    """Near-full patterns of the program's multiplicative-weights solution, rounded down to what is there."""
-    lengths = np.array(sorted(left))
-    demand = np.array([left[k] for k in lengths.tolist()])
-    bins = float(lengths @ demand) / capacity
-    steps = int(max(1, min(steps, bins)))
-    share = bins / steps  # sequences that one step stands for
-    covered, remaining, out = np.zeros(len(lengths)), demand.copy(), []
-    for t in range(steps):
-        # Lengths that lag behind the even pace gain worth, those ahead of it lose it; long ones are
-        # dearer than their share of a sequence, as they fit few patterns.
-        weight = np.exp(np.clip(-rate * (covered - t / steps), -50, 50)) * (1 + lengths / capacity)
-        weight[remaining <= 0] = 0
-        pattern = _best_pattern(lengths, lengths * weight, capacity)
-        used = pattern > 0
-        if not used.any():
+    return best, took
+
+
+def _patterns(lengths: np.ndarray, worth: np.ndarray, capacity: int, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """For every length the best pattern that holds it, if its worth is within ``slack`` of the best of all.
+
+    Gives (pattern, position of a length) pairs, one per copy, the lengths whose patterns count, and the best worth.
+    One dynamic program prices them all.
+    """
+    best, took = _priced(lengths, worth, capacity)
+    value = worth + best[capacity - lengths]
+    lead = np.flatnonzero(value >= (1 - slack) * best[capacity])
+    # The next smaller room that something was taken for.
+    filled = np.maximum.accumulate(np.where(took >= 0, np.arange(capacity + 1), 0))
+    rows, items = [np.arange(len(lead))], [lead]
+    room = filled[capacity - lengths[lead]]
+    at = np.flatnonzero(room > 0)
+    while len(at):
+        k = took[room[at]]
+        rows.append(at)
+        items.append(k)
+        room[at] = filled[room[at] - lengths[k]]
+        at = at[room[at] > 0]
+    return np.concatenate(rows), np.concatenate(items), lead, float(best[capacity])
+
+
+def solve(histogram: dict[int, int], capacity: int, steps: int = 40, gap: float = 0.01, rate: float = 3.0) -> tuple[dict[tuple[int, ...], float], float]:
+    """Fractional solution of the configuration program: patterns with their amounts, and the gap left.
+
+    Each step prices the lengths by multiplicative weights (those whose covering lags gain) and answers with a
+    mixture of the patterns within a few percent of the best. The amounts are the mean of the steps' answers, scaled to
+    the program's bound from the prices; the gap is the share of all ids that they leave uncovered. Steps go on
+    until it is under ``gap``.
+    """
+    lengths = np.array(sorted(histogram))
+    demand = np.array([float(histogram[k]) for k in lengths.tolist()])
+    bound = float(lengths @ demand) / capacity
+    made = np.zeros(len(lengths))  # copies covered by the answers so far, each of them one `bound` in all
+    amounts: dict[tuple[int, ...], float] = {}
+    left, t = 1.0, 0
+    for t in range(1, steps + 1):
+        lag = np.clip(rate * (1 - made / (demand * max(t - 1, 1))), -20, 20) if t > 1 else np.zeros(len(lengths))
+        worth = lengths * np.exp(0.05 * lag * np.sqrt(t))
+        rows, items, lead, best = _patterns(lengths, worth, capacity, 0.02)
+        bound = max(bound, float(worth @ demand) / best)  # any prices bound the program from below
+        share = (worth * demand * np.exp(np.clip(lag, -10, 4)))[lead]
+        share *= bound / share.sum()
+        made += np.bincount(items, share[rows], len(lengths))
+        order = np.argsort(rows, kind="stable")
+        counts = np.bincount(rows, minlength=len(lead))
+        flat = -np.sort(-(rows[order].astype(np.int64) * -(capacity + 1) + lengths[items[order]]))  # longest first within a pattern
+        flat += (capacity + 1) * np.repeat(np.arange(len(lead)), counts)
+        ends = np.cumsum(counts)
+        listed = flat.tolist()
+        for a, b, x in zip((ends - counts).tolist(), ends.tolist(), share.tolist(), strict=True):
+            key = tuple(listed[a:b])
+            amounts[key] = amounts.get(key, 0.0) + x
+        left = float(np.maximum(demand - made / t, 0) @ lengths) / float(demand @ lengths)
+        if left < gap:
             break
-        covered += pattern * share / demand
-        times = min(int(share) or 1, int((remaining[used] // pattern[used]).min()))
-        if times > 0 and pattern @ lengths >= 0.995 * capacity:
-            remaining -= pattern * times
-            out.append((np.repeat(lengths, pattern)[::-1].tolist(), times))
+    return {p: x / t for p, x in amounts.items()}, left
+
+
+def _rounded(left: dict[int, int], capacity: int, full: float, **options) -> list[tuple[list[int], int]]:
+    """The program's solution in whole sequences: patterns by their longest piece, rounded up while pieces are there.
+
+    Amounts are rounded up to a ``GRAIN``-th of all sequences, so the number of patterns does not grow with the pieces.
+    """
+    amounts, _ = solve(left, capacity, **options)
+    grain = max(1, sum(k * n for k, n in left.items()) // (capacity * GRAIN))
+    rest, out = dict(left), []
+    for pattern in sorted(amounts, key=lambda p: (-p[0], -sum(p), -amounts[p], p)):
+        if sum(pattern) < full * capacity:
+            continue
+        need: dict[int, int] = {}
+        for k in pattern:
+            need[k] = need.get(k, 0) + 1
+        times = min(grain * -int(-amounts[pattern] // grain), *(rest[k] // n for k, n in need.items()))
+        if times > 0:
+            for k, n in need.items():
+                rest[k] -= n * times
+            out.append((list(pattern), times))
     return out
 
 
@@ -141,32 +194,53 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]
     return [(p, n) for p, n in zip(patterns, counts, strict=True) if n]
 
 
-def plan(histogram: dict[int, int], capacity: int = 2048, steps: int = 60, rate: float = 4.0, rounds: int = 3) -> list[tuple[list[int], int]]:
+def plan(histogram: dict[int, int], capacity: int = 2048, rounds: int = 8, **options) -> list[tuple[list[int], int]]:
     """Patterns (lists of lengths) and how many sequences follow each; together they hold every piece.
 
-    The program's rounded solution takes the bulk, again for what it leaves, and best-fit by counts
-    the rest; of the plans after each round, the one with the fewest sequences wins. The work depends on the
-    capacity, not on the number of pieces.
+    The program is solved and rounded, then again for what rounding leaves, and best-fit by counts packs
+    the rest; of the plans after each round, the one with the fewest sequences wins, the one with more of the program if
+    several do. The work depends on the capacity, not on the number of pieces.
     """
+    return [p for part in settled(histogram, capacity, rounds, **options) for p in part]
+
+
+def settled(histogram: dict[int, int], capacity: int = 2048, rounds: int = 8, **options) -> tuple[list, list, list]:
+    """The plan in parts: whole sequences of one piece, the program's, best-fit's."""
     whole = [([capacity], histogram[capacity])] if histogram.get(capacity) else []
-    left = {k: n for k, n in histogram.items() if k < capacity and n > 0}
+    pieces = {k: n for k, n in histogram.items() if k < capacity and n > 0}
+    left = dict(pieces)
     taken: list[tuple[list[int], int]] = []
-    best = _best_fit(left, capacity)
-    for _ in range(rounds):
+    rest = _best_fit(left, capacity)
+    best, fewest = (taken, rest), sum(n for _, n in rest)
+    for turn in range(rounds):
         if not left:
             break
-        more = _rounded(left, capacity, steps, rate)
+        more = _rounded(left, capacity, 1.0 if turn < rounds - 2 else 0.98, **options)
         if not more:
-            break
+            continue
         taken = taken + more
         for lengths, times in more:
             for k in lengths:
                 left[k] -= times
         left = {k: n for k, n in left.items() if n}
-        tried = taken + _best_fit(left, capacity)
-        if sum(n for _, n in tried) <= sum(n for _, n in best):
-            best = tried
-    return whole + best
+        rest = _best_fit(left, capacity)
+        if sum(n for _, n in taken + rest) <= fewest:
+            best, fewest = (taken, rest), sum(n for _, n in taken + rest)
+    # Patterns rounded last may cost a sequence; without some of them best-fit has more to choose from.
+    for share in (0.98, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2):
+        kept, rest_of, bound = [], dict(pieces), share * sum(n for _, n in taken)
+        for lengths, times in taken:
+            n = min(times, int(bound))
+            bound -= n
+            if n > 0:
+                kept.append((lengths, n))
+                for k in lengths:
+                    rest_of[k] -= n
+        rest = _best_fit({k: n for k, n in rest_of.items() if n}, capacity)
+        total = sum(n for _, n in kept + rest)
+        if total < fewest or total == fewest and sum(n for _, n in kept) > sum(n for _, n in best[0]):
+            best, fewest = (kept, rest), total
+    return whole, *best
 
 
 def _places(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -363,7 +363,7 @@ def test_winnowing_guarantee():
     rng = random.Random(8)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     for _ in range(20):
-        common = make(100)
+        common = make(winnowing.GRAM + winnowing.WINDOW - 1)
         both = [make(rng.randint(0, 300)) + common + make(rng.randint(0, 300)) for _ in range(2)]
         found = []
         for text in both:
@@ -372,6 +372,40 @@ def test_winnowing_guarantee():
         assert found[0] & found[1]
 
 
+def test_edited_short_texts(spark):
+    """Half of a short text is kept, and its fingerprint tells; the next text is another."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(54, 140)))) for i in range(200)]
+    got = winnowing.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 200 and all(r.near_edited > 0 and r.near_next < 0.1 for r in got)
+    assert sum(r.near_edited for r in got) > 0.2 * len(got)
+
+
+def test_edited_matches_brute_force(spark, docs, texts):
+    """Fingerprints of both texts and both measures of likeness, from the definition."""
+
+    def hashes(text: str) -> list[int]:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return [
+            int(frames.span_hashes(points, np.array([k]), np.array([min(k + winnowing.GRAM, len(points))]))[0] >> np.uint64(32))
+            for k in winnow(text, winnowing.GRAM, winnowing.WINDOW)
+        ]
+
+    def alike(a: list[int], b: list[int]) -> float:
+        return len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+
+    own = {i: t or "" for i, t in texts.items()}
+    order = sorted(own, reverse=True)
+    rows = winnowing.edited(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(own)
+    for r in rows:
+        text, after = own[r.doc_id], own[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(text) // 2
+        a, b, c = hashes(text), hashes(text[: len(text) - half] + after[:half]), hashes(after)
+        assert r.fingerprint == "".join(f"{x:08x}" for x in a) and r.edited_fingerprint == "".join(f"{x:08x}" for x in b)
+        assert (r.near_edited, r.near_next) == pytest.approx((alike(a, b), alike(a, c)))
+
+
 def test_edited(docs, empty, texts):
     got = {r.doc_id: r for r in winnowing.edited(docs).where("doc_id IS NOT NULL").collect()}
     order = sorted([*texts, 10], reverse=True)
@@ -458,6 +492,47 @@ def test_packing_plan():
         assert sum(t for _, t in plan) <= 1.005 * max(large, -(-sum(sizes) // 2048)) + 1
 
 
+def test_packing_program_beats_best_fit():
+    rng = random.Random(5)
+    triples = collections.Counter(rng.choice([400, 500, 600, 700, 748, 848, 950]) for _ in range(3000))
+    for histogram in (triples, collections.Counter({683: 3000, 682: 3000, 1000: 2000, 500: 1500, 341: 900, 900: 1000, 450: 3000, 248: 900})):
+        whole, program, rest = packing.settled(histogram)
+        alone = packing._best_fit(dict(histogram), 2048)
+        used = collections.Counter()
+        for lengths, times in program + rest:
+            assert sum(lengths) <= 2048
+            used.update({k: times * n for k, n in collections.Counter(lengths).items()})
+        assert used == histogram and not whole
+        assert sum(n for _, n in program + rest) < sum(n for _, n in alone)
+        assert sum(n for _, n in program) > 0.5 * sum(n for _, n in program + rest)
+
+
+def test_packing_program_settles_documents():
+    """Lengths spread as those of documents are: nearly all sequences come from the program."""
+    rng = random.Random(11)
+    histogram = collections.Counter(min(2047, 1 + int(rng.lognormvariate(5.5, 1.0))) for _ in range(8000))
+    _, program, rest = packing.settled(histogram)
+    total = sum(n for _, n in program + rest)
+    assert total <= sum(n for _, n in packing._best_fit(dict(histogram), 2048))
+    assert sum(n for _, n in program) >= 0.9 * total
+
+
+def test_packing_matches_its_library(spark, docs, texts):
+    """Piece lengths and checksums from the tokenizers library and the JSON file."""
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(queries.vocabulary_file("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    rows = packing.cut(docs.where("doc_id IS NOT NULL"), queries.vocabulary_file("byte_bpe_50k.tiktoken")).where("doc_id <> 10").collect()
+    found = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.piece):
+        found[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, pieces in found.items():
+        ids = [*own.encode(texts[i] or "", add_special_tokens=False).ids, 0]
+        assert sum(n for _, n, _ in pieces) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, crc in pieces)
+
+
 def test_token_files(spark, docs, empty, texts, tmp_path):
     from tokenizers import Tokenizer
 

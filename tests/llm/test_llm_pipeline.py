@@ -1,6 +1,7 @@
 """The pipeline on the smallest tables, stage by stage, and its rules against brute force."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,18 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in kept["packing"]} == set(kept["substrings"])
 
 
+def test_language_stage_rejects(spark):
+    """Text in no learned language goes, documents of the tables stay."""
+    docs = queries.table(spark, FOLDER, "documents").select("doc_id", "text", "lang")
+    long = docs.where(F.length("text") > 300).orderBy("doc_id").limit(20).collect()
+    rng = random.Random(6)
+    made = [(-1, "Все семьи похожи друг на друга, каждая несчастлива", None), (-2, "xkcd qwrtz zzpl mnbv hjkl", None), (-3, "12 34", None)]
+    made += [(-10 - r.doc_id, " ".join("".join(rng.sample(w, len(w))) for w in r.text.split()), None) for r in long]
+    both = docs.unionByName(spark.createDataFrame(made, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, both, FOLDER).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_columns_and_null_rows(spark, tmp_path):
     docs = queries.table(spark, FOLDER, "documents").withColumn("n_words", F.lit(5)).withColumn("score", F.lit("s"))
     clashes = ("_mark", "_covers", "_score", "_label", "_pred", "_Words", "_removed", "_digest", "_text", "_runs", "c0", "told0")
