@@ -61,7 +61,7 @@ def unique_codes(departments: DataFrame, scope: Sequence[str], order: str) -> Da
     as few as the collisions between different codes.
     """
     numbered = number_rows(
-        departments, [*scope, "code"], [F.asc(order)], F.floor(F.col(order) / 10_000), "copy"
+        cut(departments), [*scope, "code"], [F.asc(order)], F.floor(F.col(order) / 10_000), "copy"
     )
     suffix = F.when(F.col("copy") > 1, F.col("copy").cast("string")).otherwise("")
     candidate = F.concat(F.substring("code", F.lit(1), F.lit(24) - F.length(suffix)), suffix)
@@ -98,7 +98,8 @@ DEALS = 16
 def of_department(courses: DataFrame, departments: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Courses of each department by code prefix; a department without any gets the whole list.
 
-    Codes are at most 24 long, so a course meets departments on its own few prefixes.
+    Codes are at most 24 long, so a course meets departments on its own few prefixes, cut only at the lengths
+    that codes have. Courses are never the broadcast side: Spark takes exploded rows for as small as their source.
     """
     number = F.upper("course_number")
     prefixes = F.transform(
@@ -106,14 +107,16 @@ def of_department(courses: DataFrame, departments: DataFrame, scope: Sequence[st
         lambda i: F.substring(number, F.lit(1), i),
     )
     codes = departments.select(*scope, F.upper("code").alias("code")).distinct()
-    own = courses.withColumn("code", F.explode(F.array_distinct(prefixes))).join(
-        codes, [*scope, "code"]
-    )
+    # One row, of 24 numbers at most.
+    lengths = codes.agg(F.collect_set(F.length("code")).alias("code_lengths"))
+    usable = F.filter(prefixes, lambda p: F.array_contains("code_lengths", F.length(p)))
+    begun = courses.crossJoin(F.broadcast(lengths)).withColumn("code", F.explode(F.array_distinct(usable)))
+    own = begun.drop("code_lengths").hint("merge").join(codes, [*scope, "code"])
     bare = codes.join(own.select(*scope, "code").distinct(), [*scope, "code"], "left_anti")
     # The whole list is the answer for a bare department; it is dealt so that no task copies a large scope alone.
     dealt = bare.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
     deal = F.pmod(F.xxhash64("course_number"), F.lit(DEALS)).cast("int")
-    return own.unionByName(courses.withColumn("deal", deal).join(dealt, [*scope, "deal"]).drop("deal"))
+    return own.unionByName(courses.withColumn("deal", deal).hint("merge").join(dealt, [*scope, "deal"]).drop("deal"))
 
 
 def broken_rows(courses: DataFrame) -> DataFrame:
