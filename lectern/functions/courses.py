@@ -209,8 +209,10 @@ def _comma_form(heading: Column, codes: Column, department: Column) -> Column:
 
 
 def prerequisites(prose: Column) -> Column:
-    value = clean(F.regexp_extract(prose, PREREQUISITE_CLAUSE, 1))
-    return F.when((value != "") & ~value.rlike(r"(?i)^(none|n/a|no prerequisites?)$"), value)
+    value = bind(F.regexp_extract(prose, PREREQUISITE_CLAUSE, 1), clean)
+    return bind(
+        value, lambda v: F.when((v != "") & ~v.rlike(r"(?i)^(none|n/a|no prerequisites?)$"), v)
+    )
 
 
 def strip_prerequisite_label(tagged: Column) -> Column:
@@ -245,12 +247,16 @@ def acronym(name: Column) -> Column:
         F.split(F.regexp_replace(name, r"[^A-Za-z\s&]", " "), r"\s+"),
         lambda w: (w != "") & ~F.lower(w).isin(*ACRONYM_SKIP),
     )
-    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    return F.upper(
-        F.when(F.size(words) == 0, F.lit(""))
-        .when(F.size(words) == 1, F.substring(F.get(words, F.lit(0)), 1, 4))
-        .otherwise(F.substring(initials, 1, 6))
-    )
+
+    def letters(found: Column) -> Column:
+        initials = F.array_join(F.transform(found, lambda w: F.substring(w, 1, 1)), "")
+        return F.upper(
+            F.when(F.size(found) == 0, F.lit(""))
+            .when(F.size(found) == 1, F.substring(F.get(found, F.lit(0)), 1, 4))
+            .otherwise(F.substring(initials, 1, 6))
+        )
+
+    return bind(words, letters)
 
 
 def derive_subject(label: Column, slug: Column) -> Column:
@@ -258,21 +264,22 @@ def derive_subject(label: Column, slug: Column) -> Column:
     lead = r"^([A-Z][A-Z&]{1,9})\s*[-–—:]\s*(.{2,})$"
     paren = r"^(.*?)\s*\(([A-Za-z&][A-Za-z&\s]{0,11})\)\s*$"
     bare = F.regexp_replace(label, r"\s*\([^)]*\)\s*$", "")
-    bare = clean(F.regexp_replace(bare, r"(?i)^course\s+[\w.]+\s*[-–—:]?\s*", ""))
-    name = F.coalesce(blank_to_null(bare), clean(label))
+    bare = F.regexp_replace(bare, r"(?i)^course\s+[\w.]+\s*[-–—:]?\s*", "")
+    named = bind(bind(bare, clean), lambda b: F.coalesce(blank_to_null(b), clean(label)))
     code = F.upper(slug)
-    repeated = F.startswith(F.upper(name), F.concat(code, F.lit(" ")))
-    short_name = F.coalesce(
-        F.when(
-            repeated,
-            blank_to_null(clean(F.substring(name, F.length(code) + 1, F.length(name)))),
-        ),
-        name,
-    )
 
     def pair(c: Column, n: Column) -> Column:
         return F.struct(c.alias("code"), n.alias("name"))
 
+    def from_name(name: Column) -> Column:
+        repeated = F.startswith(F.upper(name), F.concat(code, F.lit(" ")))
+        rest = bind(F.substring(name, F.length(code) + 1, F.length(name)), lambda r: blank_to_null(clean(r)))
+        short_name = F.coalesce(F.when(repeated, rest), name)
+        initials = bind(acronym(name), blank_to_null)
+        return F.when(
+            (F.length(slug) <= 8) & ~F.contains(slug, F.lit("-")), pair(code, short_name)
+        ).otherwise(pair(F.coalesce(initials, F.upper(F.substring(slug, 1, 12))), name))
+
     return (
         F.when(
             label.rlike(lead),
@@ -285,12 +292,7 @@ def derive_subject(label: Column, slug: Column) -> Column:
                 clean(F.regexp_extract(label, paren, 1)),
             ),
         )
-        .when((F.length(slug) <= 8) & ~F.contains(slug, F.lit("-")), pair(code, short_name))
-        .otherwise(
-            pair(
-                F.coalesce(blank_to_null(acronym(name)), F.upper(F.substring(slug, 1, 12))), name
-            )
-        )
+        .otherwise(bind(named, from_name))
     )
 
 

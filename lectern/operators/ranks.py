@@ -8,6 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Bytes that one split of a table is read in by default, and as few as are worth a task of costly work.
+SPLIT_BYTES, WORK_BYTES = 128 << 20, 256 << 10
+MOST_TASKS_PER_CORE = 8
+
+
+def deal_out(rows: DataFrame) -> DataFrame:
+    """Rows of a small table on all cores, for work that costs far more than moving them.
+
+    Tasks grow in number with the table, up to some for each core; a table of at least one split per core is left
+    where it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * SPLIT_BYTES:
+        return rows
+    return rows.repartition(min(max(cores, size // WORK_BYTES), cores * MOST_TASKS_PER_CORE))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -18,7 +36,8 @@ def number_rows(
     """1-based position of each row in its group, a group spread over many tasks.
 
     ``slice_by`` must never decrease along ``order`` (the day of a time stamp, say). Rows are
-    numbered inside each slice and shifted by the size of the slices before it.
+    numbered inside each slice and shifted by the size of the slices before it. There can be as many
+    slices as rows, so the shifts are not broadcast, however small Spark takes exploded rows for.
     """
     sliced = df.withColumn("slice_key", slice_by)
     sizes = sliced.groupBy(*keys, "slice_key").agg(F.count(F.lit(1)).alias("slice_rows"))
@@ -33,7 +52,7 @@ def number_rows(
     inside = Window.partitionBy(*keys, "slice_key").orderBy(*order)
     return (
         sliced.withColumn("place", F.row_number().over(inside))
-        .join(shifts, [*keys, "slice_key"])
+        .join(shifts.hint("merge"), [*keys, "slice_key"])
         .withColumn(out, F.col("place") + F.col("shift"))
         .drop("slice_key", "place", "shift")
     )
