@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import bind, blank_to_null, clean
+from lectern.functions.text import bind, clean
 
 # Words and marks that speak for or against a catalog page.
 CATALOG_WORDS = r"(?i)catalog|bulletin|course|academics|curriculum|schedule of classes|handbook|module"
@@ -76,7 +76,7 @@ def path(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    return F.lower(blank_to_null(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)))
+    return F.lower(F.regexp_substr(url, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+")))
 
 
 def path_depth(url: Column) -> Column:
@@ -94,22 +94,24 @@ def last_slug(url: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """Absolute form of a link seen on the page ``base``; unusable links are null."""
-    link = F.trim(href)
+    return bind(bind(F.trim(href), lambda link: _absolute(link, base)), _fold_dots)
+
+
+def _absolute(link: Column, base: Column) -> Column:
     stem = F.regexp_replace(base, "[?#].*$", "")
     folder = F.when(path(base) == "/", F.concat(origin(base), F.lit("/"))).otherwise(
         F.regexp_replace(stem, "[^/]*$", "")
     )
-    absolute = (
+    return (
         F.when(link == "", base)
-        .when(link.rlike("(?i)^https?://[^/?#]+$"), F.concat(link, F.lit("/")))
-        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), link))
         .when(link.startswith("/"), F.concat(origin(base), link))
+        .when(link.rlike("(?i)^https?://[^/?#]+$"), F.concat(link, F.lit("/")))
+        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
         .when(link.startswith("?"), F.concat(stem, link))
         .when(link.startswith("#"), F.concat(drop_fragment(base), link))
         .otherwise(F.concat(folder, link))
     )
-    return _fold_dots(absolute)
 
 
 def _fold_dots(url: Column) -> Column:
@@ -128,7 +130,7 @@ def _fold_dots(url: Column) -> Column:
     folded = F.concat(
         origin(url), closed, F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*([?#].*)$", 1)
     )
-    return F.when(parts.rlike(r"/\.\.?(/|$)"), folded).otherwise(url)
+    return F.when(F.contains(url, F.lit("/.")) & parts.rlike(r"/\.\.?(/|$)"), folded).otherwise(url)
 
 
 def page_title(html: Column) -> Column:
@@ -141,12 +143,12 @@ def link_targets(html: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """Array of struct(href, text) of the links of a page, in page order."""
-    whole = F.regexp_extract_all(html, F.lit(ANCHOR), 0)
-    return F.transform(
-        whole,
-        lambda a: F.struct(
-            F.regexp_extract(a, ANCHOR, 1).alias("href"),
-            clean(F.regexp_replace(F.regexp_extract(a, ANCHOR, 2), "<[^>]*>", "")).alias("text"),
+    hrefs, labels = (F.regexp_extract_all(html, F.lit(ANCHOR), i) for i in (1, 2))
+    return F.zip_with(
+        hrefs,
+        labels,
+        lambda href, label: F.struct(
+            href.alias("href"), bind(F.regexp_replace(label, "<[^>]*>", ""), clean).alias("text")
         ),
     )
 

@@ -13,7 +13,7 @@ from lectern.functions import web
 from lectern.functions.text import bind, blank_to_null, clean
 from lectern.operators.catalog import dedupe_by_number
 from lectern.operators.lineage import once
-from lectern.operators.ranks import first_rows
+from lectern.operators.ranks import deal_out, first_rows
 from lectern.sources import markup
 
 ZERO_WIDTH = chr(0x200B)
@@ -29,18 +29,9 @@ INDEX_SLUGS = (
 STRONG_INDEX, SMALLEST_INDEX = 12, 5
 
 
-# Bytes that one split of stored pages is read in by default.
-SPLIT_BYTES = 128 << 20
-
-
 def spread(pages: DataFrame) -> DataFrame:
-    """Deal a small store out to all cores: reading markup costs far more than moving it.
-
-    A store of at least one split per core is left where it is.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return pages if size >= cores * SPLIT_BYTES else pages.repartition(cores)
+    """Deal a small store out to all cores: reading markup costs far more than moving it."""
+    return deal_out(pages)
 
 
 def _explode_pages(
@@ -75,7 +66,8 @@ def links(pages: DataFrame) -> DataFrame:
         ),
     )
     usable = F.filter(seen, lambda a: a["href"].isNotNull())
-    return pages.select("page_id", "url", F.explode(usable).alias("a")).select(
+    dealt = spread(pages.select("page_id", "url", "html"))
+    return dealt.select("page_id", "url", F.explode(usable).alias("a")).select(
         "page_id", "url", "a.n", "a.href", "a.text"
     )
 
@@ -229,15 +221,13 @@ def labelled_departments(linked: DataFrame) -> DataFrame:
     paren, lead = r"^(.*?)\s*\(([A-Z][A-Z&]{1,9})\)\s*$", r"^([A-Z][A-Z&]{1,9})\s*[-–—:]\s*(.{3,})$"
     text = F.col("text")
     rows = linked.filter((text != "") & (F.length(text) <= 100) & (text.rlike(paren) | text.rlike(lead)))
-    is_paren = text.rlike(paren)
-    named = rows.select(
-        "page_id",
-        "n",
-        F.when(is_paren, F.regexp_extract(text, paren, 2)).otherwise(F.regexp_extract(text, lead, 1)).alias("code"),
-        clean(
-            F.when(is_paren, F.regexp_extract(text, paren, 1)).otherwise(F.regexp_extract(text, lead, 2))
-        ).alias("name"),
-    )
+
+    def pair(shape: str, code: int, name: int) -> Column:
+        found = bind(F.regexp_extract(text, shape, name), clean)
+        return F.struct(F.regexp_extract(text, shape, code).alias("code"), found.alias("name"))
+
+    read = F.when(text.rlike(paren), pair(paren, 2, 1)).otherwise(pair(lead, 1, 2))
+    named = once(rows, "read", read).select("page_id", "n", "read.code", "read.name")
     return _first_per_code(named.filter("code <> '' and name <> ''"))
 
 
@@ -245,10 +235,11 @@ def subject_index(linked: DataFrame) -> DataFrame:
     """Departments of subject-index pages, codes made unique per page."""
     text = F.translate(F.col("text"), ZERO_WIDTH, "")
     slug = web.last_slug(F.col("href"))
+    files = r"(?i)\.(pdf|docx?|xlsx?|csv)(\?|$)"
+    indexed = linked.filter(F.col("href").rlike(SUBJECT_FOLDER) & ~F.col("href").rlike(files))
     named = (
-        linked.filter(F.col("href").rlike(SUBJECT_FOLDER))
-        .filter(~F.col("href").rlike(r"(?i)\.(pdf|docx?|xlsx?|csv)(\?|$)"))
-        .withColumns({"text": text, "slug": slug})
+        once(indexed, "read", F.struct(text.alias("text"), slug.alias("slug")))
+        .select("page_id", "n", "href", "read.text", "read.slug")
         .filter((F.col("text") != "") & (F.length("text") <= 120))
         .filter((F.col("slug") != "") & ~F.lower("slug").isin(*INDEX_SLUGS))
         .filter(~F.col("slug").rlike(r"(?i)\.(html?|php|aspx)$"))
@@ -290,7 +281,8 @@ def sub_catalogs(linked: DataFrame, top: int | None = None) -> DataFrame:
     slug = web.last_slug(F.col("href"))
     low = F.lower("text")
     inside = web.origin(F.col("href")) == web.origin(F.col("url"))
-    rows = linked.filter(inside & (web.path_depth(F.col("href")) == 1)).withColumn("slug", slug)
+    at_top = linked.filter(inside & (web.path_depth(F.col("href")) == 1))
+    rows = once(at_top, "slug", slug)
     # Slugs that are never a catalog, and what speaks for one.
     rows = (
         rows.filter(~F.col("slug").rlike(r"(?i)\.(pdf|docx?|xlsx?|html?)$"))
