@@ -194,6 +194,8 @@ def bounded_crawl(
     edges = links.select("url", "n", target.alias("href")).filter("href is not null")
     if include:
         edges = edges.filter(F.col("href").rlike(f"(?i){include}"))
+    # Reading links costs more than the walk; every level meets them again.
+    edges = cut(edges)
     known = pages.select("url").distinct()
     frontier = seeds.select("seed", F.col("seed").alias("url"), F.lit(1).alias("order"))
     seen = frontier.select("seed", "url")
