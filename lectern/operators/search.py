@@ -87,15 +87,15 @@ def _query_columns(queries: DataFrame) -> DataFrame:
 
 def _title_columns(rows: DataFrame) -> DataFrame:
     """Add t, the struct of a title the tests read."""
-    title = F.col("title")
-    return rows.withColumn(
-        "t",
-        F.struct(
-            title.alias("title"),
-            F.lower(title).alias("low"),
-            squash(title).alias("squashed"),
-            trigrams(title).alias("grams"),
-        ),
+    return rows.withColumn("t", _title_struct(F.col("title")))
+
+
+def _title_struct(title: Column) -> Column:
+    return F.struct(
+        title.alias("title"),
+        F.lower(title).alias("low"),
+        squash(title).alias("squashed"),
+        trigrams(title).alias("grams"),
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions.sql import spelled
 from lectern.functions.text import content_words, squash, trigrams
 from lectern.operators import listing, search
+from lectern.operators.ranks import deal_out
 
 # Keys of a query and a course: see ``search._table_matches``.
 _RAW, _WHOLE, _PREFIX = "raw:", "n:", "p:"
@@ -50,9 +51,11 @@ def register_search(
     back with score, exactness, coverage, likeness and place. ``keys`` and their counts (key, held_by) are worked
     out from the courses unless stored ones are given.
     """
-    keys = search_keys(courses) if keys is None else keys
+    # Dealt out first: Spark takes exploded keys for as few as the courses and would broadcast them; their size is
+    # known once they are dealt.
+    keys = search_keys(deal_out(courses)).repartition("course_id") if keys is None else keys
     key_counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("held_by")) if key_counts is None else key_counts
-    search._title_columns(courses).createOrReplaceTempView(f"{name}_rows")
+    courses.createOrReplaceTempView(f"{name}_rows")
     keys.createOrReplaceTempView(f"{name}_keys")
     key_counts.createOrReplaceTempView(f"{name}_key_counts")
 
@@ -93,7 +96,7 @@ def register_search(
         UNION ALL SELECT wanted, explode({spelled(numbers)}) FROM terms),
       found AS (SELECT k.course_id, any_value(s.wanted) AS wanted FROM chosen s JOIN {name}_keys k ON k.key = s.key GROUP BY k.course_id),
       near AS (
-        SELECT {own}, c.t, found.wanted FROM found JOIN {name}_rows c ON c.course_id = found.course_id
+        SELECT /*+ MERGE(c) */ {own}, {spelled(search._title_struct(F.col("c.title")))} AS t, found.wanted FROM found JOIN {name}_rows c ON c.course_id = found.course_id
         WHERE (p_college_id IS NULL OR c.college_id = p_college_id) AND (p_exclude_college_id IS NULL OR c.college_id <> p_exclude_college_id)),
       measured AS (SELECT {plain}, wanted, explode(array({spelled(measured)})) AS m FROM near WHERE {spelled(possible)}),
       scored AS (
