@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.courses import prerequisites
 from lectern.functions.text import bind, blank_to_null, clean, strip_html
+from lectern.operators.lineage import once
+from lectern.operators.ranks import deal_out
 
 COURSEDOG = (
     "struct<status:string,code:string,subjectCode:string,courseNumber:string,name:string,"
@@ -150,12 +152,14 @@ def kuali_courses(captures: DataFrame) -> DataFrame:
         F.coalesce(*lists, F.array().cast("array<variant>")),
         lambda v: F.schema_of_variant(v).startswith("OBJECT"),
     )
-    found = captures.select("site", "n", rows.alias("rows"))
+    # Parsed once: the choice of a list and the reading of its courses share the exchange.
+    found = deal_out(captures).select("site", "n", rows.alias("rows")).repartition("site", "n")
     sizes = found.groupBy("site").agg(
         F.max_by("n", F.struct(F.size("rows"), -F.col("n"))).alias("n")
     )
-    items = found.join(sizes, ["site", "n"]).select("site", F.posexplode("rows").alias("place", "v"))
-    return items.withColumn("c", kuali_course(F.col("v"))).filter("c.course_number is not null").select(
+    largest = found.join(sizes.hint("merge"), ["site", "n"]).select("site", "rows")
+    items = deal_out(largest).select("site", F.posexplode("rows").alias("place", "v"))
+    return once(items, "c", kuali_course(F.col("v"))).filter("c.course_number is not null").select(
         "site", "place", "c.*"
     )
 
@@ -169,10 +173,11 @@ def _text(v: Column, path: str) -> Column:
 def kuali_course(v: Column) -> Column:
     from_field = F.coalesce(_text(v, "$.subjectCode"), F.try_variant_get(v, "$.subjectCode.name", "string"))
     code = _text(v, "$.code")
-    subject = F.when(
-        F.coalesce(from_field, F.lit("")) != "",
-        blank_to_null(F.upper(clean(from_field))),
-    ).otherwise(blank_to_null(F.upper(F.regexp_extract(code, r"^([A-Za-z&]{2,10})", 1))))
+    leading = blank_to_null(F.upper(F.regexp_extract(code, r"^([A-Za-z&]{2,10})", 1)))
+    subject = bind(
+        from_field,
+        lambda f: F.when(F.coalesce(f, F.lit("")) != "", blank_to_null(F.upper(clean(f)))).otherwise(leading),
+    )
     raw_number = F.coalesce(_text(v, "$.number"), code)
     kind = F.schema_of_variant(F.try_variant_get(v, "$.credits", "variant"))
     simple = F.try_variant_get(v, "$.credits", "string")
@@ -195,14 +200,20 @@ def kuali_course(v: Column) -> Column:
             parts["number"].isNotNull(),
             F.when(named, F.concat(parts["subject"], F.lit(" "), number)).otherwise(number),
         )
-        described = strip_html(F.coalesce(parts["description"], F.lit("")))
-        needs = strip_html(F.coalesce(parts["requisites"], F.lit("")))
+        read = F.struct(
+            course_number.alias("course_number"),
+            strip_html(F.coalesce(parts["description"], F.lit(""))).alias("described"),
+            strip_html(F.coalesce(parts["requisites"], F.lit(""))).alias("needs"),
+        )
+        return bind(read, lambda r: course(parts, r))
+
+    def course(parts: Column, read: Column) -> Column:
         return F.struct(
-            blank_to_null(course_number).alias("course_number"),
-            clean(F.coalesce(parts["title"], course_number)).alias("title"),
-            blank_to_null(F.trim(described)).alias("description"),
+            blank_to_null(read["course_number"]).alias("course_number"),
+            clean(F.coalesce(parts["title"], read["course_number"])).alias("title"),
+            blank_to_null(F.trim(read["described"])).alias("description"),
             parts["credits"].alias("credits"),
-            F.coalesce(blank_to_null(F.trim(needs)), prerequisites(described)).alias("prerequisites"),
+            F.coalesce(blank_to_null(F.trim(read["needs"])), prerequisites(read["described"])).alias("prerequisites"),
         )
 
     return bind(
