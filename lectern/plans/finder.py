@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import sql, text
 from lectern.operators import search, similarity, sqltables
+from lectern.operators.ranks import deal_out
 from lectern.plans.coverage import COLLEGE_STATS_SQL, college_stats_of
 from lectern.plans.registry import query
 from lectern.sources.tables import Tables
@@ -393,7 +394,7 @@ def content_words(t: Tables) -> DataFrame:
 )
 def trigram_measures(t: Tables) -> DataFrame:
     typed = F.array(*[F.lit(q) for q in ("red widget", "small rings", "hot gears on", "introduction to")])
-    pairs = t.read("part").select("p_partkey", "p_name", F.explode(typed).alias("query"))
+    pairs = deal_out(t.read("part").select("p_partkey", "p_name")).select("*", F.explode(typed).alias("query"))
     q, name = F.col("query"), F.col("p_name")
     return pairs.select(
         "p_partkey",
