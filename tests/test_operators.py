@@ -354,3 +354,29 @@ def test_question_candidates_whole_texts(spark):
     verdicts = {r.verdict: r.questions for r in assess.validate_questions(t).collect()}
     assert verdicts == {"accepted": 3, "question must be 10 to 1200 long": 1}
     assert [r.repeated_stems for r in assess.question_mix(t).collect()] == [0]
+
+
+def test_greedy_filter_moves_no_sets_between_tasks(spark, monkeypatch):
+    """Whole sets are dealt out once; rounds move slim rows and read sets only of pairs that sketches leave."""
+    rng = random.Random(4)
+    base = [f"w{i:03d}" for i in range(120)]
+    items = [("g", i, sorted({*rng.sample(base, 60), *(f"own{i}.{k}" for k in range(20))})) for i in range(60)]
+    items += [("g", 100 + i, sorted({*items[i][2][2:], "x"})) for i in range(10)]
+    met = []
+    pairs = dedupe._pairs
+    monkeypatch.setattr(dedupe, "_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    df = spark.createDataFrame(items, "grp string, pos bigint, tokens array<string>")
+    got = {(r.grp, r.pos): r.verdict == "kept" for r in dedupe.greedy_filter(df, "grp", "pos", "tokens").collect()}
+    assert got == greedy_loop(items)
+    assert {(r.pos, r.leader) for r in met[0].collect()} == {(100 + i, i) for i in range(10)}
+
+
+def test_parity_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n in (3, 70, 700):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.union1d(a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 4).astype(np.uint64))
+        x, y = (dedupe._sketch(s, np.zeros(len(s), np.int64), np.array([8])) for s in (a, b))
+        differ = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart and (apart - differ) % 2 == 0
