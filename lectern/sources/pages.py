@@ -12,7 +12,7 @@ from lectern.functions import courses as c
 from lectern.functions import web
 from lectern.functions.text import bind, blank_to_null, clean
 from lectern.operators.catalog import dedupe_by_number
-from lectern.operators.lineage import once
+from lectern.operators.lineage import cut, once
 from lectern.operators.ranks import deal_out, first_rows
 from lectern.sources import markup
 
@@ -37,23 +37,39 @@ def spread(pages: DataFrame) -> DataFrame:
 def _explode_pages(
     pages: DataFrame, read: Callable[[str], Iterator[dict]], columns: list[str]
 ) -> DataFrame:
-    """One row per record found in a page, numbered in page order."""
+    """One row per record found in a page, numbered in page order.
+
+    ``pages`` may be what ``read_once`` made of them.
+    """
+    if "reader" in pages.columns:
+        return pages.filter(F.col("reader") == read.__name__).select("page_id", "url", "n", *columns)
+    return _records(pages, [read], columns).drop("reader")
+
+
+def read_once(pages: DataFrame, reads: list[Callable[[str], Iterator[dict]]], columns: list[str]) -> DataFrame:
+    """Records of several readers, each page's markup read a single time; stored, as every reader takes its own."""
+    return cut(_records(pages, reads, columns))
+
+
+def _records(pages: DataFrame, reads: list[Callable[[str], Iterator[dict]]], columns: list[str]) -> DataFrame:
     key_type = pages.schema["page_id"].dataType.simpleString()
     fields = ", ".join(f"{name} string" for name in columns)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, rows = ["page_id", "url", "n", *columns], []
+        names, rows = ["reader", "page_id", "url", "n", *columns], []
         for pdf in batches:
             for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                for n, record in enumerate(read(html)):
-                    rows.append((page_id, url, n, *[record.get(name) for name in columns]))
-                    if len(rows) >= 2000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                root = markup.tree(html)
+                for read in reads:
+                    for n, record in enumerate(read(root)):
+                        rows.append((read.__name__, page_id, url, n, *[record.get(name) for name in columns]))
+                        if len(rows) >= 2000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
         yield pd.DataFrame(rows, columns=names)
 
     return spread(pages.select("page_id", "url", "html")).mapInPandas(
-        task, f"page_id {key_type}, url string, n int, {fields}"
+        task, f"reader string, page_id {key_type}, url string, n int, {fields}"
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import catalog, costs, crawl, dedupe, quota, ranks, search, similarity, writes
 from lectern.plans import assess
-from lectern.sources import pages
+from lectern.sources import markup, pages
 
 
 def greedy_loop(items, seeds=()):
@@ -380,3 +380,20 @@ def test_parity_sketches_never_differ_in_more_than_the_sets():
         differ = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
         apart = len(np.setxor1d(a, b))
         assert differ <= apart and (apart - differ) % 2 == 0
+
+
+def test_pages_read_once_give_every_reader_its_own_records(spark):
+    """One table of records serves three readers, with the results each has when it reads the pages itself."""
+    listed = (
+        '<article class="search-courseresult"><h3>KITE {0}, Paths</h3><div class="courseblockdesc">Earns 3 credits.</div></article>'
+        '<ul><li><a href="preview_course.php?id={0}">PROSE {0} - Drafts</a> Writing.</li></ul>'
+        '<table><tr><td class="nttitle">BREW {0} - Study</td></tr><tr><td class="ntdefault">2 Credit hours</td></tr></table>'
+    )
+    rows = [(i, f"https://x.edu/{i}", listed.format(i)) for i in range(1, 6)] + [(6, "https://x.edu/6", None), (7, None, ""), (1, "https://x.edu/1", listed.format(1))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    once = pages.read_once(table, [markup.search_results, markup.listed_links, markup.title_cells], pages.RECORD)
+    for read in (lambda p: pages.search_results(p, F.lit("KITE")), pages.listed_courses, pages.schedule_courses):
+        got, want = (sorted(map(str, read(p).collect())) for p in (once, table))
+        assert got == want and len(got) >= 5
+    html = listed.format(3)
+    assert markup.tree(root := markup.tree(html)) is root and [*markup.title_cells(root)] == [*markup.title_cells(html)]
