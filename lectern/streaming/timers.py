@@ -117,7 +117,10 @@ def job_changes(
 
 
 class RollingDay(StatefulProcessor):
-    """Creations of one user by the hour, for a day; an hour's counts are told when no row can join it."""
+    """Creations of one user by the hour, for a day; an hour's counts are told when no row can join it.
+
+    A user has one timer: at the end of the first hour not told, or else when the last hour is to be dropped.
+    """
 
     def __init__(self, user: str, cap: int):
         self.user, self.cap = user, cap
@@ -126,35 +129,50 @@ class RollingDay(StatefulProcessor):
         self.handle = handle
         self.hours = handle.getMapState("hours", "hour long", "ts array<long>, key array<long>")
         self.told = handle.getValueState("told", "hour long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, before: int | None, at: int) -> None:
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for some in rows:
-            for hour, of in some.groupby(some["ts_us"] // HOUR_US):
-                ts, keys = of["ts_us"].tolist(), of["key"].tolist()
-                hour_key = (int(hour),)
-                if self.hours.containsKey(hour_key):
-                    old = self.hours.getValue(hour_key)
-                    ts, keys = list(old[0]) + ts, list(old[1]) + keys
-                self.hours.updateValue(hour_key, (ts, keys))
-                self.handle.registerTimer((int(hour) + 1) * HOUR_US // 1000)
+        ts, keys = (np.concatenate(c) for c in zip(*((some["ts_us"].to_numpy(), some["key"].to_numpy()) for some in rows)))
+        order = np.argsort(ts // HOUR_US, kind="stable")
+        ts, keys = ts[order], keys[order]
+        hours, starts = np.unique(ts // HOUR_US, return_index=True)
+        timer = self.timer.get()
+        # A user without a timer has no state.
+        held = {h[0]: v for h, v in self.hours.iterator()} if timer else {}
+        for hour, of in zip(hours.tolist(), zip(np.split(ts, starts[1:]), np.split(keys, starts[1:]))):
+            old = held.get(hour, ((), ()))
+            self.hours.updateValue((hour,), tuple([*was, *more.tolist()] for was, more in zip(old, of)))
+        told = self.told.get()
+        untold = hours[hours > told[0]] if told else hours
+        at = (int(untold[0]) + 1) * HOUR_US // 1000 if len(untold) else None
+        if at is not None and (not timer or at < timer[0]):
+            self._wake(timer[0] if timer else None, at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The first timer of a batch tells every hour that is over; the others find nothing left to tell.
-        told = self.told.get()[0] if self.told.exists() else -(1 << 60)
-        if expiredTimerInfo.getExpiryTimeInMs() * 1000 // HOUR_US - 1 <= told:
-            return
+        # A timer tells every hour that is over.
+        told = self.told.get()
+        last = told[0] if told else -(1 << 60)
         over = timerValues.getCurrentWatermarkInMs() * 1000 // HOUR_US  # the first hour that is not
         held = {h[0]: v for h, v in self.hours.iterator()}
-        due = sorted(h for h in held if told < h < over)
+        due = sorted(h for h in held if last < h < over)
         for h in [h for h in held if h < over - DAY_HOURS]:
             self.hours.removeKey((h,))
-        if any(h >= over - DAY_HOURS for h in held):
+        left = [h for h in held if h >= over - DAY_HOURS]
+        if left:
             self.told.update((over - 1,))
             # A day after its last use an hour is dropped, whether or not the user comes back.
-            self.handle.registerTimer((max(held) + DAY_HOURS + 2) * HOUR_US // 1000)
+            coming = [h + 1 for h in left if h >= over] or [max(left) + DAY_HOURS + 2]
+            self._wake(None, min(coming) * HOUR_US // 1000)
         else:
             self.told.clear()
+            self.timer.clear()
         if not due:
             return
         past = np.sort(np.concatenate([np.array(held[h][0], np.int64) for h in sorted(held) if h < over]))

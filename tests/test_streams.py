@@ -3,12 +3,15 @@
 import datetime
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lectern.operators.planning import rolling_day_counts
 from lectern.sources.buckets import BucketTable
 from lectern.streaming import logs
+from lectern.streaming.timers import RollingDay
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -171,3 +174,48 @@ def test_rolling_day_state_equals_the_window_out_of_order(spark, tmp_path):
     logs.keep_rolling_counts(logs.log_stream(spark, folder, spark.read.parquet(folder).schema), path, "user_id", "ts", "event_id", cap=5, late="2 hours")
     hours = spark.read.format("statestore").option("stateVarName", "hours").load(f"{path}/checkpoint")
     assert {r[0] for r in hours.select("key.user_id").distinct().collect()} <= {9}  # idle users leave no state
+
+
+class Cell:
+    """A state value, or a map of them, that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.held, self.asked = None, {}, 0
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+def test_a_user_of_many_hours_has_one_timer_and_writes_each_hour_once():
+    cells, timers = {}, []
+    handle = SimpleNamespace(
+        getMapState=lambda name, *_: cells.setdefault(name, Cell()), getValueState=lambda name, *_: cells.setdefault(name, Cell()), registerTimer=timers.append, deleteTimer=timers.remove
+    )
+    day = RollingDay("user_id", 5)
+    day.init(handle)
+    made = pd.DataFrame({"ts_us": [h * 3_600_000_000 + 5 for h in range(100, 148)], "key": range(48)})
+    list(day.handleInputRows((1,), iter([made[24:], made[:24]]), None))
+    assert timers == [101 * 3_600_000] and cells["hours"].asked == 48
+    list(day.handleInputRows((1,), iter([made[:1] - [3_600_000_000 * 2, 0]]), None))
+    assert timers == [99 * 3_600_000] and len(cells["hours"].held) == 49
