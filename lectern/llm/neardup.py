@@ -10,16 +10,22 @@ the rest works on one row per class. Each class carries ``width`` minwise tokens
    of a small node are all compared, those of an oversized one in blocks dealt anew in every node. A comparison at this stage is the share of equal
    tokens; a node hands out a spanning forest of the pairs that may be similar (four standard deviations under the
    threshold and up), so its rows grow with its members, not with their pairs.
-2. Connected by these, classes form canopies: two classes that may be similar and met in any tree are in one. Each
-   class brings its full set to its canopy once. All pairs of a canopy that may be similar are compared exactly, by
-   full sets, unless confirmed links connect them already; the canopy hands out a forest of confirmed links. A canopy of
-   more than ``BLOCK`` classes or ``ROOM`` shingles is compared block by block, every block with every other.
-3. Components of the confirmed links come from large-star/small-star rounds.
-
-One tree joins two classes of similarity s with probability 1 - exp(-s/threshold) or more where nodes are small; a
-pair that meets is passed over if its tokens agree in less than the threshold minus four standard
-deviations (three in 10^5 of the pairs at the threshold by the normal curve, fewer above it). A crowd of documents
-just under the threshold costs the square of its size in comparisons inside tasks, not in rows.
+2. Connected by these, classes form canopies: two classes that may be similar and met in any tree are in one.
+3. The exact way for what the trees miss, be it by chance, by blocks or by token estimates: any two linked sets share one
+   of the rarest n - ceil(threshold * n) + 1 shingles of each, in any order common to all; the order is by how often
+   shingles of one slot of hashes occur. Classes of different canopies that share such a shingle meet there, in blocks
+   that all meet if there are more than ``BLOCK``. Parity sketches, which never rule out a link, say which of them may
+   be linked; these canopies become one. Each task hands out no more pairs than connect its canopies.
+4. Each class brings its full set to its canopy once. All pairs of a canopy that parity sketches do not rule out are
+   compared exactly, by full sets, unless confirmed links connect them already; the canopy hands out a forest of
+   confirmed links. A canopy of more than ``BLOCK`` classes or ``ROOM`` shingles is compared block by block, every block
+   with every other.
+5. Components of the confirmed links come from large-star/small-star rounds.
+
+Step 1 settles most with few comparisons: one tree joins two classes of similarity s with probability
+1 - exp(-s/threshold) or more where nodes are small. No link is lost for what it leaves out: from step 3 on
+nothing is estimated, up to equal 64-bit hashes. A crowd of documents just under the threshold costs the square of
+its size in comparisons inside tasks; its rows grow by its size over ``BLOCK``.
 
 Null and empty texts have the empty set and are linked with nothing, themselves their component. A text of any
 length is taken whole; its set is held by one task. An empty table gives an empty result. Rows
@@ -32,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,6 +50,10 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 BLOCK = 1024
 # Shingles of the sets that one comparison holds.
 ROOM = 1 << 21
+# Shingles are counted in so many slots of their hashes, dealt out in rows of so many; both powers of two.
+SLOTS, SLOT_ROW = 1 << 20, 1 << 12
+# 64-bit words of the widest parity sketch, and pairs that a task looks at together.
+WIDEST, PAIRS = 1 << 10, 1 << 20
 
 
 def shingle_sets(texts: frames.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,30 +174,36 @@ def _tokens(rows: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens, rows.column("n").to_numpy(zero_copy_only=False)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Rows of whole runs with equal integer keys, and the bounds of the runs in them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        change = np.zeros(table.num_rows - 1, bool)
+        for key in keys:
+            change |= np.diff(table.column(key).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        if len(cuts) > 1:
+            yield table.to_batches()[0].slice(0, cuts[-1]), cuts
+        rest = table.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks().to_batches()[0], [0, rest.num_rows]
+
+
 def _per_group(df: DataFrame, keys: list[str], schema: T.StructType, look: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """What ``look`` makes of each run of rows with equal integer keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
         out: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            table = table.combine_chunks()
-            change = np.zeros(table.num_rows - 1, bool)
-            for key in keys:
-                change |= np.diff(table.column(key).to_numpy()) != 0
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            rows = table.to_batches()[0]
+        for rows, cuts in _runs(batches, keys):
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 out.append(look(rows.slice(x, y - x)))
                 if len(out) >= 2000:
                     yield from pa.Table.from_batches([o for o in out if o is not None], empty).combine_chunks().to_batches()
                     out.clear()
-            rest = table.slice(cuts[-1])
-        if rest is not None and rest.num_rows:
-            out.append(look(rest.combine_chunks().to_batches()[0]))
         yield from pa.Table.from_batches([o for o in out if o is not None], empty).combine_chunks().to_batches()
 
     empty = to_arrow_schema(schema)
@@ -273,6 +289,63 @@ def _canopies(classes: DataFrame, width: int, threshold: float, depth: int) -> D
     return components(edges).select("rep", F.col("component").alias("canopy"))
 
 
+def _sketch_words(n: np.ndarray, percent: int) -> np.ndarray:
+    """64-bit words of the parity sketch of a set: six bits or more for each shingle by which a linked set may differ."""
+    bits = 12 * (100 - percent) / (100 + percent) * np.asarray(n)
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(bits / 64, 1))).astype(np.int64), WIDEST)
+
+
+def _parities(items: np.ndarray, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Parity sketches end to end: bit k is set if an odd number of a set's shingles falls on k.
+
+    The bits in which two sketches differ are never more than the shingles that only one of the sets holds. A sketch
+    whose halves are added bit by bit is that of half the width.
+    """
+    row = np.repeat(np.arange(len(words)), np.diff(before))
+    bits = words[row] * 64
+    at = (np.cumsum(words) - words)[row] * 64 + (items & (bits - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(words.sum()) * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def _differing(sketches: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches (end to end, of unlike widths) of each pair differ, at the width of the narrower."""
+    begin = np.cumsum(words) - words
+    least = np.minimum(words[a], words[b])
+    out = np.empty(len(a), np.int64)
+
+    def folded(rows: np.ndarray, width: int) -> np.ndarray:
+        bits = np.zeros((len(rows), width), np.uint64)
+        for k in range(0, int(words[rows].max()), width):
+            some = np.flatnonzero(words[rows] > k)
+            bits[some] ^= sketches[(begin[rows[some]] + k)[:, None] + np.arange(width)]
+        return bits
+
+    for width in np.unique(least).tolist():
+        at = np.flatnonzero(least == width)
+        for part in np.array_split(at, -(-len(at) * width // (1 << 22))):
+            out[part] = np.bitwise_count(folded(a[part], width) ^ folded(b[part], width)).sum(1)
+    return out
+
+
+def _at_most(apart: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """The most that sets can be alike of which ``apart`` shingles or more are in one only; 0 if that makes no link."""
+    both = n_x + n_y
+    apart = np.maximum(apart, np.abs(n_x - n_y))
+    return np.where(100 * (both - apart) >= percent * (both + apart), (both - apart) / (both + apart), 0).astype(np.float32)
+
+
+def _all_at_most(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """``_at_most`` of all pairs of some sets, by sketches of one width that suits nearly all of them."""
+    words = int(_sketch_words(np.percentile(n, 90), percent))
+    before = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits = _parities(np.concatenate(sets), before, np.full(len(sets), words)).reshape(-1, words)
+    apart = np.zeros((len(sets), len(sets)), np.int64)
+    for column in np.ascontiguousarray(bits.T):
+        apart += np.bitwise_count(column[:, None] ^ column)
+    return _at_most(apart, n[:, None], n, percent)
+
+
 def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Size of the intersection of each pair of sets: pair by pair, or all by a matrix product if that is less work."""
     out = np.empty(len(a), np.int64)
@@ -348,24 +421,136 @@ def _confirmed(like: np.ndarray, sets: list[np.ndarray], n: np.ndarray, percent:
     return union.links
 
 
-def _exact(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int, percent: int, width: int) -> DataFrame:
+def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
+    """How often shingles of each slot of hashes occur, on a scale of eight steps to the octave."""
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("held", T.BinaryType())])
+    target = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for part in frames.slices(batch, "_text"):
+                items, _ = shingle_sets(frames.Texts(part.column("_text")), words)
+                counts += np.bincount((items // np.uint64(2**64 // SLOTS)).astype(np.int64), minlength=SLOTS)
+        rows = counts.reshape(-1, SLOT_ROW)
+        used = np.flatnonzero(rows.any(1))
+        held = [rows[k].astype("<i8").tobytes() for k in used.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(held, pa.binary())], schema=target)
+
+    def add(rows: pa.RecordBatch) -> pa.RecordBatch:
+        total = sum(np.frombuffer(v.as_buffer(), "<i8") for v in rows.column("held"))
+        step = np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([rows.column("part").slice(0, 1), pa.array([step.tobytes()], pa.binary())], schema=target)
+
+    counted = docs.select("_text").mapInArrow(count, schema).repartition("part").sortWithinPartitions("part")
+    steps = np.zeros((SLOTS // SLOT_ROW, SLOT_ROW), np.uint8)
+    for row in _per_group(counted, ["part"], schema, add).collect():
+        steps[row["part"]] = np.frombuffer(row["held"], np.uint8)
+    return steps.ravel()
+
+
+def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of every row that has shingles: set size, rarest shingles, of which any two linked sets share one, and parity sketch."""
+    kinds = {"d1": T.LongType(), "n": T.LongType(), "rare": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
+    schema = T.StructType([T.StructField("rep", docs.schema["_doc"].dataType)] + [T.StructField(k, v) for k, v in kinds.items()])
+    frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = frequency.value
+        for batch in batches:
+            for part in frames.slices(batch, "_text"):
+                items, before = shingle_sets(frames.Texts(part.column("_text")), words)
+                n = np.diff(before)
+                full = np.flatnonzero(n)
+                if not len(full):
+                    continue
+                n, begin = n[full], before[full]
+                step = steps[(items // np.uint64(2**64 // SLOTS)).astype(np.int64)]
+                keys = (step.astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8))
+                first = np.minimum(n - -(-percent * n // 100) + 1, n)
+                rare = [np.partition(keys[x : x + k], f - 1)[:f] for x, k, f in zip(begin.tolist(), n.tolist(), first.tolist(), strict=True)]
+                width = _sketch_words(n, percent)
+                bits = _parities(items, np.append(begin, len(items)), width)
+                ends = np.cumsum(width).tolist()
+                columns = [part.column("_doc").take(pa.array(full)), pa.array(frames.mix(np.add.reduceat(items, begin)).view(np.int64)), pa.array(n)]
+                columns.append(frames.list_array(np.concatenate(rare).view(np.int64), first, pa.int64()))
+                columns.append(pa.array([bits[y - w : y].tobytes() for y, w in zip(ends, width.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _completed(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int, percent: int) -> DataFrame:
+    """Canopies (rep, canopy) with every link inside one: those of classes that may be linked become one."""
+    kind = classes.schema["rep"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    placed = classes.select("rep", "d1").join(canopies, "rep", "left").withColumn("canopy", F.coalesce("canopy", "rep"))
+    signed = frames.checkpoint(_signed(docs, words, percent).join(placed, ["rep", "d1"]).dropDuplicates(["rep", "d1"]))
+
+    node = Window.partitionBy("node")
+    met = signed.select("d1", "canopy", F.explode("rare").alias("node")).select(
+        "d1", "node", F.count("*").over(node).alias("size"), F.min("canopy").over(node).alias("low"), F.max("canopy").over(node).alias("high")
+    )
+    met = met.where("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("d1", "node"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1"
+    )
+    keys = ["node", "i", "j"]
+    met = met.join(signed.select("d1", "canopy", "n", "bits"), "d1").repartition(*keys).sortWithinPartitions(*keys, "d1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _runs(batches, keys):
+            names = rows.column("canopy").dictionary_encode()
+            own, n = names.indices.to_numpy(), rows.column("n").to_numpy()
+            block, once = rows.column("block").to_numpy(), rows.column("i").to_numpy() == rows.column("j").to_numpy()
+            held = rows.column("bits").to_pylist()
+            sketches, width = np.frombuffer(b"".join(held), "<u8"), np.array([len(x) // 8 for x in held])
+            union = _Union(len(names.dictionary))
+            # Every row meets the rows after it in its run, a bounded number of pairs at a time.
+            after = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(rows.num_rows) - 1
+            total, lo = np.concatenate([[0], np.cumsum(after)]), 0
+            while lo < rows.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+                a, b = np.repeat(np.arange(lo, hi), after[lo:hi]), frames.ranges(np.arange(lo, hi) + 1, after[lo:hi])
+                lo = hi
+                apart = (union.label[own[a]] != union.label[own[b]]) & (once[a] | (block[a] != block[b]))
+                a, b = a[apart], b[apart]
+                like = _at_most(np.zeros(len(a), np.int64), n[a], n[b], percent) > 0
+                a, b = a[like], b[like]
+                like = _at_most(_differing(sketches, width, a, b), n[a], n[b], percent) > 0
+                union.add(own[a[like]], own[b[like]])
+            if union.links:
+                a, b = (names.dictionary.take(pa.array(c)) for c in zip(*union.links, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], names=schema.names)
+
+    found = frames.checkpoint(met.mapInArrow(run, schema).distinct())
+    if found.isEmpty():
+        return canopies
+    joined = frames.checkpoint(components(found))
+    both = canopies.unionByName(joined.select("rep", F.col("rep").alias("canopy"))).distinct()
+    both = both.join(joined.withColumnRenamed("rep", "canopy"), "canopy", "left")
+    return frames.checkpoint(both.select("rep", F.coalesce("component", "canopy").alias("canopy")))
+
+
+def _exact(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) of all canopies, a forest from each comparison."""
     rep = classes.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", rep), T.StructField("b", rep)])
-    placed = frames.checkpoint(classes.select("rep", "n", "d1", "tokens").join(canopies, "rep"))
+    placed = frames.checkpoint(classes.select("rep", "n", "d1").join(canopies, "rep"))
     sets = _sets(docs, placed, words)
     sizes = placed.groupBy("canopy").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ROOM)).cast("int").alias("blocks"))
-    rows = placed.drop("d1").join(sizes, "canopy").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = placed.join(sizes, "canopy").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "canopy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "tokens"
+        "canopy", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "d1", "n"
     )
-    rows = rows.join(sets, "rep")
+    rows = rows.join(sets, ["rep", "d1"]).drop("d1")
 
     def look(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        tokens, n = _tokens(part, width)
+        n = part.column("n").to_numpy()
         held = [np.frombuffer(v.as_buffer(), np.uint64) for v in part.column("set")]
         block, first = part.column("block").to_numpy(), part.column("i")[0].as_py()
-        like = _likeness(tokens, tokens, n, n, percent / 100)
+        like = _all_at_most(held, n, percent)
         if part.column("j")[0].as_py() != first:
             side = block == first
             like[side[:, None] == side] = 0
@@ -383,7 +568,7 @@ def _exact(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int,
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Full shingle sets, as sorted 64-bit values, of the wanted classes' first documents."""
-    schema = T.StructType([T.StructField("rep", docs.schema["_doc"].dataType), T.StructField("set", T.BinaryType())])
+    schema = T.StructType([T.StructField("rep", docs.schema["_doc"].dataType), T.StructField("d1", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -393,7 +578,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 same = frames.mix(sums).view(np.int64) == part.column("d1").to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(same & (np.diff(before) > 0))
                 data = [items[before[i] : before[i + 1]].tobytes() for i in keep.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column("_doc").take(pa.array(keep)), pa.array(data, pa.binary())], names=schema.names)
+                columns = [part.column(c).take(pa.array(keep)) for c in ("_doc", "d1")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names=schema.names)
 
     rows = docs.join(wanted.select(F.col("rep").alias("_doc"), "d1"), "_doc")
     return rows.mapInArrow(run, schema)
@@ -438,7 +624,8 @@ def groups(
         classes.agg(F.min("_doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("nodes").alias("nodes"), F.first("tokens").alias("tokens"))
     )
     canopies = frames.checkpoint(_canopies(classes, width, threshold, depth))
-    links = frames.checkpoint(_exact(docs, classes, canopies, words, percent, width))
+    canopies = _completed(docs, classes, canopies, words, percent)
+    links = frames.checkpoint(_exact(docs, classes, canopies, words, percent))
     placed = components(links)
     # The smallest id of a class is its rep, so the least rep of a component is its smallest id. Two
     # classes may share a rep if rows share an id; they are then one document, hence one component.

@@ -292,6 +292,51 @@ def test_near_duplicates_at_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows, 1, 91)
 
 
+@pytest.mark.parametrize(("block", "trees", "depth"), [(8, 1, 0), (1024, 2, 1)])
+def test_near_duplicates_that_no_tree_joins(spark, monkeypatch, block, trees, depth):
+    """True pairs inside a crowd with half its words in common: found where trees are few and nodes hold many blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(5)
+    rows = {}
+    for i in range(400):
+        # 60 common words; 40 own, of which each pair shares 34 or more, so about 0.89.
+        own = [f"pair{i // 2}.{k}" if k < rng.randint(34, 38) else f"own{i}.{k}" for k in range(40)]
+        rows[i] = " ".join([f"c{k}" for k in range(60)] + own)
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = neardup.groups(table, 1, 85, trees=trees, depth=depth).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == linked(rows, 1, 85)
+
+
+def test_near_duplicates_rule_out_no_link():
+    """Rarest shingles and sketches of sets of many sizes: no pair at the threshold or over it fails either."""
+    rng = np.random.default_rng(3)
+    for percent, size in itertools.product((50, 80, 85, 97), (3, 7, 40, 300, 2500)):
+        base = rng.integers(0, 2**64, size, np.uint64)
+        sets = [np.unique(base)]
+        for _ in range(30):
+            keep = base[rng.random(size) > rng.choice([0.0, 0.02, 0.1, 0.2])]
+            more = rng.integers(0, 2**64, rng.integers(0, max(2, size // 5)), np.uint64)
+            sets.append(np.unique(np.concatenate([keep, more, base[:1]])))
+        n = np.array([len(s) for s in sets])
+        before, width = np.concatenate([[0], np.cumsum(n)]), neardup._sketch_words(n, percent)
+        sketches = neardup._parities(np.concatenate(sets), before, width)
+        a, b = (np.array(c) for c in zip(*itertools.combinations(range(len(sets)), 2), strict=True))
+        common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+        linked_pairs = 100 * common >= percent * (n[a] + n[b] - common)
+        apart = neardup._differing(sketches, width, a, b)
+        assert (apart <= n[a] + n[b] - 2 * common).all()
+        assert (neardup._at_most(apart, n[a], n[b], percent)[linked_pairs] > 0).all()
+        assert (neardup._all_at_most(sets, n, percent)[a, b][linked_pairs] > 0).all()
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Unlike texts under one id are each compared as they are."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(words)), (5, "x y z"), (7, " ".join([*words, "more"])), (8, "x y z v"), (5, "x y z"), (9, "v x y z q r s")]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 75).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(5, 60, 5), (5, 3, 5), (7, 61, 5), (8, 4, 5), (9, 7, 9)}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (5, 400)]
     got = dict(neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect())
