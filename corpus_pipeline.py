@@ -39,8 +39,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
     groups = neardup.groups(docs, words=5, percent=80)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = frames.checkpoint(groups.where(~F.col("kept")).select("doc_id").distinct())
+    return frames.without(docs, gone).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

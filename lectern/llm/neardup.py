@@ -13,10 +13,12 @@ the rest works on one row per class. Each class carries ``width`` minwise tokens
 2. Connected by these, classes form canopies: two classes that may be similar and met in any tree are in one.
 3. The exact way for what the trees miss, be it by chance, by blocks or by token estimates: any two linked sets share one
    of the rarest n - ceil(threshold * n) + 1 shingles of each, in any order common to all; the order is by how often
-   shingles of one slot of hashes occur. Classes of different canopies that share such a shingle meet there, in blocks
-   that all meet if there are more than ``BLOCK``. Parity sketches, which never rule out a link, say which of them may
-   be linked; these canopies become one. Each task hands out no more pairs than connect its canopies.
-4. Each class brings its full set to its canopy once. All pairs of a canopy that parity sketches do not rule out are
+   shingles of one slot of hashes occur. Classes of different canopies that share such a shingle meet there, once however
+   many they share, in blocks that all meet if there are more than ``BLOCK``. Parity sketches, which never rule out a
+   link, say which of them may be linked; these canopies become one. Each task hands out no more pairs than connect
+   its canopies.
+4. Each class brings its full set to its canopy once; sets are made where the texts lie, of ids that a fixed-size
+   filter lets through, so no text is shuffled. All pairs of a canopy that parity sketches do not rule out are
    compared exactly, by full sets, unless confirmed links connect them already; the canopy hands out a forest of
    confirmed links. A canopy of more than ``BLOCK`` classes or ``ROOM`` shingles is compared block by block, every block
    with every other.
@@ -54,6 +56,8 @@ ROOM = 1 << 21
 SLOTS, SLOT_ROW = 1 << 20, 1 << 12
 # 64-bit words of the widest parity sketch, and pairs that a task looks at together.
 WIDEST, PAIRS = 1 << 10, 1 << 20
+# Sets that a task remembers so as not to hand out their copies; a power of two.
+RECENT = 1 << 16
 
 
 def shingle_sets(texts: frames.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +98,19 @@ def _roots(trees: int, width: int, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def sketch(df: DataFrame, words: int, width: int, trees: int, threshold: float) -> DataFrame:
-    """Per row: set size, 128-bit set digest, first-level nodes, and 16 bits of each minwise token."""
+def sketch(df: DataFrame, words: int, width: int, trees: int, percent: int) -> DataFrame:
+    """Per row: set size, 128-bit set digest, first-level nodes, 16 bits of each minwise token, and parity sketch."""
     id_type = df.schema["_doc"]
     schema = T.StructType(
         [id_type, T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
         + [T.StructField("nodes", T.ArrayType(T.LongType(), False)), T.StructField("tokens", T.BinaryType())]
+        + [T.StructField("bits", T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor = (_coordinates(1, width) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         shift = (_coordinates(2, width) >> np.uint64(32)).astype(np.uint32)
-        roots = _roots(trees, width, threshold)
+        roots = _roots(trees, width, percent / 100)
         at = np.array([i for _, i in roots])
         salt = frames.mix(np.array([t * width + i + 1 for t, i in roots], np.uint64))
         for batch in batches:
@@ -116,6 +121,7 @@ def sketch(df: DataFrame, words: int, width: int, trees: int, threshold: float)
                 full = np.flatnonzero(n)
                 tokens = np.zeros((texts.n, width), np.uint32)
                 digests = np.zeros((2, texts.n), np.uint64)
+                bits: list[bytes] = [b""] * texts.n
                 if len(full):
                     begin = before[full]
                     digests[0, full] = np.add.reduceat(items, begin)
@@ -123,12 +129,17 @@ def sketch(df: DataFrame, words: int, width: int, trees: int, threshold: float)
                     short = (items >> np.uint64(32)).astype(np.uint32)
                     for i in range(width):
                         tokens[full, i] = np.minimum.reduceat(short * factor[i] + shift[i], begin)
+                    size = _sketch_words(n[full], percent)
+                    held, ends = _parities(items, np.append(begin, len(items)), size), np.cumsum(size)
+                    for row, x, y in zip(full.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+                        bits[row] = held[x:y].tobytes()
                 nodes = frames.mix(tokens[:, at].astype(np.uint64) ^ salt)
                 packed = np.ascontiguousarray((tokens * np.uint32(0x9E3779B1) >> np.uint32(16)).astype("<u2"))
                 columns = [part.column("_doc"), pa.array(n)]
                 columns += [pa.array(frames.mix(d).view(np.int64)) for d in digests]
                 columns.append(frames.list_array(nodes.ravel().view(np.int64), np.full(texts.n, len(roots)), pa.int64()))
                 columns.append(pa.array([packed[i].tobytes() for i in range(texts.n)], pa.binary()))
+                columns.append(pa.array(bits, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -434,11 +445,13 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
                 counts += np.bincount((items // np.uint64(2**64 // SLOTS)).astype(np.int64), minlength=SLOTS)
         rows = counts.reshape(-1, SLOT_ROW)
         used = np.flatnonzero(rows.any(1))
-        held = [rows[k].astype("<i8").tobytes() for k in used.tolist()]
+        narrow = np.min_scalar_type(counts.max()).newbyteorder("<")
+        held = [rows[k].astype(narrow).tobytes() for k in used.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(held, pa.binary())], schema=target)
 
     def add(rows: pa.RecordBatch) -> pa.RecordBatch:
-        total = sum(np.frombuffer(v.as_buffer(), "<i8") for v in rows.column("held"))
+        held = [v.as_buffer() for v in rows.column("held")]
+        total = sum(np.frombuffer(x, f"<u{x.size // SLOT_ROW}").astype(np.int64) for x in held)
         step = np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8)
         return pa.RecordBatch.from_arrays([rows.column("part").slice(0, 1), pa.array([step.tobytes()], pa.binary())], schema=target)
 
@@ -449,19 +462,26 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
     return steps.ravel()
 
 
-def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of every row that has shingles: set size, rarest shingles, of which any two linked sets share one, and parity sketch."""
-    kinds = {"d1": T.LongType(), "n": T.LongType(), "rare": T.ArrayType(T.LongType()), "bits": T.BinaryType()}
-    schema = T.StructType([T.StructField("rep", docs.schema["_doc"].dataType)] + [T.StructField(k, v) for k, v in kinds.items()])
+def _rarest(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of every set: the rarest shingles, of which any two linked sets share one; of copies a task hands out few."""
+    schema = T.StructType([T.StructField("d1", T.LongType()), T.StructField("rare", T.ArrayType(T.LongType()))])
     frequency = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = frequency.value
+        seen = ~np.arange(RECENT)  # by its last bits the set that came last; at first none
         for batch in batches:
             for part in frames.slices(batch, "_text"):
                 items, before = shingle_sets(frames.Texts(part.column("_text")), words)
                 n = np.diff(before)
                 full = np.flatnonzero(n)
+                if not len(full):
+                    continue
+                d1 = frames.mix(np.add.reduceat(items, before[full])).view(np.int64)
+                d1, at = np.unique(d1, return_index=True)
+                new = seen[d1 & (RECENT - 1)] != d1
+                seen[d1 & (RECENT - 1)] = d1
+                d1, full = d1[new], full[at[new]]
                 if not len(full):
                     continue
                 n, begin = n[full], before[full]
@@ -469,15 +489,22 @@ def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys = (step.astype(np.uint64) << np.uint64(56)) | (items >> np.uint64(8))
                 first = np.minimum(n - -(-percent * n // 100) + 1, n)
                 rare = [np.partition(keys[x : x + k], f - 1)[:f] for x, k, f in zip(begin.tolist(), n.tolist(), first.tolist(), strict=True)]
-                width = _sketch_words(n, percent)
-                bits = _parities(items, np.append(begin, len(items)), width)
-                ends = np.cumsum(width).tolist()
-                columns = [part.column("_doc").take(pa.array(full)), pa.array(frames.mix(np.add.reduceat(items, begin)).view(np.int64)), pa.array(n)]
-                columns.append(frames.list_array(np.concatenate(rare).view(np.int64), first, pa.int64()))
-                columns.append(pa.array([bits[y - w : y].tobytes() for y, w in zip(ends, width.tolist(), strict=True)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                lists = frames.list_array(np.concatenate(rare).view(np.int64), first, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(d1), lists], names=schema.names)
+
+    return docs.where("_doc IS NOT NULL").select("_text").mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, schema)
+def _companies(rarest: DataFrame) -> DataFrame:
+    """(d1, node) of the sets that share a rarest shingle with others, each company of such sets once.
+
+    Sets that share one shingle mostly share more. A node is named by the sets that meet in it; should two companies
+    have one name, they meet together.
+    """
+    node = Window.partitionBy("node")
+    met = rarest.select("d1", F.explode("rare").alias("node")).repartition("node").dropDuplicates(["node", "d1"])
+    met = met.select("d1", F.count("*").over(node).alias("size"), F.bit_xor(F.xxhash64("d1")).over(node).alias("node"))
+    return met.where("size > 1").select("d1", "node").distinct()
 
 
 def _completed(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int, percent: int) -> DataFrame:
@@ -485,19 +512,18 @@ def _completed(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words:
     kind = classes.schema["rep"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     placed = classes.select("rep", "d1").join(canopies, "rep", "left").withColumn("canopy", F.coalesce("canopy", "rep"))
-    signed = frames.checkpoint(_signed(docs, words, percent).join(placed, ["rep", "d1"]).dropDuplicates(["rep", "d1"]))
 
     node = Window.partitionBy("node")
-    met = signed.select("d1", "canopy", F.explode("rare").alias("node")).select(
-        "d1", "node", F.count("*").over(node).alias("size"), F.min("canopy").over(node).alias("low"), F.max("canopy").over(node).alias("high")
+    met = _companies(_rarest(docs, words, percent)).join(placed, "d1").select(
+        "rep", "d1", "node", "canopy", F.count("*").over(node).alias("size"), F.min("canopy").over(node).alias("low"), F.max("canopy").over(node).alias("high")
     )
     met = met.where("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     met = met.withColumn("block", F.pmod(F.xxhash64("d1", "node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1"
+        "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "d1", "canopy"
     )
     keys = ["node", "i", "j"]
-    met = met.join(signed.select("d1", "canopy", "n", "bits"), "d1").repartition(*keys).sortWithinPartitions(*keys, "d1")
+    met = met.join(classes.select("rep", "d1", "n", "bits"), ["rep", "d1"]).drop("rep").repartition(*keys).sortWithinPartitions(*keys, "d1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cuts in _runs(batches, keys):
@@ -567,7 +593,7 @@ def _exact(docs: DataFrame, classes: DataFrame, canopies: DataFrame, words: int,
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Full shingle sets, as sorted 64-bit values, of the wanted classes' first documents."""
+    """Full shingle sets, as sorted 64-bit values, of the wanted classes' first documents and a few others; no text is shuffled."""
     schema = T.StructType([T.StructField("rep", docs.schema["_doc"].dataType), T.StructField("d1", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,14 +601,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in frames.slices(batch, "_text"):
                 items, before = shingle_sets(frames.Texts(part.column("_text")), words)
                 sums = np.add.reduceat(np.append(items, np.uint64(0)), before[:-1]) if part.num_rows else items
-                same = frames.mix(sums).view(np.int64) == part.column("d1").to_numpy(zero_copy_only=False)
-                keep = np.flatnonzero(same & (np.diff(before) > 0))
+                keep = np.flatnonzero(np.diff(before) > 0)
                 data = [items[before[i] : before[i + 1]].tobytes() for i in keep.tolist()]
-                columns = [part.column(c).take(pa.array(keep)) for c in ("_doc", "d1")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], names=schema.names)
+                columns = [part.column("_doc").take(pa.array(keep)), pa.array(frames.mix(sums).view(np.int64)[keep]), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    rows = docs.join(wanted.select(F.col("rep").alias("_doc"), "d1"), "_doc")
-    return rows.mapInArrow(run, schema)
+    likely = frames.sieve(wanted.select("rep"))
+    return docs.where(likely("_doc")).mapInArrow(run, schema)
 
 
 def _tasks(df: DataFrame, rows: int = 20_000) -> int:
@@ -618,10 +643,10 @@ def groups(
     """Per row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept``."""
     threshold = percent / 100
     docs = df.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text"))
-    rows = frames.checkpoint(sketch(docs, words, width, trees, threshold))
+    rows = frames.checkpoint(sketch(docs, words, width, trees, percent))
     classes = rows.where("_doc IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2")
     classes = frames.checkpoint(
-        classes.agg(F.min("_doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("nodes").alias("nodes"), F.first("tokens").alias("tokens"))
+        classes.agg(F.min("_doc").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("nodes", "tokens", "bits")))
     )
     canopies = frames.checkpoint(_canopies(classes, width, threshold, depth))
     canopies = _completed(docs, classes, canopies, words, percent)

@@ -337,6 +337,41 @@ def test_near_duplicates_of_one_id(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(5, 60, 5), (5, 3, 5), (7, 61, 5), (8, 4, 5), (9, 7, 9)}
 
 
+def test_near_duplicates_shuffle_no_text(spark, docs):
+    """Full sets are made where the texts lie, of all wanted classes."""
+    rows = frames.checkpoint(docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")))
+    every = neardup.sketch(rows, 3, 96, 12, 85).where("_doc IS NOT NULL AND n_shingles > 0").select(F.col("_doc").alias("rep"), "d1")
+    wanted = frames.checkpoint(every.where("rep % 3 = 0"))
+    sets = neardup._sets(rows, wanted, 3)
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    assert wanted.count() > 0 and wanted.exceptAll(sets.select("rep", "d1")).count() == 0
+    assert sets.join(wanted, ["rep", "d1"], "left_anti").count() <= every.count() // 100
+
+
+def test_near_duplicates_companies_meet_once(spark):
+    """Sets that share many rare shingles meet once, copies of a set count as one, and a node of one set is none."""
+    rare = [(1, [*range(50), 90]), (2, [*range(50), 91]), (2, [*range(50), 91]), (3, [90, 92]), (4, [93]), (4, [93])]
+    got = neardup._companies(spark.createDataFrame(rare, "d1 long, rare array<long>")).collect()
+    by_node = {}
+    for r in got:
+        by_node.setdefault(r.node, []).append(r.d1)
+    assert sorted(sorted(x) for x in by_node.values()) == [[1, 2], [1, 3]]
+
+
+def test_sieve(spark):
+    """A sieve lets all of its rows through and few others; what is left without them equals an anti join, nulls stay."""
+    table = spark.range(20_000).select(F.expr("nullif(id % 10000, 7)").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    ids = spark.range(0, 10_000, 7).select(F.col("id").alias("doc_id"))
+    likely = frames.sieve(ids)
+    assert ids.where(~likely("doc_id")).count() == 0
+    assert table.where(likely("doc_id")).count() < 2 * ids.count() + 200
+    want = table.join(ids, "doc_id", "left_anti").select(*table.columns)
+    got = frames.without(table, ids)
+    assert got.columns == table.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert not want.where("doc_id IS NULL").isEmpty()
+    assert frames.without(table, ids.limit(0)).count() == table.count()
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (5, 400)]
     got = dict(neardup.components(spark.createDataFrame(pairs, "a long, b long")).collect())
