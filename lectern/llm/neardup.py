@@ -606,8 +606,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 columns = [part.column("_doc").take(pa.array(keep)), pa.array(frames.mix(sums).view(np.int64)[keep]), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    likely = frames.sieve(wanted.select("rep"))
-    return docs.where(likely("_doc")).mapInArrow(run, schema)
+    rows = frames.sifted(docs, wanted.select(F.col("rep").alias("_doc")), "_wanted").where("_wanted").select("_doc", "_text")
+    return rows.mapInArrow(run, schema)
 
 
 def _tasks(df: DataFrame, rows: int = 20_000) -> int:

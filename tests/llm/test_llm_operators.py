@@ -338,12 +338,18 @@ def test_near_duplicates_of_one_id(spark):
 
 
 def test_near_duplicates_shuffle_no_text(spark, docs):
-    """Full sets are made where the texts lie, of all wanted classes."""
+    """Full sets are made where the texts lie, of all wanted classes, whatever size the tables seem to have."""
     rows = frames.checkpoint(docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")))
     every = neardup.sketch(rows, 3, 96, 12, 85).where("_doc IS NOT NULL AND n_shingles > 0").select(F.col("_doc").alias("rep"), "d1")
     wanted = frames.checkpoint(every.where("rep % 3 = 0"))
-    sets = neardup._sets(rows, wanted, 3)
-    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sets = neardup._sets(rows, wanted, 3)
+        plan = sets._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     assert wanted.count() > 0 and wanted.exceptAll(sets.select("rep", "d1")).count() == 0
     assert sets.join(wanted, ["rep", "d1"], "left_anti").count() <= every.count() // 100
 
@@ -358,18 +364,22 @@ def test_near_duplicates_companies_meet_once(spark):
     assert sorted(sorted(x) for x in by_node.values()) == [[1, 2], [1, 3]]
 
 
-def test_sieve(spark):
-    """A sieve lets all of its rows through and few others; what is left without them equals an anti join, nulls stay."""
-    table = spark.range(20_000).select(F.expr("nullif(id % 10000, 7)").alias("doc_id"), F.col("id").cast("string").alias("text"))
+def test_sifted_and_without(spark):
+    """Sifting marks all looked-for rows and few others; what is left without them equals an anti join, nulls stay."""
+    table = spark.range(20_000).select(F.expr("nullif(id % 10000, 7)").alias("doc_id"), F.col("id").cast("string").alias("_mark"))
     ids = spark.range(0, 10_000, 7).select(F.col("id").alias("doc_id"))
-    likely = frames.sieve(ids)
-    assert ids.where(~likely("doc_id")).count() == 0
-    assert table.where(likely("doc_id")).count() < 2 * ids.count() + 200
+    marked = frames.sifted(table, ids, "likely")
+    assert marked.columns == [*table.columns, "likely"] and marked.count() == 20_000
+    assert marked.where("NOT likely").join(ids, "doc_id").count() == 0
+    assert marked.where("likely").count() < 2 * ids.count() + 200
     want = table.join(ids, "doc_id", "left_anti").select(*table.columns)
     got = frames.without(table, ids)
     assert got.columns == table.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert not want.where("doc_id IS NULL").isEmpty()
     assert frames.without(table, ids.limit(0)).count() == table.count()
+    twice = table.select("doc_id", F.length("_mark").alias("size"))
+    pairs = twice.where("doc_id % 3 = 0").distinct()
+    assert frames.without(twice, pairs).exceptAll(twice.join(pairs, ["doc_id", "size"], "left_anti")).isEmpty()
 
 
 def test_components(spark):
