@@ -7,9 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.text import blank_to_null, collapse_space, trim_space
 from lectern.operators.lineage import cut
@@ -22,9 +24,14 @@ NEAREST = 200
 DESCRIPTION_CHARS = 1500
 BATCH = 200
 
-# Rows held by one block of the all-courses form, and the most clusters it makes.
+# Rows held by one block of the all-courses form, rows for each cluster, and the fewest and most clusters it makes.
 BLOCK_ROWS = 2048
+CLUSTER_ROWS = 1024
 FEWEST, CLUSTERS = 16, 512
+# Rows that one task finds the nearest of, if there are many, and bytes of the vectors it takes them past.
+TASK_ROWS, PART_BYTES = 4096, 64 << 20
+# Rows of a block multiplied at a time, numbers gathered at a time for exact products, and finds that are held before they are ranked.
+TILE_ROWS, GATHERED, FRESH = 256, 1 << 22, 1 << 16
 
 
 def embedding_text(title: Column, department: Column, description: Column, chars: int | None = None) -> Column:
@@ -106,7 +113,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return rows / np.where(norms == 0, np.nan, norms)
 
 
-@F.pandas_udf(DoubleType())
+@F.pandas_udf(T.DoubleType())
 def _cosine(vectors: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", _unit(vectors), _unit(target)))
 
@@ -160,6 +167,136 @@ def similar_courses(
     return out.select("course_id", "college_id", *extra, "similarity", "place")
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """The rows of one block as one row: ids, colleges in runs, vectors end to end."""
+    table = table.sort_by("college_id").combine_chunks()
+    bounds = pa.array([0, table.num_rows], pa.int32())
+
+    def whole(name: str) -> pa.Array:
+        column = table.column(name)
+        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+    vectors = whole("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return pa.table(
+        {
+            "cluster": whole("cluster")[:1],
+            "block": whole("block")[:1],
+            "radius": pa.array([whole("angle").to_numpy(zero_copy_only=False).max()], pa.float64()),
+            "ids": pa.ListArray.from_arrays(bounds, whole("course_id")),
+            "colleges": pa.ListArray.from_arrays(bounds, whole("college_id")),
+            "vectors": pa.array([vectors.tobytes()], pa.binary()),
+        }
+    )
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, anything else and what has nulls as objects."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    return np.array([*column.to_pylist(), None], dtype=object)[:-1]
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """What sorts as the values do, nulls first."""
+    return pd.factorize(values, sort=True)[0] if values.dtype == object else values
+
+
+class _Block:
+    """One packed block: ids, numbers of colleges (null is -1) and unit vectors, exact and for a first look."""
+
+    def __init__(self, row: dict, prefix: str, seen: dict):
+        self.cluster, self.radius = row[f"{prefix}cluster"].as_py(), row[f"{prefix}radius"].as_py()
+        self.id_column, self.college_column = row[f"{prefix}ids"].values, row[f"{prefix}colleges"].values
+        self.ids = _values(self.id_column)
+        part, known = pd.factorize(_values(self.college_column))
+        self.college = np.array([*(seen.setdefault(x, len(seen)) for x in known.tolist()), -1])[part]
+        raw = np.frombuffer(row[f"{prefix}vectors"].as_buffer(), np.float32).reshape(len(self.ids), -1).astype(np.float64)
+        self.exact = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        self.rough = self.exact.astype(np.float32)
+        starts = np.flatnonzero(np.diff(self.college, prepend=-2))
+        self.runs = {int(self.college[x]): (int(x), int(y)) for x, y in zip(starts, [*starts[1:], len(self.ids)], strict=True) if self.college[x] >= 0}
+
+
+class _Best:
+    """The best of other colleges so far for every course of a block."""
+
+    def __init__(self, block: _Block, least: float, per_college: int, limit: int, nearest: int | None):
+        self.block, self.least, self.per_college, self.limit, self.nearest = block, least, per_college, limit, nearest
+        self.bound = np.full(len(block.ids), float(least))
+        # Courses of the block, likeness, numbers of colleges and ids of others: the best, then what came since.
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.fresh = 0
+
+    def meet(self, row: dict, pivots: np.ndarray, seen: dict) -> None:
+        mine = self.block
+        apart = math.acos(max(-1.0, min(1.0, float(pivots[mine.cluster] @ pivots[row["other_cluster"].as_py()]))))
+        widest = math.acos(max(-1.0, min(1.0, float(self.bound.min()))))
+        if apart - mine.radius - row["other_radius"].as_py() > widest + 1e-7:
+            return
+        other = _Block(row, "other_", seen)
+        wide = mine.exact.shape[1]
+        slack = (wide + 16) * 1.2e-7  # more than single precision can be wrong by
+        for first in range(0, len(mine.ids), TILE_ROWS):
+            last = min(first + TILE_ROWS, len(mine.ids))
+            cos = mine.rough[first:last] @ other.rough.T
+            for college, (x, y) in mine.runs.items():
+                if x < last and y > first and college in other.runs:
+                    cos[max(x - first, 0) : y - first, slice(*other.runs[college])] = -2
+            hit = np.flatnonzero(cos >= (self.bound[first:last] - slack).astype(np.float32)[:, None])
+            for few in np.array_split(hit, -(-len(hit) * wide // GATHERED)) if len(hit) else ():
+                self.add(few // len(other.ids) + first, few % len(other.ids), other)
+
+    def add(self, row: np.ndarray, picked: np.ndarray, other: _Block) -> None:
+        cos = np.einsum("ij,ij->i", self.block.exact[row], other.exact[picked])
+        mine, theirs = self.block.ids[row], other.ids[picked]
+        same = np.equal(mine, theirs).astype(bool)
+        if mine.dtype == object:
+            same &= np.not_equal(mine, None).astype(bool)
+        keep = (cos >= self.bound[row]) & ~same
+        if keep.any():
+            self.parts.append((row[keep], cos[keep], other.college[picked[keep]], theirs[keep]))
+            self.fresh += int(keep.sum())
+            if self.fresh >= max(FRESH, 8 * len(self.bound)):
+                self.settle()
+
+    def settle(self) -> None:
+        """Keep what the caps can leave; ties are cut by id, as the final ranking does."""
+        row, cos, college, ids = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        sort = np.lexsort((_ranks(ids), -cos, row))
+        most = self.nearest
+        if most is None:
+            # Only the first few of each college, and of those the first few, can stay.
+            most, by = self.limit, np.lexsort((college[sort], row[sort]))
+            few = np.zeros(len(sort), bool)
+            few[by] = _nth(row[sort][by], college[sort][by]) < self.per_college
+            sort = sort[few]
+        nth = _nth(row[sort])
+        full = sort[nth == most - 1]
+        self.bound[row[full]] = cos[full]
+        kept = sort[nth < most]
+        self.parts, self.fresh = [(row[kept], cos[kept], college[kept], ids[kept])], 0
+
+    def found(self, schema: pa.Schema, seen: dict) -> pa.RecordBatch:
+        if not self.parts:
+            return pa.RecordBatch.from_pylist([], schema)
+        self.settle()
+        row, cos, college, ids = self.parts[0]
+        mine, block = pa.array(row), self.block
+        names = pa.array(list(seen), schema.field("other_college").type)
+        columns = [block.id_column.take(mine), block.college_column.take(mine), pa.array(ids, schema.field("other_id").type)]
+        columns += [names.take(pa.array(college, mask=college < 0)), pa.array(cos, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _nth(*keys: np.ndarray) -> np.ndarray:
+    """Place of each row in its run of equal keys, from 0."""
+    at = np.arange(len(keys[0]))
+    new = np.zeros(len(at), bool)
+    for k in keys:
+        new |= np.diff(k, prepend=k[:1]) != 0
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
 def similar_for_all(
     embeddings: DataFrame,
     min_similarity: float = 0.6,
@@ -168,21 +305,21 @@ def similar_for_all(
     nearest: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Nearest courses of every course at other colleges, exact, in one job.
+    """Nearest courses of every course at other colleges, exact.
 
     Vectors are put with their nearest of a few sampled pivots and clusters are cut into blocks
-    of bounded size, so a crowded cluster becomes many blocks. The number of pivots grows with the table. Two clusters are compared only
-    when the triangle inequality on angles leaves room for ``min_similarity``. Each block pair
-    is one matrix product that emits at most ``limit`` rows per course: those that the caps can
-    leave. With ``nearest`` the candidates are cut to so many before the caps (``NEAREST`` is the
-    site's preset).
+    of bounded size, so a crowded cluster becomes many blocks; a block is one row of packed vectors.
+    The number of pivots grows with the table. A task takes some blocks past all blocks of a part of the
+    table, which are read from the checkpoint and not copied to each block that meets them, and keeps the best so far of each
+    course: those that the caps can leave, at most ``limit``. Two blocks are compared only
+    when the triangle inequality on angles leaves room for what could still get in. With ``nearest`` the candidates
+    are cut to so many before the caps (``NEAREST`` is the site's preset).
     """
     vectors = embeddings.select("course_id", "college_id", "embedding").filter(
         F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) > 0
     )
-    # As many pivots as the root of the rows asks for, so clusters stay small as the table grows; at most
-    # CLUSTERS rows come to the driver.
-    clusters = min(max(math.isqrt(vectors.count()), FEWEST), CLUSTERS)
+    # More pivots as the table grows, so clusters stay small; at most CLUSTERS rows come to the driver.
+    clusters = min(max(vectors.count() // CLUSTER_ROWS, FEWEST), CLUSTERS)
     sample = vectors.select("embedding").orderBy(F.xxhash64("course_id")).limit(clusters).collect()
     if not sample:
         return vectors.limit(0).select(
@@ -194,12 +331,15 @@ def similar_for_all(
             F.lit(0.0).alias("similarity"),
         )
     pivots = _unit(pd.Series([r["embedding"] for r in sample]))
+    pivots = pivots[np.isfinite(pivots).all(axis=1)]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
+            if len(pdf) and len(pivots):
                 cos = np.clip(_unit(pdf["embedding"]) @ pivots.T, -1, 1)
-                yield pdf.assign(cluster=cos.argmax(axis=1), angle=np.arccos(cos.max(axis=1)))
+                fine = np.isfinite(cos[:, 0])
+                cos = cos[fine]
+                yield pdf[fine].assign(cluster=cos.argmax(axis=1), angle=np.arccos(cos.max(axis=1)))
 
     ids = vectors.schema
     id_type, college_type = (ids[c].dataType.simpleString() for c in ("course_id", "college_id"))
@@ -210,80 +350,52 @@ def similar_for_all(
             "cluster int, angle double",
         )
     )
-    shapes = (
-        placed.groupBy("cluster")
-        .agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("rows"))
-        .collect()
-    )  # one row per pivot
-    widest = math.acos(max(-1.0, min(1.0, min_similarity)))
-    blocks = {s["cluster"]: max(1, -(-s["rows"] // block_rows)) for s in shapes}
-    used = np.array([s["cluster"] for s in shapes])
-    radius = np.array([s["radius"] for s in shapes])
-    apart = np.arccos(np.clip(pivots[used] @ pivots[used].T, -1, 1)) - radius[:, None] - radius
-    # At most one row per two pivots.
-    x, y = np.nonzero(apart <= widest + 1e-9)
-    held = np.array([blocks[s["cluster"]] for s in shapes])
-    meets = embeddings.sparkSession.createDataFrame(
-        pd.DataFrame({"cluster": used[x], "blocks": held[x], "other_cluster": used[y], "other_blocks": held[y]}).astype("int32")
-    )
-
-    def partners(mine: str, theirs: str) -> DataFrame:
-        """Rows sent to each block they must meet; meeting is symmetric."""
-        other = placed.join(meets, "cluster").withColumns(
-            {
-                "block": F.pmod(F.xxhash64("course_id"), F.col("blocks")).cast("int"),
-                "other_block": F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)),
-            }
-        )
-        return other.select(
-            *[F.col(c).alias(c) for c in ("course_id", "college_id", "embedding")],
-            F.struct(F.col("cluster").alias("c"), F.col("block").alias("b")).alias(mine),
-            F.struct(F.col("other_cluster").alias("c"), F.col("other_block").alias("b")).alias(theirs),
-        )
-
-    left, right = partners("l", "r"), partners("r", "l")
-
-    def match(_key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=["course_id", "college_id", "other_id", "other_college", "similarity"])
-        cos = _unit(a["embedding"]) @ _unit(b["embedding"]).T
-        cos[a["college_id"].to_numpy()[:, None] == b["college_id"].to_numpy()[None, :]] = -2
-        cos[a["course_id"].to_numpy()[:, None] == b["course_id"].to_numpy()[None, :]] = -2
-        # Only what is similar enough is sorted; ties are cut by id, as the final ranking does.
-        row, picked = np.nonzero(cos >= min_similarity)
-        value = cos[row, picked]
-        sort = np.lexsort((b["course_id"].to_numpy()[picked], -value, row))
-        row, picked, value = row[sort], picked[sort], value[sort]
-        if nearest is not None:
-            first = np.searchsorted(row, row)
-            few = np.arange(len(row)) - first < nearest
-            row, picked, value = row[few], picked[few], value[few]
-        if nearest is None:
-            # Only the first few of each college, and of those the first few, can stay.
-            college = pd.factorize(b["college_id"])[0][picked]
-            ranked = pd.DataFrame({"row": row, "college": college})
-            few = (ranked.groupby(["row", "college"]).cumcount() < per_college).to_numpy()
-            few &= pd.Series(few).groupby(row).cumsum().to_numpy() <= limit
-            row, picked, value = row[few], picked[few], value[few]
-        return pd.DataFrame(
-            {
-                "course_id": a["course_id"].to_numpy()[row],
-                "college_id": a["college_id"].to_numpy()[row],
-                "other_id": b["course_id"].to_numpy()[picked],
-                "other_college": b["college_id"].to_numpy()[picked],
-                "similarity": value,
-            }
-        )
-
-    hits = (
-        left.groupBy("l", "r")
-        .cogroup(right.groupBy("l", "r"))
-        .applyInPandas(
-            match,
-            f"course_id {id_type}, college_id {college_type}, other_id {id_type}, "
-            f"other_college {college_type}, similarity double",
+    # One row per pivot.
+    shapes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("wide")).collect()
+    held = {s["cluster"]: max(1, -(-s["rows"] // block_rows)) for s in shapes}
+    dealt = F.element_at(F.create_map(*[F.lit(x) for pair in held.items() for x in pair]), F.col("cluster")) if held else F.lit(1)
+    blocks = cut(
+        # Rows are dealt by their place in the checkpoint, whatever their ids.
+        placed.withColumn("block", F.pmod(F.monotonically_increasing_id(), dealt).cast("int"))
+        .groupBy("cluster", "block")
+        .applyInArrow(
+            _packed,
+            f"cluster int, block int, radius double, ids array<{id_type}>, colleges array<{college_type}>, vectors binary",
         )
     )
+    rows = sum(s["rows"] for s in shapes)
+    size = sum(s["rows"] * (4 * s["wide"] + 16) for s in shapes)
+    tasks = max(2 * embeddings.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    names = ["cluster", "block", "radius", "ids", "colleges", "vectors"]
+    left = blocks.repartition(max(1, min(tasks, sum(held.values()))))
+    right = blocks.repartition(max(1, -(-size // PART_BYTES))).select(*[F.col(c).alias(f"other_{c}") for c in names])
+    schema = T.StructType(
+        [
+            T.StructField("course_id", ids["course_id"].dataType),
+            T.StructField("college_id", ids["college_id"].dataType),
+            T.StructField("other_id", ids["course_id"].dataType),
+            T.StructField("other_college", ids["college_id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+    target = to_arrow_schema(schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, at = None, None
+        seen: dict = {}  # numbers of colleges
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                key = row["cluster"].as_py(), row["block"].as_py()
+                if key != at:
+                    if mine is not None:
+                        yield mine.found(target, seen)
+                    at, mine = key, _Best(_Block(row, "", seen), min_similarity, per_college, limit, nearest)
+                mine.meet(row, pivots, seen)
+        if mine is not None:
+            yield mine.found(target, seen)
+
+    hits = left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(match, schema).repartition("course_id")
     order = [F.desc("similarity"), F.asc("other_id")]
     top = hits if nearest is None else first_rows(hits, ["course_id"], order, nearest, "near_place")
     capped = first_rows(top, ["course_id", "other_college"], order, per_college, "college_place")

@@ -255,6 +255,38 @@ def test_similar_for_all_with_many_blocks(spark):
     assert have == want
 
 
+@pytest.mark.parametrize("null", [False, True])
+def test_similar_for_all_copies_no_vectors_and_loses_none(spark, null):
+    rng = np.random.default_rng(6)
+    vectors = [(i, None if null and i % 9 == 0 else i % 5, rng.normal(size=8).tolist()) for i in range(200)]
+    df = spark.createDataFrame(vectors, "course_id int, college_id int, embedding array<float>")
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = similarity.similar_for_all(df, 0.2, 2, 6, block_rows=8)
+        # Neither a copy of each vector for each block it meets, nor a join of rows.
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = got.orderBy("course_id", "place").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    unit = np.array([np.array(v[2], dtype=np.float32).astype(float) for v in vectors])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    college = [v[1] for v in vectors]
+    for i in range(200):
+        per, kept = {}, []
+        for j in sorted(range(200), key=lambda j: (-cos[i, j], j)):
+            other = i != j and (college[i] is None or college[i] != college[j])
+            if other and cos[i, j] >= 0.2 and per.get(college[j], 0) < 2 and len(kept) < 6:
+                per[college[j]] = per.get(college[j], 0) + 1
+                kept.append((j, college[j]))
+        assert [(r.other_id, r.other_college) for r in rows if r.course_id == i] == kept
+    assert "Generate explode" not in plan
+
+
 def test_run_costs_by_scope(spark):
     runs = [(1, None, None, "a", 0, 100), (2, "t", None, "a", 50, 200), (3, None, None, None, 0, 60)]
     ledger = [(None, None, "a", 10, 1.0), ("t", None, "a", 60, 2.0), (None, None, "b", 50, 4.0), ("t", None, "a", 201, 8.0)]
