@@ -15,10 +15,10 @@ from lectern.functions.text import token_jaccard
 from lectern.operators.lineage import cut
 
 THRESHOLD = 0.8
-# Slots that token frequencies are counted in (a power of two), and items of a shared token compared
-# in the first round; each round doubles them.
-SLOT_BITS = 18
-LEADERS = 64
+# Slots that token frequencies are counted in (a power of two), items of a shared token compared
+# in the first round, and times as many in each round after.
+SLOT_BITS = 20
+LEADERS, GROWTH = 64, 8
 # Words of 64 bits in the sketch that every bucket row carries, and the most of an item's own wide sketch.
 NARROW, WIDEST = 8, 256
 # Tasks for each core that the table of items is dealt out to, at least.
@@ -38,9 +38,9 @@ def _prefix_size(size, threshold: float):
 def _weights(items: DataFrame) -> np.ndarray:
     """How often tokens of each slot of hashes occur: as many numbers as there are slots."""
     slot = F.shiftrightunsigned(F.col("token"), 64 - SLOT_BITS)
-    counted = items.select(F.explode("tokens").alias("token")).groupBy(slot.alias("slot")).count().toPandas()
+    counted = items.select(F.explode("tokens").alias("token")).groupBy(slot.alias("slot")).count().toArrow()
     weights = np.zeros(1 << SLOT_BITS, np.int64)
-    weights[counted["slot"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
+    weights[counted["slot"].to_numpy()] = counted["count"].to_numpy()
     return weights
 
 
@@ -59,12 +59,20 @@ def _sketch(tokens: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarra
 def with_signature(items: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """Size, rarest tokens and two parity sketches of each item (``grp``, ``pos``, ``seed``, hashed ``tokens``).
 
-    Any fixed order of tokens is right; putting the most frequent last keeps shared tokens rare.
+    Any fixed order of tokens is right; putting the most frequent last keeps shared tokens rare. Tokens of the prefix
+    are written with the rank of their slot before their lower bits, so they sort as numbers; those that no other item can hold are
+    counted in ``skip`` and left out.
     """
+    low = 64 - SLOT_BITS
+    ranks = np.empty(1 << SLOT_BITS, np.uint64)
+    ranks[np.argsort(weights, kind="stable")] = np.arange(1 << SLOT_BITS, dtype=np.uint64)
+    ranks <<= np.uint64(low)
+    # Slots of no or one token come first.
+    shared = np.uint64(np.count_nonzero(weights < 2)) << np.uint64(low)
     kept = [items.schema[c] for c in ("grp", "pos", "seed")]
     longs = T.ArrayType(T.LongType())
     schema = T.StructType(
-        [*kept, T.StructField("size", T.IntegerType()), T.StructField("prefix", longs)]
+        [*kept, T.StructField("size", T.IntegerType()), T.StructField("skip", T.IntegerType()), T.StructField("prefix", longs)]
         + [T.StructField(f"s{i}", T.LongType()) for i in range(NARROW)]
         + [T.StructField("wide", longs)]
     )
@@ -81,13 +89,18 @@ def with_signature(items: DataFrame, weights: np.ndarray, threshold: float) -> D
             size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, weights[(flat >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], row))
-            before = np.cumsum(size) - size
+            ranked = ranks[(flat >> np.uint64(low)).astype(np.int64)] | (flat & np.uint64((1 << low) - 1))
             first = _prefix_size(size, threshold)
-            leading = np.arange(len(flat)) - before[row] < first[row]
+            prefix, skip, at = [ranked[:0]], np.zeros(len(size), np.int64), 0
+            for i, (n, leading) in enumerate(zip(size.tolist(), first.tolist(), strict=True)):
+                tokens = np.sort(ranked[at : at + n])[:leading]
+                skip[i] = np.searchsorted(tokens, shared)
+                prefix.append(tokens[skip[i] :])
+                at += n
             words = np.minimum(1 << np.ceil(np.log2(np.maximum(size / 64, 1))).astype(np.int64), WIDEST)
             narrow = _sketch(flat, row, np.full(len(size), NARROW)).reshape(-1, NARROW)
-            columns = [batch.column(c.name) for c in kept] + [pa.array(size, pa.int32()), lists(flat[order][leading].view(np.int64), first)]
+            columns = [batch.column(c.name) for c in kept] + [pa.array(size, pa.int32()), pa.array(skip, pa.int32())]
+            columns.append(lists(np.concatenate(prefix).view(np.int64), first - skip))
             columns += [pa.array(np.ascontiguousarray(narrow[:, i])) for i in range(NARROW)]
             columns.append(lists(_sketch(flat, row, words), words))
             yield pa.RecordBatch.from_arrays(columns, schema=target)
@@ -129,14 +142,14 @@ def greedy_filter(
     the first few open items of its token buckets. An item whose buckets hold no earlier open
     item outside those few is fully informed: it is kept unless an earlier open item is like it.
     Items like a newly kept one leave at once, so a crowd of copies costs one round; the first few
-    double every round, so rounds grow with the logarithm of the fullest bucket.
+    are ``GROWTH`` times as many every round, so rounds grow with the logarithm of the fullest bucket.
 
     Tokens are held as 64-bit hashes, one table dealt out by item that no round moves. Rows of a bucket
     carry a sketch that rules out nearly all unlike pairs where they meet, and never an alike one;
     sets are read only for the pairs left, of each item the earliest one first.
     """
-    hashed = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
-    digest = F.md5(F.to_json(F.array_sort(tokens))).alias("digest")
+    hashed = F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t))))
+    digest = F.md5(F.to_json(F.sort_array(tokens))).alias("digest")
     place = [F.col(group).alias("grp"), F.col(order).alias("pos")]
     start = items.select(*place, digest, hashed.alias("tokens"), F.lit(False).alias("seed"))
     if seeds is not None:
@@ -173,7 +186,7 @@ def greedy_filter(
     leaders = LEADERS
     while not open_items.isEmpty():
         fresh, open_items = _settle(open_items, signed, sets, threshold, leaders)
-        leaders *= 2
+        leaders *= GROWTH
         kept = cut(kept.unionByName(fresh))
     verdicts = (
         full.filter("not seed")
@@ -196,9 +209,13 @@ def greedy_filter(
 
 
 def _buckets(items: DataFrame) -> DataFrame:
-    """One row per (item, rare token) with the token's place among the item's own, rarest first."""
+    """One row per (item, rare token) with the token's place among the item's own, rarest first.
+
+    Group and token are one number, by which rows are sorted as numbers; where two fall together, more pairs are looked at.
+    """
     narrow = [f"s{i}" for i in range(NARROW)]
-    return items.select("grp", "pos", "size", *narrow, F.posexplode("prefix").alias("rank", "token"))
+    rows = items.select("grp", "pos", "size", "skip", *narrow, F.posexplode("prefix").alias("nth", "token"))
+    return rows.select("grp", "pos", "size", *narrow, (F.col("nth") + F.col("skip")).alias("rank"), F.xxhash64("grp", "token").alias("bucket"))
 
 
 def _apart(size: Column, other: Column, threshold: float) -> Column:
@@ -212,16 +229,19 @@ def _pairs(buckets: DataFrame, leading: DataFrame, threshold: float) -> DataFram
     The rarest token that two sets share has only more frequent ones behind it in either.
     """
     mine = ["size", "rank", *[f"s{i}" for i in range(NARROW)]]
-    b = leading.select("grp", "token", F.col("pos").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in mine])
+    mine.append("grp")
+    b = leading.select("bucket", F.col("pos").alias("leader"), *[F.col(c).alias(f"leader_{c}") for c in mine])
     small, large = F.least("size", "leader_size"), F.greatest("size", "leader_size")
     fits = small > large * threshold - 1e-9
     reach = F.least(F.col("size") - F.col("rank"), F.col("leader_size") - F.col("leader_rank"))
     placed = reach > (F.col("size") + F.col("leader_size")) * (threshold / (1 + threshold)) - 1e-6
     differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"leader_s{i}"))) for i in range(NARROW)), F.lit(0))
     close = differ < _apart(F.col("size"), F.col("leader_size"), threshold)
+    # Not as an equality, which would become a key of the join and have the rows dealt out again.
+    together = (F.col("grp") >= F.col("leader_grp")) & (F.col("grp") <= F.col("leader_grp"))
     return (
-        buckets.join(b, ["grp", "token"])
-        .filter((F.col("leader") < F.col("pos")) & fits & placed & close)
+        buckets.join(b, "bucket")
+        .filter((F.col("leader") < F.col("pos")) & fits & placed & close & together)
         .select("grp", "pos", "leader")
         .distinct()
     )
@@ -266,8 +286,10 @@ def _settle(open_items: DataFrame, signed: DataFrame, sets: DataFrame, threshold
         return cut(_verified(some, signed, sets, threshold))
 
     buckets = _buckets(signed.join(open_items, item, "left_semi"))
-    placed = buckets.withColumn("place", F.row_number().over(Window.partitionBy("grp", "token").orderBy("pos")))
-    pairs = cut(_pairs(buckets, placed.filter(F.col("place") <= leaders), threshold))
+    placed = buckets.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("pos")))
+    # Both sides are the same rows dealt out once; a limit that Spark knows would have the first few dealt out again.
+    few = F.least("place", F.lit(leaders)) == F.col("place")
+    pairs = cut(_pairs(placed, placed.filter(few), threshold))
     waiting = placed.filter(F.col("place") > leaders).select(*item).distinct()
     earliest = pairs.groupBy(*item).agg(F.min("leader").alias("leader"))
     held = test(earliest)

@@ -403,6 +403,25 @@ def test_greedy_filter_moves_no_sets_between_tasks(spark, monkeypatch):
     assert {(r.pos, r.leader) for r in met[0].collect()} == {(100 + i, i) for i in range(10)}
 
 
+def test_greedy_filter_leaves_out_tokens_of_one_item_and_grows_fast(spark, monkeypatch):
+    """Tokens that no other item holds make no bucket rows, buckets are keyed by one number, and few rounds reach a full bucket."""
+    rng = random.Random(8)
+    items = [(g, i, ["shared", *(f"own{g}{i}.{k}" for k in range(9)), *sorted({f"w{rng.randrange(300)}" for _ in range(4)})]) for g in "ab" for i in range(150)]
+    items += [(g, 200 + i, [*t[:-1], "other"]) for g, i, t in items[::10]]
+    rounds, made = [], []
+    settle, buckets = dedupe._settle, dedupe._buckets
+    monkeypatch.setattr(dedupe, "LEADERS", 4)
+    monkeypatch.setattr(dedupe, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    monkeypatch.setattr(dedupe, "_buckets", lambda *a: made.append(buckets(*a)) or made[-1])
+    df = spark.createDataFrame(items, "grp string, pos bigint, tokens array<string>")
+    got = {(r.grp, r.pos): r.verdict == "kept" for r in dedupe.greedy_filter(df, "grp", "pos", "tokens").collect()}
+    assert got == greedy_loop(items) and len(rounds) <= 3
+    rows = made[0].collect()
+    # Only the items that were copied and their near copies hold rare tokens together.
+    assert {(r.grp, r.pos) for r in rows if r.rank < 2} <= {(g, p) for g, i, _ in items[:300:10] for p in (i, 200 + i)}
+    assert {f.name: f.dataType.simpleString() for f in made[0].schema.fields}["bucket"] == "bigint"
+
+
 def test_parity_sketches_never_differ_in_more_than_the_sets():
     rng = np.random.default_rng(5)
     for n in (3, 70, 700):
